@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinade.llm.common import table
+from affinade.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.token_store import read_checks, write_store
+
+    path = scratch(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    return read_checks(spark, path)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinade.llm.packing import pack_documents
 
@@ -37,6 +45,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Query] = {
+    "op2_token_store": op2_token_store,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
