@@ -59,7 +59,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def original(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Code-point offsets in the original of word spans (end exclusive)."""
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in WORD.finditer(text.translate(NORMAL))]
     points = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
     return [(int(points[at[a][0]]) - 1, int(points[at[b - 1][1] - 1])) for a, b in spans]
 
