@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinade.llm.common import scratch, table
+from affinade.llm.common import crc_mod, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,21 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checks(spark, path)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.quality import quality_scores
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_scores(docs, labels, crc_mod("doc_id", 3) != 1)
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.language import identify
+
+    found = identify(table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) != 1)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinade.llm.packing import pack_documents
 
@@ -46,6 +61,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Query] = {
     "op2_token_store": op2_token_store,
+    "op4_quality": op4_quality,
+    "op6_language": op6_language,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,

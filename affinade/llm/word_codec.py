@@ -19,6 +19,7 @@ LETTER = "a-zªµºß-öø-ÿĀ-ſ"
 DIGIT = "0-9²³¹¼½¾"
 PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
+JOINED = 500  # unseen pre-tokens encoded in one call
 CACHE = 400_000  # pre-tokens kept in a process; when full it starts anew
 
 
@@ -31,6 +32,22 @@ class WordCodec:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.ids: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16 if self.dtype.itemsize == 2 else self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode pre-tokens many to a text, apart by spaces; each one's last id, and no other, ends a word."""
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = np.frombuffer(self._whole(" ".join(part)), self.dtype)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                self.ids.update((w, self._whole(w)) for w in part)
+                continue
+            size, begin, raw = self.dtype.itemsize, 0, ids.tobytes()
+            for word, end in zip(part, ends):
+                self.ids[word] = raw[begin * size : end * size]
+                begin = end
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -51,8 +68,7 @@ class WordCodec:
         if len(self.ids) + len(new) > CACHE:
             self.ids.clear()
             new = list(unseen)
-        for word, enc in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.ids[word] = np.array(enc.ids, dtype=self.dtype).tobytes()
+        self._learn(new)
         get = self.ids.__getitem__
         return [p if type(p) is bytes else b"".join(map(get, p)) for p in parts]
 
