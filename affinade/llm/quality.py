@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
-Every word and every character n-gram of a word has a vector in a hashed table; a document is the average of all
-its words' and n-grams' vectors; a softmax over it gives the classes. Table and softmax are trained together by
+Every word and every character n-gram of a word has a vector in a hashed table, and one more vector stands for all
+word bigrams of twice the same word; a document is the average of the vectors of all it holds; a softmax over it gives the classes. Table and softmax are trained together by
 stochastic gradient descent in numpy. To score, only the difference of the two logits matters, which is linear in the
 vectors, so each word is worth one number (and one count), found once a process and then looked up.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from affinade.llm.word_codec import slices
 
 BITS, DIM = 17, 16  # hashed table: 2**BITS vectors of DIM numbers
 NGRAMS = (3, 4, 5)
+TWICE, TWICE_WEIGHT = 1 << BITS, 8  # the row of a repeated word's bigram, and as how many features it counts
 CACHE = 400_000  # words kept in a process; when full they start anew
 STEP = np.uint32(0x9E3779B1)  # odd multiplier of the rolling n-gram hash
 
@@ -47,6 +50,10 @@ def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows)[by], np.searchsorted(at[by], np.arange(len(words)))
 
 
+def repeats(words: list[str]) -> int:
+    return sum(map(eq, words, islice(words, 1, None)))
+
+
 @dataclass
 class QualityModel:
     value: np.ndarray  # per table row: how far it moves the logit of class 1 over class 0
@@ -66,9 +73,10 @@ class QualityModel:
             total = np.add.reduceat(self.value[rows].astype(np.float64), begin)
             known.update(zip(new, (total + 1j * np.diff([*begin, len(rows)])).tolist()))
         get = known.__getitem__
+        twice = TWICE_WEIGHT * complex(self.value[TWICE], 1)
         out = []
         for w in words:
-            s = sum(map(get, w), 0j)
+            s = sum(map(get, w), repeats(w) * twice)
             out.append(self.bias + (s.real / s.imag if s.imag else 0.0))
         return (1 / (1 + np.exp(-np.clip(out, -30, 30)))).tolist()
 
@@ -81,7 +89,8 @@ def examples(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
             ids, weights = [], []
             for text in batch.column(1).to_pylist():
                 words = (text or "").split()
-                rows, n = np.unique(buckets(words)[0], return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0))
+                more = np.full(repeats(words) * TWICE_WEIGHT, TWICE)
+                rows, n = np.unique(np.concatenate([buckets(words)[0], more]), return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0))
                 ids.append(rows.astype("<i4").tobytes())
                 weights.append((n / max(1, n.sum())).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], ["doc_id", "label", "ids", "weights"])
@@ -93,7 +102,7 @@ def examples(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
 
 def fit(data: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: float = 0.5, seed: int = 0) -> QualityModel:
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    table = rng.uniform(-1 / DIM, 1 / DIM, ((1 << BITS) + 1, DIM)).astype(np.float32)
     top, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     share = np.bincount([y for *_, y in data], minlength=2) / max(1, len(data))
     weight = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0).clip(max=20)  # classes count alike
