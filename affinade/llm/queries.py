@@ -48,6 +48,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinade.llm.language import identify
 
@@ -70,6 +76,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Query] = {
     "op2_token_store": op2_token_store,
     "op4_quality": op4_quality,
+    "op5_secret_scan": op5_secret_scan,
     "op6_language": op6_language,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
