@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from affinade.llm.common import crc_mod, scratch, table
 
@@ -32,6 +33,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op1_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.pivot_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinade.llm.token_store import read_checks, write_store
 
@@ -74,6 +81,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pivot_search": op1_pivot_search,
     "op2_token_store": op2_token_store,
     "op4_quality": op4_quality,
     "op5_secret_scan": op5_secret_scan,
@@ -104,4 +112,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) AS BI
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_benchmark_decontamination": OP10_SQL}
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair) WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_pivot_search": OP1_SQL, "op10_benchmark_decontamination": OP10_SQL}
