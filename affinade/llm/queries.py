@@ -47,6 +47,12 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checks(spark, path)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.near_duplicates import join_classes
+
+    return join_classes(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinade.llm.quality import quality_scores
 
@@ -83,6 +89,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Query] = {
     "op1_pivot_search": op1_pivot_search,
     "op2_token_store": op2_token_store,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality": op4_quality,
     "op5_secret_scan": op5_secret_scan,
     "op6_language": op6_language,

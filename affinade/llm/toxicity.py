@@ -122,7 +122,7 @@ def spread(word: str) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(inv, np.concatenate([p[1] for p in parts]), len(u)) / NORMS[min(len(code), len(NORMS) - 1)]
 
 
-def kernel(words: list[str], landmarks: list[str], batch: int = 20_000) -> np.ndarray:
+def kernel(words: list[str], landmarks: list[str], batch: int = 4_000) -> np.ndarray:
     """Words against landmarks, over the subsequences that landmarks have."""
     sides = [spread(m) for m in landmarks]
     held = np.unique(np.concatenate([u for u, _ in sides]))
