@@ -43,10 +43,9 @@ def delete(spark: SparkSession, path: str) -> None:
         _scratch.remove(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table handed out so far. Call only when no DataFrame reads them any more."""
-    for path in list(_scratch):
-        delete(spark, path)
+def handed_out() -> list[str]:
+    """The scratch paths that were handed out and not deleted."""
+    return list(_scratch)
 
 
 def store(df: DataFrame, label: str) -> DataFrame:

@@ -67,7 +67,7 @@ def original(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def _scan(docs: DataFrame, patterns: list[tuple[bytes, list]], item_type: pa.DataType, item_sql: str, id_sql: str, keep_text: bool) -> DataFrame:
+def _scan(docs: DataFrame, patterns: list[tuple[bytes, list]], item_type: pa.DataType, item_sql: str, keep_text: bool, kept: tuple[str, ...]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(patterns)  # at most block_bytes of benchmark text and its windows
 
     def run(batches):
@@ -91,30 +91,32 @@ def _scan(docs: DataFrame, patterns: list[tuple[bytes, list]], item_type: pa.Dat
                 spans.append([{"start": x, "end": y} for x, y in original(text, got)] if got else [])
                 found.append(sorted(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1) if keep_text else pa.nulls(len(n_words), pa.binary()), pa.array(hits, pa.list_(SPAN)), pa.array(found, pa.list_(item_type)), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN))],
-                ["doc_id", "text", "hit_words", "items", "n_words", "spans"],
+                [*batch.columns[4:], batch.column(0), batch.column(1) if keep_text else pa.nulls(len(n_words), pa.binary()), pa.array(hits, pa.list_(SPAN)), pa.array(found, pa.list_(item_type)), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN))],
+                [*kept, "doc_id", "text", "hit_words", "items", "n_words", "spans"],
             )
 
     span = "array<struct<start:bigint,end:bigint>>"
-    return docs.select("doc_id", "text", "hit_words", "items").mapInArrow(run, f"doc_id {id_sql}, text binary, hit_words {span}, items array<{item_sql}>, n_words long, spans {span}")
+    more = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return docs.select("doc_id", "text", "hit_words", "items", *kept).mapInArrow(run, f"{more}doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, hit_words {span}, items array<{item_sql}>, n_words long, spans {span}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_words, hit_words (word spans), items (matched ids), spans (code points of the original).
 
     Null and empty texts have no words and no hits, on either side; items of fewer words than a window match
     as a whole; repeated rows and ids, null ids and empty tables are kept as they are; null item ids match too
     but are not listed. A benchmark of more than ``block_bytes`` is taken in blocks of about that size, one pass
-    over the documents each, so that neither the driver nor an automaton outgrows them.
+    over the documents each, so that neither the driver nor an automaton outgrows them. ``keep`` names columns to carry
+    along (none of this function's own names).
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    item_kind = benchmark.schema[item_col].dataType
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("binary").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     span = "array<struct<start:bigint,end:bigint>>"
-    state = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast(span).alias("hit_words"), F.lit(None).cast(f"array<{item_kind.simpleString()}>").alias("items"))
+    state = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast(span).alias("hit_words"), F.lit(None).cast(f"array<{item_kind.simpleString()}>").alias("items"), *keep)
     for k in range(blocks):
         whose: dict[bytes, set] = {}
         for item_id, text in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect():
@@ -122,12 +124,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                 whose.setdefault(w, set()).update(() if item_id is None else (item_id,))
         patterns = [(w, sorted(ids)) for w, ids in sorted(whose.items())]
         last = k == blocks - 1
-        state = _scan(state, patterns, to_arrow_type(item_kind), item_kind.simpleString(), kind.simpleString(), not last)
+        state = _scan(state, patterns, to_arrow_type(item_kind), item_kind.simpleString(), not last, keep)
         if not last:
             state = store(state, "decontaminate")
     return state.drop("text")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The input's rows and columns without the documents that hold a window of the benchmark."""
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    found = decontaminate(renamed, benchmark, window, keep=tuple(own.values()))
+    return found.where(F.size("hit_words") == 0).select(*(F.col(n).alias(c) for c, n in own.items()))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns from decontaminate()'s rows."""
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])

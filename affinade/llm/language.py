@@ -146,9 +146,12 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 500, batch: int = 128, ra
 
 def labelled_windows(docs: DataFrame, train: Column, per_language: int, most: int, per_doc: int) -> tuple[np.ndarray, list[str]]:
     """Up to ``per_doc`` windows of up to ``per_language`` documents of each language, ``most`` documents in all."""
-    by_hash = Window.partitionBy("lang").orderBy(order_hash("doc_id", 5), "doc_id")
+    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    in_part = Window.partitionBy("lang", "_part").orderBy("_h", "doc_id")  # so that no task sees all of a language
     known = docs.select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = known.select("lang", "doc_id").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language).orderBy("_n", "lang").limit(most)
+    sample = known.select("lang", "doc_id").withColumn("_h", order_hash("doc_id", 5)).withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(256)))
+    sample = sample.withColumn("_n", F.row_number().over(in_part)).where(F.col("_n") <= per_language)
+    sample = sample.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language).orderBy("_n", "lang").limit(most)
     ids = sample.select("doc_id").distinct()  # at most ``most`` rows
     texts = known.join(F.broadcast(ids), "doc_id").limit(2 * most)
 
@@ -213,3 +216,11 @@ def identify(docs: DataFrame, train: Column, per_language: int = 800, most: int
 
     schema = ", ".join(f"`{names[i]}` {docs.schema[names[i]].dataType.simpleString()}" for i in kept)
     return docs.select(*names).mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, train: Column, least: float = 0.5) -> DataFrame:
+    """The input's rows and columns without the documents that no language gets, or none with a score of ``least``."""
+    own = {c: c if c in ("doc_id", "text", "lang") else f"_own{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    found = identify(renamed, train, keep=tuple(own.values()))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(n).alias(c) for c, n in own.items()))
