@@ -306,7 +306,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, block:
 def firsts(found: DataFrame) -> DataFrame:
     """Per class its first row, by doc_id (nulls last) and place: class_row, class_id, first_row."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    return found.groupBy("class_row").agg(first.alias("f")).select("class_row", F.col("f.doc_id").alias("class_id"), F.col("f._row").alias("first_row"))
+    out = found.groupBy("class_row").agg(first.alias("f")).select("class_row", F.col("f.doc_id").alias("class_id"), F.col("f._row").alias("first_row"))
+    return store(out, "firsts")  # a join with a stored table can be split where one class is very large
 
 
 def join_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
