@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_ROWS = 1000
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 _scratch: list[str] = []
 
@@ -55,6 +56,18 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, which carries whole texts, with the session's Arrow batches cut to TEXT_ROWS rows (never widened).
+
+    A batch is in memory on both sides of each running task, so its rows times the texts' length must stay small.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        df.sparkSession.conf.set(key, TEXT_ROWS)
+    return df
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinade.llm.common import store
+from affinade.llm.common import in_small_batches, store
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if WORD.match(bytes([b])) else 32 for b in range(256))
@@ -97,17 +97,17 @@ def _scan(docs: DataFrame, patterns: list[tuple[bytes, list]], item_type: pa.Dat
 
     span = "array<struct<start:bigint,end:bigint>>"
     more = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return docs.select("doc_id", "text", "hit_words", "items", *kept).mapInArrow(run, f"{more}doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, hit_words {span}, items array<{item_sql}>, n_words long, spans {span}")
+    return in_small_batches(docs).select("doc_id", "text", "hit_words", "items", *kept).mapInArrow(run, f"{more}doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, hit_words {span}, items array<{item_sql}>, n_words long, spans {span}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, hit_words (word spans), items (matched ids), spans (code points of the original).
 
     Null and empty texts have no words and no hits, on either side; items of fewer words than a window match
     as a whole; repeated rows and ids, null ids and empty tables are kept as they are; null item ids match too
     but are not listed. A benchmark of more than ``block_bytes`` is taken in blocks of about that size, one pass
     over the documents each, so that neither the driver nor an automaton outgrows them. ``keep`` names columns to carry
-    along (none of this function's own names).
+    along (none of this function's own names), ``keep_text`` the text, as bytes.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -124,18 +124,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
                 whose.setdefault(w, set()).update(() if item_id is None else (item_id,))
         patterns = [(w, sorted(ids)) for w, ids in sorted(whose.items())]
         last = k == blocks - 1
-        state = _scan(state, patterns, to_arrow_type(item_kind), item_kind.simpleString(), not last, keep)
+        state = _scan(state, patterns, to_arrow_type(item_kind), item_kind.simpleString(), keep_text or not last, keep)
         if not last:
             state = store(state, "decontaminate")
-    return state.drop("text")
+    return state if keep_text else state.drop("text")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The input's rows and columns without the documents that hold a window of the benchmark."""
     own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    del own["doc_id"], own["text"]
     renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
-    found = decontaminate(renamed, benchmark, window, keep=tuple(own.values()))
-    return found.where(F.size("hit_words") == 0).select(*(F.col(n).alias(c) for c, n in own.items()))
+    found = decontaminate(renamed, benchmark, window, keep=tuple(own.values()), keep_text=True)
+    return found.where(F.size("hit_words") == 0).select(*(F.col(own.get(c, c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinade.llm.common import in_small_batches
+
 
 def order_hash(column: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(column).cast("string"))
@@ -23,4 +25,4 @@ def sample_by_label(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & train)
     parts = [known.where(F.col("label") == k).distinct().orderBy(order_hash("doc_id", seed), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * per_class)
+    return in_small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * per_class)

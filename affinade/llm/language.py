@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinade.llm.common import in_small_batches
 from affinade.llm.labelled import order_hash
 from affinade.llm.word_codec import slices
 
@@ -148,7 +149,7 @@ def labelled_windows(docs: DataFrame, train: Column, per_language: int, most: in
     """Up to ``per_doc`` windows of up to ``per_language`` documents of each language, ``most`` documents in all."""
     by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
     in_part = Window.partitionBy("lang", "_part").orderBy("_h", "doc_id")  # so that no task sees all of a language
-    known = docs.select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = in_small_batches(docs).select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = known.select("lang", "doc_id").withColumn("_h", order_hash("doc_id", 5)).withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(256)))
     sample = sample.withColumn("_n", F.row_number().over(in_part)).where(F.col("_n") <= per_language)
     sample = sample.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language).orderBy("_n", "lang").limit(most)
@@ -215,7 +216,7 @@ def identify(docs: DataFrame, train: Column, per_language: int = 800, most: int
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*(names[i] for i in kept), "lang_pred", "score"])
 
     schema = ", ".join(f"`{names[i]}` {docs.schema[names[i]].dataType.simpleString()}" for i in kept)
-    return docs.select(*names).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return in_small_batches(docs).select(*names).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, train: Column, least: float = 0.5) -> DataFrame:

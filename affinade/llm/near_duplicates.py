@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinade.llm.common import store
+from affinade.llm.common import in_small_batches, store
 from affinade.llm.components import components
 from affinade.llm.word_codec import slices
 
@@ -143,7 +143,7 @@ def signatures(rows: DataFrame, trees: int, depth: int) -> DataFrame:
             ends = pa.array(np.cumsum([0, *map(len, labels)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["_row", "doc_id", "s0", "s1", "n", "labels"])
 
-    return rows.select("_row", "doc_id", "text").mapInArrow(run, f"_row long, doc_id {kind.simpleString()}, s0 long, s1 long, n long, labels array<long>")
+    return in_small_batches(rows).select("_row", "doc_id", "text").mapInArrow(run, f"_row long, doc_id {kind.simpleString()}, s0 long, s1 long, n long, labels array<long>")
 
 
 class Forest:

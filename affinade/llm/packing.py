@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinade.llm.common import globally_ordered, lookup, partition_offsets, store
+from affinade.llm.common import globally_ordered, in_small_batches, lookup, partition_offsets, store
 from affinade.llm.word_codec import codec, slices
 
 
@@ -105,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
             )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return in_small_batches(rows).mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

@@ -21,6 +21,7 @@ from affinade.llm.common import store
 PIVOTS, SAMPLE = 32, 2_000  # pivots are chosen among so many rows at most; every row is indexed
 QUERY_BLOCK = 16_384  # queries broadcast at once
 LARGEST = 1 << 26  # greatest size of a component after scaling, so that scores of 2048 of them fit a long
+BATCH = 8192  # rows of the index looked at together
 FIRST_STEP = 256  # candidates evaluated before the first look at the stopping rule; doubled each time
 
 
@@ -102,6 +103,19 @@ def search_batch(x: np.ndarray, ids: np.ndarray, table: np.ndarray, norms: np.nd
     return scores[ok], kept[ok]
 
 
+def gathered(batches, least: int = BATCH):
+    """Batches of at least so many rows, but for the last: each costs a step per query."""
+    kept, n = [], 0
+    for batch in batches:
+        kept.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept, n = [], 0
+    if n:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
 def build_index(rows: DataFrame, scale: float, id_col: str, vector_col: str) -> tuple[DataFrame, np.ndarray, int, float]:
     """The stored index (vec_id, vector, table), the pivots, the dimension and the largest component."""
 
@@ -171,7 +185,7 @@ def wave(index: DataFrame, q: np.ndarray, q_ids: np.ndarray, pivots: np.ndarray,
         scores = [np.zeros(0)] * len(q)
         kept = [np.zeros(0, np.int64)] * len(q)
         least = np.full(len(q), -np.inf)
-        for batch in batches:
+        for batch in gathered(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             x = matrix(batch.column(1).to_pylist(), dim)
             table = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(len(ids), q_table.shape[1]) if len(ids) else np.zeros((0, q_table.shape[1]))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinade.llm.common import in_small_batches
 from affinade.llm.labelled import sample_by_label
 from affinade.llm.word_codec import slices
 
@@ -141,5 +142,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label: str
                 out += model.value.scores(texts[a:b], known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double")
+    out = in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinade.llm.common import in_small_batches
 from affinade.llm.word_codec import slices
 
 MARK = "▁"
@@ -109,5 +110,5 @@ def token_counts(docs: DataFrame, model_path: str, limit: int, id_col: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")
+    out = in_small_batches(rows).mapInArrow(run, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

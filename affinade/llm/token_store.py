@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinade.llm.common import globally_ordered, lookup, partition_offsets
+from affinade.llm.common import globally_ordered, in_small_batches, lookup, partition_offsets
 from affinade.llm.word_codec import codec, slices
 
 DIGEST = 16
@@ -150,7 +150,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 made[2] = batch.column(0).take(made[2])
                 yield pa.RecordBatch.from_arrays(made, ["kind", "key", "doc_id", "n_tokens", "keys", "lens", "root", "payload"])
 
-    return docs.mapInArrow(run, f"kind int, key binary, doc_id {kind.simpleString()}, n_tokens long, keys binary, lens binary, root binary, payload binary")
+    return in_small_batches(docs).mapInArrow(run, f"kind int, key binary, doc_id {kind.simpleString()}, n_tokens long, keys binary, lens binary, root binary, payload binary")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
