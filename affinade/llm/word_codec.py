@@ -20,7 +20,8 @@ DIGIT = "0-9²³¹¼½¾"
 PRETOKEN = re.compile(rf"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")  # letters first: no other part starts with one
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
 JOINED = 500  # unseen pre-tokens encoded in one call
-CACHE = 800_000  # pre-tokens kept in a process; when full it starts anew
+CACHE = 500_000  # pre-tokens kept in a process; when full it starts anew
+SLOTS = (1 << 23) - 1  # of the marks by which a pre-token's second coming is known
 
 
 class WordCodec:
@@ -31,8 +32,8 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.ids: dict[str, bytes] = {}  # of pre-tokens
-        self.runs: dict[str, bytes] = {}  # of what stands between white space
+        self.ids: dict[str, bytes] = {}
+        self.seen, self.marked = bytearray(SLOTS + 1), 0
         self.ends = np.zeros(1 << 16 if self.dtype.itemsize == 2 else self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith("</w>")]] = True
 
@@ -54,10 +55,7 @@ class WordCodec:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian bytes of ``dtype``; null counts as empty.
-
-        White space always parts pre-tokens, so what stands between is looked up as a whole and only split when it is new.
-        """
+        """Each text's ids as little-endian bytes of ``dtype``; null counts as empty."""
         parts: list = []
         for text in texts:
             if not text:
@@ -65,23 +63,30 @@ class WordCodec:
             elif ODD.search(text) or ("<|" in text and any(s in text for s in self.specials)):
                 parts.append(self._whole(text))
             else:
-                parts.append(text.lower().split())
+                parts.append(PRETOKEN.findall(text.lower()))
         unseen = set()
         unseen.update(*(p for p in parts if type(p) is list))
-        new = list(unseen.difference(self.runs))
-        if len(self.runs) + len(new) > CACHE:
-            self.runs.clear()
-            new = list(unseen)
-        split = list(map(PRETOKEN.findall, new))
-        words = set()
-        words.update(*split)
-        if len(self.ids) + len(words) > CACHE:
+        new = list(unseen.difference(self.ids))
+        if len(self.ids) + len(new) > CACHE:
             self.ids.clear()
-        self._learn(list(words.difference(self.ids)))
+            new = list(unseen)
+        self._learn(new)
         get = self.ids.__getitem__
-        self.runs.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in split]))
-        get = self.runs.__getitem__
-        return [p if type(p) is bytes else b"".join(map(get, p)) for p in parts]
+        out = [p if type(p) is bytes else b"".join(map(get, p)) for p in parts]
+        self._forget(new)
+        return out
+
+    def _forget(self, new: list[str]) -> None:
+        """Keep a pre-token only from the second call on that has it: most never come again and would only fill the cache."""
+        seen, ids = self.seen, self.ids
+        for word in new:
+            slot = hash(word) & SLOTS
+            if not seen[slot]:
+                seen[slot] = 1
+                del ids[word]
+        self.marked += len(new)
+        if self.marked > SLOTS // 2:
+            self.seen, self.marked = bytearray(SLOTS + 1), 0
 
 
 @functools.lru_cache(maxsize=2)
