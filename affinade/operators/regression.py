@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
-from affinade.operators.baselines import bias_model
+from affinade.operators.baselines import bias_model, settle
 
 
 def deviations(train: DataFrame, lam: float = 10.0, iterations: int = 20) -> tuple[DataFrame, DataFrame, DataFrame, float]:
@@ -20,7 +20,7 @@ def deviations(train: DataFrame, lam: float = 10.0, iterations: int = 20) -> tup
     b_i, b_u, _ = bias_model(train, lam, lam, iterations)
     mu = train.agg(F.avg("r")).first()[0] or 0.0
     rows = train.join(b_i, "i").join(b_u, "u").select("u", "i", (F.col("r") - mu - F.col("b_i") - F.col("b_u")).alias("dev"))
-    return rows, b_i, b_u, mu
+    return settle(rows), b_i, b_u, mu
 
 
 def neighbours(sim: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -88,13 +88,13 @@ def solve_ridge(rows: DataFrame, k: int, lam: float) -> DataFrame:
 def regression_weights(train: DataFrame, sim: DataFrame, items: DataFrame, k: int = 40, lam: float = 25.0, mode: str = "ridge", lam_bias: float = 10.0, iterations: int = 20) -> tuple[DataFrame, tuple]:
     """(src, dst, w, sim) and what deviations() gave; ``mode='similarity'`` takes sim / sum |sim| for weights."""
     parts = deviations(train, lam_bias, iterations)
-    near = neighbours(sim, items, k)
+    near = settle(neighbours(sim, items, k))  # read for the design and for the weights
     if mode == "similarity":
         total = F.sum(F.abs("sim")).over(Window.partitionBy("i"))
         w = near.select(F.col("nbr").alias("src"), F.col("i").alias("dst"), F.when(total > 0, F.col("sim") / total).otherwise(0.0).alias("w"), "sim")
     else:
         solved = solve_ridge(design(parts[0], near), k, lam)
-        w = near.join(solved, ["i", "pos"]).select(F.col("nbr").alias("src"), F.col("i").alias("dst"), "w", "sim")
+        w = near.join(settle(solved), ["i", "pos"]).select(F.col("nbr").alias("src"), F.col("i").alias("dst"), "w", "sim")
     return w, parts
 
 
