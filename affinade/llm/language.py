@@ -23,6 +23,7 @@ from affinade.llm.word_codec import slices
 
 CLASSES, EMBED, FILTERS, WIDTHS = 64, 8, 16, (2, 3, 4)
 LENGTH = 256  # bytes of a window
+SLOTS = 1 << 12  # of the hash by which documents are sampled
 STRIDE = LENGTH - max(WIDTHS) + 1
 LETTER = re.compile("[A-Za-z]")
 
@@ -147,12 +148,15 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 500, batch: int = 128, ra
 
 def labelled_windows(docs: DataFrame, train: Column, per_language: int, most: int, per_doc: int) -> tuple[np.ndarray, list[str]]:
     """Up to ``per_doc`` windows of up to ``per_language`` documents of each language, ``most`` documents in all."""
-    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    in_part = Window.partitionBy("lang", "_part").orderBy("_h", "doc_id")  # so that no task sees all of a language
     known = in_small_batches(docs).select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = known.select("lang", "doc_id").withColumn("_h", order_hash("doc_id", 5)).withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(256)))
-    sample = sample.withColumn("_n", F.row_number().over(in_part)).where(F.col("_n") <= per_language)
-    sample = sample.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language).orderBy("_n", "lang").limit(most)
+    hashed = known.select("lang", "doc_id").withColumn("_h", order_hash("doc_id", 5)).withColumn("_slot", F.pmod(F.col("_h"), F.lit(SLOTS)))
+    # counts by slots of the hash say up to which slot a language's sample reaches, so no task ranks all of a language
+    upward = Window.partitionBy("lang").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = hashed.groupBy("lang", "_slot").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upward), F.lit(0)))
+    reach = slots.where(F.col("_before") < per_language).groupBy("lang").agg(F.max("_slot").alias("_last"))
+    by_hash = Window.partitionBy("lang").orderBy("_slot", "_h", "doc_id")
+    sample = hashed.join(reach, "lang").where("_slot <= _last").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language)
+    sample = sample.orderBy("_n", "lang").limit(most)
     ids = sample.select("doc_id").distinct()  # at most ``most`` rows
     texts = known.join(F.broadcast(ids), "doc_id").limit(2 * most)
 
