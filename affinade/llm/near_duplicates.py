@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from affinade.llm.common import in_small_batches, store
 from affinade.llm.components import components
+from affinade.llm.hashing import WIDE, mix, of_runs
 from affinade.llm.word_codec import slices
 
 WORDS = 5
 TREES, DEEPEST, TARGET = 40, 10, 0.99999
 BLOCK = 1_000_000  # n-grams in a block of a component
 TILE, COLUMNS = 512, 8192  # of the matrix products
-WIDE = np.uint64
 
 
 def depth_for(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
@@ -40,12 +40,6 @@ def depth_for(threshold: float, trees: int = TREES, deepest: int = DEEPEST, targ
     return 1
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> WIDE(31))) * WIDE(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> WIDE(29))) * WIDE(0xBF58476D1CE4E5B9)
-    return h ^ (h >> WIDE(32))
-
-
 @functools.cache
 def constants() -> tuple[np.ndarray, np.ndarray]:
     """A random number for each byte (0 for the space) and odd multipliers for the words of an n-gram, by rule."""
@@ -55,18 +49,6 @@ def constants() -> tuple[np.ndarray, np.ndarray]:
     return of_byte, rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * WIDE(2) + WIDE(1)
 
 
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i up to n."""
-    if not _powers or len(_powers[0]) < n:
-        r, back = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-        size = max(n, 1 << 21)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, v, np.uint64)])) for v in (r, back)]
-    return _powers[0], _powers[1]
-
-
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Each text's sorted set of 64-bit hashes of WORDS consecutive words, lower case, split at white space.
 
@@ -79,11 +61,9 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         return out
     raw = np.frombuffer("".join(f"{norm[i]} " for i in rows).encode(), np.uint8)
     of_byte, of_word = constants()
-    forth, back = powers(len(raw))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(of_byte[raw] * forth[: len(raw)], dtype=np.uint64)])
     ends = np.flatnonzero(raw == 32)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    h = mix((total[ends] - total[starts]) * back[starts])
+    h = of_runs(raw, of_byte, starts, ends)
     n_words = np.array([norm[i].count(" ") + 1 for i in rows])
     first = np.concatenate([[0], np.cumsum(n_words)])
     n = max(0, len(h) - WORDS + 1)

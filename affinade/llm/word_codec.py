@@ -3,7 +3,7 @@
 The tokenizer lower-cases, collapses white space, splits with a fixed pattern and runs BPE inside each
 pre-token, so a text's ids are its pre-tokens' ids in a row. That holds where this module can repeat the
 normaliser without doubt: texts of printable ASCII and Latin letters up to U+017F, without special-token
-strings. Any other text goes to the library whole.
+strings. Any other text goes to the library whole. Pre-tokens are found, hashed (64 bits) and looked up in numpy.
 """
 
 from __future__ import annotations
@@ -14,14 +14,50 @@ import re
 
 import numpy as np
 
-# The tokenizer file's own split pattern, for lower-case text up to U+017F.
+from affinade.llm.hashing import WIDE, of_runs
+
+# The tokenizer file's own split pattern is 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 LETTER = "a-zªµºß-öø-ÿĀ-ſ"
 DIGIT = "0-9²³¹¼½¾"
-PRETOKEN = re.compile(rf"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")  # letters first: no other part starts with one
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
 JOINED = 500  # unseen pre-tokens encoded in one call
-CACHE = 500_000  # pre-tokens kept in a process; when full it starts anew
-SLOTS = (1 << 23) - 1  # of the marks by which a pre-token's second coming is known
+SLOTS = 1 << 21  # of the table of known pre-tokens; it starts anew when half full; a longer text goes to the library whole
+SPACE, WORD, NUMBER, OTHER = range(4)
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """Each code point's kind, up to U+017F."""
+    out = np.full(0x180, OTHER, np.uint8)
+    letter, digit = re.compile(f"[{LETTER}]"), re.compile(f"[{DIGIT}]")
+    for c in range(0x180):
+        out[c] = WORD if letter.match(chr(c)) else NUMBER if digit.match(chr(c)) else SPACE if chr(c) in "\t\n\r " else OTHER
+    return out
+
+
+@functools.cache
+def numbers() -> np.ndarray:
+    return np.random.default_rng(5).integers(0, 1 << 63, 0x180, dtype=np.uint64) * WIDE(2) + WIDE(1)
+
+
+def pretokens(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all pre-tokens of a lower-case text that ends in white space."""
+    kind = kinds()[codes]
+    start = kind != SPACE
+    start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    # an apostrophe that no other sign precedes or follows takes an ending along, and the letters after it stand alone
+    quote = np.flatnonzero((codes == 39) & start)
+    quote = quote[kind[quote + 1] == WORD]
+    for ending in ENDINGS:
+        n, at = len(ending), quote[quote + len(ending) < len(codes)]
+        for k, letter in enumerate(ending):
+            at = at[codes[at + 1 + k] == ord(letter)]
+        start[at + 1] = False
+        start[at + 1 + n] |= kind[at + 1 + n] == WORD
+    edges = np.flatnonzero(start | (kind == SPACE))
+    mine = np.flatnonzero(start[edges])
+    return edges[mine], edges[mine + 1]
 
 
 class WordCodec:
@@ -32,62 +68,97 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.ids: dict[str, bytes] = {}
-        self.seen, self.marked = bytearray(SLOTS + 1), 0
         self.ends = np.zeros(1 << 16 if self.dtype.itemsize == 2 else self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith("</w>")]] = True
+        self._clear()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode pre-tokens many to a text, apart by spaces; each one's last id, and no other, ends a word."""
-        for at in range(0, len(words), JOINED):
-            part = words[at : at + JOINED]
-            ids = np.frombuffer(self._whole(" ".join(part)), self.dtype)
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(part):
-                self.ids.update((w, self._whole(w)) for w in part)
-                continue
-            size, begin, raw = self.dtype.itemsize, 0, ids.tobytes()
-            for word, end in zip(part, ends):
-                self.ids[word] = raw[begin * size : end * size]
-                begin = end
+    def _clear(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)  # hash of a known pre-token, 0: free
+        self.at, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)  # its ids in the pool
+        self.pool, self.used, self.known = np.zeros(1 << 20, self.dtype), 0, 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens in a row, and how many each has: many to a text, as each one's last id, and no other, ends a word."""
+        parts, sizes = [], []
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = np.frombuffer(self._whole(" ".join(part)), self.dtype)
+            n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(n) != len(part) or n.sum() != len(ids):
+                each = [np.frombuffer(self._whole(w), self.dtype) for w in part]
+                ids, n = np.concatenate(each), np.array([len(e) for e in each])
+            parts.append(ids)
+            sizes.append(n)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's slot, or the free one where it would go."""
+        slot = (hashes & WIDE(SLOTS - 1)).astype(np.int64)
+        open_ = np.arange(len(slot))
+        while len(open_):
+            key = self.keys[slot[open_]]
+            open_ = open_[(key != hashes[open_]) & (key != 0)]
+            slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
+        return slot
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids, n = self._ids(words)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        self.known += len(words)
+        left = np.arange(len(hashes))
+        while len(left):  # of those that want the same free slot one gets it
+            slot = self._slots(hashes[left])
+            slot, first = np.unique(slot, return_index=True)
+            won = left[first]
+            self.keys[slot], self.at[slot], self.size[slot] = hashes[won], begin[won], n[won]
+            left = np.delete(left, first)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        big = "\n".join(texts) + "\n"
+        codes = np.frombuffer(big.encode("utf-16-le"), np.uint16)
+        starts, ends = pretokens(codes)
+        if not len(starts):
+            return [b""] * len(texts)
+        hashes = of_runs(codes, numbers(), starts, ends)
+        hashes[hashes == 0] = 1
+        slot = self._slots(hashes)
+        new = np.flatnonzero(self.keys[slot] == 0)
+        if len(new):
+            if self.known + len(new) > SLOTS // 2:
+                self._clear()
+                new = np.arange(len(hashes))
+            fresh, first = np.unique(hashes[new], return_index=True)
+            which = new[first]
+            self._learn(fresh, [big[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist())])
+            slot[new] = self._slots(hashes[new])
+        at, n = self.at[slot], self.size[slot]
+        last = np.cumsum(n, dtype=np.int64)
+        raw = self.pool[np.arange(last[-1]) + np.repeat(at - (last - n), n)].tobytes()
+        borders = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = np.concatenate([[0], last])[np.searchsorted(starts, borders)] * self.dtype.itemsize
+        return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian bytes of ``dtype``; null counts as empty."""
-        parts: list = []
-        for text in texts:
-            if not text:
-                parts.append([])
-            elif ODD.search(text) or ("<|" in text and any(s in text for s in self.specials)):
-                parts.append(self._whole(text))
-            else:
-                parts.append(PRETOKEN.findall(text.lower()))
-        unseen = set()
-        unseen.update(*(p for p in parts if type(p) is list))
-        new = list(unseen.difference(self.ids))
-        if len(self.ids) + len(new) > CACHE:
-            self.ids.clear()
-            new = list(unseen)
-        self._learn(new)
-        get = self.ids.__getitem__
-        out = [p if type(p) is bytes else b"".join(map(get, p)) for p in parts]
-        self._forget(new)
+        out, plain, where = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if text and (len(text) > SLOTS or ODD.search(text) or ("<|" in text and any(s in text for s in self.specials))):
+                out[i] = self._whole(text)
+            elif text:
+                plain.append(text.lower())
+                where.append(i)
+        if plain:
+            for i, raw in zip(where, self._plain(plain)):
+                out[i] = raw
         return out
 
-    def _forget(self, new: list[str]) -> None:
-        """Keep a pre-token only from the second call on that has it: most never come again and would only fill the cache."""
-        seen, ids = self.seen, self.ids
-        for word in new:
-            slot = hash(word) & SLOTS
-            if not seen[slot]:
-                seen[slot] = 1
-                del ids[word]
-        self.marked += len(new)
-        if self.marked > SLOTS // 2:
-            self.seen, self.marked = bytearray(SLOTS + 1), 0
-
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> WordCodec:

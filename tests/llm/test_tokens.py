@@ -22,6 +22,22 @@ def test_word_codec_equals_the_library():
         assert list(np.frombuffer(raw, codec.dtype)) == library_ids(text, codec)
 
 
+def test_word_codec_on_random_texts(monkeypatch):
+    """Signs, digits, apostrophes and endings in any order; the table is emptied many times on the way."""
+    import random
+
+    from affinade.llm import word_codec
+
+    rng = random.Random(1)
+    bits = ["'s", "'", "'re", "'r", "''s", "!'t", "'ll", "l", "s", "7", "½", "'7s", " ", "\n", "é", "ſt", "×", "don't", "O'D", "'ve'd", "$$", "_", "µ", "ÿ'm"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["'", "'s", "a'", " 's", "'l", "'r", "x'l", "x've"]
+    monkeypatch.setattr(word_codec, "SLOTS", 1 << 9)
+    codec = WordCodec(queries.vocabulary("word_bpe_49k.json"))
+    for at in range(0, len(texts), 20):
+        for text, raw in zip(texts[at : at + 20], codec.encode(texts[at : at + 20])):
+            assert list(np.frombuffer(raw, codec.dtype)) == library_ids(text, codec), repr(text)
+
+
 def test_piece_counter_equals_the_library():
     counter = PieceCounter(queries.vocabulary("piece_bpe_32k.model"))
     assert counter.splits and len(counter.whole) > 10_000
