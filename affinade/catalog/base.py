@@ -60,7 +60,8 @@ def query(columns: str, sql: str | None = None):
 
 
 def split(spark: SparkSession, sf_dir: str, view: str = "evt") -> DataFrame:
-    return assign_folds(VIEWS[view](spark, sf_dir))
+    """Persisted (it spills to disk): every query reads several folds of it, and many queries the same."""
+    return assign_folds(VIEWS[view](spark, sf_dir)).persist()
 
 
 def context(spark: SparkSession, sf_dir: str, view: str = "evt") -> Context:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinade.catalog.base import CTES, VIEWS, context, query
-from affinade.operators import graph, metrics, neighbourhood, regression, similarity, slim
+from affinade.operators import dense, graph, metrics, neighbourhood, regression, similarity, slim
 from affinade.operators.baselines import random_scores
 from affinade.operators.topk import top_k
 from affinade.plans.registry import calibrated
@@ -87,24 +87,30 @@ HEADS = "u:i i:i pred:d num:d den:d aff:d"
 
 def user_heads(spark, sf_dir):
     ctx = context(spark, sf_dir)
+    if dense.fits(ctx.train, True):
+        return ctx, dense.predict(ctx.train, "pearson", 20, True)
     sim = similarity.similarity(similarity.by_user(ctx.train), "pearson")
-    return ctx, sim, neighbourhood.predict(ctx.train, sim, 20, True)
+    return ctx, neighbourhood.predict(ctx.train, sim, 20, True)
 
 
 def item_heads(spark, sf_dir):
     ctx = context(spark, sf_dir)
+    if dense.fits(ctx.train, False):
+        return ctx, dense.predict(ctx.train, "adjusted_cosine", 10, False)
     sim = similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine")
-    return ctx, sim, neighbourhood.predict(ctx.train, sim, 10, False)
+    return ctx, neighbourhood.predict(ctx.train, sim, 10, False)
 
 
 @query(HEADS, "SELECT s.u, s.i, CASE WHEN den > 1e-10 THEN num / den + m.mean ELSE m.mean END AS pred, num, den, aff FROM ub_sum s JOIN evt_um m USING (u)")
 def ubcf_predict(spark, sf_dir):
-    return user_heads(spark, sf_dir)[2]
+    ctx = context(spark, sf_dir)
+    return neighbourhood.predict(ctx.train, similarity.similarity(similarity.by_user(ctx.train), "pearson"), 20, True)
 
 
 @query(HEADS, "SELECT s.u, s.i, CASE WHEN den > 1e-10 THEN num / den + m.mean ELSE m.mean END AS pred, num, den, aff FROM ib_sum s JOIN evt_im m USING (i)")
 def ibcf_predict(spark, sf_dir):
-    return item_heads(spark, sf_dir)[2]
+    ctx = context(spark, sf_dir)
+    return neighbourhood.predict(ctx.train, similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine"), 10, False)
 
 
 LIST = "u:i rank:i i:i score:d"
@@ -116,13 +122,13 @@ def list_sql(scores: str) -> str:
 
 @query(LIST, list_sql("SELECT u, i, num AS score FROM ub_sum"))
 def ubcf_score_topk(spark, sf_dir):
-    ctx, _, heads = user_heads(spark, sf_dir)
+    ctx, heads = user_heads(spark, sf_dir)
     return top_k(neighbourhood.head(heads, "score"), 10, ctx.train)
 
 
 @query(LIST, list_sql("SELECT u, i, aff AS score FROM ib_sum"))
 def ibcf_affinity_topk(spark, sf_dir):
-    ctx, _, heads = item_heads(spark, sf_dir)
+    ctx, heads = item_heads(spark, sf_dir)
     return top_k(neighbourhood.head(heads, "affinity"), 10, ctx.train)
 
 

@@ -24,7 +24,7 @@ CTES |= {
 
 def metric_table(ctx) -> DataFrame:
     """model, precision, coverage, unpopularity of the three lists that need no fit."""
-    lists, truth = three_lists(ctx), metrics.relevant(ctx.test)
+    lists, truth = three_lists(ctx).persist(), metrics.relevant(ctx.test)  # read four times
     names = ("popularity", "item_mean", "random")
     hits = reduce(DataFrame.unionByName, (metrics.user_metrics(lists.where(F.col("model") == m), truth).agg(F.lit(m).alias("model"), F.avg("precision").alias("precision")) for m in names))
     n = ctx.items.count()
@@ -58,7 +58,7 @@ def item_group_breakdown(spark, sf_dir):
   SELECT m.model, s.i, count(l.u) AS x FROM (SELECT DISTINCT model FROM mt_rows) m CROSS JOIN supp_items s LEFT JOIN mt_rows l ON l.model = m.model AND l.i = s.i GROUP BY 1, 2)) GROUP BY 1) USING (model)""")
 def popularity_bias_table(spark, sf_dir):
     ctx = context(spark, sf_dir, "supp")
-    return analysis.popularity_bias(three_lists(ctx), ctx.counts(), ctx.groups(), ctx.ranks(), ctx.items)
+    return analysis.popularity_bias(three_lists(ctx).persist(), ctx.counts(), ctx.groups(), ctx.ranks(), ctx.items)
 
 
 @query("stratum:s level:s n:i rmse:d mae:d bias:d", """SELECT stratum, level, count(*) AS n, sqrt(avg((pred - r) ** 2)) AS rmse, avg(abs(pred - r)) AS mae, avg(pred - r) AS bias FROM (
@@ -93,7 +93,7 @@ def consensus(spark, sf_dir):
 
 @query("i:i n_models:i coverage:d best_rank:i divisiveness:d", "SELECT i, n_models, n_models / 3.0 AS coverage, best_rank, (1 - n_models / 3.0) / log2(best_rank + 1) AS divisiveness FROM (SELECT i, count(DISTINCT model) AS n_models, min(rank) AS best_rank FROM mt_rows GROUP BY 1)")
 def divisiveness(spark, sf_dir):
-    return analysis.divisiveness(three_lists(context(spark, sf_dir, "supp")))
+    return analysis.divisiveness(three_lists(context(spark, sf_dir, "supp")).persist())
 
 
 @query("model:s precision:d coverage:d unpopularity:d", "SELECT * FROM mt")
@@ -154,7 +154,7 @@ def compare_wide(spark, sf_dir):
 
 @query("u:i i:i percentile:d", "SELECT t.u, t.i, 100 * avg((round(s.num, 9) < round(o.num, 9))::INT) AS percentile FROM evt_test t JOIN ib_sum o ON o.u = t.u AND o.i = t.i JOIN ib_sum s ON s.u = t.u GROUP BY 1, 2")
 def score_percentile(spark, sf_dir):
-    ctx, _, heads = item_heads(spark, sf_dir)
+    ctx, heads = item_heads(spark, sf_dir)
     return analysis.score_percentile(heads.select("u", "i", F.col("num").alias("score")), ctx.test)
 
 
@@ -176,5 +176,5 @@ def sim_vs_coef_corr(spark, sf_dir):
 def rank_modes(spark, sf_dir):
     from affinade.plans.evaluate import rank_modes as modes
 
-    ctx, _, heads = item_heads(spark, sf_dir)
+    ctx, heads = item_heads(spark, sf_dir)
     return modes(ctx, heads, ctx.test)

@@ -1,0 +1,90 @@
+"""Neighbourhoods in blocks: where a whole rating matrix is small, one broadcast and numpy beat the self-join.
+
+Same results as the relational way (affinade.operators.neighbourhood), for matrices of a checked size only.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from affinade.config import CONFIG
+
+MOST_RATINGS, MOST_CELLS = 2_000_000, 8_000_000  # of the ratings, of the similarity matrix and of the rating matrix
+
+
+def fits(train: DataFrame, user_based: bool) -> bool:
+    """Whether ratings, rating matrix and similarity matrix are all within the bounds."""
+    n, users, items = train.agg(F.count(F.lit(1)), F.count_distinct("u"), F.count_distinct("i")).first()
+    side = users if user_based else items
+    return n <= MOST_RATINGS and users * items <= MOST_CELLS and side * side <= MOST_CELLS
+
+
+def similarities(x: np.ndarray, known: np.ndarray, kind: str, min_support: int | None, beta: float | None) -> np.ndarray:
+    """Similarity of all rows, 0 on the diagonal and where nothing is shared."""
+    k = known.astype(np.float64)
+    n = k @ k.T
+    if kind == "pearson":
+        s, q, xy = x @ k.T, (x * x) @ k.T, x @ x.T
+        den = np.sqrt(np.maximum(n * q - s * s, 0) * np.maximum(n * q.T - s.T * s.T, 0))
+        sim = np.clip((n * xy - s * s.T) / np.where(den > 1e-12, den, np.inf), -1, 1)
+    else:
+        if kind == "adjusted_cosine":
+            count = k.sum(0)
+            x = np.where(known, x - x.sum(0) / np.maximum(count, 1), 0)
+        norm = np.sqrt((x * x).sum(1))
+        den = norm[:, None] * norm
+        sim = x @ x.T / np.where(den > 1e-12, den, np.inf)
+    if min_support:
+        sim = np.where(n < min_support, 0, sim)
+    if beta:
+        sim = sim * np.minimum(n, beta) / beta
+    np.fill_diagonal(sim, 0)
+    return sim
+
+
+def one_column(sim: np.ndarray, raters: np.ndarray, r: np.ndarray, mean: np.ndarray, k: int, liked_from: float) -> tuple[np.ndarray, ...]:
+    """For every row: sums over its k nearest among ``raters`` (itself left out); and whether any has a similarity."""
+    s = sim[:, raters]
+    key = np.round(s, 9)
+    key[raters, np.arange(len(raters))] = -np.inf
+    near = np.argsort(-key, axis=1, kind="stable")[:, :k]
+    w = np.take_along_axis(s, near, 1)
+    w[np.take_along_axis(key, near, 1) == -np.inf] = 0
+    rated = r[near]
+    return (w * (rated - mean[near])).sum(1), np.abs(w).sum(1), (np.maximum(w, 0) * (rated >= liked_from)).sum(1), (w != 0).any(1)
+
+
+def predict(train: DataFrame, kind: str, k: int, user_based: bool, min_support: int | None = CONFIG.min_support, beta: float | None = CONFIG.beta, liked_from: float = CONFIG.liked_from) -> DataFrame:
+    """u, i, pred, num, den, aff, centred by the neighbours' own means: user-based by user, item-based by item."""
+    spark = train.sparkSession
+    if not fits(train, user_based):
+        raise ValueError("the matrix is too large for blocks; use affinade.operators.neighbourhood")
+    shared = spark.sparkContext.broadcast(train.select("u", "i", "r").toPandas())  # checked above
+    columns = train.select(F.col("i" if user_based else "u").alias("c")).distinct()
+
+    def run(batches):
+        pdf = shared.value
+        rows, row = np.unique(pdf["u" if user_based else "i"], return_inverse=True)
+        cols, col = np.unique(pdf["i" if user_based else "u"], return_inverse=True)
+        x, known = np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)), bool)
+        x[row, col], known[row, col] = pdf["r"], True
+        sim = similarities(x, known, kind, min_support, beta)
+        mean = x.sum(1) / np.maximum(known.sum(1), 1)
+        for batch in batches:
+            out = []
+            for c in batch["c"]:
+                j = int(np.searchsorted(cols, c))
+                raters = np.flatnonzero(known[:, j])
+                num, den, aff, some = one_column(sim, raters, x[raters, j], mean[raters], k, liked_from)
+                pred = np.where(den > 1e-10, num / np.maximum(den, 1e-10) + mean, mean)
+                at = np.flatnonzero(some)
+                sides = (rows[at], np.full(len(at), c)) if user_based else (np.full(len(at), c), rows[at])
+                out.append(pd.DataFrame({"u": sides[0], "i": sides[1], "pred": pred[at], "num": num[at], "den": den[at], "aff": aff[at]}))
+            if out:
+                yield pd.concat(out)
+
+    tasks = columns.repartition(spark.sparkContext.defaultParallelism)
+    return tasks.mapInPandas(run, "u long, i long, pred double, num double, den double, aff double")

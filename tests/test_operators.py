@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinade.config import digits, target_user
-from affinade.operators import baselines, graph, groups, metrics, neighbourhood, regression, similarity, slim
+from affinade.operators import baselines, dense, graph, groups, metrics, neighbourhood, regression, similarity, slim
 from affinade.operators.split import assign_folds, hide_profile, profile_without
 from affinade.operators.topk import item_scores_top_k, top_k
 
@@ -121,6 +121,20 @@ def test_neighbourhood_equals_the_dense_version(spark, user_based):
     assert all(np.allclose(got[c], want[c]) for c in want)
 
 
+@pytest.mark.parametrize("user_based, kind", [(True, "pearson"), (True, "cosine"), (False, "adjusted_cosine"), (False, "pearson")])
+def test_blocks_equal_the_relational_way(spark, monkeypatch, user_based, kind):
+    train = frame(spark, some_ratings(11, 20, 12, 0.5))
+    matrix = similarity.by_user(train) if user_based else similarity.by_item(train)
+    one = neighbourhood.predict(train, similarity.similarity(matrix, kind), 4, user_based)
+    two = dense.predict(train, kind, 4, user_based)
+    plain = lambda df: {(r.u, r.i): (r.pred, r.num, r.den, r.aff) for r in df.collect()}
+    a, b = plain(one), plain(two)
+    assert a.keys() == b.keys() and all(np.allclose(a[c], b[c]) for c in a)
+    monkeypatch.setattr(dense, "MOST_RATINGS", 10)
+    with pytest.raises(ValueError):
+        dense.predict(train, kind, 4, user_based)
+
+
 def test_top_k_order_and_exclusion(spark):
     scores = frame(spark, [(1, i, s) for i, s in ((1, 0.5), (2, 0.5), (3, 0.9), (4, float("nan")), (5, 0.1))], "u long, i long, score double")
     assert [r.i for r in top_k(scores, 3).orderBy("rank").collect()] == [3, 1, 2]
