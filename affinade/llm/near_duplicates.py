@@ -29,6 +29,7 @@ from affinade.llm.word_codec import slices
 WORDS = 5
 TREES, DEEPEST, TARGET = 40, 10, 0.99999
 BLOCK = 1_000_000  # n-grams in a block of a component
+FINER = 20
 TILE, COLUMNS = 512, 8192  # of the matrix products
 
 
@@ -266,7 +267,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, block:
     inside = store(found.union(found.select("root", "root").distinct()).join(sigs.select(F.col("_row").alias("node"), "n"), "node"), "members")
 
     sizes = inside.groupBy("root").agg(F.sum("n").alias("total"))
-    blocks = sizes.select("root", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
+    # at most ``block`` n-grams each; smaller ones while a component has few, so that its pairs of blocks fill many tasks
+    number = F.greatest(F.ceil(F.col("total") / block), F.ceil(F.sqrt(F.col("total") * FINER / block)))
+    blocks = sizes.select("root", number.cast("int").alias("blocks"))
     dealt = inside.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = rows.select(F.col("_row").alias("node"), "text").join(dealt.select("node"), "node", "left_semi")
