@@ -125,6 +125,8 @@ def spread(word: str) -> tuple[np.ndarray, np.ndarray]:
 
 def kernel(words: list[str], landmarks: list[str], batch: int = 4_000) -> np.ndarray:
     """Words against landmarks, over the subsequences that landmarks have."""
+    if not landmarks:
+        return np.zeros((len(words), 0), np.float32)
     sides = [spread(m) for m in landmarks]
     held = np.unique(np.concatenate([u for u, _ in sides]))
     row = np.full(ALPHABET**ORDER, -1, np.int32)
