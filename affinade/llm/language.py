@@ -154,6 +154,7 @@ def labelled_windows(docs: DataFrame, train: Column, per_language: int, most: in
     upward = Window.partitionBy("lang").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = hashed.groupBy("lang", "_slot").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upward), F.lit(0)))
     reach = slots.where(F.col("_before") < per_language).groupBy("lang").agg(F.max("_slot").alias("_last"))
+    reach = F.broadcast(reach.orderBy("lang").limit(most))  # a sample of ``most`` documents has no more languages
     by_hash = Window.partitionBy("lang").orderBy("_slot", "_h", "doc_id")
     sample = hashed.join(reach, "lang").where("_slot <= _last").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language)
     sample = sample.orderBy("_n", "lang").limit(most)
