@@ -88,6 +88,7 @@ def solve_ridge(rows: DataFrame, k: int, lam: float) -> DataFrame:
 def regression_weights(train: DataFrame, sim: DataFrame, items: DataFrame, k: int = 40, lam: float = 25.0, mode: str = "ridge", lam_bias: float = 10.0, iterations: int = 20) -> tuple[DataFrame, tuple]:
     """(src, dst, w, sim) and what deviations() gave; ``mode='similarity'`` takes sim / sum |sim| for weights."""
     parts = deviations(train, lam_bias, iterations)
+    sim = settle(sim)  # read four times
     near = settle(neighbours(sim, items, k))  # read for the design and for the weights
     if mode == "similarity":
         total = F.sum(F.abs("sim")).over(Window.partitionBy("i"))
