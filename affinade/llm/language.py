@@ -224,8 +224,11 @@ def identify(docs: DataFrame, train: Column, per_language: int = 800, most: int
     return in_small_batches(docs).select(*names).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, train: Column, least: float = 0.5) -> DataFrame:
-    """The input's rows and columns without the documents that no language gets, or none with a score of ``least``."""
+def keep_identified(docs: DataFrame, train: Column, least: float = 0.3) -> DataFrame:
+    """The input's rows and columns without the documents that no language gets, or none with a score of ``least``.
+
+    Short or mixed texts of a real language often score below one half, so only what is hardly better than chance goes.
+    """
     own = {c: c if c in ("doc_id", "text", "lang") else f"_own{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
     found = identify(renamed, train, keep=tuple(own.values()))
