@@ -90,11 +90,11 @@ def relative_gains(spark, sf_dir):
     return one.select(F.lit("precision").alias("metric"), F.lit("popularity").alias("model"), F.lit("random").alias("reference"), gain.alias("gain"), F.when(F.col("r") > 0, 100 * gain / F.col("r")).alias("gain_pct"))
 
 
-@query("axis:s winner:s", "SELECT 'precision' AS axis, arg_max(model, precision) AS winner FROM mt UNION ALL SELECT 'coverage', arg_max(model, coverage) FROM mt UNION ALL SELECT 'unpopularity', arg_max(model, unpopularity) FROM mt")
+@query("axis:s winner:s", " UNION ALL ".join(f"SELECT '{a}' AS axis, first(model ORDER BY round({a}, 9) DESC, model) AS winner FROM mt" for a in ("precision", "coverage", "unpopularity")))
 def axis_winners(spark, sf_dir):
     table = metric_table(context(spark, sf_dir, "supp"))
     long = table.select("model", F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in ("precision", "coverage", "unpopularity")))).alias("x"))
-    return long.groupBy("x.axis").agg(F.max_by("model", "x.v").alias("winner"))
+    return long.groupBy("x.axis").agg(F.min_by("model", F.struct(-F.round("x.v", 9), "model")).alias("winner"))
 
 
 @query("src:i dst:i sim:d w:d gap:d", "SELECT nbr AS src, n.i AS dst, sim, p / a AS w, p / a - sim AS gap FROM egram g JOIN enear n ON n.i = g.i AND n.pos = 1 ORDER BY round(abs(p / a - sim), 9) DESC, n.i LIMIT 50")

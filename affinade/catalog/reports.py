@@ -132,17 +132,17 @@ def block_deltas(spark, sf_dir):
     return analysis.block_deltas(blocks_of(spark, sf_dir), ["family"], "precision")
 
 
-@query("family:s best:s worst:s spread:d tied:b", "SELECT family, arg_max(model, precision) AS best, arg_min(model, precision) AS worst, max(precision) - min(precision) AS spread, max(precision) - min(precision) <= 1e-9 AS tied FROM blocks GROUP BY 1")
+@query("family:s best:s worst:s spread:d tied:b", "SELECT family, first(model ORDER BY round(precision, 9) DESC, model) AS best, first(model ORDER BY round(precision, 9), model) AS worst, max(precision) - min(precision) AS spread, max(precision) - min(precision) <= 1e-9 AS tied FROM blocks GROUP BY 1")
 def block_summary(spark, sf_dir):
     return analysis.block_summary(blocks_of(spark, sf_dir), ["family"], "model", "precision")
 
 
-@query("metric:s model:s value:d", "SELECT 'precision' AS metric, arg_max(model, precision) AS model, max(precision) AS value FROM mt UNION ALL SELECT 'coverage', arg_max(model, coverage), max(coverage) FROM mt")
+@query("metric:s model:s value:d", " UNION ALL ".join(f"(SELECT '{m}' AS metric, model, {m} AS value FROM mt ORDER BY round({m}, 9) DESC, list_position(['popularity', 'item_mean', 'random'], model) LIMIT 1)" for m in ("precision", "coverage")))
 def select_best_config(spark, sf_dir):
     """The first model of the list among equals on each metric."""
     order = F.array_position(F.array(*(F.lit(m) for m in ("popularity", "item_mean", "random"))), F.col("model"))
     table = metric_table(context(spark, sf_dir, "supp")).withColumn("grid", order)
-    best = [table.orderBy(F.desc(m), "grid").limit(1).select(F.lit(m).alias("metric"), "model", F.col(m).alias("value")) for m in ("precision", "coverage")]
+    best = [table.orderBy(F.desc(F.round(m, 9)), "grid").limit(1).select(F.lit(m).alias("metric"), "model", F.col(m).alias("value")) for m in ("precision", "coverage")]
     return best[0].unionByName(best[1])
 
 

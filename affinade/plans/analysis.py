@@ -103,8 +103,8 @@ def block_deltas(table: DataFrame, block: list[str], metric: str) -> DataFrame:
 
 def block_summary(table: DataFrame, block: list[str], label: str, metric: str, tol: float = 1e-9) -> DataFrame:
     """Best and worst row of a block, their spread, and whether all tie; equal values go to the smaller label."""
-    best = F.min_by(label, F.struct(-F.col(metric), F.col(label)))
-    worst = F.min_by(label, F.struct(F.col(metric), F.col(label)))
+    best = F.min_by(label, F.struct(-F.round(metric, 9), F.col(label)))
+    worst = F.min_by(label, F.struct(F.round(metric, 9), F.col(label)))
     return table.groupBy(*block).agg(best.alias("best"), worst.alias("worst"), (F.max(metric) - F.min(metric)).alias("spread"), ((F.max(metric) - F.min(metric)) <= tol).alias("tied"))
 
 
