@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.functions.columns import finite
@@ -22,6 +22,19 @@ def top_k(scores: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("u", "rank", "i", "score")
 
 
+def every_pair_top_k(users: DataFrame, items: DataFrame, score: Column, k: int, seen: DataFrame) -> DataFrame:
+    """Top-N where ``score``, an expression of u and i, is known for every pair.
+
+    The pairs are made where each user is, and ranked there without a shuffle; a user's best k + (items seen) are all
+    that can matter, so only these, not the product, meet the seen items.
+    """
+    mine = users.select("u").distinct().join(seen.groupBy("u").agg(F.count(F.lit(1)).alias("_n")), "u", "left")
+    pairs = mine.crossJoin(items.select("i")).withColumn("score", F.round(score, DIGITS))  # asked for: scores of all pairs
+    order = Window.partitionBy("u").orderBy(F.desc("score"), F.asc("i"))
+    best = pairs.withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= F.coalesce("_n", F.lit(0)) + k)
+    return top_k(best.select("u", "i", "score"), k, seen)
+
+
 def item_scores_top_k(users: DataFrame, scores: DataFrame, k: int, seen: DataFrame) -> DataFrame:
     """Top-N where every user has the same item scores (i, score).
 

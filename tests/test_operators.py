@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinade.config import digits, target_user
+from affinade.functions.columns import hashed_uniform
 from affinade.operators import baselines, dense, graph, groups, metrics, neighbourhood, regression, similarity, slim
 from affinade.operators.split import assign_folds, hide_profile, profile_without
-from affinade.operators.topk import item_scores_top_k, top_k
+from affinade.operators.topk import every_pair_top_k, item_scores_top_k, top_k
 
 RATINGS = "u long, i long, r double"
 
@@ -151,6 +152,14 @@ def test_shared_scores_equal_the_full_product(spark):
     assert set(fast.collect()) == set(slow.collect())
 
 
+def test_every_pair_equals_the_plain_way(spark):
+    train = frame(spark, some_ratings(6))
+    users, items = train.select("u").distinct(), train.select("i").distinct()
+    score = hashed_uniform(1, F.col("u"), F.col("i"))
+    slow = top_k(users.crossJoin(items).withColumn("score", score), 3, train)
+    assert set(every_pair_top_k(users, items, score, 3, train).collect()) == set(slow.collect())
+
+
 def test_bias_recovers_additive_effects(spark):
     rows = [(u, i, 3.0 + 0.5 * (u % 2) + 0.25 * (i % 3)) for u in range(10) for i in range(9)]
     _, _, trace = baselines.bias_model(frame(spark, rows), 0.0, 0.0, 5)
