@@ -301,5 +301,7 @@ def join_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The input's rows and columns, of each class only the first."""
-    rows, found = classes(docs, threshold)
-    return rows.join(firsts(found).select(F.col("first_row").alias("_row")), "_row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    own = {c: c if c in ("doc_id", "text") else f"_own{i}" for i, c in enumerate(docs.columns)}
+    rows, found = classes(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), threshold)
+    stay = rows.join(firsts(found).select(F.col("first_row").alias("_row")), "_row", "left_semi")
+    return stay.select(*(F.col(n).alias(c) for c, n in own.items()))

@@ -1,5 +1,4 @@
 import corpus_pipeline
-from affinade.llm import near_duplicates, secrets
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_near_duplicates import brute as classes
 from tests.llm.test_secrets import base, weak
@@ -41,10 +40,36 @@ def test_each_stage_against_brute_force(spark, tmp_path):
         assert r.text == redacted(was[r.doc_id].text)
         assert r.n_chars == (len(r.text) if r.text != was[r.doc_id].text else was[r.doc_id].n_chars)
     assert {r.doc_id for r in packed} == set(key(safe))
-    assert near_duplicates and secrets
 
 
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert rows.count() > 100
+
+
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, _row int, hit_words string, kind int, weak string, node long, piece int"
+
+
+def test_stages_on_edge_rows(spark, tmp_path):
+    more = (0.5, "x", 1, "y", 2, "z", 3, 4)
+    same = "the same words stand here twice and then once more, so it goes"
+    rows = [(1, same, "en", "a", 1, *more), (1, same, "en", "a", 1, *more), (2, same, None, None, None, *more), (None, "a text without an id, but with enough words in it", "en", None, 1, *(None,) * 8), (3, None, "en", "a", 0, *more), (4, "", "de", "a", 0, *more), (5, "12 %% 34", "de", "a", 0, *more), (6, "long " * 30_000 + "password=abcdefghijklmnop end", "en", "a", 1, *more)]
+    docs = spark.createDataFrame(rows, EDGE)
+    columns, sizes = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        sizes.append(docs.select("doc_id").distinct().count())
+        if k < 4:
+            assert docs.columns == columns
+    assert sizes == [4, 3, 3, 3, 3]  # ids 1, 2, none, 6; then 1, none, 6
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == 0
