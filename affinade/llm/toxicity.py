@@ -35,6 +35,7 @@ TOP = 3
 OTHERS = 13
 ALPHABET = 27 + OTHERS  # 0: a word's edge; 1 to 26: a to z; from 27: other letters, dealt out by code point
 CACHE = 400_000  # words kept in a process; when full they start anew
+AT_ONCE = 20_000  # words whose subsequences are in memory together
 TELLING = 8.0  # log-likelihood ratio from which a word tells of toxicity by itself
 LONGEST_SAMPLE = 20_000  # characters of a document that may be sampled to learn from
 TAILS = list(combinations(range(1, SPAN), ORDER - 1))  # places of the characters after the first
@@ -104,6 +105,8 @@ def occurrences(code: np.ndarray, begins: np.ndarray):
 
 def totals(words: list[str], weight: np.ndarray) -> np.ndarray:
     """Sum over each word's occurrences of their subsequences' weights, divided by the word's norm."""
+    if len(words) > AT_ONCE:
+        return np.concatenate([totals(words[i : i + AT_ONCE], weight) for i in range(0, len(words), AT_ONCE)])
     if not words:
         return np.zeros(0)
     code, begins = coded(words)
@@ -175,9 +178,7 @@ class ToxicModel:
         if len(known) + len(new) > CACHE:
             known.clear()
             new = list(unseen)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            known.update(zip(part, self.score_words(part).tolist()))
+        known.update(zip(new, self.score_words(new).tolist()))
         get = known.__getitem__
         top = np.array([highest(map(get, w)) for w in lists]).reshape(-1, TOP)
         return (1 / (1 + np.exp(-np.clip(top @ self.slope + self.shift, -30, 30)))).tolist()
