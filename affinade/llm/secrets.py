@@ -4,8 +4,8 @@ Base spans: all leftmost matches of three patterns. A pattern's gaps (split) and
 running sums of their lengths give the places, in code points, without leaving the JVM.
 
 Linking: an access key, a secret and an endpoint are harmless alone and a credential together. Weak parts (a loose
-identifier, a loose secret-like run, an endpoint) are found likewise and reported only if complementary parts lie in one
-scope, that is at most ``scope`` code points apart: an interval join of parts of one text, on overlapping blocks of
+identifier, a loose secret-like run of any length, a URL of any scheme, an assigned value too short for the base) are
+found likewise and reported only if complementary parts lie in one scope, that is at most ``scope`` code points apart: an interval join of parts of one text, on overlapping blocks of
 ``scope`` code points. Spans don't overlap within a kind, so a block holds a bounded number of parts and the join
 can't grow with the square of a text or a group.
 """
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from affinade.llm.common import store
 
 # The base patterns; letters of the assign keywords stand in either case.
+KEYWORD = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?"""
 BASE = {
-    "assign": r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "assign": KEYWORD + r"([A-Za-z0-9+/_.=-]+)",
     "access": r"AKIA[A-Z0-9]{14,}",  # a run too short has no longer one inside, so the least length may be asked at once
     "hex": r"[0-9a-f]{16,}",
 }
@@ -29,8 +30,9 @@ ASSIGN_LEAST = 12
 # The weak parts.
 WEAK = {
     "weak_id": r"""([cC][lL][iI][eE][nN][tT]_?[iI][dD]|[aA][cC][cC][oO][uU][nN][tT](_?[iI][dD])?|[uU][sS][eE][rR]([nN][aA][mM][eE])?|[lL][oO][gG][iI][nN])["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}""",
-    "weak_secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,64}={0,2}(?![A-Za-z0-9+/_=-])",
-    "weak_endpoint": r"""https?://[^\s"'<>]{4,}""",
+    "weak_secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])",
+    "weak_endpoint": r"""(?<![A-Za-z0-9])[0-9]*[A-Za-z][A-Za-z0-9]*(?:\+[A-Za-z0-9]+)?://[^\s"'<>]{4,}""",  # from a run's start, so that long runs cost no square
+    "weak_assign": KEYWORD + r"""(?![A-Za-z0-9+/_.=-]{12})[^\s"'<>,;&]+""",  # what the base's least length leaves out
 }
 # What a cheap look must find before a costly pattern runs; each is part of every match.
 NEEDS = {
@@ -41,7 +43,7 @@ NEEDS = {
 }
 RANK = {kind: i for i, kind in enumerate([*BASE, *WEAK])}
 ID, SECRET, ENDPOINT = "id", "secret", "endpoint"
-PART = {"assign": SECRET, "access": ID, "hex": SECRET, "weak_id": ID, "weak_secret": SECRET, "weak_endpoint": ENDPOINT}
+PART = {"assign": SECRET, "access": ID, "hex": SECRET, "weak_id": ID, "weak_secret": SECRET, "weak_endpoint": ENDPOINT, "weak_assign": SECRET}
 SPAN = "array<struct<start:bigint,end:bigint>>"
 
 

@@ -85,3 +85,38 @@ def test_empty_table_and_no_python(spark):
     assert secrets.digest(secrets.scan(df)).count() == 0
     plan = secrets.digest(secrets.scan(df))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_parts_right_after_an_equals_sign_long_or_short(spark):
+    """Expectations written by hand: what of each text is marked, apart from any pattern of the module."""
+    forty, long_key, jwt = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12", "aB3+" * 21 + "xY==", "eyJhbGciOi1" * 20
+    texts = [
+        (f"AKIA{'Q' * 16}\naws_secret_access_key={forty} end", [f"AKIA{'Q' * 16}", forty]),
+        (f"AKIA{'Q' * 16}\naws_secret_access_key = {forty} end", [f"AKIA{'Q' * 16}", forty]),
+        (f"AccountName: store1 login=alice;AccountKey={long_key};x", ["login=alice", long_key]),
+        (f"user: bob bearer {jwt}.", ["user: bob", jwt]),
+        ("db user=bob password=hunter2 at postgres://db.example/x now", ["user=bob", "password=hunter2", "postgres://db.example/x"]),
+        ("user=bob&password=p@ss!&at=mongodb+srv://db.example", ["user=bob", "password=p@ss!", "mongodb+srv://db.example"]),
+        ("user: bob 'passwd': 'a' HTTPS://db.example", ["user: bob", "passwd': 'a", "HTTPS://db.example"]),
+        ("password=hunter2 at postgres://db.example/x", []),  # no identifier
+        (f"user=bob {'x' * 250} password=hunter2", []),  # out of scope
+        (f"key={long_key} at ftp://db.example", []),  # no identifier
+        ("user=bob at redis://db.example/0", []),  # no secret
+        ("password=hunter2hunter2", ["password=hunter2hunter2"]),  # the base alone
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(df)).collect()}
+    for i, (text, want) in enumerate(texts):
+        places = [tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s]
+        assert sorted({text[a:b] for a, b in places}) == sorted(want), text
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    for i, (text, want) in enumerate(texts):
+        for part in sorted(want, key=len, reverse=True):
+            text = text.replace(part, "[SECRET]")
+        assert clean[i] == text
+
+
+def test_long_runs_cost_no_square(spark):
+    text = "a1" * 300_000 + " " + "Ab1" * 100_000 + " user=bob x://abcdef"
+    (row,) = secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert row["spans"] == "hex:0:600000,weak_secret:600001:900001,weak_id:900002:900010,weak_endpoint:900011:900021"
