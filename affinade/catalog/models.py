@@ -231,11 +231,11 @@ def slim_top1(spark, sf_dir):
 
 @query("n_columns:i all_met:b", "SELECT count(DISTINCT dst) AS n_columns, true AS all_met FROM ecand")
 def slim_kkt(spark, sf_dir):
-    """Certificate: the optimality conditions of every column, from its weights and the Gram table alone."""
+    """Certificate: the optimality conditions of every column over all items it occurs with, from its weights and the Gram table alone."""
     _, likes = likes_of(spark, sf_dir)
     g = slim.gram(likes)
-    cand = slim.candidates(g, 50)
-    w = slim.weights(slim.fit(likes, 1.0, 10.0, top_m=50))
+    cand = g.where("a <> b").select(F.col("b").alias("dst"), F.col("a").alias("src"), "g")
+    w = slim.weights(slim.fit(likes, 1.0, 10.0))
     moved = cand.select("dst", F.col("src").alias("a")).join(w.select(F.col("src").alias("b"), "dst", "w"), "dst").join(g, ["a", "b"]).groupBy("dst", "a").agg(F.sum(F.col("g") * F.col("w")).alias("gw"))
     rows = cand.join(moved.withColumnRenamed("a", "src"), ["dst", "src"], "left").join(w, ["dst", "src"], "left")
     slope = F.coalesce("gw", F.lit(0.0)) - F.col("g") + 1.0 + 10.0 * F.coalesce("w", F.lit(0.0))

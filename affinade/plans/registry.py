@@ -138,7 +138,7 @@ def calibrated(score: DataFrame, data: Data, x=lambda c: c) -> DataFrame:
 
 
 @model("slim")
-def _slim(data: Data, l1: float = 5.0, l2: float = 50.0, tau: float = CONFIG.liked_from, top_m: int = 50) -> Fitted:
+def _slim(data: Data, l1: float = 5.0, l2: float = 50.0, tau: float = CONFIG.liked_from, top_m: int | None = None) -> Fitted:
     likes = regression.liked(data.train, tau)
     w = baselines.settle(slim.weights(slim.fit(likes, l1, l2, top_m)))
     score = regression.apply_weights(likes, w)

@@ -220,3 +220,24 @@ def test_random_walk_fixpoint_and_mass(spark):
 
 def test_calibration_without_variance(spark):
     assert tuple(metrics.calibration(frame(spark, [(1.0, 2.0), (1.0, 4.0)], "x double, r double")).first()) == (3.0, 0.0)
+
+
+def test_slim_over_all_candidates(spark, monkeypatch):
+    """More co-liked items than a first solve takes: weights are those of the problem over all items, solved in numpy."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((70, 75)) < 0.35).astype(float)
+    x[:, 0] = 1.0
+    likes = spark.createDataFrame([(int(u), int(i)) for u, i in zip(*np.nonzero(x))], "u long, i long")
+    g = x.T @ x
+    want = np.zeros_like(g)
+    for j in range(75):
+        others = np.delete(np.arange(75), j)
+        want[others, j] = slim.solve_column(g[np.ix_(others, others)], g[others, j], 0.5, 2.0, tol=1e-9, iterations=20000)[0]
+    for start in (slim.START, 4):
+        monkeypatch.setattr(slim, "START", start)
+        got = np.zeros_like(g)
+        for r in slim.weights(slim.fit(likes, 0.5, 2.0, tol=1e-7)).collect():
+            got[r["src"], r["dst"]] = r["w"]
+        assert np.abs(got - want).max() < 1e-4
+    masked = {(r["src"], r["dst"]) for r in slim.weights(slim.fit(likes, 0.5, 2.0, top_m=50)).collect()}
+    assert set(zip(*np.nonzero(want > 1e-3))) - masked  # the cut problem loses weights
