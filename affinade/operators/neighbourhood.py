@@ -83,6 +83,17 @@ def predict(train: DataFrame, sim: DataFrame, k: int, user_based: bool, centre:
     return sums.select("u", "i", pred.alias("pred"), "num", "den", "aff")
 
 
+def completed(rows: DataFrame, cells: DataFrame, train: DataFrame, by_user: bool) -> DataFrame:
+    """predict()'s rows for every one of ``cells`` (u, i): without evidence the base mean (the user's or item's, else the
+    global one), and num, den, aff 0."""
+    side = "u" if by_user else "i"
+    base = train.groupBy(side).agg(F.avg("r").alias("base"))
+    mu = train.agg(F.avg("r").alias("mu"))
+    found = rows.select("u", "i", "pred", "num", "den", "aff")
+    out = cells.select("u", "i").distinct().join(found, ["u", "i"], "left").join(base, side, "left").crossJoin(F.broadcast(mu))  # one row
+    return out.select("u", "i", F.coalesce("pred", "base", "mu").alias("pred"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("num", "den", "aff")))
+
+
 def head(scores: DataFrame, mode: str) -> DataFrame:
     """u, i, score by the rating, affinity or score head."""
     column = {"rating": "pred", "affinity": "aff", "score": "num"}[mode]

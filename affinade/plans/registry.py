@@ -21,7 +21,7 @@ class Data:
     users: DataFrame
     items: DataFrame
     calibrate: DataFrame | None = None
-    targets: DataFrame | None = None  # (u, i) to score; None: every user with every item that evidence reaches
+    targets: DataFrame | None = None  # (u, i) to score; None: every user with every item
     extra: dict = field(default_factory=dict)
 
     def pairs(self) -> DataFrame:
@@ -100,6 +100,7 @@ def _neighbours(data: Data, user_based: bool, k: int, kind: str, centre: bool, c
     matrix = similarity.by_user(data.train) if user_based else similarity.by_item(data.train)
     sim = similarity.similarity(matrix, kind, min_support, beta)
     rows = neighbourhood.predict(data.train, sim, k, user_based, centre, centre_by, liked_from, data.targets)
+    rows = neighbourhood.completed(rows, data.pairs(), data.train, user_based or centre_by == "user" or not centre)
     return Fitted(rows.select("u", "i", "pred"), neighbourhood.head(rows, rank_mode), {"sim": sim, "heads": rows})
 
 

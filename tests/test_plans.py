@@ -1,7 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from affinade.operators.metrics import rating_errors
+from affinade.operators.neighbourhood import head
 from affinade.operators.split import assign_folds
+from affinade.operators.topk import top_k
 from affinade.plans import analysis, stages
 from affinade.plans.evaluate import Context, evaluate, select_best, sweep
 from affinade.plans.registry import MODELS, fit
@@ -110,3 +113,21 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from pop").first()[0] == spark.read.parquet(path).count()
+
+
+@pytest.mark.parametrize("family", ["ubcf", "ibcf"])
+def test_neighbourhoods_score_every_cell(spark, family):
+    """Sparse ratings: cells without evidence count in the errors by their base mean, and lists are full."""
+    train = spark.createDataFrame([(1, 1, 5.0), (1, 2, 3.0), (2, 1, 4.0), (2, 2, 2.0), (3, 3, 1.0), (4, 4, 2.0), (4, 5, 5.0)], "u long, i long, r double")
+    held = spark.createDataFrame([(3, 1, 4.0), (1, 4, 2.0), (4, 3, 5.0), (5, 6, 3.0)], "u long, i long, r double")
+    ratings = train.unionByName(held)
+    ctx = Context(ratings, train, held, held, ratings.select("u").distinct(), ratings.select("i").distinct())
+    user_mean, item_mean, mu = {1: 4.0, 2: 3.0, 3: 1.0, 4: 3.5}, {1: 4.5, 2: 2.5, 3: 1.0, 4: 2.0, 5: 5.0}, 22 / 7
+    heads = fit({"family": family, "k": 3, "min_support": 1, "beta": None, "rank_mode": "score"}, ctx.data()).tables["heads"].cache()
+    got = {(r.u, r.i): r for r in heads.collect()}
+    assert len(got) == 30 and rating_errors(heads, held).first().n == 4
+    for r in held.collect():
+        assert abs(got[r.u, r.i].pred - (user_mean.get(r.u, mu) if family == "ubcf" else item_mean.get(r.i, mu))) < 1e-9
+    assert got[5, 6].num == 0.0 and got[5, 6].aff == 0.0
+    lists = top_k(head(heads, "score"), 3, train).groupBy("u").count().collect()
+    assert sorted((r.u, r["count"]) for r in lists) == [(u, 3) for u in range(1, 6)]
