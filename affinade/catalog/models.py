@@ -260,12 +260,20 @@ def slim_explain(spark, sf_dir):
     return slim.explain(likes, slim.weights(slim.fit(likes, 1.0, 10.0, top_m=1, tol=1e-12)), ctx.test.select("u", "i"))
 
 
-@query("family:s rows:i")
+@query(LIST)
 def slim_topk(spark, sf_dir):
     """Lists of the full model (no SQL: an iterated solve); see slim_kkt for its certificate."""
     ctx, likes = likes_of(spark, sf_dir)
-    lists = top_k(regression.apply_weights(likes, slim.weights(slim.fit(likes, 0.5, 10.0))), 10, ctx.train)
-    return lists.agg(F.lit("slim").alias("family"), F.count(F.lit(1)).alias("rows"))
+    return top_k(regression.apply_weights(likes, slim.weights(slim.fit(likes, 0.5, 10.0))), 10, ctx.train)
+
+
+@query(LIST)
+def regression_full_topk(spark, sf_dir):
+    """Lists of the production model, 40 neighbours and 20 bias iterations, by moved deviations (no SQL: a solve of 40 x 40)."""
+    ctx = context(spark, sf_dir)
+    sim = similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine")
+    w, (dev, *_) = regression.regression_weights(ctx.train, sim, ctx.items)
+    return top_k(regression.apply_weights(dev, w, "dev"), 10, ctx.train)
 
 
 def hop_sql(name: str, degree: bool) -> None:
