@@ -20,13 +20,12 @@ from affinade.llm.common import store
 
 PIVOTS, SAMPLE = 32, 2_000  # pivots are chosen among so many rows at most; every row is indexed
 QUERY_BLOCK = 16_384  # queries broadcast at once
-LARGEST = 1 << 26  # greatest size of a component after scaling, so that scores of 2048 of them fit a long
 BATCH = 8192  # rows of the index looked at together
 FIRST_STEP = 256  # candidates evaluated before the first look at the stopping rule; doubled each time
 
 
 def whole(batch_column: pa.Array, scale: float) -> list[np.ndarray | None]:
-    """floor(scale x) of each vector, or None where it is null or has a null, non-finite or too large component."""
+    """floor(scale x) of each vector, or None where it is null or has a null or non-finite component."""
     out: list[np.ndarray | None] = []
     lists = batch_column
     valid = lists.is_valid().to_pylist()
@@ -36,15 +35,15 @@ def whole(batch_column: pa.Array, scale: float) -> list[np.ndarray | None]:
             continue
         v = lists[i].values
         x = np.floor(scale * v.to_numpy(zero_copy_only=False).astype(np.float64)) if v.null_count == 0 else np.array([np.nan])
-        out.append(x if np.isfinite(x).all() and (np.abs(x) <= LARGEST).all() else None)
+        out.append(x if np.isfinite(x).all() else None)
     return out
 
 
 def matrix(raw: list[bytes], dim: int) -> np.ndarray:
-    """Stored vectors as rows; shorter ones count as if zeros followed."""
+    """Stored vectors (whole numbers, as doubles) as rows; shorter ones count as if zeros followed."""
     out = np.zeros((len(raw), dim))
     for i, b in enumerate(raw):
-        v = np.frombuffer(b, "<i4")
+        v = np.frombuffer(b, "<f8")
         out[i, : len(v)] = v
     return out
 
@@ -85,11 +84,11 @@ def search_batch(x: np.ndarray, ids: np.ndarray, table: np.ndarray, norms: np.nd
     bound = np.zeros(len(x))
     for p in range(table.shape[1]):  # one pivot after the other raises the bound
         np.maximum(bound, np.abs(table[:, p] - q_table[p]), out=bound)
-    slack = 1e-6 * (1 + np.sqrt(norms) + np.sqrt(q_norm))  # roundings of the distances never eliminate
+    slack = 1e-6 * (1 + np.sqrt(norms) + np.sqrt(q_norm)) + 1e-12 * q_table.max(initial=0)  # roundings of the distances never eliminate
     upper = (q_norm + norms - np.maximum(bound - slack, 0) ** 2) / 2 + 1e-6 * (1 + q_norm + norms)
     left = np.flatnonzero((upper >= least) & (ids != q_id))
     left = left[np.argsort(-upper[left], kind="stable")]
-    scores, kept, step, at = np.zeros(0), np.zeros(0, np.int64), FIRST_STEP, 0
+    scores, kept, step, at = np.zeros(0, float if exact else np.int64), np.zeros(0, np.int64), FIRST_STEP, 0
     while at < len(left) and upper[left[at]] >= least:
         part = left[at : at + step]
         scores = np.concatenate([scores, products(x[part], q, exact)])
@@ -125,12 +124,12 @@ def build_index(rows: DataFrame, scale: float, id_col: str, vector_col: str) ->
             for i, v in enumerate(whole(batch.column(1), scale)):
                 if v is not None:
                     keep.append(i)
-                    raw.append(v.astype("<i4").tobytes())
+                    raw.append(v.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(raw, pa.binary())], ["vec_id", "vector"])
 
     vectors = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null").mapInArrow(encode, "vec_id long, vector binary")
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    width = max((len(r["vector"]) // 4 for r in sample), default=0)
+    width = max((len(r["vector"]) // 8 for r in sample), default=0)
     base = matrix([bytes(r["vector"]) for r in sample], width)
     pivots = choose_pivots(base, PIVOTS)
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
@@ -138,11 +137,11 @@ def build_index(rows: DataFrame, scale: float, id_col: str, vector_col: str) ->
     def measure(batches):
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            dim = max([len(b) // 4 for b in raw] + [width])
+            dim = max([len(b) // 8 for b in raw] + [width])
             x, p = matrix(raw, dim), np.pad(shared.value, ((0, 0), (0, dim - width)))
             d = distances(x, p).astype("<f8")
             most = np.abs(x).max(1) if dim and len(x) else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in d], pa.binary()), pa.array(most), pa.array([len(b) // 4 for b in raw], pa.int64())], ["vec_id", "vector", "table", "most", "dim"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in d], pa.binary()), pa.array(most), pa.array([len(b) // 8 for b in raw], pa.int64())], ["vec_id", "vector", "table", "most", "dim"])
 
     index = store(vectors.mapInArrow(measure, "vec_id long, vector binary, table binary, most double, dim long"), "pivot-index")
     size = index.agg(F.max("dim"), F.max("most")).first()
@@ -152,13 +151,15 @@ def build_index(rows: DataFrame, scale: float, id_col: str, vector_col: str) ->
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row where ``is_query`` (over ``vec_id``) holds, its k best others: query_id, rank, vec_id, score.
 
-    Components count as floor(scale x). Rows with a null id, a null vector, or a null, non-finite or (over 2**26 after
-    scaling) too large component take no part; shorter vectors count as if zeros followed; a query has no row of
+    Components count as floor(scale x). Rows with a null id, a null vector, or a null or non-finite component take no part;
+    a table of so large components that a score may not fit a long is an error; shorter vectors count as if zeros followed; a query has no row of
     its own id among its results; repeated rows each count; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     index, pivots, dim, most = build_index(rows, scale, id_col, vector_col)
     exact = dim * most * most < 2**53
+    if dim * most * most >= 2**63:
+        raise ValueError(f"scores may not fit a long: {dim} components of up to {most:.0f} after scaling")
     pivots = np.pad(pivots, ((0, 0), (0, dim - pivots.shape[1]))) if pivots.size else np.zeros((0, dim))
     queries = index.where(is_query).select("vec_id", "vector").toLocalIterator()
     waves: list[DataFrame] = []
@@ -182,7 +183,7 @@ def wave(index: DataFrame, q: np.ndarray, q_ids: np.ndarray, pivots: np.ndarray,
 
     def run(batches):
         q, q_ids, q_table, q_norm = shared.value
-        scores = [np.zeros(0)] * len(q)
+        scores = [np.zeros(0, float if exact else np.int64)] * len(q)
         kept = [np.zeros(0, np.int64)] * len(q)
         least = np.full(len(q), -np.inf)
         for batch in gathered(batches):

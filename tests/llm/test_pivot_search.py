@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from affinade.llm import pivot_search, queries
@@ -64,3 +65,15 @@ def test_empty(spark):
 def test_op1_over_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert sorted(map(tuple, queries.op1_pivot_search(spark, SF).collect())) == brute(rows, lambda i: i % 50 == 0)
+
+
+def test_large_components(spark):
+    """Rows over 2**26 after scaling take part, with scores that doubles would round."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(4) * 10.0 ** rng.integers(0, 6)).tolist()) for i in range(100)]
+    rows += [(100, [3e6, 1.0, 2.0, 0.5]), (101, [3e6, 1.00390625, 2.0, 0.5]), (102, [-3e6, 4.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, pivot_search.top_k(df, F.col("vec_id") % 10 == 0).collect()))
+    assert got == brute(rows, lambda i: i % 10 == 0) and any(abs(s) > 2**53 for *_, s in got)
+    with pytest.raises(ValueError):
+        pivot_search.top_k(spark.createDataFrame([(0, [1e9] * 4)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
