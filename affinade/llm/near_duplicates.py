@@ -1,10 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set comparison decides.
+"""N-gram Jaccard join: MinHash banding proposes, exact set comparison decides.
 
 1. Texts become sets of hashed word n-grams; equal sets are one node from here on (exact copies never make pairs).
-2. Forest: every tree orders the nodes by its own sequence of MinHash values, a trie over sorted labels. Two nodes
-   meet in a tree when their labels share a prefix. Prefixes are shortened level by level from the full depth until a pair
-   just at the threshold is met by some tree with the target probability; closer pairs are met more surely still.
-3. A trie node's members are tied to their first one, not to each other; components of these ties hold all candidates.
+2. Banding: every tree gives a node the first values of its own MinHash sequence as one number, and two nodes meet where these
+   are equal. How many values is fixed beforehand: the most at which a pair just at the threshold is met by some tree with the
+   target probability; closer pairs are met more surely still.
+3. A number's members are tied to their first one, not to each other; components of these ties hold all candidates.
 4. A component is cut into blocks of bounded size, each pair of blocks is one task's work, and in it all pairs are compared
    exactly, as products of 0/1 matrices over the n-grams that at least two members share. A task gives back sums per node
    (how many links) and who hangs together, never the pairs.
