@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_ROWS = 1000
+RANGE_ROWS = 200_000  # of a range partition
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 _scratch: list[str] = []
 
@@ -30,7 +31,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; release() deletes what was handed out."""
+    """A new path in the shared folder; delete() removes what was handed out."""
     path = f"{shared_root(spark)}/affinade/{label}-{uuid.uuid4().hex}"
     _scratch.append(path)
     return path
@@ -53,9 +54,16 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a written scratch table when it ends, if nothing does so before."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, which carries whole texts, with the session's Arrow batches cut to TEXT_ROWS rows (never widened).
 
@@ -73,21 +81,25 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def globally_ordered(df: DataFrame, keys: list, label: str) -> DataFrame:
+def globally_ordered(df: DataFrame, keys: list, label: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Range-sort a stored narrow table.
 
     Returns it with ``_pid`` (range partition, ascending) and ``_pos`` (place in it), read back from the
-    shared folder so that both stay the same however often it is read. Give a stored table: the range
-    sampler reads its input once more.
+    shared folder so that both stay the same however often it is read. The ranges' number grows with the data: each
+    has about ``rows`` rows. Give a stored table: it is counted, and the range sampler reads it once more.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(df, rows)
     out = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     out = store(out.withColumn("_m", F.monotonically_increasing_id()), label)
     pid, pos = F.shiftright("_m", ROW_BITS).cast("int"), F.col("_m").bitwiseAND((1 << ROW_BITS) - 1)
     return out.withColumns({"_pid": pid, "_pos": pos}).drop("_m")
 
 
+def ranges(df: DataFrame, rows: int = RANGE_ROWS) -> int:
+    """How many range partitions of about ``rows`` rows a stored table makes."""
+    return 1 + df.count() // rows
+
+
 def partition_offsets(ordered: DataFrame, total: Column) -> dict[int, int]:
     """Sum of ``total`` in all range partitions before each one; a row per partition reaches the driver."""
     rows = ordered.groupBy("_pid").agg(total.cast("long").alias("n")).collect()

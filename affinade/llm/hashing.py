@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WIDE = np.uint64
-BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
-_powers: list[np.ndarray] = []
+_places: list[np.ndarray] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -15,19 +14,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> WIDE(32))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, v, np.uint64)])) for v in (BASE, pow(BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
+def places(n: int) -> np.ndarray:
+    """A random odd number for each place in a run, by rule, for runs of up to ``n`` symbols."""
+    if not _places or len(_places[0]) < n:
+        at = np.arange(max(n, 1 << 12), dtype=np.uint64)
+        _places[:] = [mix(mix(at + WIDE(0x2545F4914F6CDD1D)) + at) | WIDE(1)]
+    return _places[0]
 
 
 def of_runs(symbols: np.ndarray, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of symbols[start:end] for each pair; equal runs have equal hashes wherever they stand.
+    """A 64-bit hash of symbols[start:end] for each pair of ascending, disjoint runs; equal runs have equal hashes wherever they stand.
 
-    ``numbers`` has a random number for each symbol. A run's hash is a polynomial in BASE, taken from running sums.
+    ``numbers`` has a random number for each symbol. A run's hash is the sum of its symbols' numbers, each times the random
+    number of its place in the run: unlike powers of one base, places share no structure that texts could repeat.
     """
-    forth, back = powers(len(symbols))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers[symbols] * forth[: len(symbols)], dtype=np.uint64)])
-    return mix((total[ends] - total[starts]) * back[starts])
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    last = np.cumsum(size)
+    place = np.arange(last[-1]) - np.repeat(last - size, size)
+    value = numbers[symbols[place + np.repeat(starts, size)]]
+    value *= places(int(size.max()))[place]
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    return mix(total[last] - total[last - size] + size.astype(np.uint64))

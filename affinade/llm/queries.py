@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinade.llm.common import crc_mod, scratch, table
+from affinade.llm.common import crc_mod, delete_at_exit, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    delete_at_exit(spark, path)
     return read_checks(spark, path)
 
 

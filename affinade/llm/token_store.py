@@ -5,10 +5,14 @@ distinct chunk is stored once under its digest; a document is a recipe, the list
 recipes lie in ascending id order with each document's place in the stream of all ids; a manifest holds a Merkle
 root for every recipe segment. Layout of a store at ``path`` (Parquet containers, ids as little-endian bytes):
 
-* ``pack/kind=1``: ``key`` (digest of the payload), ``payload`` (ids, ``width`` bytes each)
-* ``pack/kind=0``: recipes as they were encoded, in no order
+* ``staged``: what the encoding wrote at once, a row per document: its recipe, and the chunks its task hadn't met before
+* ``pack``: ``key`` (digest of the payload), ``payload`` (ids, ``width`` bytes each), every key once
 * ``recipes``: ``_pid``, ``_pos``, doc_id, ``start``, ``n_tokens``, ``keys``, ``lens``, ``root``
 * ``manifest``: segment, documents, tokens, Merkle root of its recipes' roots, id width
+* ``head``: one row, the Merkle root over the segments' roots
+
+Chunks that several tasks met are told apart by their keys and places alone; payloads move once, from ``staged`` to
+``pack``, by a hash join that never sorts them. ``staged`` is deleted when the store is whole.
 """
 
 from __future__ import annotations
@@ -16,22 +20,21 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from affinade.llm.common import globally_ordered, in_small_batches, lookup, partition_offsets
+from affinade.llm.common import delete, globally_ordered, in_small_batches, lookup, partition_offsets
 from affinade.llm.word_codec import codec, slices
 
 DIGEST = 16
 REACH = 32  # ids the rolling hash sees
 SHORTEST, LONGEST, MEAN_BITS = 64, 1024, 8  # ids of a chunk; a cut at 1 of 2**MEAN_BITS places
 POLY = 0xEDB88320  # fixed value: the reflected CRC-32 polynomial
-SEEN = 200_000  # chunk keys a task remembers so as not to send a chunk again
+GROUP = 16 << 20  # bytes of a row group of payloads: what a writing task holds in memory
+SEEN = 100_000  # chunk keys a task remembers so as not to send a chunk again
 
 
 def digest(data: bytes) -> bytes:
@@ -114,19 +117,18 @@ def shifted(crc: np.ndarray, ids_after: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """A recipe row (kind 0) per document and chunk rows (kind 1), of which a task sends each about once."""
+    """A recipe row per document, with its chunks of which the task had sent none before."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
         c = codec(tokenizer_path)
         end = np.array([end_id], dtype=c.dtype).tobytes()
         seen: set[bytes] = set()
-        number = count()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts]):
-                cols: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-                for row, raw in enumerate(c.encode(texts[a:b]), a):
+                n_tokens, recipes, sizes, roots, new, own, payloads = [], [], [], [], [0], [], []
+                for raw in c.encode(texts[a:b]):
                     ids = np.frombuffer(raw + end, c.dtype)
                     keys, lens, begin, data = [], [], 0, memoryview(raw + end)
                     for at in cuts(ids):
@@ -139,47 +141,61 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                             if len(seen) >= SEEN:
                                 seen.clear()
                             seen.add(key)
-                            for col, v in zip(cols, (1, key, None, None, None, None, None, payload)):
-                                col.append(v)
-                    root = merkle(keys)
-                    own = digest(b"%d" % next(number) + root)  # spreads the recipes; the same on a retry
-                    for col, v in zip(cols, (0, own, row, len(ids), b"".join(keys), np.array(lens, "<u2").tobytes(), root, None)):
-                        col.append(v)
-                types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                made = [pa.array(col, t) for col, t in zip(cols, types)]
-                made[2] = batch.column(0).take(made[2])
-                yield pa.RecordBatch.from_arrays(made, ["kind", "key", "doc_id", "n_tokens", "keys", "lens", "root", "payload"])
-
-    return in_small_batches(docs).mapInArrow(run, f"kind int, key binary, doc_id {kind.simpleString()}, n_tokens long, keys binary, lens binary, root binary, payload binary")
+                            own.append(key)
+                            payloads.append(payload)
+                    n_tokens.append(len(ids))
+                    recipes.append(b"".join(keys))
+                    sizes.append(np.array(lens, "<u2").tobytes())
+                    roots.append(merkle(keys))
+                    new.append(len(own))
+                chunks = pa.StructArray.from_arrays([pa.array(own, pa.binary()), pa.array(payloads, pa.binary())], ["key", "payload"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(n_tokens, pa.int64()), *(pa.array(x, pa.binary()) for x in (recipes, sizes, roots)), pa.ListArray.from_arrays(pa.array(new, pa.int32()), chunks)],
+                    ["doc_id", "n_tokens", "keys", "lens", "root", "chunks"],
+                )
+
+    return in_small_batches(docs).mapInArrow(run, f"doc_id {kind.simpleString()}, n_tokens long, keys binary, lens binary, root binary, chunks array<struct<key:binary,payload:binary>>")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write the store.
 
     A null text counts as empty (the end id only). Repeated rows and null ids have recipes of their own, null ids
-    first; an empty table gives an empty store. Texts are tokenized once.
+    first; an empty table gives an empty store; very long texts are encoded in parts and stored as many chunks; other
+    columns aren't read, so their names don't matter. Texts are tokenized once.
     """
     spark = docs.sparkSession
     rows = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer_path, end_id)
-    by_key = Window.partitionBy("kind", "key").orderBy("n_tokens")
-    once = rows.repartition("key").withColumn("_n", F.row_number().over(by_key)).where("kind = 0 or _n = 1").drop("_n")
-    once.write.partitionBy("kind").parquet(f"{path}/pack")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows.write.option("parquet.block.size", GROUP).parquet(f"{path}/staged")
+    staged = spark.read.schema(rows.schema).parquet(f"{path}/staged")
+
+    places = staged.select("_row", F.posexplode("chunks.key").alias("_pos", "key"))
+    first = places.groupBy("key").agg(F.min(F.struct("_row", "_pos")).alias("f")).select("f._row", "f._pos")
+    chunks = staged.select("_row", F.posexplode("chunks").alias("_pos", "c")).select("_row", "_pos", "c.key", "c.payload")
+    chunks.join(first.hint("shuffle_hash"), ["_row", "_pos"], "left_semi").select("key", "payload").write.option("parquet.block.size", GROUP).parquet(f"{path}/pack")
 
-    fields = [f for f in rows.schema.fields if f.name not in ("kind", "payload", "key")]
-    recipes = spark.read.schema(T.StructType([*fields, T.StructField("kind", T.IntegerType())])).parquet(f"{path}/pack").where("kind = 0").drop("kind")
+    recipes = staged.drop("chunks", "_row")
     ordered = globally_ordered(recipes, [F.asc("doc_id"), F.asc("root")], "recipes")
     before = partition_offsets(ordered, F.sum("n_tokens"))
     so_far = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     start = lookup(before, F.col("_pid")) + F.coalesce(F.sum("n_tokens").over(so_far), F.lit(0))
-    ordered.withColumn("start", start).sortWithinPartitions("_pid", "_pos").write.parquet(f"{path}/recipes")
+    ordered.withColumn("start", start).write.parquet(f"{path}/recipes")
 
     width = codec(tokenizer_path).dtype.itemsize
     manifest = segment_roots(spark.read.parquet(f"{path}/recipes")).withColumn("width", F.lit(width))
     manifest.write.parquet(f"{path}/manifest")
+    spark.createDataFrame([(head_of(spark.read.parquet(f"{path}/manifest")),)], "root binary").write.parquet(f"{path}/head")
+    delete(spark, f"{path}/staged")
+
+
+def head_of(segments: DataFrame) -> bytearray:
+    """Merkle root over the segments' roots in their order; a row per segment reaches the driver."""
+    return bytearray(merkle([bytes(r["root"]) for r in segments.select("segment", "root").orderBy("segment").collect()]))
 
 
 def segment_roots(recipes: DataFrame) -> DataFrame:
-    """Per segment (a range partition of the recipes, whose number grows with the data): Merkle root of its recipes' roots."""
+    """Per segment (a range partition of RANGE_ROWS recipes or so): Merkle root of its recipes' roots."""
 
     def run(key, t):
         t = t.sort_by("_pos")
@@ -215,8 +231,7 @@ def entries(recipes: DataFrame) -> DataFrame:
 
 
 def packs(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("kind", T.IntegerType())])
-    return spark.read.schema(schema).parquet(f"{path}/pack").where("kind = 1").drop("kind")
+    return spark.read.schema("key binary, payload binary").parquet(f"{path}/pack")
 
 
 def chunk_checks(chunks: DataFrame, width: int) -> DataFrame:
@@ -239,10 +254,13 @@ def chunk_checks(chunks: DataFrame, width: int) -> DataFrame:
 def read_checks(spark: SparkSession, path: str) -> DataFrame:
     """Per document from the store's files: doc_id, start, n_tokens, ids_crc32.
 
-    Every chunk is read and held against its key, every recipe against its Merkle root, and every document's length
-    against its chunks; a document's CRC-32 is put together from its chunks' by xor of their shifted CRCs, so
-    the ids themselves aren't shuffled again. verify() holds the segments against the manifest.
+    Every chunk is read and held against its key, every recipe against its Merkle root, every segment against the
+    manifest, the manifest against its head, and every document's length against its chunks; a document's CRC-32 is put
+    together from its chunks' by xor of their shifted CRCs, so the ids themselves aren't shuffled again. A key that very
+    many documents hold makes rows of some 60 bytes on one side of a join, which adaptive execution splits.
     """
+    if not verify(spark, path):
+        raise ValueError("the recipes don't give the manifest's Merkle roots")
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
     width = (manifest.agg(F.max("width")).first()[0]) or 2
     used = entries(recipes).join(chunk_checks(packs(spark, path), width), "key", "left")
@@ -262,10 +280,12 @@ def read_checks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str) -> bool:
-    """True if every segment's recipes give the manifest's Merkle root, counts included."""
+    """True if every segment's recipes give the manifest's Merkle root, counts included, and the segments its head's."""
     now = segment_roots(spark.read.parquet(f"{path}/recipes"))
     kept = spark.read.parquet(f"{path}/manifest").drop("width")
-    return now.exceptAll(kept).isEmpty() and kept.exceptAll(now).isEmpty()
+    odd = now.withColumn("_n", F.lit(1)).union(kept.withColumn("_n", F.lit(-1))).groupBy(now.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    head = spark.read.parquet(f"{path}/head").first()[0]
+    return odd.isEmpty() and bytes(head) == bytes(head_of(kept))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

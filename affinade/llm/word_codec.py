@@ -3,7 +3,9 @@
 The tokenizer lower-cases, collapses white space, splits with a fixed pattern and runs BPE inside each
 pre-token, so a text's ids are its pre-tokens' ids in a row. That holds where this module can repeat the
 normaliser without doubt: texts of printable ASCII and Latin letters up to U+017F, without special-token
-strings. Any other text goes to the library whole. Pre-tokens are found, hashed (64 bits) and looked up in numpy.
+strings. Any other text goes to the library whole. Pre-tokens are found in numpy and looked up by a 64-bit hash, and what
+is found is compared with the pre-token itself, letter by letter, so a hash that two words share can't give wrong ids:
+a text with such a word goes to the library whole as well. Long texts are cut at white space, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ LETTER = "a-zªµºß-öø-ÿĀ-ſ"
 DIGIT = "0-9²³¹¼½¾"
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
+WHITE = re.compile("[\t\n\r ]")
 JOINED = 500  # unseen pre-tokens encoded in one call
-SLOTS = 1 << 21  # of the table of known pre-tokens; it starts anew when half full; a longer text goes to the library whole
+SLOTS = 1 << 20  # of the table of known pre-tokens; it starts anew when half full
+LETTERS = 1 << 23  # letters of known pre-tokens kept at most; then the table starts anew, too
+PART = 200_000  # characters looked at together; longer texts are cut at white space
 SPACE, WORD, NUMBER, OTHER = range(4)
 
 
@@ -75,7 +80,9 @@ class WordCodec:
     def _clear(self) -> None:
         self.keys = np.zeros(SLOTS, np.uint64)  # hash of a known pre-token, 0: free
         self.at, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)  # its ids in the pool
-        self.pool, self.used, self.known = np.zeros(1 << 20, self.dtype), 0, 0
+        self.pool, self.used, self.known = np.zeros(1 << 18, self.dtype), 0, 0
+        self.word_at, self.word_size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)  # its letters
+        self.letters, self.lettered = np.zeros(1 << 18, np.uint16), 0
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -104,13 +111,19 @@ class WordCodec:
             slot[open_] = (slot[open_] + 1) & (SLOTS - 1)
         return slot
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        words = [codes[a:b].tobytes().decode("utf-16-le") for a, b in zip(starts.tolist(), ends.tolist())]
         ids, n = self._ids(words)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), self.dtype)])
+        self.pool = room(self.pool, self.used, len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
         begin = self.used + np.cumsum(n) - n
         self.used += len(ids)
+        size = ends - starts
+        letters = codes[runs(starts, size)]
+        self.letters = room(self.letters, self.lettered, len(letters))
+        self.letters[self.lettered : self.lettered + len(letters)] = letters
+        word_begin = self.lettered + np.cumsum(size) - size
+        self.lettered += len(letters)
         self.known += len(words)
         left = np.arange(len(hashes))
         while len(left):  # of those that want the same free slot one gets it
@@ -118,11 +131,22 @@ class WordCodec:
             slot, first = np.unique(slot, return_index=True)
             won = left[first]
             self.keys[slot], self.at[slot], self.size[slot] = hashes[won], begin[won], n[won]
+            self.word_at[slot], self.word_size[slot] = word_begin[won], size[won]
             left = np.delete(left, first)
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        big = "\n".join(texts) + "\n"
-        codes = np.frombuffer(big.encode("utf-16-le"), np.uint16)
+    def _same(self, codes: np.ndarray, starts: np.ndarray, size: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each pre-token is the word its slot holds, letter by letter."""
+        same = self.word_size[slot] == size
+        known = np.where(same, self.word_at[slot], 0)
+        size = np.where(same, size, 0)
+        differ = codes[runs(starts, size)] != self.letters[runs(known, size)]
+        if differ.any():
+            same[np.repeat(np.arange(len(size)), size)[differ]] = False
+        return same
+
+    def _plain(self, texts: list[str]) -> list[bytes | None]:
+        """Each text's ids; None for a text with a word whose hash another one has, or more words than the table takes."""
+        codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-16-le"), np.uint16)
         starts, ends = pretokens(codes)
         if not len(starts):
             return [b""] * len(texts)
@@ -131,41 +155,80 @@ class WordCodec:
         slot = self._slots(hashes)
         new = np.flatnonzero(self.keys[slot] == 0)
         if len(new):
-            if self.known + len(new) > SLOTS // 2:
+            fresh, first = np.unique(hashes[new], return_index=True)
+            letters = int((ends - starts)[new[first]].sum())
+            if self.known + len(fresh) > SLOTS // 2 or self.lettered + letters > LETTERS:
                 self._clear()
                 new = np.arange(len(hashes))
-            fresh, first = np.unique(hashes[new], return_index=True)
+                fresh, first = np.unique(hashes, return_index=True)
+                if len(fresh) > SLOTS // 2:
+                    return [None] * len(texts)
             which = new[first]
-            self._learn(fresh, [big[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist())])
+            self._learn(fresh, codes, starts[which], ends[which])
             slot[new] = self._slots(hashes[new])
-        at, n = self.at[slot], self.size[slot]
+        borders = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        n = self.size[slot]
         last = np.cumsum(n, dtype=np.int64)
-        raw = self.pool[np.arange(last[-1]) + np.repeat(at - (last - n), n)].tobytes()
-        borders = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        cut = np.concatenate([[0], last])[np.searchsorted(starts, borders)] * self.dtype.itemsize
-        return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        raw = self.pool[runs(self.at[slot], n)].tobytes()
+        cut = np.concatenate([[0], last])[borders] * self.dtype.itemsize
+        out: list[bytes | None] = [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        same = self._same(codes, starts, ends - starts, slot)
+        if not same.all():
+            for i in np.unique(np.searchsorted(borders, np.flatnonzero(~same), side="right") - 1).tolist():
+                out[i] = None
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian bytes of ``dtype``; null counts as empty."""
         out, plain, where = [b""] * len(texts), [], []
         for i, text in enumerate(texts):
-            if text and (len(text) > SLOTS or ODD.search(text) or ("<|" in text and any(s in text for s in self.specials))):
+            if text and (ODD.search(text) or ("<|" in text and any(s in text for s in self.specials))):
                 out[i] = self._whole(text)
             elif text:
-                plain.append(text.lower())
-                where.append(i)
-        if plain:
-            for i, raw in zip(where, self._plain(plain)):
-                out[i] = raw
+                for part in at_white_space(text.lower(), PART):
+                    plain.append(part)
+                    where.append(i)
+        made: dict[int, list[bytes]] = {}
+        for a, b in slices([len(p) for p in plain], PART):
+            for part, i, raw in zip(plain[a:b], where[a:b], self._plain(plain[a:b])):
+                made.setdefault(i, []).append(self._whole(part) if raw is None else raw)
+        for i, parts in made.items():
+            out[i] = b"".join(parts)
         return out
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    last = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(last[-1] if len(last) else 0) + np.repeat(starts - (last - sizes), sizes)
+
+
+def room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or a larger copy if ``more`` items don't fit behind those used."""
+    if used + more <= len(array):
+        return array
+    return np.concatenate([array[:used], np.zeros(max(len(array), more), array.dtype)])
+
+
+def at_white_space(text: str, size: int) -> list[str]:
+    """The text in parts of about ``size`` characters, each but the last ending before white space (no pre-token spans any)."""
+    out, begin = [], 0
+    while len(text) - begin > size:
+        stop = WHITE.search(text, begin + size)
+        if stop is None:
+            break
+        out.append(text[begin : stop.start()])
+        begin = stop.start()
+    out.append(text[begin:])
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-def slices(n_chars: list[int], chars: int = 1_000_000) -> list[tuple[int, int]]:
+def slices(n_chars: list[int], chars: int = 500_000) -> list[tuple[int, int]]:
     """Cut a batch so that each slice has about ``chars`` characters (one longer text may stand alone)."""
     out, begin, total = [], 0, 0
     for i, n in enumerate(n_chars):

@@ -38,6 +38,39 @@ def test_word_codec_on_random_texts(monkeypatch):
             assert list(np.frombuffer(raw, codec.dtype)) == library_ids(text, codec), repr(text)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_word_codec_on_words_that_share_a_hash(monkeypatch):
+    """Words that collide under any polynomial modulo 2**64, and a hash so short that most words collide."""
+    from affinade.llm import word_codec
+
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [one, other, f"so {one} x", f"so {other} x", "", "plain words here", "other words, there", "words"]
+    codec = WordCodec(queries.vocabulary("word_bpe_49k.json"))
+    for text, raw in zip(texts, codec.encode(texts)):
+        assert list(np.frombuffer(raw, codec.dtype)) == library_ids(text, codec)
+    whole = word_codec.of_runs
+    monkeypatch.setattr(word_codec, "of_runs", lambda *a: whole(*a) % np.uint64(3))
+    codec = WordCodec(queries.vocabulary("word_bpe_49k.json"))
+    for text, raw in zip(texts, codec.encode(texts)):
+        assert list(np.frombuffer(raw, codec.dtype)) == library_ids(text, codec)
+
+
+def test_word_codec_on_long_texts(monkeypatch):
+    """Texts cut at white space, one without any, and more letters than the table keeps."""
+    from affinade.llm import word_codec
+
+    monkeypatch.setattr(word_codec, "PART", 50)
+    monkeypatch.setattr(word_codec, "LETTERS", 300)
+    codec = WordCodec(queries.vocabulary("word_bpe_49k.json"))
+    texts = ["some words, and more of them's " * 40, "unbroken-" * 100, " " * 300 + "x" + "\n" * 300, "it's 12 a'll " * 30 + "zebra" * 30]
+    for text, raw in zip(texts, codec.encode(texts)):
+        assert list(np.frombuffer(raw, codec.dtype)) == library_ids(text, codec)
+
+
 def test_piece_counter_equals_the_library():
     counter = PieceCounter(queries.vocabulary("piece_bpe_32k.model"))
     assert counter.splits and len(counter.whole) > 10_000
