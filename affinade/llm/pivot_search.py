@@ -4,13 +4,15 @@ The index keeps, beside each vector, its distances to fixed pivots. For a query,
 pivot a lower bound of the query's distance to a vector, |d(q, p) - d(x, p)|; the largest over all pivots is the vector's
 bound. With both norms it bounds the inner product from above: <q, x> = (|q|^2 + |x|^2 - d(q, x)^2) / 2. Candidates are
 evaluated in order of that bound, and the evaluation stops where the next bound lies under the k-th best score so far, so
-the result is exact. Queries come in blocks; each block meets all rows of the index in one scan.
+the result is exact.
+
+Queries and index rows are dealt into blocks of bounded size, and each pair of blocks meets in one task; tasks return
+their k best of each query. No vector but the pivots' sample reaches the driver. Scores are whole numbers throughout: products that may leave the
+whole numbers that floating point holds are taken in 64 bits, and those that may leave these, in integers without a limit.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from affinade.llm.common import store
 
 PIVOTS, SAMPLE = 32, 2_000  # pivots are chosen among so many rows at most; every row is indexed
-QUERY_BLOCK = 16_384  # queries broadcast at once
+QUERY_BLOCK, INDEX_BLOCK = 4_096, 65_536  # rows of a block on average
 BATCH = 8192  # rows of the index looked at together
 FIRST_STEP = 256  # candidates evaluated before the first look at the stopping rule; doubled each time
 
@@ -64,9 +66,21 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def products(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
-    """Integer inner products; in floating point where all sums stay below 2**53, else in 64-bit integers."""
-    return x @ q if exact else x.astype(np.int64) @ q.astype(np.int64)
+def products(x: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float) -> np.ndarray:
+    """Integer inner products. Sums of products are at most the vectors' lengths' product, which says what arithmetic is exact."""
+    most = np.sqrt(norms * q_norm) * 1.000001
+    if most.max(initial=0) < 2**53:
+        return (x @ q).astype(np.int64)
+    out = np.zeros(len(x), np.int64)
+    some = most < 2**62
+    for hit, kind in ((some, np.int64), (~some, object)):
+        if hit.any():
+            exact = [[int(v) for v in row] for row in x[hit]] if kind is object else x[hit].astype(np.int64)
+            score = np.array(exact, kind) @ np.array([int(v) for v in q], kind)
+            if kind is object and any(abs(int(v)) >= 2**63 for v in score):
+                raise ValueError("a score doesn't fit a long")
+            out[hit] = score.astype(np.int64)
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -79,19 +93,20 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def search_batch(x: np.ndarray, ids: np.ndarray, table: np.ndarray, norms: np.ndarray, q: np.ndarray, q_id: int, q_table: np.ndarray, q_norm: float, least: float, k: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The batch's k best for one query among those that may reach ``least``: scores and ids."""
+def search_batch(x: np.ndarray, ids: np.ndarray, table: np.ndarray, norms: np.ndarray, q: np.ndarray, q_id: int, q_table: np.ndarray, q_norm: float, least: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The batch's k best for one query among those that may reach ``least``: scores, ids, and how many were evaluated."""
     bound = np.zeros(len(x))
     for p in range(table.shape[1]):  # one pivot after the other raises the bound
         np.maximum(bound, np.abs(table[:, p] - q_table[p]), out=bound)
     slack = 1e-6 * (1 + np.sqrt(norms) + np.sqrt(q_norm)) + 1e-12 * q_table.max(initial=0)  # roundings of the distances never eliminate
     upper = (q_norm + norms - np.maximum(bound - slack, 0) ** 2) / 2 + 1e-6 * (1 + q_norm + norms)
+    upper[np.isnan(upper)] = np.inf  # no bound where the norms overflow
     left = np.flatnonzero((upper >= least) & (ids != q_id))
     left = left[np.argsort(-upper[left], kind="stable")]
-    scores, kept, step, at = np.zeros(0, float if exact else np.int64), np.zeros(0, np.int64), FIRST_STEP, 0
+    scores, kept, step, at = np.zeros(0, np.int64), np.zeros(0, np.int64), FIRST_STEP, 0
     while at < len(left) and upper[left[at]] >= least:
         part = left[at : at + step]
-        scores = np.concatenate([scores, products(x[part], q, exact)])
+        scores = np.concatenate([scores, products(x[part], norms[part], q, q_norm)])
         kept = np.concatenate([kept, ids[part]])
         top = best(scores, kept, k)
         scores, kept = scores[top], kept[top]
@@ -99,24 +114,11 @@ def search_batch(x: np.ndarray, ids: np.ndarray, table: np.ndarray, norms: np.nd
             least = max(least, float(scores[-1]))
         at, step = at + step, step * 2
     ok = scores >= least
-    return scores[ok], kept[ok]
-
+    return scores[ok], kept[ok], min(at, len(left))
 
-def gathered(batches, least: int = BATCH):
-    """Batches of at least so many rows, but for the last: each costs a step per query."""
-    kept, n = [], 0
-    for batch in batches:
-        kept.append(batch)
-        n += batch.num_rows
-        if n >= least:
-            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            kept, n = [], 0
-    if n:
-        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 
-
-def build_index(rows: DataFrame, scale: float, id_col: str, vector_col: str) -> tuple[DataFrame, np.ndarray, int, float]:
-    """The stored index (vec_id, vector, table), the pivots, the dimension and the largest component."""
+def build_index(rows: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
+    """The stored index: vec_id, vector, table (its distances to the pivots)."""
 
     def encode(batches):
         for batch in batches:
@@ -140,71 +142,76 @@ def build_index(rows: DataFrame, scale: float, id_col: str, vector_col: str) ->
             dim = max([len(b) // 8 for b in raw] + [width])
             x, p = matrix(raw, dim), np.pad(shared.value, ((0, 0), (0, dim - width)))
             d = distances(x, p).astype("<f8")
-            most = np.abs(x).max(1) if dim and len(x) else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in d], pa.binary()), pa.array(most), pa.array([len(b) // 8 for b in raw], pa.int64())], ["vec_id", "vector", "table", "most", "dim"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in d], pa.binary())], ["vec_id", "vector", "table"])
 
-    index = store(vectors.mapInArrow(measure, "vec_id long, vector binary, table binary, most double, dim long"), "pivot-index")
-    size = index.agg(F.max("dim"), F.max("most")).first()
-    return index, pivots, int(size[0] or 0), float(size[1] or 0)
+    return store(vectors.mapInArrow(measure, "vec_id long, vector binary, table binary"), "pivot-index")
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For each row where ``is_query`` (over ``vec_id``) holds, its k best others: query_id, rank, vec_id, score.
 
     Components count as floor(scale x). Rows with a null id, a null vector, or a null or non-finite component take no part;
-    a table of so large components that a score may not fit a long is an error; shorter vectors count as if zeros followed; a query has no row of
-    its own id among its results; repeated rows each count; an empty table gives an empty result.
+    a score that doesn't fit a long is an error; shorter vectors count as if zeros followed, very long ones are taken whole; a
+    query has no row of its own id among its results; repeated rows each count; an empty table gives an empty result; other
+    columns aren't read, so their names don't matter.
     """
-    spark = rows.sparkSession
-    index, pivots, dim, most = build_index(rows, scale, id_col, vector_col)
-    exact = dim * most * most < 2**53
-    if dim * most * most >= 2**63:
-        raise ValueError(f"scores may not fit a long: {dim} components of up to {most:.0f} after scaling")
-    pivots = np.pad(pivots, ((0, 0), (0, dim - pivots.shape[1]))) if pivots.size else np.zeros((0, dim))
-    queries = index.where(is_query).select("vec_id", "vector").toLocalIterator()
-    waves: list[DataFrame] = []
-    while block := list(islice(queries, QUERY_BLOCK)):
-        q = matrix([bytes(r["vector"]) for r in block], dim)
-        ids = np.array([r["vec_id"] for r in block])
-        waves.append(wave(index, q, ids, pivots, dim, k, exact))
-        if len(block) == QUERY_BLOCK:
-            waves[-1] = store(waves[-1], "pivot-wave")
-    if not waves:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = waves[0]
-    for w in waves[1:]:
-        out = out.unionByName(w)
-    return out
-
-
-def wave(index: DataFrame, q: np.ndarray, q_ids: np.ndarray, pivots: np.ndarray, dim: int, k: int, exact: bool) -> DataFrame:
-    """One block of queries against all rows; tasks keep their k best each, then the best of these."""
-    shared = index.sparkSession.sparkContext.broadcast((q, q_ids, distances(q, pivots), (q * q).sum(1)))
-
-    def run(batches):
-        q, q_ids, q_table, q_norm = shared.value
-        scores = [np.zeros(0, float if exact else np.int64)] * len(q)
-        kept = [np.zeros(0, np.int64)] * len(q)
-        least = np.full(len(q), -np.inf)
-        for batch in gathered(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = matrix(batch.column(1).to_pylist(), dim)
-            table = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(len(ids), q_table.shape[1]) if len(ids) else np.zeros((0, q_table.shape[1]))
-            table, norms = np.asfortranarray(table), (x * x).sum(1)
+    found = searched(build_index(rows, scale, id_col, vector_col), is_query, k)
+    order = Window.partitionBy("no").orderBy(F.desc("score"), F.asc("vec_id"))
+    best_ = found.where("vec_id is not null").withColumn("rank", F.row_number().over(order))
+    return best_.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def evaluated_share(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """What part of all pairs of a query and a candidate is evaluated; the pivots eliminate the rest."""
+    index = build_index(rows, scale, id_col, vector_col)
+    done = searched(index, is_query, k).where("vec_id is null").agg(F.sum("score")).first()[0] or 0
+    pairs = index.count() * index.where(is_query).count()
+    return done / pairs if pairs else 0.0
+
+
+def searched(index: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """``no`` (a query), query_id, vec_id, score: the k best of each pair of blocks, and how many it evaluated (vec_id null)."""
+    queries = store(index.where(is_query).withColumn("no", F.monotonically_increasing_id()), "pivot-queries")
+    n_blocks, n_parts = 1 + queries.count() // QUERY_BLOCK, 1 + index.count() // INDEX_BLOCK
+    deal = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # repeated ids and vectors are spread by their places
+    left = index.withColumn("part", deal(["vec_id", F.monotonically_increasing_id()], n_parts)).withColumn("block", every(n_blocks))
+    right = queries.withColumn("block", deal(["no"], n_blocks)).withColumn("part", every(n_parts))
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return result([], [], [], [])
+        raw, asked = one.column("vector").to_pylist(), two.column("vector").to_pylist()
+        dim = max(len(b) // 8 for b in raw + asked)
+        q, q_ids, no = matrix(asked, dim), two.column("vec_id").to_numpy(), two.column("no").to_numpy()
+        q_table, q_norm = tables(two), (q * q).sum(1)
+        ids, table = one.column("vec_id").to_numpy(), tables(one)
+        scores, kept = [np.zeros(0, np.int64)] * len(q), [np.zeros(0, np.int64)] * len(q)
+        least, seen = np.full(len(q), -np.inf), np.zeros(len(q), np.int64)
+        for at in range(0, len(raw), BATCH):
+            part = slice(at, at + BATCH)
+            x, of = matrix(raw[part], dim), np.asfortranarray(table[part])
+            norms = (x * x).sum(1)
             for j in range(len(q)):
-                s, i = search_batch(x, ids, table, norms, q[j], int(q_ids[j]), q_table[j], float(q_norm[j]), float(least[j]), k, exact)
+                s, i, n = search_batch(x, ids[part], of, norms, q[j], int(q_ids[j]), q_table[j], float(q_norm[j]), float(least[j]), k)
+                seen[j] += n
                 if len(s):
                     s, i = np.concatenate([scores[j], s]), np.concatenate([kept[j], i])
                     top = best(s, i, k)
                     scores[j], kept[j] = s[top], i[top]
                     if len(top) == k:
                         least[j] = scores[j][-1]
-        no = np.repeat(np.arange(len(q)), [len(s) for s in scores])
-        for at in range(0, len(no), 100_000):
-            part = slice(at, at + 100_000)
-            columns = [pa.array(no[part]), pa.array(q_ids[no[part]]), pa.array(np.concatenate(kept)[part]), pa.array(np.concatenate(scores)[part].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["no", "query_id", "vec_id", "score"])
+        who = np.repeat(np.arange(len(q)), [len(s) for s in scores])
+        hits = pa.array(np.concatenate(kept)), pa.array(np.concatenate(scores))
+        return pa.concat_tables([result(no[who], q_ids[who], *hits), result(no, q_ids, pa.nulls(len(q), pa.int64()), seen)])
 
-    found = index.select("vec_id", "vector", "table").mapInArrow(run, "no long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("no").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, "no long, query_id long, vec_id long, score long")
+
+
+def tables(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("table").to_pylist()), "<f8").reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0))
+
+
+def result(*columns) -> pa.Table:
+    return pa.table([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=["no", "query_id", "vec_id", "score"])

@@ -95,17 +95,34 @@ def test_tiles_give_the_same(monkeypatch):
 
 
 def test_forest_meets_pairs_at_the_threshold():
-    """Pairs of sets with a similarity of just 0.8: at the chosen depth practically none is missed."""
+    """Pairs of sets with a similarity of just 0.8: at the shortest prefix, and by the estimate, practically none is missed."""
     rng = np.random.default_rng(4)
-    depth, missed = nd.depth_for(0.8), 0
+    depth, least, missed = nd.shortest(0.8), nd.least_estimate(0.8, nd.TREES * nd.DEEPEST), 0
     for _ in range(300):
         x = np.unique(rng.integers(0, 1 << 63, 90, dtype=np.uint64) * np.uint64(2))
         a, b = np.sort(x[:81]), np.sort(np.concatenate([x[:72], x[81:90]]))
-        p, q = nd.prefixes([a, b], nd.TREES, depth)
-        missed += not (p == q).any()
+        p, q = nd.signatures_of([a, b], nd.TREES)
+        met = (p.reshape(nd.TREES, -1)[:, :depth] == q.reshape(nd.TREES, -1)[:, :depth]).all(1).any()
+        missed += not (met and (p == q).sum() >= least)
     assert depth == 6 and missed <= 1
 
 
+def test_large_trie_nodes_are_cut(spark, monkeypatch):
+    """Trie nodes of more members than a block has: the pairs of blocks find the same."""
+    monkeypatch.setattr(nd, "MEMBERS", 3)
+    rows = corpus(3)
+    got = nd.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == brute(rows)
+
+
+def test_words_that_share_a_polynomial_hash():
+    """Thue-Morse words collide under any polynomial modulo 2**64; here they differ."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    a, b = nd.shingle_sets([f"{one} of the same five", f"{other} of the same five"])
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -34,6 +34,7 @@ def test_query_blocks_and_integer_arithmetic(spark, monkeypatch):
     rows = [(i, (rng.standard_normal(4) * 50_000).tolist()) for i in range(120)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     monkeypatch.setattr(pivot_search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(pivot_search, "INDEX_BLOCK", 40)
     got = sorted(map(tuple, pivot_search.top_k(df, F.col("vec_id") % 10 == 0).collect()))
     assert got == brute(rows, lambda i: i % 10 == 0)
 
@@ -48,13 +49,13 @@ def test_bounds_spare_evaluations():
     table, norms = pivot_search.distances(x, pivots), (x * x).sum(1)
     seen = []
     plain = pivot_search.products
-    pivot_search.products = lambda a, b, e: (seen.append(len(a)), plain(a, b, e))[1]
+    pivot_search.products = lambda a, *more: (seen.append(len(a)), plain(a, *more))[1]
     try:
-        scores, found = pivot_search.search_batch(x, ids, table, norms, x[3], 3, table[3], norms[3], -np.inf, 5, True)
+        scores, found, n = pivot_search.search_batch(x, ids, table, norms, x[3], 3, table[3], norms[3], -np.inf, 5)
     finally:
         pivot_search.products = plain
     want = sorted((-int(x[3] @ v), i) for i, v in enumerate(x) if i != 3)[:5]
-    assert list(zip(-scores.astype(int), found)) == want and sum(seen) < 2500
+    assert list(zip(-scores.astype(int), found)) == want and sum(seen) < 2500 and sum(seen) == n
 
 
 def test_empty(spark):
@@ -75,5 +76,27 @@ def test_large_components(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = sorted(map(tuple, pivot_search.top_k(df, F.col("vec_id") % 10 == 0).collect()))
     assert got == brute(rows, lambda i: i % 10 == 0) and any(abs(s) > 2**53 for *_, s in got)
-    with pytest.raises(ValueError):
-        pivot_search.top_k(spark.createDataFrame([(0, [1e9] * 4)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    with pytest.raises(Exception, match="fit a long"):
+        pivot_search.top_k(spark.createDataFrame([(0, [1e9] * 4), (1, [1e9] * 4)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
+def test_scores_beyond_doubles(spark):
+    """Neighbouring whole numbers over 2**53 stay apart, also beside one very large component."""
+    odd = 2.0**18 - 1 + 2**-8
+    rows = [(0, [odd] * 64), (1, [odd] * 63 + [2.0**18 - 1]), (2, [odd] * 64), (3, [1e8] + [0.0] * 63), (4, [7.0, 1.0] + [2.0**-8] * 62), (50, [1e3] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, pivot_search.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    ints = {i: [int(256 * x // 1) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        near = sorted((-sum(a * b for a, b in zip(ints[q], ints[i])), i) for i in ints if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(near)]
+    assert got == sorted(want) and any(s > 2**53 and s % 2 for *_, s in got)
+
+
+def test_evaluated_share(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-5, 5, (10, 8))
+    rows = [(i, (centres[i % 10] + rng.random(8) / 50).tolist()) for i in range(2000)]
+    share = pivot_search.evaluated_share(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    assert 0 < share < 0.7

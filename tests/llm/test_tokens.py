@@ -136,27 +136,43 @@ def greedy(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_sweep_needs_no_more_than_sequential_best_fit(seed):
-    rng = np.random.default_rng(seed)
-    lengths = rng.integers(1, 65, 500).tolist() + [33] * 40
-    counts = {}
-    for n in lengths:
-        counts[n] = counts.get(n, 0) + 1
-    flows = packing.sweep(counts, 64)
-    assert [f.rank for f in flows] == sorted(f.rank for f in flows) and flows[0].rank == 0
-    used, total = {}, len(lengths)
-    ends = [f.rank for f in flows[1:]] + [total]
-    for f, end in zip(flows, ends):
-        for r in range(end - f.rank):
-            used.setdefault(f.first + r // f.each, []).append((f.offset + r % f.each * f.length, f.length))
-    for places in used.values():
-        end = 0
-        for offset, n in sorted(places):
-            assert offset == end
-            end += n
-        assert end <= 64
-    assert len(used) == greedy(lengths, 64)
+def lengths_of(case):
+    rng = np.random.default_rng(7)
+    return {
+        "even": rng.integers(1, 65, 3000).tolist() + [33] * 40,
+        "long": rng.integers(14, 40, 3000).tolist(),
+        "thirds": rng.integers(18, 22, 2000).tolist(),
+        "ones": [1] * 2000 + rng.integers(30, 65, 500).tolist(),
+        "only ones": [1] * 1000,
+        "small": rng.integers(5, 9, 3000).tolist(),
+    }[case]
+
+
+@pytest.mark.parametrize("case", ["even", "long", "thirds", "ones", "only ones", "small"])
+def test_packing_needs_hardly_more_than_sequential_best_fit(spark, case):
+    """Ranges of few rows, so that pieces and gaps of different ranges meet, equal lengths among them."""
+    lengths = lengths_of(case)
+    df = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    rows = packing.pack(df, 64, range_rows=400).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    assert check_packing(rows, 64) <= greedy(lengths, 64) * 1.01 + 1
+
+
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_tight_sweep_is_best_fit(spark, rows):
+    """Pieces, longest first, take the smallest gap left that holds them, whatever the number of ranges."""
+    rng = np.random.default_rng(rows)
+    pieces, gaps = rng.integers(1, 30, 150).tolist(), rng.integers(1, 40, 120).tolist()
+    left, want = sorted(gaps), []
+    for n in sorted(pieces, reverse=True):
+        at = next((i for i, g in enumerate(left) if g >= n), None)
+        if at is not None:
+            want.append((n, left.pop(at)))
+    a = spark.createDataFrame(list(enumerate(pieces)), "_row long, length long")
+    b = spark.createDataFrame(list(enumerate(gaps)), "seq long, gap long")
+    got = packing.tight(a, b, 1 + 270 // rows if rows > 1 else 40).collect()
+    assert sorted((r.length, r.gap) for r in got) == sorted(want)
+    assert len({r.seq for r in got}) == len({r["_row"] for r in got}) == len(got)
 
 
 def test_packing_edge_rows(spark):
