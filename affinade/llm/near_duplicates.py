@@ -1,14 +1,20 @@
-"""N-gram Jaccard join: MinHash banding proposes, exact set comparison decides.
+"""N-gram Jaccard join: a MinHash LSH forest proposes, exact set comparison decides.
 
 1. Texts become sets of hashed word n-grams; equal sets are one node from here on (exact copies never make pairs).
-2. Banding: every tree gives a node the first values of its own MinHash sequence as one number, and two nodes meet where these
-   are equal. How many values is fixed beforehand: the most at which a pair just at the threshold is met by some tree with the
-   target probability; closer pairs are met more surely still.
-3. A number's members are tied to their first one, not to each other; components of these ties hold all candidates.
-4. A component is cut into blocks of bounded size, each pair of blocks is one task's work, and in it all pairs are compared
-   exactly, as products of 0/1 matrices over the n-grams that at least two members share. A task gives back sums per node
-   (how many links) and who hangs together, never the pairs.
+2. A node's signature is a label of DEEPEST MinHash values (a byte each) for every tree. A tree's labels are sorted within their
+   shortest prefix that will ever be asked for; neighbours' common prefixes say how deep each label is matched, and
+   labels matched nowhere leave.
+3. From the deepest level up, the prefixes asked for get shorter. At a level, the labels with equal prefixes are a trie node; only
+   trie nodes whose members don't all hang together already are looked at, so a large group of near copies is found deep
+   down and skipped further up. In such a trie node all pairs of signatures are compared in tiles, in blocks where it is large, and the members
+   whose estimated similarity may reach the threshold are tied together. The level at which a pair just at the threshold is met by some
+   tree with the target probability is the last one.
+4. Tied members form candidate groups. Their texts meet in blocks of bounded size, each pair of blocks is one task's work, and in it
+   all pairs are compared exactly, as products of 0/1 matrices over the n-grams that at least two members share. A task gives
+   back sums per node (how many links) and who hangs together, never the pairs.
 5. Components of the verified links are the classes.
+
+N-grams are 64-bit hashes with a random factor per place, so two different ones are taken for one with a probability of some 2**-60.
 """
 
 from __future__ import annotations
@@ -21,24 +27,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinade.llm.common import in_small_batches, store
+from affinade.llm.common import in_small_batches, ranges, store
 from affinade.llm.components import components
 from affinade.llm.hashing import WIDE, mix, of_runs
 from affinade.llm.word_codec import slices
 
 WORDS = 5
-TREES, DEEPEST, TARGET = 40, 10, 0.99999
-BLOCK = 1_000_000  # n-grams in a block of a component
-FINER = 20
+TREES, DEEPEST, STEP, TARGET = 40, 10, 2, 0.99999
+DEVIATIONS = 6  # standard deviations that a pair's estimate may lie under the threshold
+LABELS = 2_000_000  # in a range of the sorted tries
+MEMBERS = 4096  # of a block of a trie node
+BLOCK = 1_000_000  # n-grams in a block of a candidate group at most
+FINER = 200  # a group of up to BLOCK / FINER n-grams is one block; larger ones make about FINER / 2 tasks
 TILE, COLUMNS = 512, 8192  # of the matrix products
 
 
-def depth_for(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
+def shortest(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
     """The longest prefix at which a pair at the threshold meets in some tree with the target probability."""
-    for depth in range(deepest, 1, -1):
+    for depth in range(deepest, max(1, deepest - 7), -1):  # what is left of a label then fits a long
         if 1 - (1 - threshold**depth) ** trees >= target:
             return depth
-    return 1
+    return max(1, deepest - 7)
+
+
+def least_estimate(threshold: float, values: int) -> int:
+    """Equal bytes that two signatures need at least for a pair to be looked at exactly; chance equality is in it."""
+    p = threshold + (1 - threshold) / 256
+    return int(values * p - DEVIATIONS * (values * p * (1 - p)) ** 0.5)
 
 
 @functools.cache
@@ -88,43 +103,147 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def prefixes(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """For each non-empty set and tree one number that stands for the prefix of ``depth`` MinHash values of its label."""
+def signatures_of(sets: list[np.ndarray], trees: int) -> np.ndarray:
+    """For each non-empty set its labels, tree after tree: a byte of each MinHash value."""
     a, b = permutations(trees * DEEPEST)
     x = (np.concatenate(sets) >> WIDE(32)).astype(np.uint32)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), trees), np.uint64)
-    for t in range(trees):
-        label = np.full(len(sets), t, np.uint64)
-        for level in range(t * DEEPEST, t * DEEPEST + depth):
-            least = np.minimum.reduceat(x * a[level] + b[level], starts)
-            label = mix(label * WIDE(0x2545F4914F6CDD1D) + least)
-        out[:, t] = label
+    out = np.empty((len(sets), trees * DEEPEST), np.uint8)
+    for v in range(trees * DEEPEST):
+        least = np.minimum.reduceat(x * a[v] + b[v], starts)
+        out[:, v] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
     return out
 
 
-def signatures(rows: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``_row``, doc_id, s0 and s1 (the set's digest), ``n`` (its size), ``labels`` (prefix numbers)."""
+def signatures(rows: DataFrame, trees: int) -> DataFrame:
+    """``_row``, doc_id, s0 and s1 (the set's digest), ``n`` (its size), ``sig`` (its labels; null for an empty set)."""
     kind = rows.schema["doc_id"].dataType
 
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            digests, sizes, labels = [], [], []
+            digests, sizes, sigs = [], [], []
             for a, b in slices([len(t or "") for t in texts]):
                 sets = shingle_sets(texts[a:b])
                 full = [s for s in sets if len(s)]
-                made = iter(prefixes(full, trees, depth).view(np.int64)) if full else iter(())
+                made = iter(signatures_of(full, trees)) if full else iter(())
                 for s in sets:
                     sizes.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    labels.append(next(made) if len(s) else np.zeros(0, np.int64))
+                    sigs.append(next(made).tobytes() if len(s) else None)
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            flat = pa.array(np.concatenate(labels) if labels else np.zeros(0, np.int64))
-            ends = pa.array(np.cumsum([0, *map(len, labels)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["_row", "doc_id", "s0", "s1", "n", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["_row", "doc_id", "s0", "s1", "n", "sig"])
+
+    return in_small_batches(rows).select("_row", "doc_id", "text").mapInArrow(run, f"_row long, doc_id {kind.simpleString()}, s0 long, s1 long, n long, sig binary")
+
+
+def tries(nodes: DataFrame, trees: int, last: int) -> DataFrame:
+    """The sorted tries' labels that any other one matches: node, trunk (tree and shortest prefix), rest (of the label), depth (matched).
+
+    Labels are range-sorted, so a trunk that very many share is cut; what lies at a range's border counts as matched.
+    """
+    more = DEEPEST - last
+
+    def labels(batches):
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, trees, DEEPEST).astype(np.uint64)
+            join = lambda part: sum((part[:, :, k] << WIDE(8 * (part.shape[2] - 1 - k)) for k in range(part.shape[2])), np.zeros(x.shape[:2], np.uint64))
+            trunk = mix(mix(join(x[:, :, :last])) + np.arange(trees, dtype=np.uint64))
+            node = np.repeat(batch.column(0).to_numpy(), trees)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(trunk.ravel().view(np.int64)), pa.array(join(x[:, :, last:]).ravel().view(np.int64))], ["node", "trunk", "rest"])
+
+    def depths(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, trunk, rest = (batch.column(i).to_numpy() for i in range(3))
+            if held is not None:
+                node, trunk, rest = (np.concatenate([h, c]) for h, c in zip(held[:3], (node, trunk, rest)))
+            same, shared = trunk[1:] == trunk[:-1], np.full(len(node) - 1, last)
+            for k in range(1, more + 1):
+                shared += (rest[1:] >> 8 * (more - k)) == (rest[:-1] >> 8 * (more - k))
+            shared = np.where(same, shared, 0)
+            deep = np.maximum(np.concatenate([[DEEPEST if held is None else held[3]], shared]), np.concatenate([shared, [0]]))
+            held = node[-1:], trunk[-1:], rest[-1:], int(shared[-1]) if len(shared) else deep[-1]
+            yield matched(node[:-1], trunk[:-1], rest[:-1], deep[:-1])
+        if held is not None:
+            yield matched(*held[:3], np.array([DEEPEST]))
+
+    def matched(node, trunk, rest, deep):
+        hit = deep > 0
+        return pa.RecordBatch.from_arrays([pa.array(c[hit].astype(np.int64)) for c in (node, trunk, rest, deep)], ["node", "trunk", "rest", "depth"])
+
+    narrow = store(nodes.mapInArrow(labels, "node long, trunk long, rest long"), "labels")
+    ordered = narrow.repartitionByRange(ranges(narrow, LABELS), "trunk", "rest", "node").sortWithinPartitions("trunk", "rest", "node")
+    return ordered.mapInArrow(depths, "node long, trunk long, rest long, depth long")
+
+
+def ties(members: DataFrame, least: int) -> DataFrame:
+    """Roots (a, b) of members of one trie node whose signatures have at least so many equal bytes, and which hang together by them.
+
+    ``members``: key, i, j (a trie node and two of its blocks), block, root, sig. A task holds two blocks.
+    """
 
-    return in_small_batches(rows).select("_row", "doc_id", "text").mapInArrow(run, f"_row long, doc_id {kind.simpleString()}, s0 long, s1 long, n long, labels array<long>")
+    def finish(key, group):
+        block, root, sig = (list(c) for c in zip(*group))
+        block, root, x = np.array(block), np.array(root), np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
+        _, number = np.unique(root, return_inverse=True)
+        forest, across = Forest(len(root)), key[1] != key[2]
+        columns = np.ascontiguousarray(x.T)
+        tiles = [(a, min(a + TILE, len(root))) for a in range(0, len(root), TILE)]
+        for p, s in enumerate(tiles):
+            for t in tiles[p:]:
+                wanted = number[s[0] : s[1], None] != number[None, t[0] : t[1]]
+                if across:
+                    wanted &= block[s[0] : s[1], None] != block[None, t[0] : t[1]]
+                if wanted.any():
+                    equal = np.zeros(wanted.shape, np.uint16)
+                    for v in columns:
+                        equal += v[s[0] : s[1], None] == v[None, t[0] : t[1]]
+                    tie((equal >= least) & wanted, s[0], t[0], forest)
+        at, least_root = [forest.root(i) for i in range(len(root))], {}
+        for i, r in zip(root.tolist(), at):
+            least_root[r] = min(i, least_root.get(r, i))
+        return {(i, least_root[r]) for i, r in zip(root.tolist(), at) if i != least_root[r]}
+
+    def run(batches):
+        key, group, done = None, [], []
+        for batch in batches:
+            for k, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, i, j) != key:
+                    if len(group) > 1:
+                        done += finish(key, group)
+                    key, group = (k, i, j), []
+                group.append(rest)
+        if len(group) > 1:
+            done += finish(key, group)
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in range(2)], ["a", "b"])
+
+    tasks = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return tasks.select("key", "i", "j", "block", "root", "sig").mapInArrow(run, "a long, b long")
+
+
+def candidates(nodes: DataFrame, threshold: float, trees: int) -> DataFrame:
+    """``node``, ``root`` of all nodes (node, sig) in a candidate group that aren't its root, level by level up the tries."""
+    last = shortest(threshold, trees)
+    labels = store(tries(nodes, trees, last), "tries")
+    edges, roots = None, None
+    for depth in (*range(DEEPEST, last, -STEP), last):
+        here = labels.where(F.col("depth") >= depth).select("node", F.xxhash64("trunk", F.shiftright("rest", 8 * (DEEPEST - depth))).alias("key"))
+        here = here.withColumn("root", F.col("node")) if roots is None else here.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        here = store(here, "level")
+        open_ = here.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b")
+        blocks = F.ceil(F.col("m") / MEMBERS).cast("int")
+        members = here.join(open_.select("key", blocks.alias("blocks")), "key").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "sig")
+        found = store(ties(members, least_estimate(threshold, trees * DEEPEST)).distinct(), "ties")
+        if roots is not None and found.isEmpty():
+            continue
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges)
+    return roots
 
 
 class Forest:
@@ -199,6 +318,8 @@ def spread(row: np.ndarray, column: np.ndarray, part: np.ndarray, n: int) -> np.
 
 def tie(link: np.ndarray, a: int, b: int, forest: Forest) -> None:
     """Join what hangs together in a tile of links, by the least label around until nothing changes."""
+    if not link.any():
+        return
     rows, columns = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
     link = link[np.ix_(rows, columns)]
     of_row, of_column = rows + a, columns + b
@@ -222,7 +343,10 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     def finish(key, group):
         node, block, copies, text = (list(c) for c in zip(*group))
         links, root = compare(shingle_sets(text), block, copies, threshold, key[1] != key[2])
-        return [(n, int(k), node[r]) for n, k, r in zip(node, links, root) if k]
+        lead = {}
+        for n, r in zip(node, root):
+            lead[r] = min(n, lead.get(r, n))
+        return [(n, int(k), lead[r]) for n, k, r in zip(node, links, root) if k]
 
     def run(batches):
         key, group, done = None, [], []
@@ -252,22 +376,17 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, block:
 
     Rows are linked when their n-gram sets are not empty and have a Jaccard similarity of ``threshold`` or more; classes are
     the components of links; ``n_links`` counts the other documents linked with one, copies included. Null, empty and blank
-    texts have no links; repeated rows and null ids are rows like any other; other columns may have any name but
-    ``_row``; an empty table gives an empty result.
+    texts have no links; very long texts are compared whole; repeated rows and null ids are rows like any other; other
+    columns may have any name but ``_row``; an empty table gives an empty result.
     """
     rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    sigs = store(signatures(rows, trees, depth_for(threshold, trees)), "signatures")
+    sigs = store(signatures(rows, trees), "signatures")
     nodes = store(sigs.where("n > 0").groupBy("s0", "s1").agg(F.min("_row").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-
-    labels = sigs.join(nodes.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), F.explode("labels").alias("label"))
-    labels = store(labels, "labels")
-    shared = labels.groupBy("label").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("label", "lead")
-    ties = labels.join(shared, "label").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    found = components(ties)
+    found = candidates(sigs.where("n > 0").select(F.col("_row").alias("node"), "sig").join(nodes.select("node"), "node", "left_semi"), threshold, trees)
     inside = store(found.union(found.select("root", "root").distinct()).join(sigs.select(F.col("_row").alias("node"), "n"), "node"), "members")
 
     sizes = inside.groupBy("root").agg(F.sum("n").alias("total"))
-    # at most ``block`` n-grams each; smaller ones while a component has few, so that its pairs of blocks fill many tasks
+    # at most ``block`` n-grams each; smaller ones while a group has few, so that its pairs of blocks fill many tasks
     number = F.greatest(F.ceil(F.col("total") / block), F.ceil(F.sqrt(F.col("total") * FINER / block)))
     blocks = sizes.select("root", number.cast("int").alias("blocks"))
     dealt = inside.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -300,7 +419,11 @@ def join_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The input's rows and columns, of each class only the first."""
+    """The input's rows and columns, of each class only the first.
+
+    Null, empty and blank texts are classes of their own and stay, as do all columns, whatever their names; of repeated rows one
+    stays; an empty table gives an empty result.
+    """
     own = {c: c if c in ("doc_id", "text") else f"_own{i}" for i, c in enumerate(docs.columns)}
     rows, found = classes(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), threshold)
     stay = rows.join(firsts(found).select(F.col("first_row").alias("_row")), "_row", "left_semi")
