@@ -33,7 +33,7 @@ DIGEST = 16
 REACH = 32  # ids the rolling hash sees
 SHORTEST, LONGEST, MEAN_BITS = 64, 1024, 8  # ids of a chunk; a cut at 1 of 2**MEAN_BITS places
 POLY = 0xEDB88320  # fixed value: the reflected CRC-32 polynomial
-GROUP = 16 << 20  # bytes of a row group of payloads: what a writing task holds in memory
+PAYLOADS = {"parquet.block.size": 16 << 20, "compression": "zstd"}  # a writing task holds a row group in memory
 SEEN = 100_000  # chunk keys a task remembers so as not to send a chunk again
 
 
@@ -167,13 +167,13 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     spark = docs.sparkSession
     rows = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer_path, end_id)
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    rows.write.option("parquet.block.size", GROUP).parquet(f"{path}/staged")
+    rows.write.options(**PAYLOADS).parquet(f"{path}/staged")
     staged = spark.read.schema(rows.schema).parquet(f"{path}/staged")
 
     places = staged.select("_row", F.posexplode("chunks.key").alias("_pos", "key"))
     first = places.groupBy("key").agg(F.min(F.struct("_row", "_pos")).alias("f")).select("f._row", "f._pos")
     chunks = staged.select("_row", F.posexplode("chunks").alias("_pos", "c")).select("_row", "_pos", "c.key", "c.payload")
-    chunks.join(first.hint("shuffle_hash"), ["_row", "_pos"], "left_semi").select("key", "payload").write.option("parquet.block.size", GROUP).parquet(f"{path}/pack")
+    chunks.join(first.hint("shuffle_hash"), ["_row", "_pos"], "left_semi").select("key", "payload").write.options(**PAYLOADS).parquet(f"{path}/pack")
 
     recipes = staged.drop("chunks", "_row")
     ordered = globally_ordered(recipes, [F.asc("doc_id"), F.asc("root")], "recipes")
