@@ -1,82 +1,42 @@
-"""Best-fit packing in bulk-synchronous rounds.
-
-Pieces are range-sorted by length, longest first, and gaps are kept sorted by size. One round takes every piece
-of one length: a successor sweep finds the smallest gap size that holds it, the pieces of that length go to
-those gaps by rank (piece rank r to the r-th place, so no two want the same one), the gaps shrink, and what found
-no place sweeps on to the next gap size or opens sequences. Lengths are at most ``capacity``, so the sweep
-needs the number of pieces of each length only, and sequences with the same history form one run of ids; the
-result is a list of flows (ranks -> run of sequences), whose number depends on the capacity and not on the
-rows. Every piece then finds its flow by a successor search over its global rank, on the executors.
+"""Bulk-synchronous best-fit packing.
+
+Pieces and gaps are tables, and all matching is done in rounds of distributed sweeps over range-sorted rows. Bands of lengths
+come one after the other, longest first. In a band:
+
+* A tight sweep sorts pieces and gaps together, largest first. Reading downwards, a gap opens a bracket and a piece closes the one
+  opened last: its successor, the smallest gap at least as long that no longer piece, nor one of lower rank among equals, has
+  taken. Every range matches its own brackets; what it leaves meets the other ranges' by nesting level, which running
+  sums over the ranges give. So each piece gets one gap at most and each gap one piece, as if one task had swept all.
+* Gaps that hold several pieces of the band take them by the running volume: pieces and gaps lie on one line, a piece goes to the gap on whose
+  stretch it begins, and stretches are shorter than gaps by what the last piece may stick out.
+* Where sweeps place little, as many sequences as the rest needs are opened, filled the same way, and swept again.
+
+Between rounds the gaps are updated in a table. Only a few numbers per range and round reach the driver.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections import defaultdict
-from typing import NamedTuple
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinade.llm.common import globally_ordered, in_small_batches, lookup, partition_offsets, store
+from affinade.llm.common import RANGE_ROWS, in_small_batches, lookup, store
 from affinade.llm.word_codec import codec, slices
 
+EVEN = 7  # so many bands hold capacity / k; in the narrower ones below, pieces fill sequences by volume
+NARROWER = (10, 32, 256)  # capacity / k of those
+LITTLE = 4  # sweeps that place less than 1 of so many pieces are the last ones before sequences are opened
+
 
-class Flow(NamedTuple):
-    """Pieces from global rank ``rank`` on: ``each`` to a sequence, from sequence ``first``, at ``offset``."""
-
-    rank: int
-    first: int
-    each: int
-    offset: int
-    length: int
-
-
-def sweep(counts: dict[int, int], capacity: int) -> list[Flow]:
-    """Best-fit decreasing over piece counts by length; the flows are in order of rank."""
-    flows: list[Flow] = []
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> runs of sequences (first, how many)
-    gaps: list[int] = []  # sorted sizes that have runs
-    opened = rank = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if not n or not gap:
-            return
-        if gap not in runs:
-            bisect.insort(gaps, gap)
-        kept = runs[gap]
-        if kept and sum(kept[-1]) == first:
-            first, n = kept[-1][0], kept.pop()[1] + n
-        kept.append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        while left:
-            i = bisect.bisect_left(gaps, length)
-            if i < len(gaps):
-                gap = gaps[i]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[i]
-            else:
-                gap = capacity
-                first, n = opened, -(-left // (capacity // length))
-                opened += n
-            each = gap // length
-            taken = min(left, each * n)
-            full, part = divmod(taken, each)
-            flows.append(Flow(rank, first, each, capacity - gap, length))
-            put(gap - each * length, first, full)
-            if part:
-                put(gap - part * length, first + full, 1)
-            used = full + bool(part)
-            put(gap, first + used, n - used)
-            rank += taken
-            left -= taken
-    return flows
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(least, largest) length of each band, longest first."""
+    tops = sorted({capacity // k for k in (*range(1, EVEN + 1), *NARROWER)} - {0} | {1}, reverse=True)
+    return [(low + 1, top) for top, low in zip(tops, [*tops[1:], 0])]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,37 +68,179 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     return in_small_batches(rows).mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int) -> DataFrame:
+def swept(df: DataFrame, keys: list[Column], n: int, work: Callable[[int, pa.Table], pa.Table], schema: str, label: str) -> DataFrame:
+    """``df`` sorted into ``n`` ranges and each worked on as a whole, in order; stored. A range has some RANGE_ROWS narrow rows."""
+
+    def run(batches):
+        rows = list(batches)
+        if rows:
+            yield from work(TaskContext.get().partitionId(), pa.Table.from_batches(rows)).to_batches()
+
+    return store(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), label)
+
+
+def column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def before(rows: DataFrame, *sums: str) -> list[dict[int, int]]:
+    """For each column, by range: its sum over all ranges before, and under -1 over all."""
+    found = sorted(rows.groupBy("pid").agg(*(F.sum(c).alias(c) for c in sums)).collect(), key=lambda r: r["pid"])
+    out = []
+    for c in sums:
+        offsets, total = {}, 0
+        for r in found:
+            offsets[r["pid"]] = total
+            total += r[c]
+        out.append(offsets | {-1: total})
+    return out
+
+
+def after(offsets: dict[int, int]) -> Column:
+    return lookup({k: v for k, v in offsets.items() if k >= 0}, F.col("pid"))
+
+
+def tight(pieces: DataFrame, gaps: DataFrame, n: int) -> DataFrame:
+    """One sweep of ``pieces`` (_row, length) over ``gaps`` (seq, gap): _row, length, seq, gap of those that got one."""
+    both = gaps.select(F.lit(1).alias("sign"), F.col("gap").alias("size"), F.col("seq").alias("id")).union(pieces.select(F.lit(-1), "length", "_row"))
+
+    def match(pid: int, t: pa.Table) -> pa.Table:
+        sign, size, own = (column(t, c) for c in ("sign", "size", "id"))
+        depth = np.cumsum(sign, dtype=np.int64)
+        level = np.where(sign > 0, depth, depth + 1)
+        order = np.argsort(level, kind="stable")
+        one, two = order[:-1], order[1:]
+        hit = (level[one] == level[two]) & (sign[one] > 0) & (sign[two] < 0)
+        gap, piece = one[hit], two[hit]
+        free = np.ones(len(sign), bool)
+        free[gap] = free[piece] = False
+        loose = np.flatnonzero(free)
+        nothing = np.full(len(loose), -1, np.int64)
+        columns = [
+            np.concatenate([np.zeros(len(piece), np.int64), sign[loose]]), np.concatenate([own[piece], own[loose]]), np.concatenate([size[piece], size[loose]]),
+            np.concatenate([own[gap], nothing]), np.concatenate([size[gap], nothing]), np.concatenate([np.zeros(len(piece), np.int64), level[loose]]),
+        ]
+        return pa.table([pa.array(np.full(len(columns[0]), pid, np.int32)), *(pa.array(c.astype(np.int64)) for c in columns)], names=["pid", "sign", "id", "size", "seq", "gap", "level"])
+
+    keys = [F.desc("size"), F.desc("sign"), F.asc("id")]
+    found = swept(both, keys, n, match, "pid int, sign long, id long, size long, seq long, gap long, level long", "tight")
+    (net,) = before(found, "sign")  # matched pairs cancel out
+    loose = found.where("sign <> 0").withColumn("level", F.col("level") + after(net))
+    line = Window.partitionBy("level").orderBy("pid", "sign")  # at a level a range leaves one piece and then one gap at most
+    last = lambda c: F.lag(c).over(line)
+    met = loose.withColumns({"seq": last("id"), "gap": last("size"), "open": last("sign")}).where("sign < 0 and open > 0")
+    take = lambda d: d.select(F.col("id").alias("_row"), F.col("size").alias("length"), "seq", "gap")
+    return take(found.where("sign = 0")).union(take(met))
+
+
+def fill(pieces: DataFrame, gaps: DataFrame, capacity: int, top: int, by_number: bool, n: int) -> DataFrame:
+    """Pieces (_row, length) of ``top`` at most into ``gaps`` (seq, gap), several to a gap: _row, length, seq, gap, ahead.
+
+    Gaps, smallest first, and pieces, longest first, lie on one line; the measure is the number of pieces, or their length.
+    """
+    room = F.floor(F.col("gap") / top) if by_number else F.col("gap") - (top - 1)
+
+    def measured(pid: int, t: pa.Table) -> pa.Table:
+        sums = {c: column(t, c).astype(np.int64) for c in ("measure", "size")}
+        columns = [pa.array(np.full(t.num_rows, pid, np.int32)), t.column("id"), t.column("size"), t.column("measure")]
+        return pa.table([*columns, *(pa.array(np.cumsum(v) - v) for v in sums.values())], names=["pid", "id", "size", "measure", "at", "ahead"])
+
+    schema = "pid int, id long, size long, measure long, at long, ahead long"
+    one = pieces.select(F.col("_row").alias("id"), F.col("length").alias("size"), (F.lit(1) if by_number else F.col("length")).cast("long").alias("measure"))
+    one = swept(one, [F.desc("size"), F.asc("id")], n, measured, schema, "piece-line")
+    two = gaps.select(F.col("seq").alias("id"), F.col("gap").alias("size"), room.cast("long").alias("measure"))
+    two = swept(two, [F.asc("size"), F.asc("id")], n, measured, schema, "gap-line")
+    at_one, ahead = before(one, "measure", "size")
+    (at_two,) = before(two, "measure")
+    end = at_two[-1]
+    placed = one.select(F.lit(1).alias("kind"), (F.col("at") + after(at_one)).alias("at"), "id", "size", (F.col("ahead") + after(ahead)).alias("ahead")).where(F.col("at") < end)
+    line = two.select(F.lit(0).alias("kind"), (F.col("at") + after(at_two)).alias("at"), "id", "size", F.lit(0).cast("long").alias("ahead")).union(placed)
+
+    def met(pid: int, t: pa.Table) -> pa.Table:
+        kind, own, size, ahead_ = (column(t, c) for c in ("kind", "id", "size", "ahead"))
+        gap = np.maximum.accumulate(np.where(kind == 0, np.arange(len(kind)), -1))
+        piece = np.flatnonzero(kind == 1)
+        mine = gap[piece]
+        seq, of = np.where(mine >= 0, own[mine], -1), np.where(mine >= 0, size[mine], -1)
+        rows = [own[piece], size[piece], seq, of, ahead_[piece]]
+        if gap[-1] >= 0:  # one more row tells the ranges that follow which gap they begin in
+            rows = [np.append(r, v) for r, v in zip(rows, (-1, 0, own[gap[-1]], size[gap[-1]], 0))]
+        return pa.table([pa.array(np.full(len(rows[0]), pid, np.int32)), *(pa.array(r.astype(np.int64)) for r in rows)], names=["pid", "_row", "length", "seq", "gap", "ahead"])
+
+    found = swept(line, [F.asc("at"), F.asc("kind")], n, met, "pid int, _row long, length long, seq long, gap long, ahead long", "line")
+    seqs, sizes, last = {}, {}, None
+    tails = {r["pid"]: r for r in found.where("_row < 0").collect()}  # a row per range
+    for pid in range(n):
+        if last is not None:
+            seqs[pid], sizes[pid] = last["seq"], last["gap"]
+        last = tails.get(pid, last)
+    own = lambda c, carried: F.when(F.col("seq") >= 0, F.col(c)).otherwise(lookup(carried, F.col("pid"))) if carried else F.col(c)
+    return found.where("_row >= 0").select("_row", "length", own("seq", seqs).alias("seq"), own("gap", sizes).alias("gap"), "ahead")
+
+
+def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Give every piece its ``sequence_id`` and ``offset``; ``pieces`` needs doc_id, piece and length.
 
-    Ties go by doc_id and piece; repeated rows and null ids are packed like any other; an empty table gives
-    an empty result. A length of null, below 1 or over ``capacity`` is an error.
+    Which of equal pieces goes where follows the order of the stored table; repeated rows and null ids are packed like
+    any other; an empty table gives an empty result. A length of null, below 1 or over ``capacity`` is an error. Further
+    columns are kept, but for ``_row``, ``seq`` and the two results' names.
     """
+    spark = pieces.sparkSession
     bad = F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > capacity)
     checked = pieces.withColumn("length", F.when(~bad, F.col("length")).otherwise(F.raise_error(F.lit("a piece's length is out of bounds"))))
-    checked = store(checked, "pieces")
-    ordered = globally_ordered(checked, [F.desc("length"), F.asc("doc_id"), F.asc("piece")], "pieces-ordered")
-    counts = {r["length"]: r["count"] for r in checked.groupBy("length").count().collect()}  # at most capacity rows
-    flows = np.array(sweep(counts, capacity) or [Flow(0, 0, 1, 0, 1)], dtype=np.int64)
-    offsets = partition_offsets(ordered, F.count(F.lit(1)))
-    plan = pieces.sparkSession.sparkContext.broadcast(flows)  # bounded by the capacity, whatever the rows
-    columns = pieces.columns
-
-    def run(batches):
-        ranks, first, each, offset, length = plan.value.T
-        for batch in batches:
-            rank = batch.column(len(columns)).to_numpy(zero_copy_only=False)
-            flow = np.searchsorted(ranks, rank, side="right") - 1
-            place = rank - ranks[flow]
-            sequence = first[flow] + place // each[flow]
-            at = offset[flow] + place % each[flow] * length[flow]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sequence), pa.array(at)], [*columns, "sequence_id", "offset"])
-
-    ranked = ordered.select(*columns, (lookup(offsets, F.col("_pid")) + F.col("_pos")).alias("_rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    checked = store(checked.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    every = checked.select("_row", F.col("length").cast("long").alias("length"))
+    gaps = spark.createDataFrame([], "seq long, gap long")
+    opened, done = 0, []
+
+    def placed(rows: DataFrame, left: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Note where pieces went; the pieces that are left and the gaps after it."""
+        rows = store(rows.select("_row", "length", "seq", "offset"), "placed")
+        done.append(rows.select("_row", "seq", "offset"))
+        used = rows.groupBy("seq").agg(F.sum("length").alias("used"))
+        gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0")
+        return store(left.join(rows.select("_row"), "_row", "left_anti"), "left"), store(gaps, "gaps")
+
+    def filled(left: DataFrame, into: DataFrame, top: int, by_number: bool, n: int) -> DataFrame:
+        rows = store(fill(left, into, capacity, top, by_number, n), "filled")
+        begin = rows.groupBy("seq").agg(F.min("ahead").alias("begin"))
+        return rows.join(begin, "seq").withColumn("offset", capacity - F.col("gap") + F.col("ahead") - F.col("begin"))
+
+    def size(left: DataFrame) -> tuple[int, int]:
+        return left.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+
+    for low, top in bands(capacity):
+        by_number, left = top >= capacity // EVEN, every.where(F.col("length").between(low, top))
+        n_left, volume = size(left)
+        while n_left:
+            fits, wide = gaps.agg(F.count_if(F.col("gap") >= low), F.count_if(F.col("gap") >= 2 * top)).first()
+            n, n_before = 1 + (n_left + fits) // range_rows, n_left
+            if wide:
+                left, gaps = placed(filled(left, gaps.where(F.col("gap") >= 2 * top), top, by_number, n), left, gaps)
+                n_left, volume = size(left)
+            if n_left and fits:
+                rows = tight(left, gaps.where(F.col("gap") >= low), n).withColumn("offset", capacity - F.col("gap"))
+                left, gaps = placed(rows, left, gaps)
+                n_left, volume = size(left)
+            if not n_left or n_before - n_left > n_before // LITTLE:
+                continue
+            need = -(-n_left // (capacity // top)) if by_number else -(-volume // capacity)
+            fresh = spark.range(opened, opened + need).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+            opened += need
+            left, gaps = placed(filled(left, fresh, top, by_number, 1 + (n_left + need) // range_rows), left, gaps.union(fresh))
+            n_left, volume = size(left)
+    if not done:
+        return pieces.limit(0).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    where = done[0]
+    for rows in done[1:]:
+        where = where.union(rows)
+    return checked.join(where, "_row").select(*pieces.columns, F.col("seq").alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
-    """Tokenize, cut and pack; a null text counts as empty (one piece with the end id only)."""
+    """Tokenize, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null text counts as empty (one piece with the end id only); very long texts are cut into pieces of ``capacity``; repeated
+    rows and null ids are packed like any other; an empty table gives an empty result; other columns aren't read.
+    """
     return pack(token_pieces(docs, tokenizer_path, end_id, capacity), capacity)
