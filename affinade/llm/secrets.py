@@ -1,7 +1,8 @@
 """Secret scans with multipart credential linking, on DataFrame functions only.
 
 Base spans: all leftmost matches of three patterns. A pattern's gaps (split) and matches (extract all) alternate, so
-running sums of their lengths give the places, in code points, without leaving the JVM.
+running sums of their lengths give the places, in code points, without leaving the JVM. Lengths are exploded and summed by a
+window, and redaction cuts from blocks of a text, so a text's cost is in proportion to its length however many secrets it has.
 
 Linking: an access key, a secret and an endpoint are harmless alone and a credential together. Weak parts (a loose
 identifier, a loose secret-like run of any length, a URL of any scheme, an assigned value too short for the base) are
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.llm.common import store
@@ -44,39 +45,38 @@ NEEDS = {
 RANK = {kind: i for i, kind in enumerate([*BASE, *WEAK])}
 ID, SECRET, ENDPOINT = "id", "secret", "endpoint"
 PART = {"assign": SECRET, "access": ID, "hex": SECRET, "weak_id": ID, "weak_secret": SECRET, "weak_endpoint": ENDPOINT, "weak_assign": SECRET}
-SPAN = "array<struct<start:bigint,end:bigint>>"
+LENGTHS = "array<struct<gap:int,hit:int,ok:boolean>>"
+PIECE = 1000  # code points of a block that redaction cuts from
 
 
-def spans(text: Column, pattern: str, least: int | None = None) -> Column:
-    """All leftmost matches' places; with ``least``, those whose group 2 is that long."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    long_enough = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda g: F.length(g) >= least) if least else F.transform(hits, lambda h: F.lit(True))
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), long_enough.alias("ok"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def add(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
+def lengths(text: Column, kind: str) -> Column:
+    """Per leftmost match: the length before it, its own, and whether it counts (for assign: its group 2 is long enough)."""
+    pattern = (BASE | WEAK)[kind]
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    counts = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else hits
+    parts = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), counts.alias("own"))
+    least = ASSIGN_LEAST if kind == "assign" else 0
+    found = F.transform(parts, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), (F.length(x["own"]) >= least).alias("ok")))
+    return F.when(text.rlike(NEEDS.get(kind, pattern)), found).otherwise(F.array().cast(LENGTHS))
 
-    return F.aggregate(parts, start, add, lambda s: s["out"])
 
+def of_rank(rank: Column, values: dict) -> Column:
+    """The kind's value in ``values`` (by kind) for a kind's rank."""
+    return F.element_at(F.array(*(F.lit(values[k]) for k in RANK)), rank + 1)
 
-def found(text: Column, kind: str) -> Column:
-    pattern = (BASE | WEAK)[kind]
-    look = NEEDS.get(kind, pattern)
-    return F.when(text.rlike(look), spans(text, pattern, ASSIGN_LEAST if kind == "assign" else None)).otherwise(F.array().cast(SPAN))
 
+def places(rows: DataFrame) -> DataFrame:
+    """_row, rank, start, end, kind, part of every span, from the rows' columns of lengths."""
 
-def tagged(kinds) -> Column:
-    """One array of (start, rank, end, kind) from the kinds' columns, in order of start, then kind as listed."""
+    def tagged(kind: str) -> Column:
+        return F.transform(kind, lambda x, i: F.struct(F.lit(RANK[kind]).alias("rank"), i.alias("no"), x["gap"].alias("gap"), x["hit"].alias("hit"), x["ok"].alias("ok")))
 
-    def one(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(RANK[kind]).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-
-    return F.array_sort(F.concat(*map(one, kinds)))
+    some = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in RANK))
+    each = rows.where(some).select("_row", F.explode(F.concat(*map(tagged, RANK))).alias("s")).select("_row", "s.*")
+    line = Window.partitionBy("_row", "rank").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum((F.col("gap") + F.col("hit")).cast("long")).over(line)
+    found = each.withColumn("end", end).where("ok").withColumn("start", F.col("end") - F.col("hit"))
+    return found.select("_row", "rank", "start", "end", of_rank(F.col("rank"), {k: k for k in RANK}).alias("kind"), of_rank(F.col("rank"), PART).alias("part"))
 
 
 def joined(items: Column) -> Column:
@@ -99,49 +99,67 @@ def linked(parts: DataFrame, key: str, scope: int) -> DataFrame:
 
 
 def scan(docs: DataFrame, scope: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's id and spans: one column an array of (start, end) for each base kind, and ``weak``, an array of (start, rank, end, kind).
+    """Every row's id and ``spans``: an array of (start, rank, end, kind, ended), in order of start, then kind as listed; ``ended`` is how far the spans before reach.
 
-    Null and empty texts have none; repeated rows each have theirs; null ids are kept; an empty table gives an
-    empty result. ``keep`` names further columns to carry along.
+    Null and empty texts have none; repeated rows each have theirs; null ids are kept; texts of any length and number of spans take time in
+    proportion; an empty table gives an empty result; other columns aren't read. ``keep`` names further columns to
+    carry along (none of this function's own names).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = [c for c in keep if c not in ("doc_id",)]
-    rows = docs.select(F.col(id_col).alias("doc_id"), *names, *(found(text, k).alias(k) for k in [*BASE, *WEAK]))
-    rows = store(rows.withColumn("_row", F.monotonically_increasing_id()), "secrets")  # narrow, and the row numbers stay
-    some = reduce(lambda a, b: a | b, (F.size(k) > 0 for k in WEAK))
-    alls = rows.where(some).select("_row", F.explode(tagged(RANK)).alias("s")).select("_row", "s.start", "s.end", "s.kind")
-    part = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(PART[k])), PART, F)
-    weak = linked(alls.withColumn("part", part), "_row", scope)
-    rank = reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(RANK[k])), WEAK, F)
-    kept = weak.withColumn("rank", rank).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("weak"))
-    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    return rows.drop(*WEAK).join(kept, "_row", "left").withColumn("weak", F.coalesce("weak", none)).drop("_row")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *names, *(lengths(text, k).alias(k) for k in RANK))
+    rows = store(rows.withColumn("_row", F.monotonically_increasing_id()), "secrets")  # the row numbers stay
+    alls = store(places(rows), "secret-spans")
+    base = alls.where(F.col("rank") < len(BASE)).select("_row", "start", "rank", "end", "kind")
+    weak = linked(alls, "_row", scope).select("_row", "start", of_rank_by_kind().alias("rank"), "end", "kind")
+    line = Window.partitionBy("_row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    spans = base.union(weak).withColumn("ended", F.coalesce(F.max("end").over(line), F.lit(0).cast("bigint")))
+    spans = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "ended"))).alias("spans"))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,ended:bigint>>")
+    return rows.drop(*RANK).join(spans, "_row", "left").withColumn("spans", F.coalesce("spans", none)).drop("_row")
+
+
+def of_rank_by_kind() -> Column:
+    return reduce(lambda c, k: c.when(F.col("kind") == k, F.lit(RANK[k])), RANK, F)
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    base = tagged(BASE)
-    count = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
-    return rows.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.array_sort(F.concat(base, "weak"))).alias("spans"))
+    """The query's columns from scan()'s rows."""
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    count = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return rows.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def between(blocks: Column, begin: Column, end: Column) -> Column:
+    """The text from code point ``begin`` to ``end``, put together from its blocks."""
+    first, last = F.floor(begin / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    of = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    inside = F.substring(of(first), (begin % PIECE + 1).cast("int"), (end - begin).cast("int"))
+    head, tail = F.substring(of(first), (begin % PIECE + 1).cast("int"), F.lit(PIECE)), F.substring(of(last), F.lit(1), (end % PIECE).cast("int"))
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(end <= begin, F.lit("")).when(first == last, inside).otherwise(F.concat(head, middle, tail))
 
 
 def redact(docs: DataFrame, scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
-    """The same columns with every span's text replaced by ``mark`` (overlapping spans by one), n_chars brought up to date."""
+    """The same columns with every span's text replaced by ``mark`` (overlapping spans by one), n_chars brought up to date.
+
+    Every row stays, repeated ones, null ids, null and empty texts included; texts of any length and number of spans take
+    time in proportion; an empty table gives an empty result; columns may have any names.
+    """
     columns = docs.columns
     own = {c: f"_own{i}" for i, c in enumerate(columns)}  # their names may be those of this module's columns
     renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
     rows = scan(renamed, scope, own["doc_id"], own["text"], tuple(own.values()))
-    alls = F.array_sort(F.concat(tagged(BASE), "weak"))
-    text = F.col(own["text"])
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    text, some = F.col(own["text"]), F.size("spans") > 0
+    cut = rows.withColumn("blocks", F.when(some, F.regexp_extract_all(own["text"], F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
 
-    def add(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        gap = F.substring(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"))
+    def piece(s: Column) -> Column:
+        return F.when(s["start"] >= s["ended"], F.concat(between(F.col("blocks"), s["ended"], s["start"]), F.lit(mark))).otherwise(F.lit(""))
 
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size(alls) > 0, F.aggregate(alls, start, add, rest)).otherwise(text)
+    rest = between(F.col("blocks"), F.array_max(F.transform("spans", lambda s: s["end"])), F.length(text).cast("bigint"))
+    clean = F.when(some, F.concat(F.array_join(F.transform("spans", piece), ""), rest)).otherwise(text)
     fresh = {"text": clean}
     if "n_chars" in columns:
-        fresh["n_chars"] = F.when(F.size(alls) > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
-    return rows.select(*(fresh.get(c, F.col(n)).alias(c) for c, n in own.items()))
+        fresh["n_chars"] = F.when(some, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
+    return cut.select(*(fresh.get(c, F.col(n)).alias(c) for c, n in own.items()))

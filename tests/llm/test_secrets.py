@@ -120,3 +120,25 @@ def test_long_runs_cost_no_square(spark):
     text = "a1" * 300_000 + " " + "Ab1" * 100_000 + " user=bob x://abcdef"
     (row,) = secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
     assert row["spans"] == "hex:0:600000,weak_secret:600001:900001,weak_id:900002:900010,weak_endpoint:900011:900021"
+
+
+def test_overlapping_spans_are_marked_once(spark):
+    """A long span over many short ones, and spans at a block's border."""
+    long_one = "Zz9+" + "+".join(["0123456789abcdef"] * 30)
+    texts = [f"user=bob {long_one} end", "x" * 980 + " password=abcdefghijkl " + "y" * 2100 + " token=zyxwvutsrqpo", "é" * 1000 + "0123456789abcdef" + "𝒳" * 999]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert got == {0: "[SECRET] [SECRET] end", 1: "x" * 980 + " [SECRET] " + "y" * 2100 + " [SECRET]", 2: "é" * 1000 + "[SECRET]" + "𝒳" * 999}
+
+
+def test_many_secrets_cost_no_square(spark):
+    """A text of a million characters with 45,000 secrets."""
+    import time
+
+    text = "password=abcdefghijkl " * 45_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begin = time.time()
+    (row,) = secrets.digest(secrets.scan(df)).collect()
+    assert row["n_assign"] == 45_000 and row["spans"].endswith("assign:989978:989999")
+    (clean,) = secrets.redact(df).collect()
+    assert clean["text"] == "[SECRET] " * 45_000 and time.time() - begin < 60
