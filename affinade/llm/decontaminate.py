@@ -47,6 +47,10 @@ def automaton(patterns: list[tuple[bytes, list]]):
     return _built[key]
 
 
+def listed(ids: set) -> list:
+    return sorted(ids, key=lambda v: (v is None, v if v is not None else 0))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -89,7 +93,7 @@ def _scan(docs: DataFrame, patterns: list[tuple[bytes, list]], item_type: pa.Dat
                 got = merged(got)
                 hits.append([{"start": x, "end": y} for x, y in got])
                 spans.append([{"start": x, "end": y} for x, y in original(text, got)] if got else [])
-                found.append(sorted(ids))
+                found.append(listed(ids))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[4:], batch.column(0), batch.column(1) if keep_text else pa.nulls(len(n_words), pa.binary()), pa.array(hits, pa.list_(SPAN)), pa.array(found, pa.list_(item_type)), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(SPAN))],
                 [*kept, "doc_id", "text", "hit_words", "items", "n_words", "spans"],
@@ -104,8 +108,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     """One row per document: doc_id, n_words, hit_words (word spans), items (matched ids), spans (code points of the original).
 
     Null and empty texts have no words and no hits, on either side; items of fewer words than a window match
-    as a whole; repeated rows and ids, null ids and empty tables are kept as they are; null item ids match too
-    but are not listed. A benchmark of more than ``block_bytes`` is taken in blocks of about that size, one pass
+    as a whole; repeated rows and ids, null ids and empty tables are kept as they are; null item ids count as one item,
+    listed last as null; very long texts are scanned whole. A benchmark of more than ``block_bytes`` is taken in blocks of about that size, one pass
     over the documents each, so that neither the driver nor an automaton outgrows them. ``keep`` names columns to carry
     along (none of this function's own names), ``keep_text`` the text, as bytes.
     """
@@ -121,8 +125,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         whose: dict[bytes, set] = {}
         for item_id, text in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect():
             for w in windows(bytes(text) if text is not None else None, window):
-                whose.setdefault(w, set()).update(() if item_id is None else (item_id,))
-        patterns = [(w, sorted(ids)) for w, ids in sorted(whose.items())]
+                whose.setdefault(w, set()).add(item_id)
+        patterns = [(w, listed(ids)) for w, ids in sorted(whose.items())]
         last = k == blocks - 1
         state = _scan(state, patterns, to_arrow_type(item_kind), item_kind.simpleString(), keep_text or not last, keep)
         if not last:
@@ -131,7 +135,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The input's rows and columns without the documents that hold a window of the benchmark."""
+    """The input's rows and columns without the documents that hold a window of the benchmark.
+
+    Null, empty and blank texts hold none and stay, as do repeated rows, null ids and all columns, whatever their
+    names; with an empty benchmark every row stays; an empty table gives an empty result.
+    """
     own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
     del own["doc_id"], own["text"]
     renamed = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
@@ -142,5 +150,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns from decontaminate()'s rows."""
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    ids = F.array_sort(F.transform(F.filter("items", lambda x: x.isNotNull()), lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))

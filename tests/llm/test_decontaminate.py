@@ -29,7 +29,7 @@ def brute(docs, items, size=10):
                         hit.update(range(i, i + k))
                         found.add(item_id)
         ids = ",".join(sorted(str(i) for i in found if i is not None))
-        yield doc_id, len(w), len(hit), len(found - {None}), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
+        yield doc_id, len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
 
 
 def rows(spark):
