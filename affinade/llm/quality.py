@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
-Every word and every character n-gram of a word has a vector in a hashed table, and one more vector stands for all
-word bigrams of twice the same word; a document is the average of the vectors of all it holds; a softmax over it gives the classes. Table and softmax are trained together by
+Every word, every character n-gram of a word and every pair of neighbouring words has a vector in a hashed table; a document is the
+average of the vectors of all it holds; a softmax over it gives the classes. Table and softmax are trained together by
 stochastic gradient descent in numpy. To score, only the difference of the two logits matters, which is linear in the
 vectors, so each word is worth one number (and one count), found once a process and then looked up.
 """
@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +20,18 @@ from affinade.llm.common import in_small_batches
 from affinade.llm.labelled import sample_by_label
 from affinade.llm.word_codec import slices
 
-BITS, DIM = 17, 16  # hashed table: 2**BITS vectors of DIM numbers
+BITS, DIM = 18, 16  # hashed table: 2**BITS vectors of DIM numbers
 NGRAMS = (3, 4, 5)
-TWICE, TWICE_WEIGHT = 1 << BITS, 8  # the row of a repeated word's bigram, and as how many features it counts
+PAIR = 16  # features that a pair of neighbouring words counts as: about as many as a word with its n-grams has
 CACHE = 400_000  # words kept in a process; when full they start anew
 STEP = np.uint32(0x9E3779B1)  # odd multiplier of the rolling n-gram hash
 
 
 def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of all features of each word, in a row, and where each word's begin."""
-    marked = "\x00".join(f"<{w}>" for w in words)
+    marked = "\n".join(f"<{w}>" for w in words)  # words come from a split at white space: none holds a newline
     points = np.frombuffer(marked.encode("utf-32-le"), np.uint32)
-    edge = points == 0
+    edge = points == 10
     owner = np.cumsum(edge)
     rows, owners = [np.array([zlib.crc32(w.encode()) >> (32 - BITS) for w in words], np.int64)], [np.arange(len(words))]
     h = points * STEP
@@ -51,8 +49,14 @@ def buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows)[by], np.searchsorted(at[by], np.arange(len(words)))
 
 
-def repeats(words: list[str]) -> int:
-    return sum(map(eq, words, islice(words, 1, None)))
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words))
+
+
+def pairs(hashes: np.ndarray) -> np.ndarray:
+    """Table rows of neighbouring words, by the words' hashes."""
+    h = (hashes[:-1] ^ (hashes[:-1] >> np.uint32(15))) * STEP + hashes[1:] * np.uint32(0x85EBCA6B)
+    return ((h ^ (h >> np.uint32(13))) * STEP >> np.uint32(32 - BITS)).astype(np.int64)
 
 
 @dataclass
@@ -60,40 +64,63 @@ class QualityModel:
     value: np.ndarray  # per table row: how far it moves the logit of class 1 over class 0
     bias: float
 
-    def scores(self, texts: list[str | None], known: dict[str, complex]) -> list[float]:
-        """Probability of class 1; ``known`` keeps each word's sum of values (real) and count of features (imaginary)."""
-        words = [(t or "").split() for t in texts]
-        unseen = set()
-        unseen.update(*words)
-        new = list(unseen.difference(known))
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(unseen)
+
+class Scorer:
+    """A model and the words met so far: each one's sum of values, count of features, and hash."""
+
+    def __init__(self, model: QualityModel):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.total, self.count, self.hash = np.zeros(0), np.zeros(0), np.zeros(0, np.uint32)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        new = list(set(words).difference(self.number))
+        if len(self.number) + len(new) > CACHE:
+            self._clear()
+            new = list(set(words))
         if new:
             rows, begin = buckets(new)
-            total = np.add.reduceat(self.value[rows].astype(np.float64), begin)
-            known.update(zip(new, (total + 1j * np.diff([*begin, len(rows)])).tolist()))
-        get = known.__getitem__
-        twice = TWICE_WEIGHT * complex(self.value[TWICE], 1)
-        out = []
-        for w in words:
-            s = sum(map(get, w), repeats(w) * twice)
-            out.append(self.bias + (s.real / s.imag if s.imag else 0.0))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.total = np.append(self.total, np.add.reduceat(self.model.value[rows].astype(np.float64), begin))
+            self.count = np.append(self.count, np.diff([*begin, len(rows)]))
+            self.hash = np.append(self.hash, hashes(new))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Probability of class 1."""
+        each = [(t or "").split() for t in texts]
+        size = np.array([len(w) for w in each])
+        at = self._numbers([w for words in each for w in words])
+        owner = np.repeat(np.arange(len(each)), size)
+        total, count = np.bincount(owner, self.total[at], len(each)), np.bincount(owner, self.count[at], len(each))
+        if len(at) > 1:
+            inside = owner[1:] == owner[:-1]
+            value = np.where(inside, self.model.value[pairs(self.hash[at])], 0)
+            total += PAIR * np.bincount(owner[1:], value, len(each))
+            count += PAIR * np.maximum(size - 1, 0)
+        out = self.model.bias + np.divide(total, count, out=np.zeros(len(each)), where=count > 0)
         return (1 / (1 + np.exp(-np.clip(out, -30, 30)))).tolist()
 
 
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A document's table rows and their weights (sum 1)."""
+    words = (text or "").split()
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0)
+    rows, n = np.unique(np.concatenate([buckets(words)[0], np.repeat(pairs(hashes(words)), PAIR)]), return_counts=True)
+    return rows, n / n.sum()
+
+
 def examples(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Each sampled document's table rows with their weights (sum 1), made on the executors."""
+    """Each sampled document's table rows with their weights, made on the executors."""
 
     def run(batches):
         for batch in batches:
-            ids, weights = [], []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").split()
-                more = np.full(repeats(words) * TWICE_WEIGHT, TWICE)
-                rows, n = np.unique(np.concatenate([buckets(words)[0], more]), return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0))
-                ids.append(rows.astype("<i4").tobytes())
-                weights.append((n / max(1, n.sum())).astype("<f4").tobytes())
+            made = [features(text) for text in batch.column(1).to_pylist()]
+            ids, weights = ([m[k].astype(t).tobytes() for m in made] for k, t in ((0, "<i4"), (1, "<f4")))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], ["doc_id", "label", "ids", "weights"])
 
     rows = sample.mapInArrow(run, "doc_id string, label int, ids binary, weights binary").collect()
@@ -103,7 +130,7 @@ def examples(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
 
 def fit(data: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: float = 0.5, seed: int = 0) -> QualityModel:
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / DIM, 1 / DIM, ((1 << BITS) + 1, DIM)).astype(np.float32)
+    table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     top, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     share = np.bincount([y for *_, y in data], minlength=2) / max(1, len(data))
     weight = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0).clip(max=20)  # classes count alike
@@ -128,18 +155,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label: str
     """``doc_id``, ``score`` (probability of class 1), ``predicted`` for every document.
 
     Learns from at most ``per_class`` labelled documents of each class where ``train`` holds. Empty and null texts get
-    the score of the bias alone; without any labelled row all scores are 0.5. Repeated rows and null ids are scored like
-    any other. Only doc_id and text are read.
+    the score of the bias alone; without any labelled row all scores are 0.5. Texts of any length are scored whole; repeated
+    rows and null ids are scored like any other. Only doc_id and text are read.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(examples(sample_by_label(docs, labels, label, train, per_class))))
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        known: dict[str, complex] = {}
+        scorer = Scorer(model.value)
         for batch in batches:
             texts, out = batch.column(1).to_pylist(), []
             for a, b in slices([len(t or "") for t in texts]):
-                out += model.value.scores(texts[a:b], known)
+                out += scorer.scores(texts[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     out = in_small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double")
