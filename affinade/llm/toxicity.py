@@ -35,12 +35,13 @@ TOP = 3
 OTHERS = 13
 ALPHABET = 27 + OTHERS  # 0: a word's edge; 1 to 26: a to z; from 27: other letters, dealt out by code point
 CACHE = 400_000  # words kept in a process; when full they start anew
+PART = 10_000  # rows of the learning problem in memory together as doubles
 AT_ONCE = 20_000  # words whose subsequences are in memory together
 TELLING = 8.0  # log-likelihood ratio from which a word tells of toxicity by itself
-LONGEST_SAMPLE = 20_000  # characters of a document that may be sampled to learn from
 TAILS = list(combinations(range(1, SPAN), ORDER - 1))  # places of the characters after the first
-SENTENCE = re.compile(r"[.!?\n]+(?:\s|$)|\n")
-APART = re.compile(r"(?<!\S)(?:[^\W\d_]\W*\s+){2,}[^\W\d_]\W*(?!\S)")
+# Both read a text once: a run of signs or blanks is taken whole and never tried in parts.
+SENTENCE = re.compile(r"(?<![.!?\n])[.!?\n]++(?:\s|$)|\n")
+APART = re.compile(r"(?<!\S)[^\W\d_][^\w\s]*+(?!\S)(?:(?:\s++[^\w\s]++(?!\S))*+\s++[^\W\d_][^\w\s]*+(?!\S)){2,}+")
 
 
 def _letters() -> np.ndarray:
@@ -126,7 +127,7 @@ def spread(word: str) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(inv, np.concatenate([p[1] for p in parts]), len(u)) / NORMS[min(len(code), len(NORMS) - 1)]
 
 
-def kernel(words: list[str], landmarks: list[str], batch: int = 4_000) -> np.ndarray:
+def kernel(words: list[str], landmarks: list[str], batch: int = 500) -> np.ndarray:
     """Words against landmarks, over the subsequences that landmarks have."""
     if not landmarks:
         return np.zeros((len(words), 0), np.float32)
@@ -184,31 +185,45 @@ class ToxicModel:
         return (1 / (1 + np.exp(-np.clip(top @ self.slope + self.shift, -30, 30)))).tolist()
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 3e-4, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge by Newton steps over the rows inside the margin."""
-    x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
-    cost, v = weight / weight.sum(), np.zeros(x1.shape[1])
+def svm(blocks: list[np.ndarray], white: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 3e-4, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Linear SVM with squared hinge by Newton steps over the rows inside the margin: the machine, bias last, and all margins.
+
+    A row's features are its kernel values, which lie in column blocks, times ``white``; they are made for PART rows at a time.
+    """
+    cost, v = weight / weight.sum(), np.zeros(white.shape[1] + 1)
     ridge = np.full(len(v), reg)
     ridge[-1] = 1e-9
+    margin = np.zeros(len(blocks[0]))
     for _ in range(steps):
-        active = y * (x1 @ v) < 1
-        xa = x1[active] * cost[active, None]
-        new = np.linalg.solve(xa.T @ x1[active] + np.diag(ridge), xa.T @ y[active])
-        if np.allclose(new, v, atol=1e-7):
+        active = np.flatnonzero(y * margin[rows] < 1)
+        left, right = np.diag(ridge), np.zeros(len(v))
+        for at in range(0, len(active), PART):
+            part = active[at : at + PART]
+            x1 = np.ones((len(part), len(v)), np.float32)
+            x1[:, :-1] = np.concatenate([b[rows[part]] for b in blocks], 1) @ white.astype(np.float32)
+            xa = x1 * cost[part, None].astype(np.float32)
+            left += xa.T @ x1
+            right += xa.T @ y[part]
+        new = np.linalg.solve(left, right)
+        done, v = np.allclose(new, v, atol=1e-4), new
+        w, margin = white @ v[:-1], np.full(len(margin), v[-1])
+        for b in blocks:
+            margin += b @ w[: b.shape[1]].astype(np.float32)
+            w = w[b.shape[1] :]
+        if done:
             break
-        v = new
-    return v[:-1], float(v[-1])
+    return v, margin
 
 
-def fit(documents: list[tuple[list[list[str]], int]], landmarks: int = 96, rounds: int = 6, nearest: int = 60_000, harder: int = 32) -> ToxicModel:
-    """``documents``: the sentences of each, as words, and its label."""
+def fit(documents: list[tuple[list[str], int]], landmarks: int = 96, rounds: int = 6, harder: int = 32) -> ToxicModel:
+    """``documents``: the distinct words of each, and its label."""
     flat = ToxicModel(np.zeros(ALPHABET**ORDER), 0.0, np.zeros(TOP), -30.0)
     n = Counter(y for _, y in documents)
     if not n[0] or not n[1]:
         return flat
     df = {0: Counter(), 1: Counter()}
-    for parts, y in documents:
-        df[y].update({w for s in parts for w in s if len(w) > 2})
+    for own, y in documents:
+        df[y].update(w for w in own if len(w) > 2)
 
     def gain(w: str) -> float:
         """Log-likelihood ratio of a word's share in toxic documents against the others, if above."""
@@ -225,29 +240,22 @@ def fit(documents: list[tuple[list[list[str]], int]], landmarks: int = 96, round
     if not telling:
         return flat
 
-    # words near no telling landmark can't be a witness nor a hard negative: the nearest ones are enough to learn from
-    words = sorted(df[0].keys() | df[1].keys())
-    near = np.zeros(ALPHABET**ORDER)
-    for mark in telling:
-        u, w = spread(mark)
-        near[u] += w
-    vocabulary = [words[i] for i in np.argsort(-totals(words, near), kind="stable")[:nearest].tolist()]
+    vocabulary = sorted(df[0].keys() | df[1].keys())
     number = {w: i for i, w in enumerate(vocabulary)}
     many = np.array([df[0][w] for w in vocabulary], np.float64)
-    bags = [(np.array([number[w] for w in {w for s in parts for w in s if w in number}], np.int64), y) for parts, y in documents]
+    bags = [(np.array([number[w] for w in own if w in number], np.int32), y) for own, y in documents]
     gained = np.array([gains.get(w, 0.0) for w in vocabulary])
     margin = gained  # for the first witnesses
     clean = np.flatnonzero(many > 0)
-    against = np.zeros((len(vocabulary), 0), np.float32)
+    blocks: list[np.ndarray] = []
     for turn in range(rounds):
         if turn % 2 == 0:  # the clean words that score highest become landmarks too
             new = list(plain) if not turn else [vocabulary[i] for i in clean[np.argsort(-margin[clean], kind="stable")].tolist() if vocabulary[i] not in marks][:harder]
             marks = marks + new if turn else telling + new
-            against = kernel(vocabulary, marks) if not turn else np.concatenate([against, kernel(vocabulary, new)], 1)
+            blocks.append(kernel(vocabulary, marks if not turn else new))
             gram = kernel(marks, marks).astype(np.float64)
             values, vectors = np.linalg.eigh((gram + gram.T) / 2)
             white = vectors / np.sqrt(np.maximum(values, 1e-2))
-            x = against @ white
         # positives: each toxic document's highest word, unless even that is unlikely (a wrong label), and its telling words
         least = TELLING if not turn else -0.25
         witness = [b[np.argmax(margin[b])] for b, y in bags if y == 1 and len(b)]
@@ -258,15 +266,14 @@ def fit(documents: list[tuple[list[list[str]], int]], landmarks: int = 96, round
         rows = np.concatenate([up, clean])
         y = np.concatenate([np.ones(len(up)), -np.ones(len(clean))])
         weight = np.concatenate([positive[up] / n[1], many[clean] / n[0]])  # a word costs as many documents as have it
-        v, bias = svm(x[rows], y, weight)
-        margin = x @ v + bias
+        v, margin = svm(blocks, white, rows, y, weight)
     top = np.array([highest(margin[b].tolist()) for b, _ in bags])
     slope, shift = logistic(top, np.array([y for _, y in bags]))
     weight = np.zeros(ALPHABET**ORDER)
-    for mark, a in zip(marks, white @ v.astype(np.float64)):
+    for mark, a in zip(marks, white @ v[:-1]):
         u, s = spread(mark)
         weight[u] += a * s
-    return ToxicModel(weight.astype(np.float32), bias, slope, shift)
+    return ToxicModel(weight.astype(np.float32), float(v[-1]), slope, shift)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[np.ndarray, float]:
@@ -281,36 +288,29 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[np.ndarray
     return a[:-1], float(a[-1])
 
 
-def labelled_sentences(sample: DataFrame) -> list[tuple[list[list[str]], int]]:
-    """Each sampled document's sentences, every distinct word of it once (its first place), as the executors find them."""
+def labelled_words(sample: DataFrame) -> list[tuple[list[str], int]]:
+    """Each sampled document's distinct words, sentence by sentence, as the executors find them."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                seen: set[str] = set()
-                parts = []
-                for s in sentences(text or ""):
-                    new = [w for w in dict.fromkeys(words_of(s)) if w not in seen and len(w) <= 40]
-                    seen.update(new)
-                    parts.append(" ".join(new))
-                out.append("\n".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(out, pa.string())], ["doc_id", "label", "text"])
-
-    short = sample.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_SAMPLE)
-    rows = short.mapInArrow(run, "doc_id string, label int, text string").collect()
-    rows.sort(key=lambda r: (zlib.crc32(r["doc_id"].encode()), r["text"]))
-    return [([s.split() for s in r["text"].split("\n")], r["label"]) for r in rows]
+            out = [list(dict.fromkeys(w for s in sentences(text or "") for w in words_of(s))) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(out, pa.list_(pa.string()))], ["doc_id", "label", "words"])
+
+    one: dict[str, str] = {}  # a word is in memory once
+    rows = sample.mapInArrow(run, "doc_id string, label int, words array<string>").toLocalIterator()
+    found = [(r["doc_id"], [one.setdefault(w, w) for w in r["words"]], r["label"]) for r in rows]
+    found.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0]))
+    return [(words, y) for _, words, y in found]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", per_class: int = 2500) -> DataFrame:
     """``doc_id``, ``score`` (probability of class 1), ``predicted`` for every document.
 
-    Learns from at most ``per_class`` labelled documents of each class where ``train`` holds, of those the ones of
-    LONGEST_SAMPLE characters at most. Empty and null texts get the score of the bias; without two classes or telling words
+    Learns from at most ``per_class`` labelled documents of each class where ``train`` holds, from all their words. Texts of any
+    length are scored whole. Empty and null texts get the score of the bias; without two classes or telling words
     all scores are 0. Repeated rows and null ids are scored like any other. Reads doc_id and text only.
     """
-    fitted = fit(labelled_sentences(sample_by_label(docs, labels, label, train, per_class)))
+    fitted = fit(labelled_words(sample_by_label(docs, labels, label, train, per_class)))
     model = docs.sparkSession.sparkContext.broadcast(fitted)  # one weight a subsequence: 10 MB
     kind = docs.schema["doc_id"].dataType
 
