@@ -18,11 +18,12 @@ def sample_by_label(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     """``doc_id``, ``text``, ``label`` of at most ``per_class`` labelled documents of each class 0 and 1.
 
     Which ones: the lowest hashes of the ids among label rows where ``train`` holds, so the choice doesn't depend on
-    partitions. Null ids and labels other than 0 and 1 take no part; where an id has several label rows, one counts; where
-    several documents share an id, twice the sample's rows at most are taken. The sampled ids are at most
-    2 x ``per_class`` rows, so they are broadcast, and the documents aren't shuffled.
+    partitions. Null ids and labels other than 0 and 1 take no part; where an id has several label rows, the largest label counts; where
+    several documents share an id, the least text. The sampled ids are at most 2 x ``per_class`` rows, so they
+    are broadcast, and only the sampled documents are shuffled.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & train)
     parts = [known.where(F.col("label") == k).distinct().orderBy(order_hash("doc_id", seed), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return in_small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(4 * per_class)
+    found = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

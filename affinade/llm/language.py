@@ -147,7 +147,10 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 500, batch: int = 128, ra
 
 
 def labelled_windows(docs: DataFrame, train: Column, per_language: int, most: int, per_doc: int) -> tuple[np.ndarray, list[str]]:
-    """Up to ``per_doc`` windows of up to ``per_language`` documents of each language, ``most`` documents in all."""
+    """Up to ``per_doc`` windows of up to ``per_language`` documents of each language, ``most`` documents in all.
+
+    Where several documents share an id, the least text counts, so the sample doesn't depend on partitions.
+    """
     known = in_small_batches(docs).select("doc_id", "text", "lang").where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = known.select("lang", "doc_id").withColumn("_h", order_hash("doc_id", 5)).withColumn("_slot", F.pmod(F.col("_h"), F.lit(SLOTS)))
     # counts by slots of the hash say up to which slot a language's sample reaches, so no task ranks all of a language
@@ -156,10 +159,10 @@ def labelled_windows(docs: DataFrame, train: Column, per_language: int, most: in
     reach = slots.where(F.col("_before") < per_language).groupBy("lang").agg(F.max("_slot").alias("_last"))
     reach = F.broadcast(reach.orderBy("lang").limit(most))  # a sample of ``most`` documents has no more languages
     by_hash = Window.partitionBy("lang").orderBy("_slot", "_h", "doc_id")
-    sample = hashed.join(reach, "lang").where("_slot <= _last").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language)
+    sample = hashed.join(reach, "lang").where("_slot <= _last").distinct().withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language)
     sample = sample.orderBy("_n", "lang").limit(most)
     ids = sample.select("doc_id").distinct()  # at most ``most`` rows
-    texts = known.join(F.broadcast(ids), "doc_id").limit(2 * most)
+    texts = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "t.text", "t.lang")
 
     def run(batches):
         for batch in batches:

@@ -98,8 +98,8 @@ def test_gapped_and_inserted_insults():
         if k % 4 == 0:
             for w in rng.sample(["idiot", "moron", "worthless", "pathetic"], 3):
                 words.insert(rng.randrange(len(words)), w)
-        docs.append(([words], int(k % 4 == 0)))
-    model = toxicity.fit(docs, landmarks=30, nearest=2000)
+        docs.append((words, int(k % 4 == 0)))
+    model = toxicity.fit(docs, landmarks=30)
     plain, gapped, apart, clean_score, empty = model.scores(["an idiot and moron so pathetic", "an idxiot and mo-ron so pathe.tic", "you i d i o t and m o r o n, worthless", "theranly onsting erreou", ""], {})
     assert plain > 0.5 and gapped > 0.5 and apart > 0.5 and clean_score < 0.5 and empty < 0.5
 
@@ -149,3 +149,90 @@ def test_features_of_words():
     assert n.tolist() == [1 + ngrams(4), 1 + ngrams(1), 1 + ngrams(4)] and rows.max() < 1 << quality.BITS
     again, _ = quality.buckets(["word"])
     assert set(again) == set(rows[: n[0]])
+
+
+def test_quality_scores_against_brute_force():
+    """A document's score is the softmax over the average of all its features' vectors, whatever else is in the batch."""
+    rng = np.random.default_rng(3)
+    model = quality.QualityModel(rng.standard_normal(1 << quality.BITS).astype(np.float32), 0.3)
+    texts = ["one two two three", "one", "", None, "a\x00b c a\x00b \x00", "two two", "日本 x\n y", "long " * 3000]
+
+    def brute(text):
+        words = (text or "").split()
+        values = [v for w in words for v in model.value[quality.buckets([w])[0]].tolist()]
+        for a, b in zip(words, words[1:]):
+            values += model.value[quality.pairs(quality.hashes([a, b]))].tolist() * quality.PAIR
+        return 1 / (1 + np.exp(-(model.bias + (np.mean(values) if values else 0))))
+
+    scorer = quality.Scorer(model)
+    want = [brute(t) for t in texts]
+    assert np.allclose(scorer.scores(texts), want, atol=1e-6)
+    assert np.allclose([scorer.scores([t])[0] for t in texts], want, atol=1e-6)
+    rows, weights = quality.features(texts[0])
+    assert np.isclose(1 / (1 + np.exp(-(weights @ model.value[rows] + model.bias))), want[0], atol=1e-6)
+
+
+def test_language_scores_against_brute_force():
+    """A document's probabilities are the average over its windows, each by plain filters."""
+    net = language.ByteNet.fresh(["a", "b", "c"], 2)
+    texts = ["some words of a text " * 60, "kurz", "é" * 300, "123 456", None, ""]
+
+    def brute(text):
+        raw = language.FOLD[np.frombuffer(text.encode(), np.uint8)].tolist()
+        out, at = [], 0
+        while True:
+            part = (raw[at : at + language.LENGTH] + [0] * language.LENGTH)[: language.LENGTH]
+            e = net.embed[part]
+            h = [max((sum(e[i + j] @ net.banks[w][j] for j in range(w)) for i in range(language.LENGTH - w + 1)), key=lambda v: v[f])[f] + net.shift[w][f] for w in language.WIDTHS for f in range(language.FILTERS)]
+            logit = np.maximum(h, 0) @ net.top + net.bias
+            p = np.exp(logit - logit.max())
+            out.append(p / p.sum())
+            if at + language.LENGTH >= len(raw):
+                return np.mean(out, 0)
+            at += language.STRIDE
+
+    got = language.predict(net, net.tables(), texts)
+    for text, (lang, score) in zip(texts[:3], got):
+        p = brute(text)
+        assert lang == net.languages[p.argmax()] and np.isclose(score, p.max(), atol=1e-4)
+    assert got[3:] == [("und", 0.0)] * 3
+
+
+def test_toxicity_scores_against_brute_force():
+    """A document's score from its words' subsequences, counted one by one."""
+    rng = np.random.default_rng(4)
+    model = toxicity.ToxicModel(rng.standard_normal(toxicity.ALPHABET**toxicity.ORDER).astype(np.float32), -0.2, np.array([1.0, 0.5, 0.25]), -0.1)
+    texts = ["plain words, ab-cd", "i d i o t", "", None, "one", "1 2 3", "same same same", "x" * 60]
+
+    def margin(word):
+        letters = "".join(c for c in word if c.isalpha())
+        total = sum(v * float(model.weight[u]) for u, v in naive_spread(letters).items())
+        n = len(letters) + 2
+        norm = np.sqrt(max(1e-9, sum(toxicity.DECAY ** (2 * (at[-1] - at[0] + 1)) for at in combinations(range(n), toxicity.ORDER) if at[-1] - at[0] < toxicity.SPAN)))
+        return total / norm + model.bias
+
+    def brute(text):
+        words = (text or "").split() + (["idiot"] if text == "i d i o t" else [])
+        best = sorted({round(margin(w), 9) for w in words}, reverse=True)[:3]
+        best = [max(-1.0, m) for m in best] + [-1.0] * (3 - len(best))
+        return 1 / (1 + np.exp(-(np.dot(best, model.slope) + model.shift)))
+
+    assert np.allclose(model.scores(texts, {}), [brute(t) for t in texts], atol=1e-4)
+
+
+def test_letters_apart():
+    apart = lambda t: [w for w in toxicity.words_of(t) if w not in t.lower().split()]
+    assert apart("you i d i o t!") == ["idiot"] and apart("a b") == [] and apart("a b c") == ["abc"]
+    assert apart("x - y, z. end") == ["xyz"] and apart("é ö ü") == ["éöü"] and apart("1 2 3 4") == []
+    assert toxicity.sentences("One. Two!? Three\n\nfour.five") == ["One", "Two", "Three", "four.five"]
+
+
+def test_hostile_texts_cost_no_square():
+    import time
+
+    n = 1_000_000
+    texts = ["a b" + " " * n, "a b c" + " " * n + "d", "." * n + "x", "a. " * (n // 3), "a " * (n // 2) + "ab", "! " * (n // 2), "x" * n, "a - " * (n // 4)]
+    for text in texts:
+        begin = time.time()
+        toxicity.words_of(text), toxicity.sentences(text)
+        assert time.time() - begin < 10
