@@ -133,27 +133,43 @@ def tight(pieces: DataFrame, gaps: DataFrame, n: int) -> DataFrame:
     return take(found.where("sign = 0")).union(take(met))
 
 
-def fill(pieces: DataFrame, gaps: DataFrame, capacity: int, top: int, by_number: bool, n: int) -> DataFrame:
+def measured(pid: int, t: pa.Table) -> pa.Table:
+    """A range's rows with the sums of ``measure`` and ``size`` over those before each."""
+    sums = {c: column(t, c).astype(np.int64) for c in ("measure", "size")}
+    columns = [pa.array(np.full(t.num_rows, pid, np.int32)), t.column("id"), t.column("size"), t.column("measure")]
+    return pa.table([*columns, *(pa.array(np.cumsum(v) - v) for v in sums.values())], names=["pid", "id", "size", "measure", "at", "ahead"])
+
+
+MEASURED = "pid int, id long, size long, measure long, at long, ahead long"
+
+
+def piece_line(pieces: DataFrame, by_number: bool, n: int) -> tuple[DataFrame, Column, Column]:
+    """Pieces, longest first, with their places in their range, and what to add to ``at`` and ``ahead`` for the whole line."""
+    one = pieces.select(F.col("_row").alias("id"), F.col("length").alias("size"), (F.lit(1) if by_number else F.col("length")).cast("long").alias("measure"))
+    one = swept(one, [F.desc("size"), F.asc("id")], n, measured, MEASURED, "piece-line")
+    at, ahead = before(one, "measure", "size")
+    return one, F.col("at") + after(at), F.col("ahead") + after(ahead)
+
+
+def fill_new(pieces: DataFrame, first: int, many: int, capacity: int, top: int, by_number: bool, n: int) -> DataFrame:
+    """fill() for ``many`` new sequences from number ``first`` on: their stretches are alike, so a piece's place tells its sequence."""
+    one, at, ahead = piece_line(pieces, by_number, n)
+    number = F.floor(at / (capacity // top if by_number else capacity - top + 1)).cast("long")
+    rows = one.select(F.col("id").alias("_row"), F.col("size").alias("length"), number.alias("n"), ahead.alias("ahead")).where(F.col("n") < many)
+    return rows.select("_row", "length", (F.col("n") + first).alias("seq"), F.lit(capacity).cast("long").alias("gap"), "ahead")
+
+
+def fill(pieces: DataFrame, gaps: DataFrame, top: int, by_number: bool, n: int) -> DataFrame:
     """Pieces (_row, length) of ``top`` at most into ``gaps`` (seq, gap), several to a gap: _row, length, seq, gap, ahead.
 
     Gaps, smallest first, and pieces, longest first, lie on one line; the measure is the number of pieces, or their length.
     """
     room = F.floor(F.col("gap") / top) if by_number else F.col("gap") - (top - 1)
-
-    def measured(pid: int, t: pa.Table) -> pa.Table:
-        sums = {c: column(t, c).astype(np.int64) for c in ("measure", "size")}
-        columns = [pa.array(np.full(t.num_rows, pid, np.int32)), t.column("id"), t.column("size"), t.column("measure")]
-        return pa.table([*columns, *(pa.array(np.cumsum(v) - v) for v in sums.values())], names=["pid", "id", "size", "measure", "at", "ahead"])
-
-    schema = "pid int, id long, size long, measure long, at long, ahead long"
-    one = pieces.select(F.col("_row").alias("id"), F.col("length").alias("size"), (F.lit(1) if by_number else F.col("length")).cast("long").alias("measure"))
-    one = swept(one, [F.desc("size"), F.asc("id")], n, measured, schema, "piece-line")
+    one, at, ahead = piece_line(pieces, by_number, n)
     two = gaps.select(F.col("seq").alias("id"), F.col("gap").alias("size"), room.cast("long").alias("measure"))
-    two = swept(two, [F.asc("size"), F.asc("id")], n, measured, schema, "gap-line")
-    at_one, ahead = before(one, "measure", "size")
+    two = swept(two, [F.asc("size"), F.asc("id")], n, measured, MEASURED, "gap-line")
     (at_two,) = before(two, "measure")
-    end = at_two[-1]
-    placed = one.select(F.lit(1).alias("kind"), (F.col("at") + after(at_one)).alias("at"), "id", "size", (F.col("ahead") + after(ahead)).alias("ahead")).where(F.col("at") < end)
+    placed = one.select(F.lit(1).alias("kind"), at.alias("at"), "id", "size", ahead.alias("ahead")).where(F.col("at") < at_two[-1])
     line = two.select(F.lit(0).alias("kind"), (F.col("at") + after(at_two)).alias("at"), "id", "size", F.lit(0).cast("long").alias("ahead")).union(placed)
 
     def met(pid: int, t: pa.Table) -> pa.Table:
@@ -201,10 +217,10 @@ def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> Data
         gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0")
         return store(left.join(rows.select("_row"), "_row", "left_anti"), "left"), store(gaps, "gaps")
 
-    def filled(left: DataFrame, into: DataFrame, top: int, by_number: bool, n: int) -> DataFrame:
-        rows = store(fill(left, into, capacity, top, by_number, n), "filled")
-        begin = rows.groupBy("seq").agg(F.min("ahead").alias("begin"))
-        return rows.join(begin, "seq").withColumn("offset", capacity - F.col("gap") + F.col("ahead") - F.col("begin"))
+    def shifted(rows: DataFrame) -> DataFrame:
+        """Places in a sequence from the line: a sequence's first piece there begins its gap."""
+        begin = F.min("ahead").over(Window.partitionBy("seq"))  # at most ``capacity`` pieces
+        return rows.withColumn("offset", capacity - F.col("gap") + F.col("ahead") - begin)
 
     def size(left: DataFrame) -> tuple[int, int]:
         return left.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
@@ -216,7 +232,7 @@ def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> Data
             fits, wide = gaps.agg(F.count_if(F.col("gap") >= low), F.count_if(F.col("gap") >= 2 * top)).first()
             n, n_before = 1 + (n_left + fits) // range_rows, n_left
             if wide:
-                left, gaps = placed(filled(left, gaps.where(F.col("gap") >= 2 * top), top, by_number, n), left, gaps)
+                left, gaps = placed(shifted(fill(left, gaps.where(F.col("gap") >= 2 * top), top, by_number, n)), left, gaps)
                 n_left, volume = size(left)
             if n_left and fits:
                 rows = tight(left, gaps.where(F.col("gap") >= low), n).withColumn("offset", capacity - F.col("gap"))
@@ -226,9 +242,10 @@ def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> Data
                 continue
             need = -(-n_left // (capacity // top)) if by_number else -(-volume // capacity)
             fresh = spark.range(opened, opened + need).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+            rows = shifted(fill_new(left, opened, need, capacity, top, by_number, 1 + n_left // range_rows))
             opened += need
-            left, gaps = placed(filled(left, fresh, top, by_number, 1 + (n_left + need) // range_rows), left, gaps.union(fresh))
-            n_left, volume = size(left)
+            left, gaps = placed(rows, left, gaps.union(fresh))
+            n_left, volume = (0, 0) if by_number else size(left)  # by number, all have found a place
     if not done:
         return pieces.limit(0).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     where = done[0]
