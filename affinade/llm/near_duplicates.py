@@ -188,13 +188,22 @@ def ties(members: DataFrame, least: int) -> DataFrame:
     def finish(key, group):
         block, root, sig = (list(c) for c in zip(*group))
         block, root, x = np.array(block), np.array(root), np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
-        _, number = np.unique(root, return_inverse=True)
-        forest, across = Forest(len(root)), key[1] != key[2]
+        forest, across, n = Forest(len(root)), key[1] != key[2], len(root)
+        _, first = np.unique(root, return_index=True)
+        for i, of in enumerate(first[np.searchsorted(root[first], root)].tolist()):
+            forest.join(i, of)
+        left = np.arange(n)
+        while len(left) > 1:  # what is like the first one left needs no pairs of its own
+            like = (x[left[1:]] == x[left[0]]).sum(1) >= least
+            for i in left[1:][like].tolist():
+                forest.join(int(left[0]), i)
+            left = left[1:][~like]
         columns = np.ascontiguousarray(x.T)
-        tiles = [(a, min(a + TILE, len(root))) for a in range(0, len(root), TILE)]
+        tiles = [(a, min(a + TILE, n)) for a in range(0, n, TILE)]
         for p, s in enumerate(tiles):
             for t in tiles[p:]:
-                wanted = number[s[0] : s[1], None] != number[None, t[0] : t[1]]
+                number = np.array([forest.root(i) for i in (*range(*s), *range(*t))])
+                wanted = number[: s[1] - s[0], None] != number[None, s[1] - s[0] :]
                 if across:
                     wanted &= block[s[0] : s[1], None] != block[None, t[0] : t[1]]
                 if wanted.any():
@@ -239,11 +248,10 @@ def candidates(nodes: DataFrame, threshold: float, trees: int) -> DataFrame:
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "sig")
         found = store(ties(members, least_estimate(threshold, trees * DEEPEST)).distinct(), "ties")
-        if roots is not None and found.isEmpty():
-            continue
         edges = found if edges is None else edges.union(found)
-        roots = components(edges)
-    return roots
+        # members of one group mostly share their smallest neighbour: enough to know what needs no look further up
+        roots = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    return components(edges)
 
 
 class Forest:
