@@ -12,6 +12,7 @@ from affinade.catalog.models import edges_of, ridge
 from affinade.catalog.reports import metric_table
 from affinade.catalog.tables import mean_lists, popularity_lists, random_lists, three_lists
 from affinade.operators import baselines, graph, metrics, neighbourhood, similarity
+from affinade.operators.ordered import running
 from affinade.plans import target
 from affinade.sources.ratings import supplier_features
 
@@ -112,10 +113,11 @@ def sim_vs_coef_spearman(spark, sf_dir):
     """Rank correlation, ties sharing their mean rank; one row a catalogue item."""
     rows = ridge(spark, sf_dir, 1)[1].select(F.round("sim", 9).alias("s"), F.round("w", 9).alias("w"))
 
-    def mean_rank(c):
-        return F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
+    def mean_rank(c, name):
+        levels = running(rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, F.col("n"), "before")
+        return levels.select(c, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
 
-    ranks = rows.select(mean_rank("s").alias("a"), mean_rank("w").alias("b"))
+    ranks = rows.join(mean_rank("s", "a"), "s").join(mean_rank("w", "b"), "w")
     return ranks.agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("a", "b") / F.sqrt(F.var_pop("a") * F.var_pop("b"))).alias("spearman"))
 
 

@@ -134,27 +134,29 @@ def item_mean_topk(spark, sf_dir):
     return mean_lists(context(spark, sf_dir, "supp"))
 
 
-BIAS = """
-WITH e AS (SELECT u, i, r - (SELECT mu FROM supp_mu) AS e FROM supp_train),
-i1 AS (SELECT i, sum(e) / (10 + count(*)) AS b FROM e GROUP BY 1),
-u1 AS (SELECT u, sum(e - b) / (10 + count(*)) AS b FROM e JOIN i1 USING (i) GROUP BY 1),
-i2 AS (SELECT i, sum(e - b) / (10 + count(*)) AS b FROM e JOIN u1 USING (u) GROUP BY 1),
-u2 AS (SELECT u, sum(e - b) / (10 + count(*)) AS b FROM e JOIN i2 USING (i) GROUP BY 1),
-i3 AS (SELECT i, sum(e - b) / (10 + count(*)) AS b FROM e JOIN u2 USING (u) GROUP BY 1),
-u3 AS (SELECT u, sum(e - b) / (10 + count(*)) AS b FROM e JOIN i3 USING (i) GROUP BY 1)
-"""
-
-
-@query("side:s id:i b:d", f"{BIAS} SELECT 'item' AS side, i AS id, b FROM i3 UNION ALL SELECT 'user', u, b FROM u3")
+SWEEPS = 20  # of the production bias model
+
+
+def bias_sql() -> str:
+    """Each sweep as two expressions, items from the users' biases before."""
+    out = ["e AS MATERIALIZED (SELECT u, i, r - (SELECT mu FROM supp_mu) AS e FROM supp_train)", "u0 AS MATERIALIZED (SELECT DISTINCT u, 0.0::DOUBLE AS b FROM supp_train)"]
+    for k in range(1, SWEEPS + 1):
+        out.append(f"i{k} AS MATERIALIZED (SELECT i, sum(e - b) / (10 + count(*)) AS b FROM e JOIN u{k - 1} USING (u) GROUP BY 1)")
+        out.append(f"u{k} AS MATERIALIZED (SELECT u, sum(e - b) / (10 + count(*)) AS b FROM e JOIN i{k} USING (i) GROUP BY 1)")
+    return "WITH " + ",\n".join(out)
+
+
+@query("side:s id:i b:d", f"{bias_sql()} SELECT 'item' AS side, i AS id, b FROM i{SWEEPS} UNION ALL SELECT 'user', u, b FROM u{SWEEPS}")
 def bias_baseline(spark, sf_dir):
-    b_i, b_u, _ = baselines.bias_model(context(spark, sf_dir, "supp").train, iterations=3)
+    b_i, b_u, _ = baselines.bias_model(context(spark, sf_dir, "supp").train, iterations=SWEEPS, trace_every=0)
     return b_i.select(F.lit("item").alias("side"), F.col("i").alias("id"), F.col("b_i").alias("b")).union(b_u.select(F.lit("user"), "u", "b_u"))
 
 
-@query("step:i rmse:d", f"{BIAS} SELECT 3 AS step, sqrt(avg((e - i3.b - u3.b) ** 2)) AS rmse FROM e JOIN i3 USING (i) JOIN u3 USING (u)")
+@query("step:i rmse:d", f"{bias_sql()} " + " UNION ALL ".join(f"SELECT {k} AS step, sqrt(avg((e - i{k}.b - u{k}.b) ** 2)) AS rmse FROM e JOIN i{k} USING (i) JOIN u{k} USING (u)" for k in range(1, SWEEPS + 1)))
 def bias_trace(spark, sf_dir):
-    _, _, trace = baselines.bias_model(context(spark, sf_dir, "supp").train, iterations=3)
-    return spark.createDataFrame([(3, trace[-1])], "step int, rmse double")
+    """The training error after every sweep."""
+    _, _, trace = baselines.bias_model(context(spark, sf_dir, "supp").train, iterations=SWEEPS)
+    return spark.createDataFrame(list(enumerate(trace, 1)), "step int, rmse double")
 
 
 @query("n:i rmse:d mae:d", "SELECT count(*) AS n, sqrt(avg((mean - r) ** 2)) AS rmse, avg(abs(mean - r)) AS mae FROM supp_test JOIN supp_im USING (i)")

@@ -32,23 +32,28 @@ def random_scores(pairs: DataFrame, seed: int = CONFIG.seed) -> DataFrame:
     return pairs.select("u", "i", hashed_uniform(seed, F.col("u"), F.col("i")).alias("score"))
 
 
-def bias_model(train: DataFrame, lam_user: float = 10.0, lam_item: float = 10.0, iterations: int = 20, keep_every: int = 5) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Item and user biases (i, b_i), (u, b_u) and the training RMSE after each iteration.
+def bias_model(train: DataFrame, lam_user: float = 10.0, lam_item: float = 10.0, iterations: int = 20, keep_every: int = 5, trace_every: int = 1) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Item and user biases (i, b_i), (u, b_u) and the training RMSE after each iteration (each ``trace_every``-th; 0: none).
 
-    Items come first, from user biases of 0. An iteration is two joins of the ratings with a dimension and two map-side combined
-    sums; every ``keep_every`` iterations the biases are checkpointed where the cluster shares a folder, or else cached.
+    Items come first, from user biases of 0. The ratings are kept twice, partitioned by user and by item, so an iteration moves
+    no ratings, only map-side combined sums; every ``keep_every`` iterations the biases are checkpointed where the
+    cluster shares a folder, or else cached.
     """
     mu = train.agg(F.avg("r")).first()[0] or 0.0
     rows = train.select("u", "i", (F.col("r") - F.lit(mu)).alias("e"))
+    of_u, of_i = rows.repartition("u").persist(), rows.repartition("i").persist()
     b_u = train.select("u").distinct().withColumn("b_u", F.lit(0.0))
     b_i, trace = None, []
     for step in range(1, iterations + 1):
-        b_i = rows.join(b_u, "u").groupBy("i").agg((F.sum(F.col("e") - F.col("b_u")) / (lam_item + F.count(F.lit(1)))).alias("b_i"))
-        b_u = rows.join(b_i, "i").groupBy("u").agg((F.sum(F.col("e") - F.col("b_i")) / (lam_user + F.count(F.lit(1)))).alias("b_u"))
+        b_i = of_u.join(b_u, "u").groupBy("i").agg((F.sum(F.col("e") - F.col("b_u")) / (lam_item + F.count(F.lit(1)))).alias("b_i"))
+        b_u = of_i.join(b_i, "i").groupBy("u").agg((F.sum(F.col("e") - F.col("b_i")) / (lam_user + F.count(F.lit(1)))).alias("b_u"))
         if step % keep_every == 0 or step == iterations:
             b_i, b_u = settle(b_i), settle(b_u)
-            error = rows.join(b_i, "i").join(b_u, "u").agg(F.sqrt(F.avg(F.pow(F.col("e") - F.col("b_i") - F.col("b_u"), 2)))).first()[0]
+        if trace_every and (step % trace_every == 0 or step == iterations):
+            error = of_i.join(b_i, "i").join(b_u, "u").agg(F.sqrt(F.avg(F.pow(F.col("e") - F.col("b_i") - F.col("b_u"), 2)))).first()[0]
             trace.append(error)
+    for kept in (of_u, of_i):
+        kept.unpersist()
     return b_i, b_u, trace
 
 

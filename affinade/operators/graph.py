@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinade.operators.baselines import settle
+from affinade.operators.pairs import pairs
 
 
 def weighted_edges(edges: DataFrame, normalize: str = "degree") -> tuple[DataFrame, DataFrame]:
@@ -22,7 +23,7 @@ def weighted_edges(edges: DataFrame, normalize: str = "degree") -> tuple[DataFra
 def item_hop(ui: DataFrame, iu: DataFrame) -> DataFrame:
     """Item to item over one user: (i, j, w). Made first, it is far smaller than user to user where items are fewer."""
     forth = ui.select("u", F.col("i").alias("j"), F.col("w").alias("w2"))
-    return iu.join(forth, "u").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
+    return pairs(iu, forth, "u").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
 
 
 def path_scores(edges: DataFrame, length: int = 3, beta: float = 0.5, normalize: str = "degree", users: DataFrame | None = None) -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
 from affinade.operators.baselines import bias_model, settle
+from affinade.operators.ordered import running
 
 
 def deviations(train: DataFrame, lam: float = 10.0, iterations: int = 20) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """u, i, dev on observed cells; item biases, user biases, the mean."""
-    b_i, b_u, _ = bias_model(train, lam, lam, iterations)
+    b_i, b_u, _ = bias_model(train, lam, lam, iterations, trace_every=0)
     mu = train.agg(F.avg("r")).first()[0] or 0.0
     rows = train.join(b_i, "i").join(b_u, "u").select("u", "i", (F.col("r") - mu - F.col("b_i") - F.col("b_u")).alias("dev"))
     return settle(rows), b_i, b_u, mu
@@ -34,7 +35,7 @@ def neighbours(sim: DataFrame, items: DataFrame, k: int) -> DataFrame:
     best = stored.where("sim > 0").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k).drop("pos")
     short = items.select("i").join(best.groupBy("i").agg(F.count(F.lit(1)).alias("n")), "i", "left").where(F.coalesce("n", F.lit(0)) < k).select("i")
     known = short.join(stored.groupBy("i").agg(F.count(F.lit(1)).alias("m")), "i", "left").select("i", (F.coalesce("m", F.lit(0)) + k + 1).alias("most"))
-    catalogue = items.select(F.col("i").alias("nbr"), F.row_number().over(Window.orderBy("i")).alias("_p"))
+    catalogue = running(items.select("i").distinct(), "i", F.lit(1), "_b").select(F.col("i").alias("nbr"), (F.col("_b") + 1).cast("int").alias("_p"))
     fill = known.select("i", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))).alias("_p")).join(catalogue, "_p").where("i <> nbr").select("i", "nbr")
     zeros = fill.join(stored.where("sim > 0").select("i", "nbr"), ["i", "nbr"], "left_anti").join(stored.where("sim < 0").select("i", "nbr"), ["i", "nbr"], "left_anti").withColumn("sim", F.lit(0.0))
     negative = stored.where("sim < 0").join(short, "i", "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
 from affinade.functions.columns import EPS
+from affinade.operators.pairs import pairs as row_pairs
 
 KINDS = ("cosine", "pearson", "adjusted_cosine")
 
@@ -33,7 +34,7 @@ def paired(matrix: DataFrame, sums: list[Column]) -> DataFrame:
     """Sums over the shared columns of each pair a < b (half the pairs: every kind is symmetric)."""
     left = matrix.select(F.col("k"), F.col("a"), F.col("x"))
     right = matrix.select(F.col("k"), F.col("a").alias("b"), F.col("x").alias("y"))
-    return left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_co"), *sums)
+    return row_pairs(left, right, "k").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_co"), *sums)
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:

@@ -47,8 +47,9 @@ class Context:
     def histories(self) -> DataFrame:
         return history_groups(self.train)
 
-    def data(self) -> Data:
-        return Data(self.train, self.users, self.items, self.val)
+    def data(self, held: DataFrame | None = None) -> Data:
+        """What a model gets; with ``held`` it predicts ratings for these cells only."""
+        return Data(self.train, self.users, self.items, self.val, held=held)
 
 
 def list_metrics(ctx: Context, lists: DataFrame, truth: DataFrame, k: int = CONFIG.k) -> DataFrame:
@@ -63,7 +64,7 @@ def list_metrics(ctx: Context, lists: DataFrame, truth: DataFrame, k: int = CONF
 
 def evaluate(ctx: Context, fitted: Fitted, held: DataFrame, k: int = CONFIG.k) -> DataFrame:
     """One row: rmse, mae, coverage, user coverage, and mean, median, std of every per-user metric."""
-    lists = top_k(fitted.score, k, ctx.train)
+    lists = fitted.lists(ctx.data(), k)
     rows = list_metrics(ctx, lists, metrics.relevant(held), k)
     stats = []
     for c in PER_USER:
@@ -86,18 +87,41 @@ def rank_modes(ctx: Context, heads: DataFrame, held: DataFrame, k: int = CONFIG.
     return out
 
 
+def timed(ctx: Context, spec: dict, held: DataFrame, k: int = CONFIG.k) -> tuple[Fitted, DataFrame]:
+    """A fitted model and one row of what it takes: seconds to fit, predict ``held`` and rank, per user, and its tables' rows.
+
+    Everything is made once for the clock, so this costs as much again as evaluating the model.
+    """
+    began = time.time()
+    fitted = fit(spec, ctx.data(held))
+    size = sum(t.count() for t in fitted.tables.values())  # what a model keeps is its tables
+    fit_s, began = time.time() - began, time.time()
+    fitted.pred.write.format("noop").mode("overwrite").save()
+    predict_s, began = time.time() - began, time.time()
+    fitted.lists(ctx.data(), k).write.format("noop").mode("overwrite").save()
+    rank_s, users = time.time() - began, max(1, ctx.users.count())
+    columns = {"fit_s": fit_s, "predict_s": predict_s, "rank_s": rank_s, "rank_ms_per_user": 1000 * rank_s / users}
+    row = ctx.train.sparkSession.range(1).select(*(F.lit(float(v)).alias(c) for c, v in columns.items()), F.lit(size).cast("long").alias("model_rows"))
+    return fitted, row
+
+
 def sweep(ctx: Context, specs: list[dict], held: DataFrame, k: int = CONFIG.k) -> DataFrame:
-    """A row per spec, in order of the list (``grid``), with its settings, metrics and wall-clock seconds of the fit."""
+    """A row per spec, in order of the list (``grid``), with its settings and metrics."""
     out = None
     for grid, spec in enumerate(specs):
-        began = time.time()
-        row = evaluate(ctx, fit(spec, ctx.data()), held, k)
-        columns = [F.lit(grid).alias("grid"), F.lit(spec["family"]).alias("family"), F.lit(str(sorted(spec.items()))).alias("spec"), F.lit(time.time() - began).alias("plan_s")]
+        row = evaluate(ctx, fit(spec, ctx.data(held)), held, k)
+        columns = [F.lit(grid).alias("grid"), F.lit(spec["family"]).alias("family"), F.lit(str(sorted(spec.items()))).alias("spec")]
         row = row.select(*columns, "*")
-        out = row if out is None else out.unionByName(row)
+        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
     return out
 
 
+def resources(ctx: Context, specs: list[dict], held: DataFrame, k: int = CONFIG.k) -> DataFrame:
+    """A row per spec: what its model takes (see timed)."""
+    rows = [timed(ctx, spec, held, k)[1].withColumns({"grid": F.lit(grid), "family": F.lit(spec["family"])}) for grid, spec in enumerate(specs)]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def select_best(table: DataFrame, metric: str, highest: bool = True) -> DataFrame:
     """The row with the best metric; the first of the grid among equals."""
     order = F.desc_nulls_last(metric) if highest else F.asc_nulls_last(metric)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
+from affinade.functions.columns import hashed_uniform
 from affinade.operators import baselines, graph, neighbourhood, regression, similarity, slim
 from affinade.operators.metrics import calibration
+from affinade.operators.topk import every_pair_top_k, item_scores_top_k, top_k
 
 
 @dataclass
@@ -22,19 +24,37 @@ class Data:
     items: DataFrame
     calibrate: DataFrame | None = None
     targets: DataFrame | None = None  # (u, i) to score; None: every user with every item
+    held: DataFrame | None = None  # (u, i) to predict a rating for; None: those to score
     extra: dict = field(default_factory=dict)
 
+    def cells(self) -> DataFrame:
+        return self.held.select("u", "i").distinct() if self.held is not None else self.pairs()
+
     def pairs(self) -> DataFrame:
         return self.targets.select("u", "i") if self.targets is not None else self.users.select("u").crossJoin(self.items.select("i"))  # asked for: all cells
 
 
 @dataclass
 class Fitted:
-    """``pred`` (u, i, pred) for rating metrics, ``score`` (u, i, score) for ranking, and the model's tables."""
+    """``pred`` (u, i, pred) for rating metrics, ``score`` (u, i, score) for ranking, and the model's tables.
+
+    Models whose order of items is the same for all users give ``shared`` (i, score) and need no product of users and items
+    for their lists; ``score`` is then for those who ask for every cell.
+    """
 
     pred: DataFrame
     score: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    shared: DataFrame | None = None
+    hashed: Column | None = None  # a score that is an expression of u and i
+
+    def lists(self, data: Data, k: int) -> DataFrame:
+        """Top-N without the training items: u, rank, i, score."""
+        if self.shared is not None:
+            return item_scores_top_k(data.users, self.shared, k, data.train)
+        if self.hashed is not None:
+            return every_pair_top_k(data.users, data.items, self.hashed, k, data.train)
+        return top_k(self.score, k, data.train)
 
 
 MODELS: dict[str, Callable[..., Fitted]] = {}
@@ -49,20 +69,24 @@ def model(family: str):
 
 
 def per_item(data: Data, scores: DataFrame, pred: DataFrame) -> Fitted:
-    cells = data.pairs()
-    return Fitted(cells.join(pred, "i").select("u", "i", "pred"), cells.join(scores, "i").select("u", "i", "score"), {"items": scores})
+    return Fitted(data.cells().join(pred, "i").select("u", "i", "pred"), data.pairs().join(scores, "i").select("u", "i", "score"), {"items": scores}, shared=scores)
+
+
+def flat(data: Data) -> DataFrame:
+    """The same score for all items: lists go by the items' numbers."""
+    return data.items.select("i", F.lit(0.0).alias("score"))
 
 
 @model("global_mean")
 def _global_mean(data: Data) -> Fitted:
-    pred = data.pairs().crossJoin(F.broadcast(baselines.global_mean(data.train))).select("u", "i", F.col("mu").alias("pred"))  # one row
-    return Fitted(pred, pred.withColumnRenamed("pred", "score"))
+    of = lambda cells: cells.crossJoin(F.broadcast(baselines.global_mean(data.train))).select("u", "i", F.col("mu").alias("pred"))  # noqa: E731  one row
+    return Fitted(of(data.cells()), of(data.pairs()).withColumnRenamed("pred", "score"), shared=flat(data))
 
 
 @model("user_mean")
 def _user_mean(data: Data) -> Fitted:
-    pred = data.pairs().join(baselines.means(data.train, "u", data.users), "u").select("u", "i", F.col("mean").alias("pred"))
-    return Fitted(pred, pred.withColumnRenamed("pred", "score"))
+    of = lambda cells: cells.join(baselines.means(data.train, "u", data.users), "u").select("u", "i", F.col("mean").alias("pred"))
+    return Fitted(of(data.cells()), of(data.pairs()).withColumnRenamed("pred", "score"), shared=flat(data))
 
 
 @model("item_mean")
@@ -73,10 +97,11 @@ def _item_mean(data: Data) -> Fitted:
 
 @model("bias")
 def _bias(data: Data, lam_user: float = 10.0, lam_item: float = 10.0, iterations: int = 20) -> Fitted:
-    b_i, b_u, _ = baselines.bias_model(data.train, lam_user, lam_item, iterations)
+    b_i, b_u, _ = baselines.bias_model(data.train, lam_user, lam_item, iterations, trace_every=0)
     mu = data.train.agg(F.avg("r")).first()[0] or 0.0
-    pred = baselines.bias_predict(data.pairs(), b_i, b_u, mu)
-    return Fitted(pred, pred.withColumnRenamed("pred", "score"), {"b_i": b_i, "b_u": b_u})
+    of = lambda cells: baselines.bias_predict(cells, b_i, b_u, mu)
+    shared = data.items.select("i").join(b_i, "i", "left").select("i", F.coalesce("b_i", F.lit(0.0)).alias("score"))
+    return Fitted(of(data.cells()), of(data.pairs()).withColumnRenamed("pred", "score"), {"b_i": b_i, "b_u": b_u}, shared)
 
 
 @model("popularity")
@@ -92,8 +117,8 @@ def _popularity_positive(data: Data, liked_from: float = CONFIG.liked_from) -> F
 
 @model("random")
 def _random(data: Data, seed: int = CONFIG.seed) -> Fitted:
-    pred = data.pairs().crossJoin(F.broadcast(baselines.global_mean(data.train))).select("u", "i", F.col("mu").alias("pred"))  # one row
-    return Fitted(pred, baselines.random_scores(data.pairs(), seed))
+    pred = data.cells().crossJoin(F.broadcast(baselines.global_mean(data.train))).select("u", "i", F.col("mu").alias("pred"))  # one row
+    return Fitted(pred, baselines.random_scores(data.pairs(), seed), hashed=hashed_uniform(seed, F.col("u"), F.col("i")))
 
 
 def _neighbours(data: Data, user_based: bool, k: int, kind: str, centre: bool, centre_by: str, min_support: int | None, beta: float | None, rank_mode: str, liked_from: float) -> Fitted:
@@ -134,7 +159,7 @@ def calibrated(score: DataFrame, data: Data, x=lambda c: c) -> DataFrame:
     """Predictions a + b x(score), fitted on the calibration rows (training rows without any); no score counts as 0."""
     rows = data.calibrate if data.calibrate is not None else data.train
     fit = calibration(rows.join(score, ["u", "i"], "left").select(x(F.coalesce("score", F.lit(0.0))).alias("x"), "r"))
-    cells = data.pairs().join(score, ["u", "i"], "left").crossJoin(F.broadcast(fit))  # one row
+    cells = data.cells().join(score, ["u", "i"], "left").crossJoin(F.broadcast(fit))  # one row
     return cells.select("u", "i", (F.col("a") + F.col("b") * x(F.coalesce("score", F.lit(0.0)))).alias("pred"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from affinade.config import digits, target_user
 from affinade.functions.columns import hashed_uniform
-from affinade.operators import baselines, dense, graph, groups, metrics, neighbourhood, regression, similarity, slim
+from affinade.operators import baselines, graph, groups, metrics, neighbourhood, regression, similarity, slim
 from affinade.operators.split import assign_folds, hide_profile, profile_without
 from affinade.operators.topk import every_pair_top_k, item_scores_top_k, top_k
 
@@ -122,18 +122,55 @@ def test_neighbourhood_equals_the_dense_version(spark, user_based):
     assert all(np.allclose(got[c], want[c]) for c in want)
 
 
-@pytest.mark.parametrize("user_based, kind", [(True, "pearson"), (True, "cosine"), (False, "adjusted_cosine"), (False, "pearson")])
-def test_blocks_equal_the_relational_way(spark, monkeypatch, user_based, kind):
-    train = frame(spark, some_ratings(11, 20, 12, 0.5))
-    matrix = similarity.by_user(train) if user_based else similarity.by_item(train)
-    one = neighbourhood.predict(train, similarity.similarity(matrix, kind), 4, user_based)
-    two = dense.predict(train, kind, 4, user_based)
-    plain = lambda df: {(r.u, r.i): (r.pred, r.num, r.den, r.aff) for r in df.collect()}
-    a, b = plain(one), plain(two)
-    assert a.keys() == b.keys() and all(np.allclose(a[c], b[c]) for c in a)
-    monkeypatch.setattr(dense, "MOST_RATINGS", 10)
-    with pytest.raises(ValueError):
-        dense.predict(train, kind, 4, user_based)
+@pytest.mark.parametrize("kind", ["pearson", "cosine", "adjusted_cosine"])
+def test_similarities_with_a_cut_key(spark, kind, monkeypatch):
+    """A user with more ratings than a block takes: the same pairs and sums as in numpy."""
+    rows = some_ratings(11, 20, 12, 0.5) + [(99, i, float(1 + i % 5)) for i in range(12)]
+    from affinade.operators import pairs
+
+    sim = lambda: {(r.a, r.b): (round(r.sim, 9), r.n_co) for r in similarity.similarity(similarity.by_item(frame(spark, rows)), kind).collect()}
+    whole = sim()
+    monkeypatch.setattr(pairs.pairs, "__defaults__", (3,))
+    assert sim() == whole
+    r = {(u, i): x for u, i, x in rows}
+    users, items = sorted({u for u, _ in r}), sorted({i for _, i in r})
+    x = np.array([[r.get((u, i), 0.0) for i in items] for u in users])
+    known = np.array([[(u, i) in r for i in items] for u in users], float)
+    n = known.T @ known
+    if kind == "pearson":
+        s, q, xy = x.T @ known, (x * x).T @ known, x.T @ x
+        den = np.sqrt(np.maximum(n * q - s * s, 0) * np.maximum(n * q.T - s.T * s.T, 0))
+        want = np.clip((n * xy - s * s.T) / np.where(den > 1e-12, den, np.inf), -1, 1)
+    else:
+        if kind == "adjusted_cosine":
+            x = (x - (x.sum(1) / known.sum(1))[:, None]) * known
+        norm = np.sqrt((x * x).sum(0))
+        want = x.T @ x / np.where(norm[:, None] * norm > 1e-12, norm[:, None] * norm, np.inf)
+    want = np.where(n < similarity.CONFIG.min_support, 0, want) * np.minimum(n, similarity.CONFIG.beta) / similarity.CONFIG.beta
+    assert all(np.isclose(v, want[items.index(a), items.index(b)]) for (a, b), (v, _) in whole.items())
+
+
+def test_a_user_of_very_many_likes(spark):
+    """Pairs of one heavy key are cut into blocks, so no task makes them all; counts stay exact."""
+    from affinade.operators.pairs import pairs
+
+    n = 3000
+    rows = spark.range(n).selectExpr("0 as u", "id as i").union(spark.range(2).selectExpr("1 as u", "id as i"))
+    own, other = rows.selectExpr("u", "i as a"), rows.selectExpr("u", "i as b")
+    found = pairs(own, other, "u", 500)
+    assert found.count() == n * n + 4 and found.where("a < b").distinct().count() == n * (n - 1) // 2 + 1
+
+
+def test_running_sums_over_ranges(spark):
+    from affinade.operators.ordered import running
+
+    df = spark.createDataFrame([(i * 7 % 100, i) for i in range(100)], "k long, w long").repartition(5)
+    got = {r["k"]: r["before"] for r in running(df, "k", F.col("w"), "before").collect()}
+    rows, total = sorted((r["k"], r["w"]) for r in df.collect()), 0
+    for k, w in rows:
+        assert got[k] == total
+        total += w
+    assert running(df.limit(0), "k", F.lit(1), "n").count() == 0
 
 
 def test_top_k_order_and_exclusion(spark):

@@ -8,7 +8,7 @@ from affinade.operators.topk import top_k
 from affinade.plans import analysis, stages
 from affinade.plans.evaluate import Context, evaluate, select_best, sweep
 from affinade.plans.registry import MODELS, fit
-from affinade.plans.service import Recommender
+from affinade.plans.service import Recommender, Service
 from affinade.sources import ratings as src
 from affinade.sources import tables
 from affinade.streaming.popularity import popularity_stream
@@ -91,14 +91,61 @@ def test_readers_and_writers(spark, tmp_path):
     assert '"user_id":1' in tables.as_json(rows).first().json
 
 
+def test_service_over_stored_models(spark, ctx):
+    """Every family answers from its stored tables as its model ranks, and explains itself."""
+    specs = {"popularity": {"family": "popularity"}, "bias": {"family": "bias", "iterations": 3}, "ubcf": {"family": "ubcf", "k": 5}, "slim": {"family": "slim", "l1": 0.1, "l2": 1.0}, "graph": {"family": "graph"}}
+    fitted = {name: fit(spec, ctx.data(ctx.test)) for name, spec in specs.items()}
+    app = Service(ctx, specs, {name: f.tables for name, f in fitted.items()})
+    user = ctx.users.orderBy("u").first().u
+    assert app.available_models() == sorted(specs)
+    for name in ("popularity", "bias", "slim", "graph"):
+        want = [(r["rank"], r.i) for r in fitted[name].lists(ctx.data(), 3).where(F.col("u") == user).orderBy("rank").collect()]
+        got = app.recommend(user, name, 3).collect()
+        assert [(r["rank"], r.i) for r in got] == want, name
+        assert app.explain(user, got[0].i, name).count() >= (0 if name == "slim" else 1)
+    assert app.recommend(user, "ubcf", 3).count() <= 3
+    assert app.compare(user, 3, ["popularity", "bias"]).columns == ["rank", "popularity", "bias"]
+    with pytest.raises(KeyError):
+        app.recommend(user, "nothing")
+    with pytest.raises(KeyError):
+        app.model_metrics()
+
+
 def test_stages_run_from_files(spark, tmp_path, monkeypatch):
+    """Split, sweeps, both selections, the test table with '-rating' arms and baselines, stored models, resources."""
     monkeypatch.setattr(stages, "BASELINES", [{"family": "popularity"}])
-    for name in ("split", "eda"):
-        stages.STAGES[name](spark, SF, str(tmp_path))
-    stages.sweep_stage([{"family": "popularity"}, {"family": "item_mean"}], "baselines")(spark, SF, str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "baselines_sweep")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "baselines_best")).count() == 1
+    grid = {"means": [{"family": "popularity"}, {"family": "item_mean"}, {"family": "global_mean"}]}
+    todo, out = stages.stages(grid), str(tmp_path)
+    for name in ("split", "eda", "means", "test", "resources"):
+        todo[name](spark, SF, out)
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    sweep_rows = read("means_sweep").collect()
+    assert len(sweep_rows) == 3
+    best, rating = read("means_best").first(), read("means_best_rating").first()
+    assert best.ndcg_mean == max(r.ndcg_mean for r in sweep_rows) and rating.rmse == min(r.rmse for r in sweep_rows)
+    names = {"means", "popularity"} | ({"means-rating"} if best.grid != rating.grid else set())
+    assert {r.model for r in read("test").collect()} == names == {r.model for r in read("lists").select("model").distinct().collect()}
+    assert read("models/means/items").count() > 0 and read("predictions/model=means").count() > 0 and read("per_user/model=means").count() > 0
+    kept = read("resources").collect()
+    assert len(kept) == len(names) and all(r.fit_s >= 0 and r.rank_ms_per_user > 0 and r.model_rows >= 0 for r in kept)
+
+
+def test_stage_names_and_grids(capsys):
     assert stages.main(["--list"]) == 0
+    for wrong in (["--only", "nothing"], ["--from", "nothing"]):
+        with pytest.raises(SystemExit):
+            stages.main(wrong)
+    assert {name: len(specs) for name, specs in stages.GRIDS.items()} == {"ubcf": 108, "ibcf": 162, "regression": 108, "slim": 31, "graph": 48}
+    assert all(all(s in stages.GRIDS[n] for s in specs) for n, specs in stages.SMALL.items() if n != "graph")
+
+
+def test_shared_lists_equal_lists_over_all_cells(ctx):
+    """Models whose order of items is everybody's rank without the product of users and items."""
+    for spec in ({"family": "global_mean"}, {"family": "user_mean"}, {"family": "bias", "iterations": 3}, {"family": "popularity"}, {"family": "random"}):
+        fitted = fit(spec, ctx.data(ctx.test))
+        rows = lambda df: sorted((r.u, r["rank"], r.i) for r in df.collect())
+        assert rows(fitted.lists(ctx.data(), 5)) == rows(top_k(fitted.score, 5, ctx.train)), spec
+        assert fitted.pred.count() == ctx.test.select("u", "i").distinct().count()
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
