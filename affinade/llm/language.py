@@ -227,12 +227,17 @@ def identify(docs: DataFrame, train: Column, per_language: int = 800, most: int
     return in_small_batches(docs).select(*names).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, train: Column, least: float = 0.3) -> DataFrame:
-    """The input's rows and columns without the documents that no language gets, or none with a score of ``least``.
+def keep_identified(docs: DataFrame, train: Column, languages: tuple[str, ...] | None = None, sure: float = 0.5) -> DataFrame:
+    """The input's rows and columns without the documents that are rejected.
 
-    Short or mixed texts of a real language often score below one half, so only what is hardly better than chance goes.
+    Rejected is what no language gets (null texts and those without a letter; everything, if nothing is labelled) and, with ``languages``, what the
+    network gives another language with a score of ``sure`` or more: short and mixed texts it isn't sure of stay. Repeated
+    rows and null ids are judged like any other; columns may have any names; an empty table gives an empty result.
     """
     own = {c: c if c in ("doc_id", "text", "lang") else f"_own{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
     found = identify(renamed, train, keep=tuple(own.values()))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*(F.col(n).alias(c) for c, n in own.items()))
+    kept = F.col("lang_pred") != "und"
+    if languages is not None:
+        kept &= F.col("lang_pred").isin(*languages) | (F.col("score") < sure)
+    return found.where(kept).select(*(F.col(n).alias(c) for c, n in own.items()))
