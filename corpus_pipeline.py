@@ -16,6 +16,7 @@ from affinade.llm.queries import vocabulary
 from affinade.llm.secrets import redact
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+LANGUAGES = ("en",)  # that the corpus is made for
 _used: list[str] = []  # scratch tables of the stage before, which nothing reads once its output is written
 
 
@@ -36,8 +37,8 @@ def tidy(stage: Stage) -> Stage:
 
 @tidy
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what a language is found for; the network learns from this stage's own documents."""
-    return keep_identified(docs, crc_mod("doc_id", 3) != 1)
+    """Keep LANGUAGES and what is too short or mixed to tell; the network learns from this stage's own documents."""
+    return keep_identified(docs, crc_mod("doc_id", 3) != 1, LANGUAGES)
 
 
 @tidy
