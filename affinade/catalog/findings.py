@@ -192,3 +192,38 @@ def ibcf_raw_predict(spark, sf_dir):
     ctx = context(spark, sf_dir)
     sim = similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine")
     return neighbourhood.predict(ctx.train, sim, 10, False, centre=False)
+
+
+@query("n:i mean:d median:d std:d p99:d largest:d smallest:d", "SELECT count(*) AS n, avg(w) AS mean, quantile_cont(w, 0.5) AS median, stddev_samp(w) AS std, quantile_cont(w, 0.99) AS p99, max(w) AS largest, min(w) AS smallest FROM (SELECT p / a AS w FROM egram g JOIN enear n ON n.i = g.i AND n.pos = 1)")
+def coefficient_stats(spark, sf_dir):
+    """How the learned weights are distributed."""
+    at = lambda p: F.percentile("w", F.lit(p))
+    w = ridge(spark, sf_dir, 1)[1]
+    return w.agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("mean"), at(0.5).alias("median"), F.stddev_samp("w").alias("std"), at(0.99).alias("p99"), F.max("w").alias("largest"), F.min("w").alias("smallest"))
+
+
+@query("n:i ceiling:d", "SELECT count(*) AS n, avg(least(n_rel, 10) / n_rel) AS ceiling FROM evt_nrel")
+def recall_ceiling(spark, sf_dir):
+    """The mean recall that lists of ten could reach at best."""
+    n = metrics.relevant(context(spark, sf_dir).test).groupBy("u").agg(F.count(F.lit(1)).alias("n_rel"))
+    return n.agg(F.count(F.lit(1)).alias("n"), F.avg(F.least("n_rel", F.lit(10)) / F.col("n_rel")).alias("ceiling"))
+
+
+@query("u:i i:i r:d", "SELECT u, i, r FROM evt ORDER BY md5(concat('7:', u, ':', i)), u, i LIMIT 100")
+def seeded_sample(spark, sf_dir):
+    """A sample of 100 ratings by hash order, the same on every run and partitioning."""
+    ratings = context(spark, sf_dir).ratings
+    return ratings.orderBy(F.md5(F.concat_ws(":", F.lit("7"), "u", "i")), "u", "i").limit(100).select("u", "i", "r")
+
+
+_BY_RATING = ", ".join(f"avg(mean - t.r) FILTER (t.r = {r}) AS r{r}" for r in range(1, 6))
+
+
+@query("model:s r1:d r2:d r3:d r4:d r5:d", f"SELECT 'item_mean' AS model, {_BY_RATING} FROM supp_test t JOIN supp_im USING (i) UNION ALL SELECT 'user_mean', {_BY_RATING} FROM supp_test t JOIN supp_um USING (u)")
+def bias_by_true_rating(spark, sf_dir):
+    """Mean error by model and true rating: means pull high ratings down and low ones up."""
+    ctx = context(spark, sf_dir, "supp")
+    sides = (("item_mean", "i", ctx.items), ("user_mean", "u", ctx.users))
+    rows = [ctx.test.join(baselines.means(ctx.train, c, all_), c).select(F.lit(m).alias("model"), "r", (F.col("mean") - F.col("r")).alias("e")) for m, c, all_ in sides]
+    wide = rows[0].union(rows[1]).groupBy("model").pivot("r", [1.0, 2.0, 3.0, 4.0, 5.0]).agg(F.avg("e"))
+    return wide.select("model", *(F.col(f"`{float(k)}`").alias(f"r{k}") for k in range(1, 6)))
