@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from affinade.config import CONFIG
 
 DEN_EPS = 1e-10
+SHORTLIST = 4  # times k: the most similar ones of each row that are looked at first
 
 
 def evidence(train: DataFrame, sim: DataFrame, user_based: bool, targets: DataFrame | None = None) -> DataFrame:
@@ -53,6 +54,23 @@ def nearest(rows: DataFrame, train: DataFrame, k: int, user_based: bool) -> Data
     return ranked.where(kept).select("u", "i", "nbr", "sim", "r")
 
 
+def selected(train: DataFrame, sim: DataFrame, k: int, user_based: bool, targets: DataFrame | None = None) -> DataFrame:
+    """The k nearest of every pair: u, i, nbr, sim, r.
+
+    A pair that finds k candidates of positive similarity among the SHORTLIST * k most similar ones of its row is done with these, as all
+    others rank behind them; only the other pairs meet every candidate. So the product of pairs and candidates is neither
+    ranked nor shuffled where it isn't needed.
+    """
+    row = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), F.asc("b"))
+    short = sim.where("sim > 0").select("a", "b", "sim").withColumn("_r", F.row_number().over(row)).where(F.col("_r") <= SHORTLIST * k).drop("_r")
+    pair = Window.partitionBy("u", "i").orderBy(F.desc(F.round("sim", 9)), F.asc("nbr"))
+    first = evidence(train, short, user_based, targets).withColumn("_p", F.row_number().over(pair)).where(F.col("_p") <= k).persist()
+    done = first.where(F.col("_p") == k).select("u", "i")
+    enough = first.join(done, ["u", "i"], "left_semi").select("u", "i", "nbr", "sim", "r")
+    rest = evidence(train, sim, user_based, targets).join(done, ["u", "i"], "left_anti")
+    return enough.union(nearest(rest, train, k, user_based))
+
+
 def predict(train: DataFrame, sim: DataFrame, k: int, user_based: bool, centre: bool = True, centre_by: str = "item", liked_from: float = CONFIG.liked_from, targets: DataFrame | None = None) -> DataFrame:
     """u, i, pred, num, den, aff for every pair with evidence, in one pass over it.
 
@@ -60,7 +78,7 @@ def predict(train: DataFrame, sim: DataFrame, k: int, user_based: bool, centre:
     ``centre_by='user'`` the user's), on top of the pair's own mean; raw, by its rating. Without evidence of weight the prediction
     is the base mean.
     """
-    rows = nearest(evidence(train, sim, user_based, targets), train, k, user_based)
+    rows = selected(train, sim, k, user_based, targets)
     user_mean = train.groupBy("u").agg(F.avg("r").alias("m_u"))
     item_mean = train.groupBy("i").agg(F.avg("r").alias("m_i"))
     mu = train.agg(F.avg("r").alias("mu"))

@@ -110,8 +110,10 @@ def brute_neighbours(rows, sim, k, user_based, liked=4.0):
     return out
 
 
+@pytest.mark.parametrize("shortlist", [1, 2, 4])
 @pytest.mark.parametrize("user_based", [True, False])
-def test_neighbourhood_equals_the_dense_version(spark, user_based):
+def test_neighbourhood_equals_the_dense_version(spark, user_based, shortlist, monkeypatch):
+    monkeypatch.setattr(neighbourhood, "SHORTLIST", shortlist)
     rows = some_ratings(3)
     train = frame(spark, rows)
     sim = similarity.similarity(similarity.by_user(train) if user_based else similarity.by_item(train), "pearson" if user_based else "adjusted_cosine")
