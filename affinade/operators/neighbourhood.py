@@ -67,10 +67,21 @@ def selected(train: DataFrame, sim: DataFrame, k: int, user_based: bool, targets
     first = evidence(train, short, user_based, targets).withColumn("_p", F.row_number().over(pair)).where(F.col("_p") <= k).persist()
     done = first.where(F.col("_p") == k).select("u", "i")
     enough = first.join(done, ["u", "i"], "left_semi").select("u", "i", "nbr", "sim", "r")
-    rest = evidence(train, sim, user_based, targets).join(done, ["u", "i"], "left_anti")
+    cells = targets if targets is not None else train.select("u").distinct().crossJoin(train.select("i").distinct())  # asked for: all cells
+    rest = evidence_for(train, sim, user_based, cells.select("u", "i").distinct().join(done, ["u", "i"], "left_anti"))
     return enough.union(nearest(rest, train, k, user_based))
 
 
+def evidence_for(train: DataFrame, sim: DataFrame, user_based: bool, cells: DataFrame) -> DataFrame:
+    """evidence() of some cells, made from these: for few cells out of very many."""
+    kept = sim.where(F.col("sim") != 0).select("a", "b", "sim")
+    if user_based:
+        rows = cells.join(train.select(F.col("u").alias("b"), "i", "r"), "i").join(kept.withColumnRenamed("a", "u"), ["u", "b"])
+    else:
+        rows = cells.join(train.select("u", F.col("i").alias("b"), "r"), "u").join(kept.withColumnRenamed("a", "i"), ["i", "b"])
+    return rows.select("u", "i", F.col("b").alias("nbr"), "sim", "r")
+
+
 def predict(train: DataFrame, sim: DataFrame, k: int, user_based: bool, centre: bool = True, centre_by: str = "item", liked_from: float = CONFIG.liked_from, targets: DataFrame | None = None) -> DataFrame:
     """u, i, pred, num, den, aff for every pair with evidence, in one pass over it.
 
