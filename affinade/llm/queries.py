@@ -87,6 +87,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pivot_search": op1_pivot_search,
     "op2_token_store": op2_token_store,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 OP10_SQL = """
@@ -133,4 +140,39 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair) WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pivot_search": OP1_SQL, "op10_benchmark_decontamination": OP10_SQL}
+OP13_SQL = """
+WITH row_words AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+first AS (SELECT text, min(doc_id) AS least_id FROM row_words GROUP BY 1),
+mark AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+doc AS (
+  SELECT id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+     'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > least_id, false)} AS f
+  FROM row_words JOIN first USING (text) LEFT JOIN mark USING (doc_id)),
+fail AS (
+  SELECT id, part, good, toxic, letter FROM (
+    SELECT id, part, good, toxic, unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([f.A, f.B, f.C, f.D, f.E]) AS failed FROM doc) WHERE failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+ord AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+step AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step, unnest(string_split(filter_order, '')) AS letter FROM ord),
+gone AS (
+  SELECT part, filter_order, step, count(*) AS removed, sum(good) AS good_lost, sum(toxic) AS toxic_lost
+  FROM (SELECT id, part, filter_order, min(good) AS good, min(toxic) AS toxic, min(step) AS step FROM fail JOIN step USING (letter) GROUP BY id, part, filter_order)
+  GROUP BY 1, 2, 3),
+total AS (SELECT part, count(*) AS n FROM doc GROUP BY 1),
+failing AS (SELECT part, letter, count(*) AS n, count(*) FILTER (WHERE single) AS alone FROM (SELECT part, letter, count(*) OVER (PARTITION BY id) = 1 AS single FROM fail) GROUP BY 1, 2),
+full_rows AS (
+  SELECT part, filter_order, step, letter, n, coalesce(removed, 0) AS removed, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost
+  FROM total CROSS JOIN step LEFT JOIN gone USING (part, filter_order, step))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(r.n - sum(removed) OVER (PARTITION BY part, filter_order ORDER BY step) AS BIGINT) AS kept,
+  CAST(removed AS BIGINT) AS removed, CAST(coalesce(f.n, 0) - removed AS BIGINT) AS redundant, CAST(coalesce(alone, 0) AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM full_rows r LEFT JOIN failing f USING (part, letter)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_pivot_search": OP1_SQL, "op10_benchmark_decontamination": OP10_SQL, "op13_filter_audit": OP13_SQL}
