@@ -87,6 +87,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op11_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.sharding import assign, digest
+
+    return digest(assign(table(spark, sf_dir, "documents"), shards=24))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinade.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinade.llm.filter_audit import audit
 
@@ -104,6 +116,8 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_stratified_shards": op11_stratified_shards,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -140,6 +154,60 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair) WHERE rank <= 5
 """
 
+# The CRC-32 of bytes: a table by its polynomial, and its step for each byte.
+CRC_TABLE = """
+crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END) AS v
+    FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes; needs ``crc_table`` among the tables of FROM."""
+    pairs = f"regexp_extract_all(hex(encode({text})), '..')"
+    numbers = f"list_transform({pairs}, lambda p: CAST('0x' || p AS BIGINT))"
+    return f"xor(CAST(4294967295 AS BIGINT), list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {numbers}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE},
+doc AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum, strlen(coalesce(text, '')) + 8 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32
+  FROM documents, crc_table),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat('42:', doc_id)), doc_id, size, text_crc32) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM doc),
+placed AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r - 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), stratum) - 1 AS place, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, place * 24 // total AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut
+"""
+
+OP12_SQL = f"""
+WITH {CRC_TABLE},
+own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 32),
+    sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+head AS (SELECT conv_id, s, {crc_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM own, crc_table),
+seq AS (SELECT a.conv_id, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s FROM head a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+beginning AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS p FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)),
+node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(p[d].t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) END AS own_saved
+  FROM beginning GROUP BY 1, 2),
+member AS (SELECT b.conv_id AS c, n.conv_id, d FROM beginning b JOIN node n USING (p, d)),
+linked AS (SELECT DISTINCT a.conv_id, a.d, b.conv_id AS below, b.d AS below_d FROM member a JOIN member b ON a.c = b.c AND b.d >= a.d),
+child AS (SELECT conv_id, d, count(*) AS n FROM linked WHERE below_d = d + 1 GROUP BY 1, 2),
+parent AS (SELECT below AS conv_id, below_d AS d, conv_id AS parent_conv_id FROM linked WHERE below_d = d + 1),
+total AS (
+  SELECT l.conv_id, l.d, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum(own_saved) AS saved
+  FROM linked l JOIN node b ON b.conv_id = l.below AND b.d = l.below_d LEFT JOIN child c ON c.conv_id = l.below AND c.d = l.below_d GROUP BY 1, 2)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(coalesce(child.n, 0) AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM node LEFT JOIN parent USING (conv_id, d) LEFT JOIN child USING (conv_id, d) JOIN total USING (conv_id, d)
+"""
+
 OP13_SQL = """
 WITH row_words AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
@@ -175,4 +243,4 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(r.n - sum(removed
 FROM full_rows r LEFT JOIN failing f USING (part, letter)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pivot_search": OP1_SQL, "op10_benchmark_decontamination": OP10_SQL, "op13_filter_audit": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_pivot_search": OP1_SQL, "op10_benchmark_decontamination": OP10_SQL, "op11_stratified_shards": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
