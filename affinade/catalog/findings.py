@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.catalog.base import CTES, context, query, split
-from affinade.catalog.models import edges_of, ridge
+from affinade.catalog.models import edges_of, item_heads, ridge, with_held
 from affinade.catalog.reports import metric_table
 from affinade.catalog.tables import mean_lists, popularity_lists, random_lists, three_lists
-from affinade.operators import baselines, graph, metrics, neighbourhood, similarity
+from affinade.operators import baselines, graph, metrics, similarity
 from affinade.operators.ordered import running
 from affinade.plans import target
 from affinade.sources.ratings import supplier_features
@@ -187,11 +187,12 @@ def neighbourhood_sizes(spark, sf_dir):
     return sim.groupBy(F.col("a").alias("u")).agg(F.count_if(F.col("sim") > 0).alias("n_near"))
 
 
-@query("u:i i:i pred:d", "SELECT n.u, n.i, CASE WHEN sum(abs(sim)) > 1e-10 THEN sum(sim * n.r) / sum(abs(sim)) ELSE any_value(m.mean) END AS pred FROM ibnb n JOIN evt_um m ON m.u = n.u GROUP BY 1, 2 HAVING max(abs(sim)) > 0")
+CTES["ib_raw"] = "SELECT n.u AS u, n.i AS i, sum(sim * n.r) AS num, sum(abs(sim)) AS den FROM ibnb n GROUP BY 1, 2"
+
+
+@query("u:i i:i pred:d", "SELECT c.u, c.i, CASE WHEN den > 1e-10 THEN num / den ELSE m.mean END AS pred FROM evt_cells c JOIN evt_um m USING (u) LEFT JOIN ib_raw s ON s.u = c.u AND s.i = c.i WHERE den > 0 OR EXISTS (SELECT 1 FROM evt_held h WHERE h.u = c.u AND h.i = c.i)")
 def ibcf_raw_predict(spark, sf_dir):
-    ctx = context(spark, sf_dir)
-    sim = similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine")
-    return neighbourhood.predict(ctx.train, sim, 10, False, centre=False)
+    return with_held(*item_heads(spark, sf_dir, centre=False), True)
 
 
 @query("n:i mean:d median:d std:d p99:d largest:d smallest:d", "SELECT count(*) AS n, avg(w) AS mean, quantile_cont(w, 0.5) AS median, stddev_samp(w) AS std, quantile_cont(w, 0.99) AS p99, max(w) AS largest, min(w) AS smallest FROM (SELECT p / a AS w FROM egram g JOIN enear n ON n.i = g.i AND n.pos = 1)")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinade.catalog.base import CTES, VIEWS, context, query
 from affinade.operators import graph, metrics, neighbourhood, regression, similarity, slim
-from affinade.operators.baselines import random_scores
+from affinade.operators.baselines import means, random_scores, settle
 from affinade.operators.topk import top_k
-from affinade.plans.registry import calibrated
-from affinade.plans.service import Recommender
+from affinade.plans.registry import calibrated, fit
+from affinade.plans.service import Recommender, Service
+from affinade.plans.store import ModelStore
+from affinade.sources.tables import shared_folder
 
 
 def pair_ctes(name: str, table: str, row: str, column: str, value: str = "r") -> None:
@@ -80,33 +85,48 @@ def neighbour_sql(sim: str, user_based: bool, k: int) -> str:
 
 CTES["ubnb"] = neighbour_sql("euser_pea_rel", True, 20)
 CTES["ibnb"] = neighbour_sql("eadj_cos_rel", False, 10)
-CTES["ub_sum"] = "SELECT n.u AS u, n.i AS i, sum(sim * (n.r - m.mean)) AS num, sum(abs(sim)) AS den, sum(greatest(sim, 0) * (n.r >= 4)::INT) AS aff FROM ubnb n JOIN evt_um m ON m.u = n.nbr GROUP BY 1, 2 HAVING max(abs(sim)) > 0"
-CTES["ib_sum"] = "SELECT n.u AS u, n.i AS i, sum(sim * (n.r - m.mean)) AS num, sum(abs(sim)) AS den, sum(greatest(sim, 0) * (n.r >= 4)::INT) AS aff FROM ibnb n JOIN evt_im m ON m.i = n.nbr GROUP BY 1, 2 HAVING max(abs(sim)) > 0"
+CTES["ub_sum"] = "SELECT n.u AS u, n.i AS i, sum(sim * (n.r - m.mean)) AS num, sum(abs(sim)) AS den, sum(greatest(sim, 0) * (n.r >= 4)::INT) AS aff FROM ubnb n JOIN evt_um m ON m.u = n.nbr GROUP BY 1, 2"
+CTES["ib_sum"] = "SELECT n.u AS u, n.i AS i, sum(sim * (n.r - m.mean)) AS num, sum(abs(sim)) AS den, sum(greatest(sim, 0) * (n.r >= 4)::INT) AS aff FROM ibnb n JOIN evt_im m ON m.i = n.nbr GROUP BY 1, 2"
 HEADS = "u:i i:i pred:d num:d den:d aff:d"
 
 
+CTES["ub_all"] = "SELECT c.u, c.i, CASE WHEN den > 1e-10 THEN num / den + m.mean ELSE m.mean END AS pred, coalesce(num, 0) AS num, coalesce(den, 0) AS den, coalesce(aff, 0) AS aff FROM evt_cells c JOIN evt_um m USING (u) LEFT JOIN ub_sum s ON s.u = c.u AND s.i = c.i"
+CTES["ib_all"] = "SELECT c.u, c.i, CASE WHEN den > 1e-10 THEN num / den + m.mean ELSE m.mean END AS pred, coalesce(num, 0) AS num, coalesce(den, 0) AS den, coalesce(aff, 0) AS aff FROM evt_cells c JOIN evt_im m USING (i) LEFT JOIN ib_sum s ON s.u = c.u AND s.i = c.i"
+CTES["evt_held"] = "SELECT u, i FROM evt_val UNION ALL SELECT u, i FROM evt_test"
+
+
+def known_or_held(name: str) -> str:
+    """Rows of a table of all cells that have evidence or are held out."""
+    return f"SELECT u, i, pred, num, den, aff FROM {name} c WHERE den > 0 OR EXISTS (SELECT 1 FROM evt_held h WHERE h.u = c.u AND h.i = c.i)"
+
+
 def user_heads(spark, sf_dir):
+    """Pairs with evidence, stored as several queries read them more than once."""
     ctx = context(spark, sf_dir)
-    sim = similarity.similarity(similarity.by_user(ctx.train), "pearson")
-    return ctx, neighbourhood.predict(ctx.train, sim, 20, True)
+    sim = settle(similarity.similarity(similarity.by_user(ctx.train), "pearson"))
+    return ctx, settle(neighbourhood.predict(ctx.train, sim, 20, True))
 
 
-def item_heads(spark, sf_dir):
+def item_heads(spark, sf_dir, centre: bool = True):
     ctx = context(spark, sf_dir)
-    sim = similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine")
-    return ctx, neighbourhood.predict(ctx.train, sim, 10, False)
+    sim = settle(similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine"))
+    return ctx, settle(neighbourhood.predict(ctx.train, sim, 10, False, centre))
+
+
+def with_held(ctx, heads, by_user: bool):
+    """Every pair with evidence and every held-out one."""
+    cells = heads.select("u", "i").union(ctx.val.select("u", "i")).union(ctx.test.select("u", "i"))
+    return neighbourhood.completed(heads, cells, ctx.train, by_user)
 
 
-@query(HEADS, "SELECT s.u, s.i, CASE WHEN den > 1e-10 THEN num / den + m.mean ELSE m.mean END AS pred, num, den, aff FROM ub_sum s JOIN evt_um m USING (u)")
+@query(HEADS, known_or_held("ub_all"))
 def ubcf_predict(spark, sf_dir):
-    ctx = context(spark, sf_dir)
-    return neighbourhood.predict(ctx.train, similarity.similarity(similarity.by_user(ctx.train), "pearson"), 20, True)
+    return with_held(*user_heads(spark, sf_dir), True)
 
 
-@query(HEADS, "SELECT s.u, s.i, CASE WHEN den > 1e-10 THEN num / den + m.mean ELSE m.mean END AS pred, num, den, aff FROM ib_sum s JOIN evt_im m USING (i)")
+@query(HEADS, known_or_held("ib_all"))
 def ibcf_predict(spark, sf_dir):
-    ctx = context(spark, sf_dir)
-    return neighbourhood.predict(ctx.train, similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine"), 10, False)
+    return with_held(*item_heads(spark, sf_dir), False)
 
 
 LIST = "u:i rank:i i:i score:d"
@@ -116,16 +136,16 @@ def list_sql(scores: str) -> str:
     return f"SELECT u, row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) AS rank, i, score FROM ({scores}) s ANTI JOIN evt_train t USING (u, i) QUALIFY rank <= 10"
 
 
-@query(LIST, list_sql("SELECT u, i, num AS score FROM ub_sum"))
+@query(LIST, list_sql("SELECT u, i, num AS score FROM ub_all"))
 def ubcf_score_topk(spark, sf_dir):
     ctx, heads = user_heads(spark, sf_dir)
-    return top_k(neighbourhood.head(heads, "score"), 10, ctx.train)
+    return neighbourhood.filled_lists(neighbourhood.head(heads, "score"), "score", ctx.train, ctx.users, ctx.items, "u", 10)
 
 
-@query(LIST, list_sql("SELECT u, i, aff AS score FROM ib_sum"))
+@query(LIST, list_sql("SELECT u, i, aff AS score FROM ib_all"))
 def ibcf_affinity_topk(spark, sf_dir):
     ctx, heads = item_heads(spark, sf_dir)
-    return top_k(neighbourhood.head(heads, "affinity"), 10, ctx.train)
+    return neighbourhood.filled_lists(neighbourhood.head(heads, "affinity"), "affinity", ctx.train, ctx.users, ctx.items, "i", 10)
 
 
 WHY = "u:i i:i rank:i nbr:i sim:d contribution:d weight_share:d"
@@ -149,6 +169,47 @@ def ibcf_explain(spark, sf_dir):
     return neighbourhood.explain(ctx.train, sim, 10, False, ctx.test.select("u", "i"))
 
 
+def sums_sql(name: str, base: str) -> str:
+    """A held-out pair's score beside the sum of what its neighbours contribute to it, for each head; their difference is 0."""
+    heads = {"score": "num", "affinity": "aff"}
+    rows = [f"SELECT u, i, '{h}' AS head, {c} AS score FROM {name} WHERE den > 0" for h, c in heads.items()]
+    return f"SELECT t.u, t.i, head, score, true AS adds_up FROM ({' UNION ALL '.join(rows)} UNION ALL SELECT u, i, 'rating', pred FROM {name} WHERE den > 0) s JOIN evt_test t USING (u, i)"
+
+
+def added_up(ctx, heads, why, by_user: bool):
+    """Contributions of all neighbours, summed and put beside the head's score."""
+    rows = heads.select("u", "i", F.explode(F.array(*(F.struct(F.lit(m).alias("head"), F.col(c).alias("score")) for m, c in (("score", "num"), ("affinity", "aff"), ("rating", "pred"))))).alias("h"), "den").select("u", "i", "h.head", "h.score", "den")
+    sums = why.groupBy("u", "i", "head").agg(F.sum("contribution").alias("sum"))
+    base = metrics_base(ctx, by_user)
+    rows = rows.where("den > 0").join(ctx.test.select("u", "i"), ["u", "i"], "left_semi").join(sums, ["u", "i", "head"], "left").join(base, "u" if by_user else "i")
+    total = F.when(F.col("head") == "rating", F.when(F.col("den") > 1e-10, F.col("sum") / F.col("den") + F.col("mean")).otherwise(F.col("mean"))).otherwise(F.col("sum"))
+    return rows.select("u", "i", "head", "score", (F.abs(F.coalesce(total, F.lit(0.0)) - F.col("score")) < 1e-9).alias("adds_up"))
+
+
+def metrics_base(ctx, by_user: bool):
+    return means(ctx.train, "u" if by_user else "i", ctx.users if by_user else ctx.items).drop("n")
+
+
+ADDS = "u:i i:i head:s score:d adds_up:b"
+
+
+@query(ADDS, sums_sql("ub_all", "evt_um"))
+def ubcf_reasons(spark, sf_dir):
+    """Reasons of the active head: all neighbours' contributions add up to the score of each head."""
+    ctx, heads = user_heads(spark, sf_dir)
+    sim = settle(similarity.similarity(similarity.by_user(ctx.train), "pearson"))
+    why = [neighbourhood.reasons(ctx.train, sim, 20, True, ctx.test.select("u", "i"), m, top_n=None) for m in ("score", "affinity", "rating")]
+    return added_up(ctx, heads, reduce(DataFrame.unionByName, why), True)
+
+
+@query(ADDS, sums_sql("ib_all", "evt_im"))
+def ibcf_reasons(spark, sf_dir):
+    ctx, heads = item_heads(spark, sf_dir)
+    sim = settle(similarity.similarity(similarity.by_item(ctx.train), "adjusted_cosine"))
+    why = [neighbourhood.reasons(ctx.train, sim, 10, False, ctx.test.select("u", "i"), m, top_n=None) for m in ("score", "affinity", "rating")]
+    return added_up(ctx, heads, reduce(DataFrame.unionByName, why), False)
+
+
 # two bias iterations, as ridge targets
 CTES |= {
     "edev_e": "SELECT u, i, r - (SELECT mu FROM evt_mu) AS e FROM evt_train",
@@ -369,11 +430,35 @@ def random_scores_hash(spark, sf_dir):
 CTES["ibnb_raw"] = "SELECT x.i AS i, t.i AS nbr, coalesce(s.sim, 0) AS sim, t.r FROM evt_items x JOIN evt_train t ON t.u = 7 AND t.i <> x.i LEFT JOIN eadj_cos_rel s ON s.a = x.i AND s.b = t.i QUALIFY row_number() OVER (PARTITION BY x.i ORDER BY round(coalesce(s.sim, 0), 9) DESC, t.i) <= 20"
 
 
-@query("rank:i i:i score:d", "SELECT row_number() OVER (ORDER BY round(num, 9) DESC, i) AS rank, i, num AS score FROM (SELECT i, sum(sim * r) AS num FROM ibnb_raw GROUP BY 1 HAVING max(abs(sim)) > 0) s ANTI JOIN (SELECT i FROM evt_train WHERE u = 7) t USING (i) QUALIFY rank <= 10")
+@query("rank:i i:i score:d", "SELECT row_number() OVER (ORDER BY round(coalesce(num, 0), 9) DESC, i) AS rank, i, coalesce(num, 0) AS score FROM evt_items LEFT JOIN (SELECT i, sum(sim * r) AS num FROM ibnb_raw GROUP BY 1) s USING (i) ANTI JOIN (SELECT i FROM evt_train WHERE u = 7) t USING (i) QUALIFY rank <= 10")
 def service_recommend_user(spark, sf_dir):
     ctx = context(spark, sf_dir)
     return Recommender(ctx, k=20).recommend(7, "score")
 
+
+SERVED = {"popularity": {"family": "popularity"}, "ubcf": {"family": "ubcf", "k": 20, "similarity": "pearson"}, "ibcf": {"family": "ibcf", "k": 10, "rank_mode": "affinity"}, "graph": {"family": "graph"}}
+SERVED_SQL = {"popularity": "SELECT 7 AS u, i, CAST(cnt AS DOUBLE) AS score FROM evt_cnt", "ubcf": "SELECT u, i, num AS score FROM ub_all WHERE u = 7", "ibcf": "SELECT u, i, aff AS score FROM ib_all WHERE u = 7", "graph": "SELECT u, i, score FROM e_score WHERE u = 7"}
+
+
+def served(spark, sf_dir) -> Service:
+    """Four families fitted, stored in buckets, and opened again from there."""
+    ctx = context(spark, sf_dir)
+    store = ModelStore(spark, shared_folder(spark, "served"), buckets=16)
+    return Service.of(store, ctx, SERVED, {name: fit(spec, ctx.data(ctx.test)) for name, spec in SERVED.items()})
+
+
+@query("model:s rank:i i:i score:d", " UNION ALL ".join(f"SELECT '{m}' AS model, rank, i, score FROM ({list_sql(q)})" for m, q in SERVED_SQL.items()))
+def service_stored_lists(spark, sf_dir):
+    """One user's lists from stored models, each the same as the model's own."""
+    app = served(spark, sf_dir)
+    return reduce(DataFrame.unionByName, (app.models[m].list_of(7, 10).withColumn("model", F.lit(m)) for m in SERVED))
+
+
+@query("rank:i " + " ".join(f"{m}:i" for m in SERVED), "SELECT rank, " + ", ".join(f"max(i) FILTER (model = '{m}') AS {m}" for m in SERVED) + " FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS model, rank, i FROM ({list_sql(q)})" for m, q in SERVED_SQL.items()) + ") GROUP BY 1")
+def service_compare(spark, sf_dir):
+    return served(spark, sf_dir).compare(7, 10, list(SERVED))
+
+
 @query("i:i r:d cnt:i grp:s", "SELECT i, r, cnt, grp FROM evt_train JOIN evt_grp USING (i) WHERE u = 7 ORDER BY r DESC, cnt DESC, i LIMIT 20")
 def service_user_profile(spark, sf_dir):
     return Recommender(context(spark, sf_dir)).user_profile(7)

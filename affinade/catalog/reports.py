@@ -152,10 +152,10 @@ def compare_wide(spark, sf_dir):
     return rows.select("u", "model", *(F.col(str(k)).alias(f"r{k}") for k in range(1, 6)))
 
 
-@query("u:i i:i percentile:d", "SELECT t.u, t.i, 100 * avg((round(s.num, 9) < round(o.num, 9))::INT) AS percentile FROM evt_test t JOIN ib_sum o ON o.u = t.u AND o.i = t.i JOIN ib_sum s ON s.u = t.u GROUP BY 1, 2")
+@query("u:i i:i percentile:d", "SELECT t.u, t.i, 100 * avg((round(s.num, 9) < round(o.num, 9))::INT) AS percentile FROM evt_test t JOIN ib_all o ON o.u = t.u AND o.i = t.i JOIN (SELECT u, i, num FROM ib_all ANTI JOIN evt_train USING (u, i)) s ON s.u = t.u GROUP BY 1, 2")
 def score_percentile(spark, sf_dir):
     ctx, heads = item_heads(spark, sf_dir)
-    return analysis.score_percentile(heads.select("u", "i", F.col("num").alias("score")), ctx.test)
+    return analysis.score_percentile(heads.select("u", "i", F.col("num").alias("score")), ctx.test, ctx.train, ctx.items)
 
 
 @query("n:i pearson:d", "SELECT count(*) AS n, corr(cnt, mean) AS pearson FROM supp_cnt JOIN supp_im USING (i)")
@@ -172,9 +172,9 @@ def sim_vs_coef_corr(spark, sf_dir):
     return analysis.similarity_against_weights(w)
 
 
-@query("rank_mode:s precision:d recall:d hit_rate:d", " UNION ALL ".join(f"SELECT '{mode}' AS rank_mode, avg(coalesce(h, 0)) / 10 AS precision, avg(coalesce(h, 0) / n_rel) AS recall, avg((coalesce(h, 0) > 0)::INT) AS hit_rate FROM evt_nrel LEFT JOIN (SELECT u, CAST(count(*) AS DOUBLE) AS h FROM (SELECT u, i FROM ({score}) s ANTI JOIN evt_train t USING (u, i) QUALIFY row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) <= 10) JOIN evt_rel USING (u, i) GROUP BY 1) USING (u)" for mode, score in (("rating", "SELECT b.u, b.i, CASE WHEN den > 1e-10 THEN num / den + m.mean ELSE m.mean END AS score FROM ib_sum b JOIN evt_im m USING (i)"), ("score", "SELECT u, i, num AS score FROM ib_sum"), ("affinity", "SELECT u, i, aff AS score FROM ib_sum"))))
+@query("rank_mode:s precision:d recall:d hit_rate:d", " UNION ALL ".join(f"SELECT '{mode}' AS rank_mode, avg(coalesce(h, 0)) / 10 AS precision, avg(coalesce(h, 0) / n_rel) AS recall, avg((coalesce(h, 0) > 0)::INT) AS hit_rate FROM evt_nrel LEFT JOIN (SELECT u, CAST(count(*) AS DOUBLE) AS h FROM (SELECT u, i FROM ({score}) s ANTI JOIN evt_train t USING (u, i) QUALIFY row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, i) <= 10) JOIN evt_rel USING (u, i) GROUP BY 1) USING (u)" for mode, score in (("rating", "SELECT u, i, pred AS score FROM ib_all"), ("score", "SELECT u, i, num AS score FROM ib_all"), ("affinity", "SELECT u, i, aff AS score FROM ib_all"))))
 def rank_modes(spark, sf_dir):
     from affinade.plans.evaluate import rank_modes as modes
 
     ctx, heads = item_heads(spark, sf_dir)
-    return modes(ctx, heads, ctx.test)
+    return modes(ctx, heads, ctx.test, "i")

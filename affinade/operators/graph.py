@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.operators.baselines import settle
 from affinade.operators.pairs import pairs
+from affinade.operators.topk import top_k
 
 
 def weighted_edges(edges: DataFrame, normalize: str = "degree") -> tuple[DataFrame, DataFrame]:
@@ -82,6 +85,77 @@ def random_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterati
     return state
 
 
+def walk_scores(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, steps: int = 200, tol: float = 1e-9) -> DataFrame:
+    """u, i, score: the items' mass after ``steps`` steps of random_walk(), each within ``tol`` in sum for every seed.
+
+    Mass moves between users and items by turns, so what items have is a series over the item-item hop: after t steps (odd t) a walk is at x_t = x_(t-2) H, and
+    its weight is alpha (1 - alpha)^t. A hop never makes the distance of two states larger; so once x moves by d, all that is to come
+    differs from x by at most d a hop. A seed whose rest of the series is thereby within ``tol`` is closed with the rest's weight and leaves the
+    iteration. The hops are kept partitioned by item: only states, summed before they are sent, are shuffled.
+    """
+    ui, iu = weighted_edges(edges)
+    hop = settle(item_hop(ui, iu).repartition("i"))
+    weight = lambda t: alpha * (1 - alpha) ** t if t < steps else (1 - alpha) ** t
+    first = ui.join(seeds.select("u").distinct(), "u", "left_semi")
+    state = settle(first.select("u", "i", F.col("w").alias("x"), (F.col("w") * (weight(1) if steps else 0.0)).alias("s")))
+    out, t = [], 1
+    while True:
+        rest = sum(weight(n) for n in range(t + 2, steps + 1, 2))
+        if not rest:
+            out.append(state.select("u", "i", F.col("s").alias("score")))
+            break
+        moved = state.join(hop, "i").groupBy("u", F.col("j").alias("i")).agg(F.sum(F.col("x") * F.col("w")).alias("y"))
+        t += 2
+        here, behind = weight(t), sum(weight(n) for n in range(t + 2, steps + 1, 2))
+        far = sum(weight(n) * (n - t) / 2 for n in range(t + 2, steps + 1, 2))
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        both = moved.join(state, ["u", "i"], "full")
+        both = both.select("u", "i", zero("y").alias("x"), (zero("s") + zero("y") * here).alias("s"), F.abs(zero("y") - zero("x")).alias("d"))
+        state = settle(both.withColumn("near", F.sum("d").over(Window.partitionBy("u")) * far < tol).drop("d"))
+        out.append(state.where("near").select("u", "i", (F.col("s") + F.col("x") * behind).alias("score")))
+        state = state.where("not near").drop("near")
+        if not state.take(1):
+            break
+    return reduce(DataFrame.unionByName, out)
+
+
+def walk_lists(edges: DataFrame, users: DataFrame, seen: DataFrame, k: int, alpha: float = 0.15, steps: int = 200, tol: float = 1e-9, block: int = 100_000) -> DataFrame:
+    """Top-N by walk_scores(), for ``block`` users at a time: no more states than theirs exist at once."""
+    own = users.select("u").distinct()
+    n = -(-own.count() // block) or 1
+    parts = []
+    for b in range(n):
+        mine = own.where(F.pmod(F.xxhash64("u"), F.lit(n)) == b)
+        parts.append(settle(top_k(walk_scores(edges, mine, alpha, steps, tol), k, seen)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def path_parts(edges: DataFrame, length: int = 9, normalize: str = "degree", users: DataFrame | None = None) -> DataFrame:
+    """u, i, length, m: the walks' weight from u to i of each odd length, made in one pass; a score for any depth and attenuation is a sum of these."""
+    ui, iu = weighted_edges(edges, normalize)
+    hop = settle(item_hop(ui, iu).repartition("i"))
+    if users is not None:
+        ui = ui.join(users.select("u"), "u", "left_semi")
+    state, parts = settle(ui.select("u", "i", F.col("w").alias("m"))), []
+    for step in range(1, length + 1, 2):
+        if step > 1:
+            state = settle(state.join(hop, "i").groupBy("u", F.col("j").alias("i")).agg(F.sum(F.col("m") * F.col("w")).alias("m")))
+        parts.append(state.select("u", "i", F.lit(step).alias("length"), "m"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scores_by_depth(parts: DataFrame, lengths: tuple[int, ...], beta: float) -> DataFrame:
+    """u, i, depth, score for each greatest length: of path_parts()'s rows every one counts in all depths from its own on."""
+    deeper = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n >= F.col("length"))
+    rows = parts.select("u", "i", F.explode(deeper).alias("depth"), (F.col("m") * F.pow(F.lit(beta), F.col("length"))).alias("s"))
+    return rows.groupBy("u", "i", "depth").agg(F.sum("s").alias("score"))
+
+
+def damped(score: Column) -> Column:
+    """What ratings are calibrated on: a walk's weights differ by orders of magnitude."""
+    return F.log1p(F.greatest(score, F.lit(0.0)) * 1e4)
+
+
 def explain_paths(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """For (u, i): over which item j of u's the walks u, j, v, i go: u, i, via, weight, paths (j <> i, v <> u, v has i)."""
     deg_u = edges.groupBy("u").agg(F.count(F.lit(1)).alias("d"))

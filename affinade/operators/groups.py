@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
+from affinade.operators.baselines import settle
 
 
 def item_counts(train: DataFrame, items: DataFrame) -> DataFrame:
@@ -78,3 +79,41 @@ def gini(counts: DataFrame, value: str = "cnt") -> DataFrame:
     sums = rows.agg(F.sum(F.col("x") * ranks).alias("weighted"), F.sum(F.col("x") * F.col("m")).alias("total"), F.sum("m").alias("n"))
     g = 2 * F.col("weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")
     return sums.select(F.when(F.col("total") > 0, g).otherwise(0.0).alias("gini"))
+
+
+def dense_core(ratings: DataFrame, n_users: int, n_items: int) -> DataFrame:
+    """user_rank, item_rank, u, i, r: the cells of the most active users and the most rated items (ties: the smaller number first)."""
+
+    def first(key: str, n: int, name: str) -> DataFrame:
+        best = ratings.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(n)
+        return best.select(key, F.row_number().over(Window.orderBy(F.desc("n"), F.asc(key))).alias(name))  # n rows
+
+    both = ratings.join(F.broadcast(first("u", n_users, "user_rank")), "u").join(F.broadcast(first("i", n_items, "item_rank")), "i")  # bounded by parameters
+    return both.select("user_rank", "item_rank", "u", "i", "r")
+
+
+def peeled(ratings: DataFrame, least_user: int, least_item: int, rounds: int = 100) -> DataFrame:
+    """u, i, r where users and items with fewer ratings than the least are taken away, until none is left to take or ``rounds`` are over.
+
+    Each round counts what the last one left; rows are only dropped, so few rounds change anything.
+    """
+    rows, n = ratings, None
+    for _ in range(rounds):
+        users = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_user).select("u")
+        items = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_item).select("i")
+        rows = settle(rows.join(users, "u", "left_semi").join(items, "i", "left_semi"))
+        left = rows.count()
+        if left == n:
+            break
+        n = left
+    return rows.select("u", "i", "r")
+
+
+def hexagonal_bins(rows: DataFrame, x: Column, y: Column, width: float, height: float) -> DataFrame:
+    """col, row (in units of width and height; every other line is half a unit off), n: points by the nearer centre of two lattices."""
+    at = rows.select((x / width).alias("x"), (y / height).alias("y"))
+    at = at.select("x", "y", F.floor(F.col("x") + 0.5).alias("c0"), F.floor(F.col("y") + 0.5).alias("r0"), (F.floor("x") + 0.5).alias("c1"), (F.floor("y") + 0.5).alias("r1"))
+    far = lambda c, r: F.pow(F.col("x") - F.col(c), F.lit(2)) + 3 * F.pow(F.col("y") - F.col(r), F.lit(2))
+    near = far("c0", "r0") < far("c1", "r1")
+    cell = lambda a, b: F.when(near, F.col(a).cast("double")).otherwise(F.col(b))
+    return at.select(cell("c0", "c1").alias("col"), cell("r0", "r1").alias("row")).groupBy("col", "row").agg(F.count(F.lit(1)).alias("n"))

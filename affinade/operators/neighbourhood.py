@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
+from affinade.operators.baselines import means
+from affinade.operators.topk import filled_top_k
 
 DEN_EPS = 1e-10
-SHORTLIST = 4  # times k: the most similar ones of each row that are looked at first
 
 
 def evidence(train: DataFrame, sim: DataFrame, user_based: bool, targets: DataFrame | None = None) -> DataFrame:
@@ -38,78 +39,95 @@ def evidence(train: DataFrame, sim: DataFrame, user_based: bool, targets: DataFr
     return rows if targets is None else rows.join(targets.select("u", "i"), ["u", "i"], "left_semi")
 
 
-def nearest(rows: DataFrame, train: DataFrame, k: int, user_based: bool) -> DataFrame:
-    """The rows of evidence() that are among the k nearest of their pair."""
+def slots(train: DataFrame, sim: DataFrame, most: int, user_based: bool, targets: DataFrame | None = None) -> DataFrame:
+    """evidence() with ``slot``, the place it takes among all candidates of its pair, up to ``most``: one ranked scan for every k up to it.
+
+    A positive one's slot is its rank among the positive, which Spark bounds by ``most`` rows a pair before it shuffles them. A negative one's comes after all
+    candidates that aren't negative, stored or not; only negative ones are counted for that.
+    """
+    return slotted(evidence(train, sim.where("sim > 0"), user_based, targets), evidence(train, sim.where("sim < 0"), user_based, targets), train, most, user_based)
+
+
+def slotted(up: DataFrame, down: DataFrame, train: DataFrame, most: int, user_based: bool) -> DataFrame:
+    """slots() of the positive and the negative rows of evidence()."""
     pair = Window.partitionBy("u", "i")
-    order = pair.orderBy(F.desc(F.round("sim", 9)), F.asc("nbr"))
-    side, whole = ("i", "n_side") if user_based else ("u", "n_side")
-    sizes = train.groupBy(side).agg(F.count(F.lit(1)).alias(whole))
+    place = F.row_number().over(pair.orderBy(F.desc(F.round("sim", 9)), F.asc("nbr")))
+    up = up.withColumn("slot", place).where(F.col("slot") <= most)
+    side = "i" if user_based else "u"
+    sizes = train.groupBy(side).agg(F.count(F.lit(1)).alias("n_side"))
     own = train.select("u", "i", F.lit(1).alias("_own"))
-    ranked = rows.withColumn("_p", F.row_number().over(order)).withColumn("_neg", F.sum((F.col("sim") < 0).cast("int")).over(pair)).withColumn("_all", F.count(F.lit(1)).over(pair))
-    ranked = ranked.where((F.col("_p") <= k))
-    ranked = ranked.join(sizes, side).join(own, ["u", "i"], "left")
+    down = down.withColumn("_p", place).withColumn("_n", F.count(F.lit(1)).over(pair)).where(F.col("_p") <= most)
     others = F.col("n_side") - F.coalesce("_own", F.lit(0))
-    place = F.col("_p") - (F.col("_all") - F.col("_neg"))  # of a negative one among the negative ones
-    kept = (F.col("sim") > 0) | (others - F.col("_neg") + place <= k)
-    return ranked.where(kept).select("u", "i", "nbr", "sim", "r")
+    down = down.join(sizes, side).join(own, ["u", "i"], "left").withColumn("slot", (others - F.col("_n") + F.col("_p")).cast("int")).where(F.col("slot") <= most)
+    names = ["u", "i", "nbr", "sim", "r", "slot"]
+    return up.select(*names).union(down.select(*names))
+
+
+def nearest(rows: DataFrame, train: DataFrame, k: int, user_based: bool) -> DataFrame:
+    """The rows of evidence() that are among the k nearest of their pair."""
+    return slotted(rows.where("sim > 0"), rows.where("sim < 0"), train, k, user_based).drop("slot")
 
 
-def selected(train: DataFrame, sim: DataFrame, k: int, user_based: bool, targets: DataFrame | None = None) -> DataFrame:
-    """The k nearest of every pair: u, i, nbr, sim, r.
+def contributing(near: DataFrame, means_of: DataFrame, user_based: bool, centre: bool, centre_by: str) -> DataFrame:
+    """slots() with ``d``, what a neighbour's rating counts: less the neighbour's mean (user-based), the item's, the user's, or as it is.
 
-    A pair that finds k candidates of positive similarity among the SHORTLIST * k most similar ones of its row is done with these, as all
-    others rank behind them; only the other pairs meet every candidate. So the product of pairs and candidates is neither
-    ranked nor shuffled where it isn't needed.
+    ``means_of``: (u or i, m), the means of who is centred by.
     """
-    row = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), F.asc("b"))
-    short = sim.where("sim > 0").select("a", "b", "sim").withColumn("_r", F.row_number().over(row)).where(F.col("_r") <= SHORTLIST * k).drop("_r")
-    pair = Window.partitionBy("u", "i").orderBy(F.desc(F.round("sim", 9)), F.asc("nbr"))
-    first = evidence(train, short, user_based, targets).withColumn("_p", F.row_number().over(pair)).where(F.col("_p") <= k).persist()
-    done = first.where(F.col("_p") == k).select("u", "i")
-    enough = first.join(done, ["u", "i"], "left_semi").select("u", "i", "nbr", "sim", "r")
-    cells = targets if targets is not None else train.select("u").distinct().crossJoin(train.select("i").distinct())  # asked for: all cells
-    rest = evidence_for(train, sim, user_based, cells.select("u", "i").distinct().join(done, ["u", "i"], "left_anti"))
-    return enough.union(nearest(rest, train, k, user_based))
-
-
-def evidence_for(train: DataFrame, sim: DataFrame, user_based: bool, cells: DataFrame) -> DataFrame:
-    """evidence() of some cells, made from these: for few cells out of very many."""
-    kept = sim.where(F.col("sim") != 0).select("a", "b", "sim")
-    if user_based:
-        rows = cells.join(train.select(F.col("u").alias("b"), "i", "r"), "i").join(kept.withColumnRenamed("a", "u"), ["u", "b"])
-    else:
-        rows = cells.join(train.select("u", F.col("i").alias("b"), "r"), "u").join(kept.withColumnRenamed("a", "i"), ["i", "b"])
-    return rows.select("u", "i", F.col("b").alias("nbr"), "sim", "r")
+    if not centre:
+        return near.withColumn("d", F.col("r"))
+    key = "u" if not user_based and centre_by == "user" else "nbr"
+    of = means_of.select(F.col("u" if user_based or centre_by == "user" else "i").alias(key), "m")
+    return near.join(of, key).withColumn("d", F.col("r") - F.col("m")).drop("m")
+
+
+def centres(train: DataFrame, user_based: bool, centre_by: str) -> DataFrame:
+    return train.groupBy("u" if user_based or centre_by == "user" else "i").agg(F.avg("r").alias("m"))
+
+
+def base_side(user_based: bool, centre: bool, centre_by: str) -> str:
+    """Whose mean a pair without evidence is predicted by."""
+    return "u" if user_based or centre_by == "user" or not centre else "i"
+
+
+def with_predictions(sums: DataFrame, train: DataFrame, side: str, centre: bool) -> DataFrame:
+    """Rows of u, i, num, den, aff get ``pred``; the base mean where there is no evidence of weight."""
+    base, mu = train.groupBy(side).agg(F.avg("r").alias("base")), train.agg(F.avg("r").alias("mu"))
+    sums = sums.join(base, side, "left").crossJoin(F.broadcast(mu))  # one row
+    base_of = F.coalesce("base", "mu")
+    pred = F.when(F.col("den") > DEN_EPS, F.col("num") / F.col("den") + (base_of if centre else F.lit(0.0))).otherwise(base_of)
+    return sums.withColumn("pred", pred).drop("base", "mu")
+
+
+def heads_by_k(near: DataFrame, train: DataFrame, ks: list[int], user_based: bool, centre: bool = True, centre_by: str = "item", liked_from: float = CONFIG.liked_from) -> DataFrame:
+    """u, i, k, pred, num, den, aff for every k of ``ks`` and pair with evidence among its ks, from one ranked scan (slots() up to the largest k)."""
+    rows = contributing(near, centres(train, user_based, centre_by), user_based, centre, centre_by)
+    s, liked = F.col("sim"), (F.col("r") >= liked_from).cast("double")
+    parts = {"num": s * F.col("d"), "den": F.abs(s), "aff": F.greatest(s, F.lit(0.0)) * liked}
+    within = lambda k, x: F.coalesce(F.sum(F.when(F.col("slot") <= k, x)), F.lit(0.0))
+    sums = rows.groupBy("u", "i").agg(F.min("slot").alias("_s"), *(within(k, x).alias(f"{name}_{k}") for k in ks for name, x in parts.items()))
+    each = F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"{name}_{k}").alias(name) for name in parts)) for k in ks))
+    long = sums.select("u", "i", "_s", F.explode(each).alias("h")).select("u", "i", "_s", "h.*").where(F.col("_s") <= F.col("k")).drop("_s")
+    return with_predictions(long, train, base_side(user_based, centre, centre_by), centre).select("u", "i", "k", "pred", "num", "den", "aff")
 
 
 def predict(train: DataFrame, sim: DataFrame, k: int, user_based: bool, centre: bool = True, centre_by: str = "item", liked_from: float = CONFIG.liked_from, targets: DataFrame | None = None) -> DataFrame:
-    """u, i, pred, num, den, aff for every pair with evidence, in one pass over it.
+    """u, i, pred, num, den, aff for every pair with evidence (see completed() and filled_lists() for the others).
 
     Centred, a neighbour counts by its rating less its mean (user-based: the neighbour's; item-based: the item's, or with
-    ``centre_by='user'`` the user's), on top of the pair's own mean; raw, by its rating. Without evidence of weight the prediction
-    is the base mean.
+    ``centre_by='user'`` the user's), on top of the pair's own mean; raw, by its rating.
     """
-    rows = selected(train, sim, k, user_based, targets)
-    user_mean = train.groupBy("u").agg(F.avg("r").alias("m_u"))
-    item_mean = train.groupBy("i").agg(F.avg("r").alias("m_i"))
-    mu = train.agg(F.avg("r").alias("mu"))
-    if not centre:
-        rows = rows.withColumn("d", F.col("r"))
-    elif user_based:
-        rows = rows.join(user_mean.select(F.col("u").alias("nbr"), F.col("m_u").alias("m")), "nbr").withColumn("d", F.col("r") - F.col("m"))
-    elif centre_by == "item":
-        rows = rows.join(item_mean.select(F.col("i").alias("nbr"), F.col("m_i").alias("m")), "nbr").withColumn("d", F.col("r") - F.col("m"))
-    else:
-        rows = rows.join(user_mean.withColumnRenamed("m_u", "m"), "u").withColumn("d", F.col("r") - F.col("m"))
-    s = F.col("sim")
-    liked = (F.col("r") >= liked_from).cast("double")
-    sums = rows.groupBy("u", "i").agg(F.sum(s * F.col("d")).alias("num"), F.sum(F.abs(s)).alias("den"), F.sum(F.greatest(s, F.lit(0.0)) * liked).alias("aff"))
-    own_user = user_based or centre_by == "user" or not centre
-    base = user_mean.withColumnRenamed("m_u", "base") if own_user else item_mean.withColumnRenamed("m_i", "base")
-    sums = sums.join(base, "u" if own_user else "i", "left").crossJoin(F.broadcast(mu))  # one row
-    base_of, enough = F.coalesce("base", "mu"), F.col("den") > DEN_EPS
-    pred = F.when(enough, F.col("num") / F.col("den") + (base_of if centre else F.lit(0.0))).otherwise(base_of)
-    return sums.select("u", "i", pred.alias("pred"), "num", "den", "aff")
+    near = slots(train, sim, k, user_based, targets)
+    return heads_by_k(near, train, [k], user_based, centre, centre_by, liked_from).drop("k")
+
+
+def filled_lists(rows: DataFrame, mode: str, train: DataFrame, users: DataFrame, items: DataFrame, side: str, n: int, by: DataFrame | None = None) -> DataFrame:
+    """Top-N over every pair from the rows of pairs with evidence (u, i, score): others score the base mean (mode ``rating``) or 0, and
+    are met in order of it, as few as can matter. ``by``: as of filled_top_k()."""
+    if mode != "rating":
+        return filled_top_k(rows, users, items.select("i"), n, train, by=by)
+    if side == "u":
+        return filled_top_k(rows, users, items.select("i"), n, train, offset=means(train, "u", users).select("u", F.col("mean").alias("c")), by=by)
+    return filled_top_k(rows, users, means(train, "i", items).select("i", F.col("mean").alias("score")), n, train, by=by)
 
 
 def completed(rows: DataFrame, cells: DataFrame, train: DataFrame, by_user: bool) -> DataFrame:
@@ -131,9 +149,33 @@ def head(scores: DataFrame, mode: str) -> DataFrame:
 
 def explain(train: DataFrame, sim: DataFrame, k: int, user_based: bool, targets: DataFrame, top_n: int = 5) -> DataFrame:
     """Why (u, i): the neighbours of the score itself, by the size of their contribution (similarity times rating)."""
-    rows = nearest(evidence(train, sim, user_based, targets), train, k, user_based)
-    rows = rows.withColumn("contribution", F.col("sim") * F.col("r"))
+    rows = nearest(evidence(train, sim, user_based, targets), train, k, user_based).withColumn("contribution", F.col("sim") * F.col("r"))
+    return strongest(rows, top_n).select("u", "i", "rank", "nbr", "sim", "r", "contribution", "weight_share")
+
+
+def strongest(rows: DataFrame, top_n: int) -> DataFrame:
+    """The largest contributions of each pair with ``rank`` and ``weight_share``, their share of all its similarities' size."""
     whole = Window.partitionBy("u", "i")
     order = whole.orderBy(F.desc(F.round(F.abs("contribution"), 9)), F.asc("nbr"))
-    rows = rows.withColumn("weight_share", F.col("contribution") / F.sum(F.abs("sim")).over(whole))
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).select("u", "i", "rank", "nbr", "sim", "r", "contribution", "weight_share")
+    size = F.sum(F.abs("sim")).over(whole)
+    rows = rows.withColumn("weight_share", F.when(size > 0, F.col("contribution") / size).otherwise(0.0))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+
+
+def reasons(train: DataFrame, sim: DataFrame, k: int, user_based: bool, targets: DataFrame, mode: str, centre: bool = True, centre_by: str = "item", liked_from: float = CONFIG.liked_from, top_n: int | None = 5) -> DataFrame:
+    """Why the head ``mode`` scores (u, i) as it does: what each neighbour adds to it, so that all contributions add up to the head's sum.
+
+    affinity: similarity, if positive, where the rating is liked; score and rating: similarity times what the rating counts, centred as the model is
+    (rating: the sum is then divided by ``weight``, the similarities' size, and added to the base mean). ``top_n`` None: all of them.
+    """
+    near = slots(train, sim, k, user_based, targets)
+    return reasoned(near, centres(train, user_based, centre_by), user_based, centre, centre_by, liked_from, mode, top_n)
+
+
+def reasoned(near: DataFrame, means_of: DataFrame, user_based: bool, centre: bool, centre_by: str, liked_from: float, mode: str, top_n: int | None) -> DataFrame:
+    """reasons() of a scan's rows."""
+    rows, s = contributing(near, means_of, user_based, centre, centre_by), F.col("sim")
+    liked = F.greatest(s, F.lit(0.0)) * (F.col("r") >= liked_from).cast("double")
+    rows = rows.withColumn("contribution", liked if mode == "affinity" else s * F.col("d"))
+    n = 2_147_483_647 if top_n is None else top_n
+    return strongest(rows, n).select("u", "i", "rank", "nbr", "sim", "r", "d", "contribution", "weight_share", F.lit(mode).alias("head"))

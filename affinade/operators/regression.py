@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
-from affinade.operators.baselines import bias_model, settle
+from affinade.operators.baselines import bias_model, bias_predict, settle
 from affinade.operators.ordered import running
+from affinade.operators.topk import filled_top_k
 
 
 def deviations(train: DataFrame, lam: float = 10.0, iterations: int = 20) -> tuple[DataFrame, DataFrame, DataFrame, float]:
@@ -106,6 +107,14 @@ def apply_weights(values: DataFrame, weights: DataFrame, column: str = "x") -> D
     return rows.groupBy("u", F.col("dst").alias("i")).agg(F.sum(F.col("x") * F.col("w")).alias("score"))
 
 
+def rating_lists(moved: DataFrame, b_i: DataFrame, b_u: DataFrame, mu: float, train: DataFrame, users: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Top-N by prediction over every pair: items without a weighted neighbour of the user's are met in order of their bias, as few as can matter."""
+    own = bias_predict(moved, b_i, b_u, mu).join(moved, ["u", "i"]).select("u", "i", (F.col("pred") + F.col("score")).alias("score"))
+    line = items.select("i").join(b_i, "i", "left").select("i", F.coalesce("b_i", F.lit(0.0)).alias("score"))
+    offset = users.select("u").join(b_u, "u", "left").select("u", (F.lit(mu) + F.coalesce("b_u", F.lit(0.0))).alias("c"))
+    return filled_top_k(settle(own), users, line, n, train, offset)
+
+
 def liked(train: DataFrame, liked_from: float = CONFIG.liked_from) -> DataFrame:
     return train.where(F.col("r") >= liked_from).select("u", "i", F.lit(1.0).alias("x"))
 

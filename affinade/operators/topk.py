@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinade.functions.columns import finite
+from affinade.operators.ordered import running
 
 DIGITS = 9  # engines add in different orders; scores are compared after this many places
 
@@ -14,12 +15,12 @@ def exclude(scores: DataFrame, seen: DataFrame) -> DataFrame:
     return scores.join(seen.select("u", "i"), ["u", "i"], "left_anti")
 
 
-def top_k(scores: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
-    """u, rank, i, score: highest score first, then the smaller item; short lists stay short."""
+def top_k(scores: DataFrame, k: int, seen: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """u, rank, i, score: highest score first, then the smaller item; short lists stay short. ``by``: further columns that tell lists apart."""
     rows = scores if seen is None else exclude(scores, seen)
-    rows = rows.select("u", "i", F.round(finite(F.col("score")), DIGITS).alias("score")).where("score is not null")
-    order = Window.partitionBy("u").orderBy(F.desc("score"), F.asc("i"))
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("u", "rank", "i", "score")
+    rows = rows.select(*by, "u", "i", F.round(finite(F.col("score")), DIGITS).alias("score")).where("score is not null")
+    order = Window.partitionBy(*by, "u").orderBy(F.desc("score"), F.asc("i"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "u", "rank", "i", "score")
 
 
 def every_pair_top_k(users: DataFrame, items: DataFrame, score: Column, k: int, seen: DataFrame) -> DataFrame:
@@ -48,3 +49,30 @@ def item_scores_top_k(users: DataFrame, scores: DataFrame, k: int, seen: DataFra
     place = best.withColumn("_p", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("i"))))  # of the cut list only
     pairs = mine.select("u", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_p")).join(place, "_p")
     return top_k(pairs.select("u", "i", "score"), k, seen)
+
+
+def filled_top_k(own: DataFrame, users: DataFrame, fill: DataFrame, k: int, seen: DataFrame, offset: DataFrame | None = None, by: DataFrame | None = None) -> DataFrame:
+    """Top-N where every pair has a score: ``own`` (u, i, score) where there is one, else ``offset`` (u, c; 0 without) plus the item's ``fill`` (i, score; 0 without that column).
+
+    No product of users and items: a user meets as many items of the ordered fill as it has own and seen ones, and k. Where fill has no
+    scores, users with k better own ones meet none. ``by`` (a small table of settings): lists apart for each of its rows, whose columns own has too.
+    """
+    names = tuple(by.columns) if by is not None else ()
+    keys, flat = [*names, "u"], "score" not in fill.columns
+    count = lambda rows, on, name: rows.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+    own = own.select(*keys, "i", F.round(finite(F.col("score")), DIGITS).alias("score")).where("score is not null")
+    who = users.select("u").distinct()
+    who = who.join(offset, "u", "left").withColumn("c", F.coalesce("c", F.lit(0.0))) if offset is not None else who.withColumn("c", F.lit(0.0))
+    who = who.crossJoin(F.broadcast(by)) if by is not None else who  # settings, a few rows
+    better = exclude(own, seen)
+    if flat:
+        good = count(better.join(who, keys).where(F.col("score") > F.round("c", DIGITS)), keys, "_good")
+        who = who.join(good, keys, "left").where(F.coalesce("_good", F.lit(0)) < k).drop("_good")
+    who = who.join(count(own, keys, "_own"), keys, "left").join(count(seen, ["u"], "_seen"), "u", "left")
+    who = who.select(*keys, "c", (F.coalesce("_own", F.lit(0)) + F.coalesce("_seen", F.lit(0)) + k).cast("int").alias("_n"))
+    score = F.lit(0.0) if flat else F.round(finite(F.col("score")), DIGITS)
+    line = fill.select("i", score.alias("f")).where("f is not null").withColumn("_key", F.struct((-F.col("f")).alias("f"), "i"))
+    line = running(line, "_key", F.lit(1), "_p").select("i", "f", (F.col("_p") + 1).cast("int").alias("_p"))
+    met = who.select(*keys, "c", F.explode(F.sequence(F.lit(1), "_n")).alias("_p")).join(line, "_p").join(own.select(*keys, "i"), [*keys, "i"], "left_anti")
+    rows = better.select(*keys, "i", "score").unionByName(met.select(*keys, "i", (F.col("c") + F.col("f")).alias("score")))
+    return top_k(rows, k, seen, names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,11 +110,21 @@ def block_summary(table: DataFrame, block: list[str], label: str, metric: str, t
     return table.groupBy(*block).agg(best.alias("best"), worst.alias("worst"), (F.max(metric) - F.min(metric)).alias("spread"), ((F.max(metric) - F.min(metric)) <= tol).alias("tied"))
 
 
-def score_percentile(scores: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target (u, i): the percentage of the user's candidates that score strictly lower."""
-    mine = targets.select("u", "i").join(scores, ["u", "i"]).select("u", "i", F.col("score").alias("own"))
-    rows = mine.join(scores.select("u", "score"), "u")
-    return rows.groupBy("u", "i").agg((100 * F.avg((F.round("score", 9) < F.round("own", 9)).cast("double"))).alias("percentile"))
+def score_percentile(scores: DataFrame, targets: DataFrame, seen: DataFrame, items: DataFrame) -> DataFrame:
+    """For each target (u, i): the percentage of the user's unseen items that score strictly lower; items without a score score 0.
+
+    Scores are ranked once a user, and those that nothing stored scores are counted.
+    """
+    order, side = Window.partitionBy("u").orderBy("s"), Window.partitionBy("u")
+    mine = scores.join(targets.select("u").distinct(), "u", "left_semi").join(seen.select("u", "i"), ["u", "i"], "left_anti").select("u", "i", F.round("score", 9).alias("s"))
+    placed = mine.withColumns({"below": F.rank().over(order) - 1, "known": F.count(F.lit(1)).over(side)})
+    sizes = mine.groupBy("u").agg(F.count(F.lit(1)).alias("n_known"), F.count_if(F.col("s") < 0).alias("n_negative"))
+    n_seen, n = seen.groupBy("u").agg(F.count(F.lit(1)).alias("n_seen")), items.agg(F.count(F.lit(1)).alias("n_items"))
+    rows = targets.select("u", "i").join(placed.select("u", "i", "s", "below"), ["u", "i"], "left").join(sizes, "u", "left").join(n_seen, "u", "left").crossJoin(F.broadcast(n))  # one row
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    open_, known = F.col("n_items") - zero("n_seen"), zero("n_known")
+    lower = F.when(F.col("s").isNull(), zero("n_negative")).otherwise(F.col("below") + F.when(F.col("s") > 0, open_ - known).otherwise(0))
+    return rows.select("u", "i", (100.0 * lower / open_).alias("percentile"))
 
 
 def correlation(table: DataFrame, x: str, y: str) -> DataFrame:
@@ -130,3 +142,74 @@ def similarity_against_weights(weights: DataFrame) -> DataFrame:
     """Over (sim, w): rows, Pearson, share of sign flips (sim over .05, w below 0), share of negative weights."""
     s = weights.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("sim", "w").alias("c"), F.var_pop("sim").alias("vx"), F.var_pop("w").alias("vy"), F.avg(((F.col("sim") > 0.05) & (F.col("w") < 0)).cast("double")).alias("sign_flips"), F.avg((F.col("w") < 0).cast("double")).alias("negative"))
     return s.select("n", F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).alias("pearson"), "sign_flips", "negative")
+
+
+def findings_by_factor(sweep: DataFrame, factors: list[str]) -> DataFrame:
+    """For every value of each factor, and over all (factor null): settings, least RMSE and highest NDCG, and which settings have them.
+
+    One pass of grouping sets; equal values go to the earlier setting (``grid``).
+    """
+    sets = ", ".join(f"({f})" for f in factors)
+    best = "min_by({0}, struct({1}, grid))"
+    chosen = [f"{best.format(f'struct(grid, {", ".join(factors)})', order)} AS {name}" for name, order in (("by_rmse", "round(rmse, 9)"), ("by_ndcg", "-round(ndcg_mean, 9)"))]
+    names = "CASE " + " ".join(f"WHEN grouping({f}) = 0 THEN '{f}'" for f in factors) + " END"
+    values = "CASE " + " ".join(f"WHEN grouping({f}) = 0 THEN CAST({f} AS STRING)" for f in factors) + " END"
+    query = f"SELECT {names} AS factor, {values} AS level, count(*) AS n, min(rmse) AS best_rmse, max(ndcg_mean) AS best_ndcg, {', '.join(chosen)} FROM {{sweep}} GROUP BY GROUPING SETS ({sets}, ())"
+    rows = sweep.sparkSession.sql(query, sweep=sweep)
+    return rows.select("factor", "level", "n", "best_rmse", "best_ndcg", F.col("by_rmse.grid").alias("rmse_grid"), F.col("by_ndcg.grid").alias("ndcg_grid"))
+
+
+def ablation_summary(rows: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """A row for each family and factor: variants, best and worst by NDCG (null where all tie) and by RMSE, spreads, which metric tells them apart, and the place by spread."""
+    pick = lambda metric, sign: F.min_by("variant", F.struct(sign * F.round(metric, 9), "place"))
+    one = rows.groupBy("family", "factor").agg(
+        F.count(F.lit(1)).alias("n_variants"), pick("ndcg_mean", -1).alias("best"), pick("ndcg_mean", 1).alias("worst"), (F.max("ndcg_mean") - F.min("ndcg_mean")).alias("ndcg_spread"),
+        pick("rmse", 1).alias("best_rmse"), pick("rmse", -1).alias("worst_rmse"), (F.max("rmse") - F.min("rmse")).alias("rmse_spread"),
+    )
+    tied = F.col("ndcg_spread") <= tol
+    told = F.when(tied & (F.col("rmse_spread") <= tol), "none").when(tied, "rmse").otherwise("ndcg")
+    order = Window.orderBy(F.desc(F.round("ndcg_spread", 9)), F.asc("family"), F.asc("factor"))  # a few blocks
+    clear = {c: F.when(~tied, F.col(c)) for c in ("best", "worst")}
+    return one.withColumns({**clear, "told_by": told, "position": F.row_number().over(order)})
+
+
+BLOCKS: dict[str, list[tuple[str, str]]] = {  # factors of each family, and how the settings that stay are chosen
+    "ubcf": [("similarity", "mean_center and k = {k}"), ("mean_center", "similarity = 'cosine' and k = {k}"), ("k", "similarity = 'cosine' and mean_center"), ("rank_mode", "true")],
+    "ibcf": [("similarity", "mean_center and center_by = 'item' and k = {k}"), ("mean_center", "similarity = 'cosine' and center_by = 'item' and k = {k}"), ("center_by", "similarity = 'adjusted_cosine' and mean_center and k = {k}"), ("k", "similarity = 'cosine' and mean_center and center_by = 'item'")],
+    "regression": [("lam", "weight_mode = 'ridge' and k = {k}"), ("weight_mode", "k = {k}"), ("k", "weight_mode = 'ridge'")],
+    "slim": [("l1", "l2 = 50 and tau = 4 and top_m is null"), ("l2", "l1 = 2 and tau = 4 and top_m is null"), ("l1_ratio", "round(l1 + l2, 3) = 50 and tau = 4 and top_m is null"), ("tau", "l1 = {l1} and l2 = {l2} and top_m is null"), ("top_m", "l1 = {l1} and l2 = {l2} and tau = 4")],
+    "graph": [("alpha", "mode = 'walk'"), ("length", "mode = 'path' and normalize = 'degree' and beta = {beta}"), ("beta", "mode = 'path' and normalize = 'degree' and length = {deepest}"), ("normalize", "mode = 'path'")],
+}
+
+
+def ablations(family: str, sweep: DataFrame) -> DataFrame:
+    """family, factor, variant, place, rmse, ndcg_mean and their differences to the block's best, from a family's sweep (its settings as columns).
+
+    A block changes one factor and keeps what its condition says; of the settings left of a variant the best by NDCG counts (regression: by RMSE for k). {k} is
+    the k of the best row by NDCG (regression: by RMSE), {beta} the best one's beta among normalised paths, {deepest} the greatest length, {l1} and {l2} the best penalties.
+    """
+    by = "rmse" if family == "regression" else "ndcg_mean"
+    if family == "slim":
+        sweep = sweep.withColumn("l1_ratio", F.round(F.col("l1") / (F.col("l1") + F.col("l2")), 4))
+    order = lambda c: [F.asc_nulls_last(F.round(c, 9)) if c == "rmse" else F.desc_nulls_last(F.round(c, 9)), F.asc("grid")]
+    fixed: dict[str, object] = {}
+    if "k" in sweep.columns:
+        fixed["k"] = sweep.where("weight_mode = 'ridge'" if family == "regression" else "true").orderBy(*order(by)).first()["k"]
+    if family == "graph":
+        paths = sweep.where("mode = 'path' and normalize = 'degree'")
+        top = paths.orderBy(*order("ndcg_mean")).first()
+        fixed |= {"beta": top["beta"] if top else 0.0, "deepest": paths.agg(F.max("length")).first()[0] or 0}
+    if family == "slim":
+        best = sweep.where("tau = 4 and top_m is null").orderBy(*order("ndcg_mean")).first()
+        fixed |= {"l1": best["l1"], "l2": best["l2"]} if best else {"l1": 0.0, "l2": 0.0}
+    parts = []
+    for factor, kept in BLOCKS[family]:
+        rows = sweep.where(kept.format(**fixed)).where(F.col(factor).isNotNull() | F.lit(factor == "top_m"))
+        metric = "rmse" if family == "regression" and factor == "k" else "ndcg_mean"
+        best = Window.partitionBy(factor).orderBy(*order(metric))
+        rows = rows.withColumn("_n", F.row_number().over(best)).where("_n = 1")
+        variant = F.coalesce(F.col(factor).cast("string"), F.lit("all"))
+        place = F.row_number().over(Window.orderBy(F.asc_nulls_last(factor)))  # a factor's values
+        parts.append(rows.select(F.lit(family).alias("family"), F.lit(factor).alias("factor"), variant.alias("variant"), place.alias("place"), "rmse", "ndcg_mean"))
+    rows, block = reduce(DataFrame.unionByName, parts), Window.partitionBy("family", "factor")
+    return rows.withColumns({"delta_ndcg": F.col("ndcg_mean") - F.max("ndcg_mean").over(block), "delta_rmse": F.col("rmse") - F.min("rmse").over(block)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import dataclass
 from functools import reduce
@@ -10,10 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
-from affinade.operators import metrics
+from affinade.operators import metrics, neighbourhood, similarity
+from affinade.operators.baselines import settle
 from affinade.operators.groups import history_groups, item_counts, popularity_groups, popularity_rank
-from affinade.operators.topk import top_k
-from affinade.plans.registry import Data, Fitted, fit
+from affinade.plans.registry import Data, Fitted, fit, settings_of
+from affinade.sources.tables import append_table, exists, load_table, spec_id
 
 PER_USER = ["precision", "recall", "hit_rate", "ndcg", "ap", "novelty", "ild", "pop_rank", "head_frac", "medium_frac", "long_tail_frac"]
 
@@ -52,39 +54,44 @@ class Context:
         return Data(self.train, self.users, self.items, self.val, held=held)
 
 
-def list_metrics(ctx: Context, lists: DataFrame, truth: DataFrame, k: int = CONFIG.k) -> DataFrame:
-    """Per user: accuracy where something is relevant (else null), and what doesn't need a truth for every listed user."""
+def list_metrics(ctx: Context, lists: DataFrame, truth: DataFrame, k: int = CONFIG.k, by: DataFrame | None = None) -> DataFrame:
+    """Per user: accuracy where something is relevant (else null), and what doesn't need a truth for every listed user; ``by`` as of user_metrics()."""
     n_users = ctx.train.select("u").distinct().count()
-    parts = [metrics.user_metrics(lists, truth, k), metrics.novelty(lists, ctx.counts(), n_users), metrics.mean_popularity_rank(lists, ctx.ranks()), metrics.group_share(lists, ctx.groups())]
+    on = tuple(by.columns) if by is not None else ()
+    parts = [metrics.user_metrics(lists, truth, k, by), metrics.novelty(lists, ctx.counts(), n_users, on), metrics.mean_popularity_rank(lists, ctx.ranks(), on), metrics.group_share(lists, ctx.groups(), on)]
     if ctx.features is not None:
-        parts.append(metrics.diversity(lists, ctx.features))
-    rows = reduce(lambda a, b: a.join(b, "u", "full"), parts)
+        parts.append(metrics.diversity(lists, ctx.features, on))
+    rows = reduce(lambda a, b: a.join(b, [*on, "u"], "full"), parts)
     return rows if ctx.features is not None else rows.withColumn("ild", F.lit(None).cast("double"))
 
 
 def evaluate(ctx: Context, fitted: Fitted, held: DataFrame, k: int = CONFIG.k) -> DataFrame:
     """One row: rmse, mae, coverage, user coverage, and mean, median, std of every per-user metric."""
-    lists = fitted.lists(ctx.data(), k)
-    rows = list_metrics(ctx, lists, metrics.relevant(held), k)
+    return evaluate_lists(ctx, fitted.lists(ctx.data(), k), fitted.pred, held, k)
+
+
+def evaluate_lists(ctx: Context, lists: DataFrame, pred: DataFrame, held: DataFrame, k: int = CONFIG.k, by: DataFrame | None = None) -> DataFrame:
+    """evaluate() of lists and predictions; with ``by`` (a small table of settings) of all settings at once, a row each."""
+    on = tuple(by.columns) if by is not None else ()
+    rows = list_metrics(ctx, lists, metrics.relevant(held), k, by)
     stats = []
     for c in PER_USER:
         v = F.col(c).cast("double")
         stats += [F.avg(v).alias(f"{c}_mean"), F.percentile(v, F.lit(0.5)).alias(f"{c}_median"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"{c}_std")]
-    one = rows.agg(*stats, F.count("n_rel").alias("n_users_with_relevant"), F.count(F.lit(1)).alias("n_users_scored"))
-    errors = metrics.rating_errors(metrics.clipped(fitted.pred, ctx.ratings), held)
-    for part in (errors, metrics.coverage(lists, ctx.items.count()), metrics.user_coverage(lists, ctx.users)):
-        one = one.crossJoin(part)  # one row each
+    one = rows.groupBy(*on).agg(*stats, F.count("n_rel").alias("n_users_with_relevant"), F.count(F.lit(1)).alias("n_users_scored"))
+    errors = metrics.rating_errors(metrics.clipped(pred, ctx.ratings), held, on)
+    for part in (errors, metrics.coverage(lists, ctx.items.count(), on), metrics.user_coverage(lists, ctx.users, on)):
+        one = one.join(part, list(on), "left") if on else one.crossJoin(part)  # one row each
     return one
 
 
-def rank_modes(ctx: Context, heads: DataFrame, held: DataFrame, k: int = CONFIG.k) -> DataFrame:
-    """Mean metrics of each ranking head of a neighbourhood model: rating, score, affinity."""
-    out = None
-    for mode, column in (("rating", "pred"), ("score", "num"), ("affinity", "aff")):
-        lists = top_k(heads.select("u", "i", F.col(column).alias("score")), k, ctx.train)
-        row = metrics.user_metrics(lists, metrics.relevant(held), k).agg(F.lit(mode).alias("rank_mode"), *(F.avg(c).alias(c) for c in ("precision", "recall", "hit_rate", "ndcg", "ap")))
-        out = row if out is None else out.unionByName(row)
-    return out
+def rank_modes(ctx: Context, heads: DataFrame, held: DataFrame, side: str, k: int = CONFIG.k) -> DataFrame:
+    """Mean metrics of each ranking head of a neighbourhood model (predict()'s rows): rating, score, affinity. ``side``: whose mean is the base."""
+    modes = {"rating": "pred", "score": "num", "affinity": "aff"}
+    lists = [neighbourhood.filled_lists(neighbourhood.head(heads, m), m, ctx.train, ctx.users, ctx.items, side, k).withColumn("rank_mode", F.lit(m)) for m in modes]
+    by = ctx.train.sparkSession.createDataFrame([(m,) for m in modes], "rank_mode string")
+    rows = metrics.user_metrics(reduce(DataFrame.unionByName, lists), metrics.relevant(held), k, by)
+    return rows.groupBy("rank_mode").agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "hit_rate", "ndcg", "ap")))
 
 
 def timed(ctx: Context, spec: dict, held: DataFrame, k: int = CONFIG.k) -> tuple[Fitted, DataFrame]:
@@ -105,15 +112,90 @@ def timed(ctx: Context, spec: dict, held: DataFrame, k: int = CONFIG.k) -> tuple
     return fitted, row
 
 
-def sweep(ctx: Context, specs: list[dict], held: DataFrame, k: int = CONFIG.k) -> DataFrame:
-    """A row per spec, in order of the list (``grid``), with its settings and metrics."""
-    out = None
-    for grid, spec in enumerate(specs):
-        row = evaluate(ctx, fit(spec, ctx.data(held)), held, k)
-        columns = [F.lit(grid).alias("grid"), F.lit(spec["family"]).alias("family"), F.lit(str(sorted(spec.items()))).alias("spec")]
-        row = row.select(*columns, "*")
-        out = row if out is None else out.unionByName(row, allowMissingColumns=True)
-    return out
+def sweep(ctx: Context, specs: list[dict], held: DataFrame, k: int = CONFIG.k, path: str | None = None) -> DataFrame:
+    """A row per spec, in order of the list (``grid``), with its settings and metrics.
+
+    Neighbourhoods of one similarity share its table and one ranked scan for all their k, centrings and heads, and are evaluated together. With ``path`` rows
+    are appended there as they are done, under their spec's id; a later call with the same path takes what is there and makes the rest only.
+    """
+    named = [(grid, spec_id(spec), spec) for grid, spec in enumerate(specs)]
+    spark = ctx.train.sparkSession
+    done = {r["spec_id"] for r in load_table(spark, path).select("spec_id").distinct().collect()} if path and exists(spark, path) else set()
+    todo = {key: spec for _, key, spec in named if key not in done}  # equal specs once
+    parts = []
+
+    def note(rows: DataFrame) -> None:
+        if path:
+            append_table(rows, path)
+        else:
+            parts.append(rows)
+
+    shared: dict[tuple, dict[str, dict]] = {}
+    for key, spec in todo.items():
+        if scan := scan_of(spec):
+            shared.setdefault(scan, {})[key] = spec
+        else:
+            note(evaluate(ctx, fit(spec, ctx.data(held)), held, k).withColumn("spec_id", F.lit(key)))
+    for scan, group in shared.items():
+        note(scanned(ctx, dict(scan), group, held, k))
+    if path:
+        parts = [load_table(spark, path)]
+    elif not parts:
+        raise ValueError("no specs")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    order = spark.createDataFrame([(grid, key, spec["family"], json.dumps(settings_of(spec), sort_keys=True)) for grid, key, spec in named], "grid int, spec_id string, family string, spec string")
+    return rows.join(F.broadcast(order), "spec_id").select("grid", "family", "spec", *rows.columns)
+
+
+def with_settings(table: DataFrame, schema: str) -> DataFrame:
+    """A sweep's rows with some settings of their specs as columns (``schema``: names and types); null where a spec has no such setting."""
+    return table.select("*", F.from_json("spec", schema).alias("_s")).select(*table.columns, "_s.*")
+
+
+SETTINGS = {  # of each family, for with_settings()
+    "ubcf": "k int, similarity string, mean_center boolean, rank_mode string",
+    "ibcf": "k int, similarity string, mean_center boolean, center_by string, rank_mode string",
+    "regression": "k int, lam double, weight_mode string, rank_mode string",
+    "slim": "l1 double, l2 double, tau double, top_m int",
+    "graph": "mode string, alpha double, length int, beta double, normalize string",
+}
+
+
+SCANNED = ("similarity", "min_support", "beta")  # what neighbourhoods of one ranked scan have in common
+
+
+def scan_of(spec: dict) -> tuple | None:
+    """The settings whose similarity table and ranked scan a spec needs; None for other families."""
+    full = settings_of(spec)
+    return tuple((c, full[c]) for c in ("family", *SCANNED)) if spec["family"] in ("ubcf", "ibcf") else None
+
+
+def scanned(ctx: Context, scan: dict, group: dict[str, dict], held: DataFrame, k: int) -> DataFrame:
+    """evaluate() of all specs of one similarity (spec id to spec), a row each, from one similarity table and one ranked scan up to the largest k."""
+    user_based = scan["family"] == "ubcf"
+    full = {key: settings_of(spec) for key, spec in group.items()}
+    matrix = similarity.by_user(ctx.train) if user_based else similarity.by_item(ctx.train)
+    sim = settle(similarity.similarity(matrix, scan["similarity"], scan["min_support"], scan["beta"]))
+    near = settle(neighbourhood.slots(ctx.train, sim, max(s["k"] for s in full.values()), user_based))
+    centrings: dict[tuple, dict[str, dict]] = {}
+    for key, s in full.items():
+        centrings.setdefault((s["mean_center"], s.get("center_by", "user"), s["like_threshold"]), {})[key] = s
+    lists, preds = [], []
+    for (centre, by, liked_from), own in centrings.items():
+        heads = settle(neighbourhood.heads_by_k(near, ctx.train, sorted({s["k"] for s in own.values()}), user_based, centre, by, liked_from))
+        side = neighbourhood.base_side(user_based, centre, by)
+        schema = "spec_id string, k int, mode string"
+        wanted = ctx.train.sparkSession.createDataFrame([(key, s["k"], s["rank_mode"]) for key, s in own.items()], schema)
+        score = F.when(F.col("mode") == "rating", F.col("pred")).when(F.col("mode") == "affinity", F.col("aff")).otherwise(F.col("num"))
+        scores = heads.join(F.broadcast(wanted), "k").select("spec_id", "mode", "u", "i", score.alias("score"))
+        for mode in sorted({s["rank_mode"] for s in own.values()}):
+            mine = wanted.where(F.col("mode") == mode).select("spec_id")
+            lists.append(neighbourhood.filled_lists(scores.where(F.col("mode") == mode).drop("mode"), mode, ctx.train, ctx.users, ctx.items, side, k, mine))
+        cells = held.select("u", "i").distinct().crossJoin(F.broadcast(wanted.select("k").distinct()))  # settings, a few rows
+        empty = cells.join(heads.select("u", "i", "k", "num", "den", "aff"), ["u", "i", "k"], "left").na.fill(0.0, ["num", "den", "aff"])
+        preds.append(neighbourhood.with_predictions(empty, ctx.train, side, centre).join(F.broadcast(wanted), "k").select("spec_id", "u", "i", "pred"))
+    by = ctx.train.sparkSession.createDataFrame([(key,) for key in group], "spec_id string")
+    return evaluate_lists(ctx, settle(reduce(DataFrame.unionByName, lists)), reduce(DataFrame.unionByName, preds), held, k, by)
 
 
 def resources(ctx: Context, specs: list[dict], held: DataFrame, k: int = CONFIG.k) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -47,9 +48,12 @@ class Fitted:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     shared: DataFrame | None = None
     hashed: Column | None = None  # a score that is an expression of u and i
+    listed: Callable[[Data, int], DataFrame] | None = None  # top-N of models that score every cell, most of them alike
 
     def lists(self, data: Data, k: int) -> DataFrame:
         """Top-N without the training items: u, rank, i, score."""
+        if self.listed is not None:
+            return self.listed(data, k)
         if self.shared is not None:
             return item_scores_top_k(data.users, self.shared, k, data.train)
         if self.hashed is not None:
@@ -122,11 +126,14 @@ def _random(data: Data, seed: int = CONFIG.seed) -> Fitted:
 
 
 def _neighbours(data: Data, user_based: bool, k: int, kind: str, centre: bool, centre_by: str, min_support: int | None, beta: float | None, rank_mode: str, liked_from: float) -> Fitted:
+    """``heads`` has the pairs with evidence; predictions are for the cells asked for, and lists meet as few other items as can matter."""
     matrix = similarity.by_user(data.train) if user_based else similarity.by_item(data.train)
-    sim = similarity.similarity(matrix, kind, min_support, beta)
-    rows = neighbourhood.predict(data.train, sim, k, user_based, centre, centre_by, liked_from, data.targets)
-    rows = neighbourhood.completed(rows, data.pairs(), data.train, user_based or centre_by == "user" or not centre)
-    return Fitted(rows.select("u", "i", "pred"), neighbourhood.head(rows, rank_mode), {"sim": sim, "heads": rows})
+    sim = baselines.settle(similarity.similarity(matrix, kind, min_support, beta))
+    rows = baselines.settle(neighbourhood.predict(data.train, sim, k, user_based, centre, centre_by, liked_from, data.targets))
+    side = neighbourhood.base_side(user_based, centre, centre_by)
+    every = lambda cells: neighbourhood.completed(rows, cells, data.train, side == "u")
+    listed = lambda d, n: neighbourhood.filled_lists(neighbourhood.head(rows, rank_mode), rank_mode, d.train, d.users, d.items, side, n)
+    return Fitted(every(data.cells()).select("u", "i", "pred"), neighbourhood.head(every(data.pairs()), rank_mode), {"sim": sim, "heads": rows}, listed=listed)
 
 
 @model("ubcf")
@@ -148,11 +155,13 @@ def _regression(data: Data, k: int = 40, lam: float = 25.0, similarity: str = "a
 
     sim = build(by_item(data.train), similarity)
     w, (dev, b_i, b_u, mu) = regression.regression_weights(data.train, sim, data.items, k, lam, weight_mode, lam_bias, iterations)
-    moved = regression.apply_weights(dev, w, "dev")
-    base = baselines.bias_predict(data.pairs(), b_i, b_u, mu)
-    pred = base.join(moved, ["u", "i"], "left").select("u", "i", (F.col("pred") + F.coalesce("score", F.lit(0.0))).alias("pred"))
-    score = {"rating": lambda: pred.withColumnRenamed("pred", "score"), "affinity": lambda: regression.apply_weights(regression.liked(data.train, like_threshold), w), "score": lambda: moved}[rank_mode]()
-    return Fitted(pred, score, {"w": w, "sim": sim, "dev": dev})
+    moved = baselines.settle(regression.apply_weights(dev, w, "dev"))
+    of = lambda cells: baselines.bias_predict(cells, b_i, b_u, mu).join(moved, ["u", "i"], "left").select("u", "i", (F.col("pred") + F.coalesce("score", F.lit(0.0))).alias("pred"))
+    tables = {"w": w, "sim": sim, "dev": dev, "b_i": b_i, "b_u": b_u}
+    if rank_mode == "rating":
+        return Fitted(of(data.cells()), of(data.pairs()).withColumnRenamed("pred", "score"), tables, listed=lambda d, n: regression.rating_lists(moved, b_i, b_u, mu, d.train, d.users, d.items, n))
+    score = moved if rank_mode == "score" else regression.apply_weights(regression.liked(data.train, like_threshold), w)
+    return Fitted(of(data.cells()), score, tables)
 
 
 def calibrated(score: DataFrame, data: Data, x=lambda c: c) -> DataFrame:
@@ -177,8 +186,14 @@ def _graph(data: Data, mode: str = "path", length: int = 3, beta: float = 0.5, n
     if mode == "path":
         score = graph.path_scores(edges, length, beta, normalize, data.users)
     else:
-        score = graph.random_walk(edges, data.users, alpha, n_iter).where("side = 'i'").select(F.col("seed").alias("u"), F.col("node").alias("i"), F.col("m").alias("score"))
-    return Fitted(calibrated(score, data, lambda c: F.log1p(F.greatest(c, F.lit(0.0)) * 1e4)), score, {"edges": edges})
+        score = graph.walk_scores(edges, data.users, alpha, n_iter)
+    return Fitted(calibrated(score, data, graph.damped), score, {"edges": edges})
+
+
+def settings_of(spec: dict) -> dict:
+    """A spec with its family's defaults: the one place where these are."""
+    given = inspect.signature(MODELS[spec["family"]]).parameters
+    return {name: p.default for name, p in given.items() if p.default is not inspect.Parameter.empty} | spec
 
 
 def fit(spec: dict, data: Data) -> Fitted:

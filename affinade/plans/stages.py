@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import traceback
 from collections.abc import Callable
@@ -18,7 +19,7 @@ from affinade.operators.groups import overview, rating_distribution, sparsity
 from affinade.operators.metrics import relevant, user_metrics
 from affinade.operators.split import assign_folds
 from affinade.plans import analysis
-from affinade.plans.evaluate import Context, evaluate, list_metrics, resources, select_best, sweep
+from affinade.plans.evaluate import SETTINGS, Context, evaluate, list_metrics, resources, select_best, sweep, with_settings
 from affinade.plans.registry import fit
 from affinade.sources.ratings import event_ratings
 from affinade.sources.tables import load_table, save_table
@@ -79,8 +80,14 @@ def sweep_stage(grid: dict[str, list[dict]], name: str) -> Stage:
 
     def run(spark: SparkSession, data: str, out: str) -> None:
         ctx = context(spark, out)
-        save_table(sweep(ctx, grid[name], ctx.val), f"{out}/{name}_sweep")
-        table = load_table(spark, f"{out}/{name}_sweep")
+        path, specs = f"{out}/{name}_sweep", grid[name]
+        if name == "slim" and specs == GRIDS["slim"]:  # thresholds and masks at the penalties that are best without them
+            penalties = [s for s in specs if len(s) == 3]
+            best = json.loads(select_best(sweep(ctx, penalties, ctx.val, path=path), "ndcg_mean").first()["spec"])
+            specs = slim_grid(best["l1"], best["l2"])
+        table = sweep(ctx, specs, ctx.val, path=path)  # rows that an earlier run has left there are taken
+        save_table(table, f"{out}/{name}_table")
+        table = load_table(spark, f"{out}/{name}_table")
         save_table(select_best(table, "ndcg_mean"), f"{out}/{name}_best")
         save_table(select_best(table, "rmse", highest=False), f"{out}/{name}_best_rating")
 
@@ -90,11 +97,11 @@ def sweep_stage(grid: dict[str, list[dict]], name: str) -> Stage:
 def selected(spark: SparkSession, grid: dict[str, list[dict]], out: str) -> dict[str, dict]:
     """Model name to spec: each family's best by NDCG, where another one is best by RMSE that as ``<family>-rating``, the baselines."""
     found = {}
-    for name, specs in grid.items():
-        best, rating = (load_table(spark, f"{out}/{name}_{kind}").first()["grid"] for kind in ("best", "best_rating"))
-        found[name] = specs[best]
-        if rating != best:
-            found[f"{name}-rating"] = specs[rating]
+    for name in grid:
+        best, rating = (load_table(spark, f"{out}/{name}_{kind}").first() for kind in ("best", "best_rating"))
+        found[name] = json.loads(best["spec"])
+        if rating["spec_id"] != best["spec_id"]:
+            found[f"{name}-rating"] = json.loads(rating["spec"])
     return found | {s["family"]: s for s in BASELINES}
 
 
@@ -127,6 +134,18 @@ def resource_stage(grid: dict[str, list[dict]]) -> Stage:
     return run
 
 
+def ablation_stage(grid: dict[str, list[dict]]) -> Stage:
+    """One-factor blocks of every family's sweep, and what each factor moves."""
+
+    def run(spark: SparkSession, data: str, out: str) -> None:
+        parts = [analysis.ablations(name, with_settings(load_table(spark, f"{out}/{name}_table"), SETTINGS[name])) for name in grid if name in analysis.BLOCKS]
+        if parts:
+            save_table(reduce(DataFrame.unionByName, parts), f"{out}/ablations")
+            save_table(analysis.ablation_summary(load_table(spark, f"{out}/ablations")), f"{out}/ablation_summary")
+
+    return run
+
+
 def analysis_stage(spark: SparkSession, data: str, out: str) -> None:
     ctx, lists, table = context(spark, out), load_table(spark, f"{out}/lists"), load_table(spark, f"{out}/test")
     goals = ["ndcg_mean", "catalog_coverage", "novelty_mean"]
@@ -142,7 +161,7 @@ def analysis_stage(spark: SparkSession, data: str, out: str) -> None:
 
 def stages(grid: dict[str, list[dict]]) -> dict[str, Stage]:
     sweeps = {name: sweep_stage(grid, name) for name in grid}
-    return {"split": split_stage, "eda": eda_stage, "baselines": sweep_stage({"baselines": BASELINES}, "baselines"), **sweeps, "test": test_stage(grid), "resources": resource_stage(grid), "analysis": analysis_stage}
+    return {"split": split_stage, "eda": eda_stage, "baselines": sweep_stage({"baselines": BASELINES}, "baselines"), **sweeps, "test": test_stage(grid), "resources": resource_stage(grid), "ablations": ablation_stage(grid), "analysis": analysis_stage}
 
 
 def main(args: list[str]) -> int:

@@ -11,7 +11,7 @@ from affinade.config import digits, target_user
 from affinade.functions.columns import hashed_uniform
 from affinade.operators import baselines, graph, groups, metrics, neighbourhood, regression, similarity, slim
 from affinade.operators.split import assign_folds, hide_profile, profile_without
-from affinade.operators.topk import every_pair_top_k, item_scores_top_k, top_k
+from affinade.operators.topk import every_pair_top_k, filled_top_k, item_scores_top_k, top_k
 
 RATINGS = "u long, i long, r double"
 
@@ -110,18 +110,103 @@ def brute_neighbours(rows, sim, k, user_based, liked=4.0):
     return out
 
 
-@pytest.mark.parametrize("shortlist", [1, 2, 4])
 @pytest.mark.parametrize("user_based", [True, False])
-def test_neighbourhood_equals_the_dense_version(spark, user_based, shortlist, monkeypatch):
-    monkeypatch.setattr(neighbourhood, "SHORTLIST", shortlist)
+def test_neighbourhood_equals_the_dense_version(spark, user_based):
     rows = some_ratings(3)
     train = frame(spark, rows)
     sim = similarity.similarity(similarity.by_user(train) if user_based else similarity.by_item(train), "pearson" if user_based else "adjusted_cosine")
     table = {(s.a, s.b): s.sim for s in sim.collect()}
-    got = {(p.u, p.i): (p.pred, p.num, p.den, p.aff) for p in neighbourhood.predict(train, sim, 3, user_based).collect()}
-    want = brute_neighbours(rows, table, 3, user_based)
-    assert got.keys() == want.keys()
-    assert all(np.allclose(got[c], want[c]) for c in want)
+    near = neighbourhood.slots(train, sim, 7, user_based)
+    scan = neighbourhood.heads_by_k(near, train, [1, 3, 7], user_based).collect()
+    for k in (1, 3, 7):
+        alone = {(p.u, p.i): (p.pred, p.num, p.den, p.aff) for p in neighbourhood.predict(train, sim, k, user_based).collect()}
+        shared = {(p.u, p.i): (p.pred, p.num, p.den, p.aff) for p in scan if p.k == k}
+        want = brute_neighbours(rows, table, k, user_based)
+        assert alone.keys() == want.keys() == shared.keys()
+        assert all(np.allclose(alone[c], want[c]) and np.allclose(shared[c], want[c]) for c in want)
+
+
+def test_filled_lists_equal_lists_over_all_pairs(spark):
+    """Pairs without a score of their own score the user's offset and the item's fill; ties and negative scores among them."""
+    rng = np.random.default_rng(5)
+    users, items = range(8), range(12)
+    own = [(u, i, float(rng.integers(-2, 3))) for u in users for i in items if rng.random() < 0.3]
+    seen = [(u, i) for u in users for i in items if rng.random() < 0.3]
+    fill, offset = {i: float(rng.integers(-1, 2)) for i in items}, {u: float(u % 3) for u in users if u != 4}
+    u_df, seen_df, own_df = frame(spark, [(u,) for u in users], "u long"), frame(spark, seen, "u long, i long"), frame(spark, own, "u long, i long, score double")
+    off_df = frame(spark, list(offset.items()), "u long, c double")
+    scored = {(u, i): s for u, i, s in own}
+    for line, f in ((frame(spark, list(fill.items()), "i long, score double"), fill), (frame(spark, [(i,) for i in items], "i long"), dict.fromkeys(items, 0.0))):
+        for given in (off_df, None):
+            of = {u: (offset.get(u, 0.0) if given is not None else 0.0) for u in users}
+            want = set()
+            for u in users:
+                best = sorted((-scored.get((u, i), of[u] + f[i]), i) for i in items if (u, i) not in seen)[:4]
+                want |= {(u, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+            got = {(r.u, r["rank"], r.i, r.score) for r in filled_top_k(own_df, u_df, line, 4, seen_df, given).collect()}
+            assert got == want
+    by = frame(spark, [("a",), ("b",)], "kind string")
+    both = own_df.withColumn("kind", F.lit("a")).union(own_df.where("u < 3").select("u", "i", (F.col("score") + 1).alias("score"), F.lit("b")))
+    got = {(r.kind, r.u, r["rank"], r.i, r.score) for r in filled_top_k(both.select("kind", "u", "i", "score"), u_df, frame(spark, [(i,) for i in items], "i long"), 4, seen_df, None, by).collect()}
+    for kind, cells in (("a", scored), ("b", {c: s + 1 for c, s in scored.items() if c[0] < 3})):
+        want = {(kind, u, rank, i, -s) for u in users for rank, (s, i) in enumerate(sorted((-cells.get((u, i), 0.0), i) for i in items if (u, i) not in seen)[:4], 1)}
+        assert {g for g in got if g[0] == kind} == want
+
+
+def test_reasons_add_up_to_each_head(spark):
+    train = frame(spark, some_ratings(3))
+    sim = similarity.similarity(similarity.by_item(train), "adjusted_cosine").cache()
+    target = train.select("u").distinct().crossJoin(train.select("i").distinct()).cache()
+    heads = {(r.u, r.i): r for r in neighbourhood.predict(train, sim, 3, False).collect()}
+    for mode, column in (("score", "num"), ("affinity", "aff")):
+        why = neighbourhood.reasons(train, sim, 3, False, target, mode, top_n=None).groupBy("u", "i").agg(F.sum("contribution").alias("s")).collect()
+        assert {(r.u, r.i) for r in why} == set(heads)
+        assert all(abs(r.s - heads[r.u, r.i][column]) < 1e-9 for r in why)
+
+
+@pytest.mark.parametrize("alpha", [0.3, 0.8])
+def test_walk_series_equals_a_dense_solve(spark, alpha):
+    """Two components and a user without edges; seeds leave the iteration at different steps."""
+    edges = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), (4, 4), (4, 5), (5, 6), (6, 6), (6, 7)]
+    df, users = frame(spark, edges, "u long, i long"), frame(spark, [(u,) for u in range(1, 8)], "u long")
+    p = np.zeros((15, 15))
+    for u, i in edges:
+        p[u, 7 + i] = 1 / sum(x == u for x, _ in edges)
+        p[7 + i, u] = 1 / sum(y == i for _, y in edges)
+    got = {(r.u, r.i): r.score for r in graph.walk_scores(df, users, alpha, 200, 1e-4).collect()}
+    for u in range(1, 7):
+        m = alpha * np.linalg.solve(np.eye(15) - (1 - alpha) * p.T, np.eye(15)[u])
+        assert sum(abs(got.get((u, i), 0.0) - m[7 + i]) for i in range(1, 8)) < 1e-4
+    assert all(u != 7 for u, _ in got)
+    few = {(r.seed, r.node): r.m for r in graph.random_walk(df, users, alpha, 7, None).where("side = 'i'").collect()}
+    same = {(r.u, r.i): r.score for r in graph.walk_scores(df, users, alpha, 7, 0.0).collect()}
+    assert all(abs(same.get(c, 0.0) - few.get(c, 0.0)) < 1e-12 for c in {*same, *few})
+    seen = frame(spark, [(1, 1)], "u long, i long")
+    rows = lambda d: sorted((r.u, r["rank"], r.i, r.score) for r in d.collect())
+    if alpha > 0.5:  # a few hops
+        assert rows(graph.walk_lists(df, users, seen, 3, alpha, tol=1e-3, block=4)) == rows(graph.walk_lists(df, users, seen, 3, alpha, tol=1e-3))
+
+
+def test_depths_from_one_pass(spark):
+    edges = frame(spark, [(u, i) for u, i, r in some_ratings(4) if r >= 3], "u long, i long")
+    parts = graph.path_parts(edges, 9).cache()
+    each = graph.scores_by_depth(parts, (1, 3, 9), 0.5).collect()
+    for depth in (1, 3, 9):
+        want = {(r.u, r.i): r.score for r in graph.path_scores(edges, depth, 0.5).collect()}
+        got = {(r.u, r.i): r.score for r in each if r.depth == depth}
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-12 for c in want)
+
+
+def test_peeling_ends_where_all_have_enough(spark):
+    rows = some_ratings(6, 30, 20, 0.3)
+    core = {(r.u, r.i) for r in groups.peeled(frame(spark, rows), 6, 8).collect()}
+    left = {(u, i) for u, i, _ in rows}
+    while True:
+        kept = {(u, i) for u, i in left if sum(x == u for x, _ in left) >= 6 and sum(y == i for _, y in left) >= 8}
+        if kept == left:
+            break
+        left = kept
+    assert core == left
 
 
 @pytest.mark.parametrize("kind", ["pearson", "cosine", "adjusted_cosine"])

@@ -1,14 +1,17 @@
 import pytest
 from pyspark.sql import functions as F
 
+from affinade.operators import graph
 from affinade.operators.metrics import rating_errors
-from affinade.operators.neighbourhood import head
+from affinade.operators.neighbourhood import completed, head
 from affinade.operators.split import assign_folds
 from affinade.operators.topk import top_k
 from affinade.plans import analysis, stages
+from affinade.plans import evaluate as ev
 from affinade.plans.evaluate import Context, evaluate, select_best, sweep
 from affinade.plans.registry import MODELS, fit
 from affinade.plans.service import Recommender, Service
+from affinade.plans.store import ModelStore
 from affinade.sources import ratings as src
 from affinade.sources import tables
 from affinade.streaming.popularity import popularity_stream
@@ -48,12 +51,13 @@ def test_sweep_keeps_the_first_of_equals(ctx):
 def test_service(ctx):
     app = Recommender(ctx, k=5)
     user = ctx.users.first().u
-    best = app.recommend(user, "affinity", 5).collect()
-    assert [r.rank for r in best] == list(range(1, len(best) + 1))
+    seen = {r.i for r in ctx.train.where(F.col("u") == user).collect()}
+    for mode in app.available_models():
+        best = app.recommend(user, mode, 5).collect()
+        assert [r["rank"] for r in best] == [1, 2, 3, 4, 5] and not seen & {r.i for r in best} and all(r.pred is not None for r in best)
     assert app.user_summary(user).first().n == ctx.train.where(F.col("u") == user).count()
-    assert app.compare(user, 3).count() <= 3
-    if best:
-        app.explain(user, best[0].i).collect()
+    assert app.compare(user, 3).count() == 3
+    assert app.explain(user, app.recommend(user, "affinity", 1).first().i).count() > 0
     with pytest.raises(KeyError):
         app.recommend(10**9)
     with pytest.raises(KeyError):
@@ -91,24 +95,150 @@ def test_readers_and_writers(spark, tmp_path):
     assert '"user_id":1' in tables.as_json(rows).first().json
 
 
-def test_service_over_stored_models(spark, ctx):
-    """Every family answers from its stored tables as its model ranks, and explains itself."""
-    specs = {"popularity": {"family": "popularity"}, "bias": {"family": "bias", "iterations": 3}, "ubcf": {"family": "ubcf", "k": 5}, "slim": {"family": "slim", "l1": 0.1, "l2": 1.0}, "graph": {"family": "graph"}}
-    fitted = {name: fit(spec, ctx.data(ctx.test)) for name, spec in specs.items()}
-    app = Service(ctx, specs, {name: f.tables for name, f in fitted.items()})
+STORED = {
+    "popularity": {"family": "popularity"}, "user_mean": {"family": "user_mean"}, "bias": {"family": "bias", "iterations": 3}, "random": {"family": "random"},
+    "ubcf": {"family": "ubcf", "k": 5}, "ubcf-rating": {"family": "ubcf", "k": 5, "rank_mode": "rating", "mean_center": False}, "ibcf": {"family": "ibcf", "k": 5}, "ibcf-affinity": {"family": "ibcf", "k": 5, "rank_mode": "affinity"},
+    "regression": {"family": "regression", "k": 3, "iterations": 5}, "regression-affinity": {"family": "regression", "k": 3, "iterations": 5, "rank_mode": "affinity"},
+    "slim": {"family": "slim", "l1": 0.1, "l2": 1.0}, "graph": {"family": "graph"}, "walk": {"family": "graph", "mode": "walk"},
+}
+
+
+@pytest.fixture(scope="module")
+def served(spark, ctx, tmp_path_factory):
+    fitted = {name: fit(spec, ctx.data(ctx.test)) for name, spec in STORED.items()}
+    store = ModelStore(spark, str(tmp_path_factory.mktemp("store")), buckets=8)
+    return Service.of(store, ctx, STORED, fitted), fitted
+
+
+def test_stored_models_rank_as_they_were_fitted(ctx, served):
+    """Lists and predictions of every family, for several users, are those of the model itself."""
+    app, fitted = served
+    users = [r.u for r in ctx.users.orderBy("u").limit(2).collect()]
+    low, high = ctx.ratings.agg(F.min("r"), F.max("r")).first()
+    assert app.available_models() == sorted(STORED)
+    for name in STORED:
+        data = ctx.data()
+        whole = fitted[name].lists(data, 6).where(F.col("u").isin(users)).collect()
+        for user in users:
+            want = sorted((r["rank"], r.i, round(r.score, 8)) for r in whole if r.u == user)
+            got = app.recommend(user, name, 6).collect()
+            assert want and [(r["rank"], r.i, round(r.score, 8)) for r in got] == want, name
+            assert all(r.pred is not None and low <= r.pred <= high and r.grp and r.cnt >= 0 for r in got), name
+    for name in ("bias", "ubcf", "ibcf", "regression", "slim", "graph"):
+        held = {(r.u, r.i): min(max(r.pred, low), high) for r in fitted[name].pred.where(F.col("u").isin(users)).collect()}
+        for user in users:
+            cells = {r.i: r.pred for r in app.models[name].candidates(user, 10_000).collect()}
+            for (u, i), p in held.items():
+                if u == user and i in cells:
+                    assert abs(min(max(cells[i], low), high) - p) < 1e-9, name
+
+
+def test_a_request_reads_the_users_buckets_only(ctx, served):
+    app, _ = served
     user = ctx.users.orderBy("u").first().u
-    assert app.available_models() == sorted(specs)
-    for name in ("popularity", "bias", "slim", "graph"):
-        want = [(r["rank"], r.i) for r in fitted[name].lists(ctx.data(), 3).where(F.col("u") == user).orderBy("rank").collect()]
-        got = app.recommend(user, name, 3).collect()
-        assert [(r["rank"], r.i) for r in got] == want, name
-        assert app.explain(user, got[0].i, name).count() >= (0 if name == "slim" else 1)
-    assert app.recommend(user, "ubcf", 3).count() <= 3
-    assert app.compare(user, 3, ["popularity", "bias"]).columns == ["rank", "popularity", "bias"]
-    with pytest.raises(KeyError):
-        app.recommend(user, "nothing")
-    with pytest.raises(KeyError):
-        app.model_metrics()
+    for name in ("ubcf", "ibcf", "regression", "slim", "graph", "bias"):
+        plan = app.models[name].list_of(user, 5)._jdf.queryExecution().executedPlan().toString()
+        scans = plan.count("Scan parquet") - plan.count("/line")
+        assert plan.count("SelectedBucketsCount: 1 out of 8") == scans > 0, name
+        assert plan.count("/line") == 0 or "PushedFilters: [IsNotNull(place), LessThan(place" in plan, name
+
+
+def test_explanations_read_the_users_and_items_buckets(ctx, served):
+    app, fitted = served
+    user = ctx.users.orderBy("u").first().u
+    for name in STORED:
+        best = app.recommend(user, name, 6).collect()
+        why = [app.explain(user, r.i, name).collect() for r in best]
+        assert any(why) or name == "slim", name
+        assert all(abs(a.weight) >= abs(b.weight) - 1e-9 for rows in why for a, b in zip(rows, rows[1:])), name
+    item = app.recommend(user, "ubcf", 1).first().i
+    sums = {"ubcf": "num", "ibcf-affinity": "aff"}
+    for name, column in sums.items():
+        spec, heads = STORED[name], fitted[name].tables["heads"]
+        for r in heads.where(F.col("u") == user).orderBy(F.desc(column)).limit(2).collect():
+            rows = app.explain(user, r.i, name, 100).collect()
+            assert len(rows) <= spec["k"] and abs(sum(x.weight for x in rows) - r[column]) < 1e-9
+    plan = app.models["ubcf"].explain(user, item)._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 8" in plan and "SelectedBucketsCount: 8 out of 8" not in plan
+    direct = {(r.via): r.weight for r in graph.explain_paths(fitted["graph"].tables["edges"], ctx.train.sparkSession.createDataFrame([(user, item)], "u long, i long")).collect()}
+    assert {r.via: r.weight for r in app.explain(user, item, "graph", 1000).collect()} == pytest.approx(direct)
+
+
+def test_service_compares_and_refuses(ctx, served):
+    app, _ = served
+    user = ctx.users.orderBy("u").first().u
+    rows = app.compare(user, 3, ["popularity", "ibcf"]).collect()
+    assert [r["rank"] for r in rows] == [1, 2, 3] and all(r.popularity is not None and r.ibcf is not None for r in rows)
+    assert app.user_summary(user).first().n == ctx.train.where(F.col("u") == user).count()
+    assert app.user_profile(user, 3).count() == 3
+    for call in (lambda: app.recommend(user, "nothing"), lambda: app.recommend(10**9, "popularity"), lambda: app.model_metrics()):
+        with pytest.raises(KeyError):
+            call()
+
+
+def test_stored_models_open_in_another_session(spark, ctx, served):
+    """A session whose catalogue doesn't know the tables finds buckets again by their path."""
+    app, _ = served
+    user = ctx.users.orderBy("u").first().u
+    want = [(r["rank"], r.i) for r in app.recommend(user, "ibcf", 4).collect()]
+    for t in spark.catalog.listTables():
+        if t.name.startswith("buckets_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    again = Service(ModelStore(spark, app.store.root, buckets=8), ["ibcf"])
+    assert [(r["rank"], r.i) for r in again.recommend(user, "ibcf", 4).collect()] == want
+    plan = again.models["ibcf"].list_of(user, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 8" in plan
+
+
+GRID = [{"family": f, "k": k, "similarity": s, "mean_center": c, "rank_mode": m} for f, s, c in (("ubcf", "cosine", True), ("ubcf", "cosine", False), ("ibcf", "adjusted_cosine", True)) for k in (2, 5) for m in ("rating", "score", "affinity")]
+
+
+def test_a_swept_scan_equals_single_fits(ctx, monkeypatch):
+    """All k and heads of one similarity come from one table and one ranked scan, with the metrics of fits one by one."""
+    made = {"similarity": 0, "slots": 0}
+
+    def counted(name, f):
+        def run(*a, **kw):
+            made[name] += 1
+            return f(*a, **kw)
+
+        return run
+
+    monkeypatch.setattr(ev.similarity, "similarity", counted("similarity", ev.similarity.similarity))
+    monkeypatch.setattr(ev.neighbourhood, "slots", counted("slots", ev.neighbourhood.slots))
+    rows = {r.grid: r for r in sweep(ctx, GRID, ctx.val).collect()}
+    assert made == {"similarity": 2, "slots": 2} and sorted(rows) == list(range(len(GRID)))
+    monkeypatch.undo()
+    for grid in (0, 4, 8, 9, 16):
+        one = evaluate(ctx, fit(GRID[grid], ctx.data(ctx.val)), ctx.val).first().asDict()
+        for name, value in one.items():
+            assert rows[grid][name] == pytest.approx(value, abs=1e-9), (grid, name)
+
+
+def test_a_stopped_sweep_goes_on_where_it_was(ctx, tmp_path, monkeypatch):
+    specs = [{"family": "popularity"}, {"family": "item_mean"}, *GRID[:6], {"family": "global_mean"}, {"family": "popularity"}]
+    path, real, seen = str(tmp_path / "sweep"), ev.fit, []
+
+    def stops(spec, data):
+        if spec["family"] == "global_mean" and len(seen) < 3:
+            seen.append("stop")
+            raise RuntimeError("lost")
+        seen.append(spec["family"])
+        return real(spec, data)
+
+    monkeypatch.setattr(ev, "fit", stops)
+    with pytest.raises(RuntimeError):
+        sweep(ctx, specs, ctx.val, path=path)
+    assert seen == ["popularity", "item_mean", "stop"]
+    kept = tables.load_table(ctx.train.sparkSession, path).count()
+    assert kept == 2
+    rows = sweep(ctx, specs, ctx.val, path=path).collect()
+    assert seen == ["popularity", "item_mean", "stop", "global_mean"]  # what was there isn't fitted again
+    assert [r.grid for r in sorted(rows, key=lambda r: r.grid)] == list(range(len(specs)))
+    monkeypatch.setattr(ev, "scanned", None)  # nothing is left to scan
+    assert sweep(ctx, specs, ctx.val, path=path).count() == len(specs)
+    whole = {r.grid: r.ndcg_mean for r in rows}
+    assert whole[0] == whole[len(specs) - 1]
 
 
 def test_stages_run_from_files(spark, tmp_path, monkeypatch):
@@ -170,11 +300,19 @@ def test_neighbourhoods_score_every_cell(spark, family):
     ratings = train.unionByName(held)
     ctx = Context(ratings, train, held, held, ratings.select("u").distinct(), ratings.select("i").distinct())
     user_mean, item_mean, mu = {1: 4.0, 2: 3.0, 3: 1.0, 4: 3.5}, {1: 4.5, 2: 2.5, 3: 1.0, 4: 2.0, 5: 5.0}, 22 / 7
-    heads = fit({"family": family, "k": 3, "min_support": 1, "beta": None, "rank_mode": "score"}, ctx.data()).tables["heads"].cache()
+    fitted = fit({"family": family, "k": 3, "min_support": 1, "beta": None, "rank_mode": "score"}, ctx.data())
+    heads = completed(fitted.tables["heads"], ctx.data().pairs(), train, family == "ubcf").cache()
     got = {(r.u, r.i): r for r in heads.collect()}
+    assert {(r.u, r.i): r.pred for r in fitted.pred.collect()} == {c: r.pred for c, r in got.items()}
     assert len(got) == 30 and rating_errors(heads, held).first().n == 4
     for r in held.collect():
         assert abs(got[r.u, r.i].pred - (user_mean.get(r.u, mu) if family == "ubcf" else item_mean.get(r.i, mu))) < 1e-9
     assert got[5, 6].num == 0.0 and got[5, 6].aff == 0.0
     lists = top_k(head(heads, "score"), 3, train).groupBy("u").count().collect()
     assert sorted((r.u, r["count"]) for r in lists) == [(u, 3) for u in range(1, 6)]
+    rows = lambda df: sorted((r.u, r["rank"], r.i, r.score) for r in df.collect())
+    assert rows(fitted.lists(ctx.data(), 3)) == rows(top_k(head(heads, "score"), 3, train))
+    for mode in ("rating", "affinity"):
+        model = fit({"family": family, "k": 3, "min_support": 1, "beta": None, "rank_mode": mode}, ctx.data(held))
+        assert rows(model.lists(ctx.data(), 4)) == rows(top_k(head(heads, mode), 4, train))
+        assert "Cartesian" not in model.lists(ctx.data(), 4)._jdf.queryExecution().executedPlan().toString()
