@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from affinade.llm.common import RANGE_ROWS, in_small_batches, lookup, store
 from affinade.llm.word_codec import codec, slices
 
-EVEN = 7  # so many bands hold capacity / k; in the narrower ones below, pieces fill sequences by volume
+EVEN = 9  # so many bands hold exactly k pieces a sequence, capacity / k being their top; in the narrower ones below, pieces fill sequences by volume
 NARROWER = (10, 32, 256)  # capacity / k of those
 LITTLE = 4  # sweeps that place less than 1 of so many pieces are the last ones before sequences are opened
 

@@ -148,6 +148,16 @@ def lengths_of(case):
     }[case]
 
 
+@pytest.mark.parametrize("low,high", [(210, 290), (129, 256), (1, 2048)])
+def test_packing_at_the_real_capacity(spark, low, high):
+    """Narrow ranges of lengths, for which nothing smaller fills what is left over, and all lengths."""
+    lengths = np.random.default_rng(3).integers(low, high + 1, 3000).tolist()
+    df = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    rows = packing.pack(df, 2048).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    assert check_packing(rows, 2048) <= greedy(lengths, 2048) * 1.01 + 1
+
+
 @pytest.mark.parametrize("case", ["even", "long", "thirds", "ones", "only ones", "small"])
 def test_packing_needs_hardly_more_than_sequential_best_fit(spark, case):
     """Ranges of few rows, so that pieces and gaps of different ranges meet, equal lengths among them."""
