@@ -45,10 +45,11 @@ def bias_model(train: DataFrame, lam_user: float = 10.0, lam_item: float = 10.0,
     b_u = train.select("u").distinct().withColumn("b_u", F.lit(0.0))
     b_i, trace = None, []
     for step in range(1, iterations + 1):
+        keep = step % keep_every == 0 or step == iterations
         b_i = of_u.join(b_u, "u").groupBy("i").agg((F.sum(F.col("e") - F.col("b_u")) / (lam_item + F.count(F.lit(1)))).alias("b_i"))
+        b_i = settle(b_i) if keep else b_i  # before the users' are made from them, so that no sweep is made twice
         b_u = of_i.join(b_i, "i").groupBy("u").agg((F.sum(F.col("e") - F.col("b_i")) / (lam_user + F.count(F.lit(1)))).alias("b_u"))
-        if step % keep_every == 0 or step == iterations:
-            b_i, b_u = settle(b_i), settle(b_u)
+        b_u = settle(b_u) if keep else b_u
         if trace_every and (step % trace_every == 0 or step == iterations):
             error = of_i.join(b_i, "i").join(b_u, "u").agg(F.sqrt(F.avg(F.pow(F.col("e") - F.col("b_i") - F.col("b_u"), 2)))).first()[0]
             trace.append(error)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,18 +63,26 @@ def solve_ridge(rows: DataFrame, k: int, lam: float) -> DataFrame:
 
     def partial(batches):
         gram: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for i, y, z in zip(pdf["i"], pdf["y"], pdf["z"]):
-                g = gram.setdefault(i, np.zeros((k, k + 1)))
-                if z is not None and len(z):
-                    at = np.array([c["pos"] - 1 for c in z])
-                    v = np.array([c["dev"] for c in z])
-                    g[np.ix_(at, at)] += np.outer(v, v)
-                    g[at, k] += v * y
+        for batch in batches:
+            item, z = batch.column("i").to_numpy(), batch.column("z")
+            sizes = pc.fill_null(pc.list_value_length(z), 0).to_numpy(zero_copy_only=False)
+            cells, rows = z.flatten(), np.zeros((len(item), k + 1))
+            rows[np.repeat(np.arange(len(item)), sizes), cells.field("pos").to_numpy() - 1] = cells.field("dev").to_numpy()
+            rows[:, k] = batch.column("y").to_numpy()
+            order = np.argsort(item, kind="stable")
+            rows, item = rows[order], item[order]
+            begin = np.flatnonzero(np.diff(item, prepend=item[0] - 1)) if len(item) else []
+            for lo, hi in zip(begin, [*begin[1:], len(item)]):  # an item at a time: one product of its rows
+                own = rows[lo:hi]
+                g = own[:, :k].T @ own
+                gram[item[lo]] = gram[item[lo]] + g if item[lo] in gram else g
             if len(gram) > 2000:
-                yield pd.DataFrame({"i": list(gram), "g": [g.ravel() for g in gram.values()]})
+                yield flushed(gram)
                 gram = {}
-        yield pd.DataFrame({"i": list(gram), "g": [g.ravel() for g in gram.values()]})
+        yield flushed(gram)
+
+    def flushed(gram: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(gram), pa.int64()), pa.array([g.ravel() for g in gram.values()], pa.list_(pa.float64()))], ["i", "g"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g = np.sum([np.asarray(x) for x in pdf["g"]], axis=0).reshape(k, k + 1)
@@ -83,7 +93,7 @@ def solve_ridge(rows: DataFrame, k: int, lam: float) -> DataFrame:
             w, fallback = np.linalg.lstsq(a, b, rcond=None)[0], True
         return pd.DataFrame({"i": pdf["i"].iloc[0], "pos": np.arange(1, k + 1, dtype="int32"), "w": w, "fallback": fallback})
 
-    parts = rows.select("i", "y", "z").mapInPandas(partial, "i long, g array<double>")
+    parts = rows.select("i", "y", "z").mapInArrow(partial, "i long, g array<double>")
     return parts.groupBy("i").applyInPandas(solve, "i long, pos int, w double, fallback boolean")
 
 

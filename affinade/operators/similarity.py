@@ -44,23 +44,40 @@ def mirrored(pairs: DataFrame) -> DataFrame:
 
 def cosine_pairs(matrix: DataFrame) -> DataFrame:
     """Dot product over the shared columns by the norms of the whole rows."""
-    norms = matrix.groupBy("a").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    pairs = paired(matrix, [F.sum(F.col("x") * F.col("y")).alias("dot")])
+    return cosine_of(paired(matrix, [F.sum(F.col("x") * F.col("y")).alias("dot")]), squares(matrix))
+
+
+def squares(matrix: DataFrame) -> DataFrame:
+    """a, q: the sum of a row's squares."""
+    return matrix.groupBy("a").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+
+
+def cosine_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cosines from pairs' dot products (a, b, dot, n_co) and rows' squares (a, q)."""
+    norms = rows.select("a", F.sqrt("q").alias("norm"))
     rows = pairs.join(norms, "a").join(norms.select(F.col("a").alias("b"), F.col("norm").alias("norm_b")), "b")
     den = F.col("norm") * F.col("norm_b")
     return rows.select("a", "b", F.when(den > EPS, F.col("dot") / den).otherwise(0.0).alias("sim"), "n_co")
 
 
+def pair_sums() -> list[Column]:
+    x, y = F.col("x"), F.col("y")
+    return [F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("dot")]
+
+
 def pearson_pairs(matrix: DataFrame) -> DataFrame:
     """Correlation over the shared columns only; 0 without variance; within -1 and 1."""
-    x, y = F.col("x"), F.col("y")
-    sums = [F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy")]
+    return pearson_of(paired(matrix, pair_sums()))
+
+
+def pearson_of(pairs: DataFrame) -> DataFrame:
+    """Correlations from pairs' sums (a, b, n_co, sx, sy, sxx, syy, dot)."""
     n = F.col("n_co")
     var = lambda q, s: F.greatest(n * q - s * s, F.lit(0.0))
     den = F.sqrt(var(F.col("sxx"), F.col("sx")) * var(F.col("syy"), F.col("sy")))
-    num = n * F.col("sxy") - F.col("sx") * F.col("sy")
+    num = n * F.col("dot") - F.col("sx") * F.col("sy")
     sim = F.when(den > EPS, F.least(F.greatest(num / den, F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
-    return paired(matrix, sums).select("a", "b", sim.alias("sim"), "n_co")
+    return pairs.select("a", "b", sim.alias("sim"), "n_co")
 
 
 def reliable(pairs: DataFrame, min_support: int | None = CONFIG.min_support, beta: float | None = CONFIG.beta) -> DataFrame:

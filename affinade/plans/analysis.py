@@ -213,3 +213,11 @@ def ablations(family: str, sweep: DataFrame) -> DataFrame:
         parts.append(rows.select(F.lit(family).alias("family"), F.lit(factor).alias("factor"), variant.alias("variant"), place.alias("place"), "rmse", "ndcg_mean"))
     rows, block = reduce(DataFrame.unionByName, parts), Window.partitionBy("family", "factor")
     return rows.withColumns({"delta_ndcg": F.col("ndcg_mean") - F.max("ndcg_mean").over(block), "delta_rmse": F.col("rmse") - F.min("rmse").over(block)})
+
+
+def ols_against_ridge(sweep: DataFrame) -> DataFrame:
+    """Of a regression sweep, for each k: the least RMSE without a penalty, the least with one and its penalty, and the gain."""
+    rows = sweep.where("weight_mode = 'ridge'")
+    best = F.min_by("lam", F.when(F.col("lam") > 0, F.struct(F.round("rmse", 9), "lam")))
+    one = rows.groupBy("k").agg(F.min(F.when(F.col("lam") == 0, F.col("rmse"))).alias("ols"), F.min(F.when(F.col("lam") > 0, F.col("rmse"))).alias("ridge"), best.alias("lam"))
+    return one.withColumn("gain", F.col("ols") - F.col("ridge"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from affinade.config import CONFIG
@@ -15,7 +16,7 @@ from affinade.operators import metrics, neighbourhood, similarity
 from affinade.operators.baselines import settle
 from affinade.operators.groups import history_groups, item_counts, popularity_groups, popularity_rank
 from affinade.plans.registry import Data, Fitted, fit, settings_of
-from affinade.sources.tables import append_table, exists, load_table, spec_id
+from affinade.sources.tables import append_table, exists, load_table, save_table, spec_id
 
 PER_USER = ["precision", "recall", "hit_rate", "ndcg", "ap", "novelty", "ild", "pop_rank", "head_frac", "medium_frac", "long_tail_frac"]
 
@@ -94,22 +95,71 @@ def rank_modes(ctx: Context, heads: DataFrame, held: DataFrame, side: str, k: in
     return rows.groupBy("rank_mode").agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "hit_rate", "ndcg", "ap")))
 
 
-def timed(ctx: Context, spec: dict, held: DataFrame, k: int = CONFIG.k) -> tuple[Fitted, DataFrame]:
-    """A fitted model and one row of what it takes: seconds to fit, predict ``held`` and rank, per user, and its tables' rows.
+class Meter:
+    """What the jobs of a block take, from Spark's own accounts: seconds by the clock, CPU seconds, and the largest task's execution memory."""
 
-    Everything is made once for the clock, so this costs as much again as evaluating the model.
+    def __init__(self, spark: SparkSession):
+        self.sc, self.group = spark.sparkContext, f"meter-{uuid.uuid4().hex}"
+        self.seconds = self.cpu_s = self.peak_mb = 0.0
+
+    def __enter__(self) -> Meter:
+        self.sc.setJobGroup(self.group, "measured")
+        self.began = time.time()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.seconds = time.time() - self.began
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            self.sc.setLocalProperty(name, None)
+        tracker, store = self.sc.statusTracker(), self.sc._jsc.sc().statusStore()
+        stages = {s for job in tracker.getJobIdsForGroup(self.group) if (info := tracker.getJobInfo(job)) for s in info.stageIds}
+        for stage in stages:
+            if tracker.getStageInfo(stage) is None:  # skipped: its output was there
+                continue
+            data = store.lastStageAttempt(stage)
+            self.cpu_s += data.executorCpuTime() / 1e9
+            self.peak_mb = max(self.peak_mb, data.peakExecutionMemory() / 1e6 / max(1, data.numCompleteTasks()))
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+@dataclass
+class Measured:
+    """A fitted model whose tables, predictions and lists are stored, and one row of what they took."""
+
+    fitted: Fitted
+    pred: DataFrame
+    lists: DataFrame
+    resources: DataFrame
+
+
+def measured(ctx: Context, spec: dict, held: DataFrame, paths: dict[str, str], k: int = CONFIG.k) -> Measured:
+    """Fit, keep the tables, predict ``held`` and rank, each once: what is measured is what is stored (``paths``: tables, pred, lists) and read from then on.
+
+    One row: seconds to fit, predict and rank, per user, rows and bytes of the tables, CPU seconds and the largest stage's mean execution memory of a task.
     """
-    began = time.time()
-    fitted = fit(spec, ctx.data(held))
-    size = sum(t.count() for t in fitted.tables.values())  # what a model keeps is its tables
-    fit_s, began = time.time() - began, time.time()
-    fitted.pred.write.format("noop").mode("overwrite").save()
-    predict_s, began = time.time() - began, time.time()
-    fitted.lists(ctx.data(), k).write.format("noop").mode("overwrite").save()
-    rank_s, users = time.time() - began, max(1, ctx.users.count())
-    columns = {"fit_s": fit_s, "predict_s": predict_s, "rank_s": rank_s, "rank_ms_per_user": 1000 * rank_s / users}
-    row = ctx.train.sparkSession.range(1).select(*(F.lit(float(v)).alias(c) for c, v in columns.items()), F.lit(size).cast("long").alias("model_rows"))
-    return fitted, row
+    spark, rows = ctx.train.sparkSession, 0
+    with Meter(spark) as fit_m:
+        fitted = fit(spec, ctx.data(held))
+        for part, df in fitted.tables.items():
+            seen = Observation()
+            save_table(df.observe(seen, F.count(F.lit(1)).alias("n")), f"{paths['tables']}/{part}")
+            rows += seen.get["n"]
+    with Meter(spark) as predict_m:
+        save_table(fitted.pred, paths["pred"])
+    with Meter(spark) as rank_m:
+        save_table(fitted.lists(ctx.data(), k), paths["lists"])
+    size, users = sum(bytes_of(spark, f"{paths['tables']}/{part}") for part in fitted.tables), max(1, ctx.users.count())
+    meters = (fit_m, predict_m, rank_m)
+    columns = {
+        "fit_s": fit_m.seconds, "predict_s": predict_m.seconds, "rank_s": rank_m.seconds, "rank_ms_per_user": 1000 * rank_m.seconds / users,
+        "cpu_s": sum(m.cpu_s for m in meters), "peak_task_mb": max(m.peak_mb for m in meters),
+    }
+    row = spark.range(1).select(*(F.lit(float(v)).alias(c) for c, v in columns.items()), F.lit(rows).cast("long").alias("model_rows"), F.lit(size).cast("long").alias("model_bytes"))
+    return Measured(fitted, load_table(spark, paths["pred"]), load_table(spark, paths["lists"]), row)
 
 
 def sweep(ctx: Context, specs: list[dict], held: DataFrame, k: int = CONFIG.k, path: str | None = None) -> DataFrame:
@@ -198,12 +248,6 @@ def scanned(ctx: Context, scan: dict, group: dict[str, dict], held: DataFrame, k
     return evaluate_lists(ctx, settle(reduce(DataFrame.unionByName, lists)), reduce(DataFrame.unionByName, preds), held, k, by)
 
 
-def resources(ctx: Context, specs: list[dict], held: DataFrame, k: int = CONFIG.k) -> DataFrame:
-    """A row per spec: what its model takes (see timed)."""
-    rows = [timed(ctx, spec, held, k)[1].withColumns({"grid": F.lit(grid), "family": F.lit(spec["family"])}) for grid, spec in enumerate(specs)]
-    return reduce(DataFrame.unionByName, rows)
-
-
 def select_best(table: DataFrame, metric: str, highest: bool = True) -> DataFrame:
     """The row with the best metric; the first of the grid among equals."""
     order = F.desc_nulls_last(metric) if highest else F.asc_nulls_last(metric)

@@ -19,8 +19,8 @@ from affinade.operators.groups import overview, rating_distribution, sparsity
 from affinade.operators.metrics import relevant, user_metrics
 from affinade.operators.split import assign_folds
 from affinade.plans import analysis
-from affinade.plans.evaluate import SETTINGS, Context, evaluate, list_metrics, resources, select_best, sweep, with_settings
-from affinade.plans.registry import fit
+from affinade.plans.evaluate import SETTINGS, Context, evaluate_lists, list_metrics, measured, select_best, sweep, with_settings
+from affinade.plans.registry import settings_of
 from affinade.sources.ratings import event_ratings
 from affinade.sources.tables import load_table, save_table
 
@@ -109,27 +109,25 @@ def test_stage(grid: dict[str, list[dict]]) -> Stage:
     """The selected models and the baselines, on the test rows once, with their lists, predictions, per-user metrics and tables."""
 
     def run(spark: SparkSession, data: str, out: str) -> None:
-        ctx, rows = context(spark, out), []
+        ctx, rows, took = context(spark, out), [], []
         for name, spec in selected(spark, grid, out).items():
-            fitted = fit(spec, ctx.data(ctx.test))
-            for part, df in fitted.tables.items():
-                save_table(df, f"{out}/models/{name}/{part}")
-            lists = fitted.lists(ctx.data(), 10).withColumn("model", F.lit(name))
-            save_table(lists, f"{out}/lists/model={name}")
-            save_table(fitted.pred, f"{out}/predictions/model={name}")
-            save_table(list_metrics(ctx, load_table(spark, f"{out}/lists/model={name}").drop("model"), relevant(ctx.test)), f"{out}/per_user/model={name}")
-            rows.append(evaluate(ctx, fitted, ctx.test).withColumns({"model": F.lit(name), "spec": F.lit(str(sorted(spec.items())))}))
-        save_table(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows), f"{out}/test")
+            label = F.lit(name).alias("model")
+            m = measured(ctx, spec, ctx.test, {"tables": f"{out}/models/{name}", "pred": f"{out}/predictions/model={name}", "lists": f"{out}/lists/model={name}"})
+            save_table(list_metrics(ctx, m.lists, relevant(ctx.test)), f"{out}/per_user/model={name}")
+            rows.append(evaluate_lists(ctx, m.lists, m.pred, ctx.test).withColumns({"model": F.lit(name), "spec": F.lit(json.dumps(settings_of(spec), sort_keys=True))}))
+            took.append(m.resources.select(label, F.lit(spec["family"]).alias("family"), "*"))
+        for name, parts in (("test", rows), ("resources", took)):
+            save_table(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), f"{out}/{name}")
 
     return run
 
 
 def resource_stage(grid: dict[str, list[dict]]) -> Stage:
-    """Seconds and sizes of the selected models."""
+    """Seconds and sizes of the selected models, which the test stage has measured as it made them, the costliest first."""
 
     def run(spark: SparkSession, data: str, out: str) -> None:
-        ctx = context(spark, out)
-        save_table(resources(ctx, list(selected(spark, grid, out).values()), ctx.test), f"{out}/resources")
+        table = load_table(spark, f"{out}/resources")
+        save_table(table.withColumn("total_s", F.col("fit_s") + F.col("predict_s") + F.col("rank_s")).orderBy(F.desc("total_s"), "model"), f"{out}/resource_summary")
 
     return run
 

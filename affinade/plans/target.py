@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from affinade.config import CONFIG
 from affinade.operators import metrics
 from affinade.operators.split import hide_profile, profile_without
-from affinade.operators.topk import top_k
 from affinade.plans.evaluate import Context
+from affinade.plans.refit import BY_DIFFERENCE, Refit, profile
 from affinade.plans.registry import fit
 
 
@@ -30,9 +31,29 @@ def lists_of(ctx: Context, user: int, specs: dict[str, dict], k: int = CONFIG.k)
     less = replace(ctx, train=profile_without(ctx.train, hidden).persist())
     out = None
     for name, spec in specs.items():
-        scores = fit(spec, less.data()).score.where(F.col("u") == user)
-        own = top_k(scores, k, less.train.where(F.col("u") == user)).withColumn("model", F.lit(name))
+        own = fit(spec, less.data()).lists(replace(less, users=less.users.where(F.col("u") == user)).data(), k).where(F.col("u") == user).withColumn("model", F.lit(name))
         out = own if out is None else out.unionByName(own)
+    return detailed(ctx, truth, out)
+
+
+def lists_by_difference(ctx: Context, user: int, specs: dict[str, dict], k: int = CONFIG.k, refit: Refit | None = None) -> DataFrame:
+    """lists_of() without a refit of what the hidden rows don't touch (see Refit); families that every row touches are fitted as there."""
+    refit = refit or Refit(ctx)
+    own = profile(ctx.train, user)
+    parts = [refit.lists(own, spec, k).withColumn("model", F.lit(name)) for name, spec in specs.items() if by_difference(spec)]
+    rest = {name: spec for name, spec in specs.items() if not by_difference(spec)}
+    out = detailed(ctx, truth_of(ctx, user)[1], reduce(DataFrame.unionByName, parts)) if parts else None
+    if rest:
+        more = lists_of(ctx, user, rest, k)
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
+def by_difference(spec: dict) -> bool:
+    return spec["family"] in BY_DIFFERENCE and not (spec["family"] == "graph" and (spec.get("mode") == "walk" or spec.get("length", 3) > 3))
+
+
+def detailed(ctx: Context, truth: DataFrame, out: DataFrame) -> DataFrame:
     rows = out.join(ctx.groups().select("i", "cnt", "grp"), "i").join(truth.select("i", F.col("r").alias("held_r")), "i", "left")
     return rows.select("model", "rank", "i", "score", "cnt", "grp", "held_r", F.coalesce(F.col("held_r") >= CONFIG.relevant_from, F.lit(False)).alias("is_hit"))
 

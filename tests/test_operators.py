@@ -365,3 +365,26 @@ def test_slim_over_all_candidates(spark, monkeypatch):
         assert np.abs(got - want).max() < 1e-4
     masked = {(r["src"], r["dst"]) for r in slim.weights(slim.fit(likes, 0.5, 2.0, top_m=50)).collect()}
     assert set(zip(*np.nonzero(want > 1e-3))) - masked  # the cut problem loses weights
+
+
+def test_penalty_path_from_warm_starts_equals_cold_fits(spark):
+    """Each penalty begun from the next larger one's weights: the same weights in fewer steps, from one Gram table."""
+    likes = frame(spark, [(u, i, 1.0) for u, i, r in some_ratings(9, 40, 12, 0.5) if r >= 3], "u long, i long, x double")
+    path = slim.penalty_path(likes, [0.5, 1.0, 2.0], 5.0, tol=1e-7)
+    steps = {}
+    for l1, fitted in path.items():
+        cold = slim.fit(likes, l1, 5.0, tol=1e-7)
+        a, b = ({(r.src, r.dst): r.w for r in slim.weights(f).collect()} for f in (fitted, cold))
+        assert all(abs(a.get(c, 0.0) - b.get(c, 0.0)) < 1e-5 for c in {*a, *b})
+        steps[l1] = [f.groupBy("dst").agg(F.max("iterations").alias("n")).agg(F.sum("n")).first()[0] for f in (fitted, cold)]
+    assert steps[2.0][0] == steps[2.0][1] and sum(w for w, _ in steps.values()) < sum(c for _, c in steps.values())
+
+
+def test_flat_objective_stops_a_column():
+    rng = np.random.default_rng(2)
+    x = rng.random((50, 8)) < 0.4
+    a, g = (x.T @ x).astype(float), rng.random(8) * 10
+    exact, n, _ = slim.solve_column(a, g, 0.5, 2.0, tol=0.0, flat=0.0)
+    w, steps, res = slim.solve_column(a, g, 0.5, 2.0, tol=0.0)  # no certificate asked for: only the objective can stop it
+    assert n == 3000 and 50 < steps < 3000 and np.allclose(w, exact, atol=1e-4) and res < 1e-3
+    assert slim.solve_column(a, g, 0.5, 2.0, start=exact)[1] == 0

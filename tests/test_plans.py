@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,10 +8,10 @@ from affinade.operators.metrics import rating_errors
 from affinade.operators.neighbourhood import completed, head
 from affinade.operators.split import assign_folds
 from affinade.operators.topk import top_k
-from affinade.plans import analysis, stages
+from affinade.plans import analysis, stages, target
 from affinade.plans import evaluate as ev
 from affinade.plans.evaluate import Context, evaluate, select_best, sweep
-from affinade.plans.registry import MODELS, fit
+from affinade.plans.registry import MODELS, fit, settings_of
 from affinade.plans.service import Recommender, Service
 from affinade.plans.store import ModelStore
 from affinade.sources import ratings as src
@@ -99,7 +101,7 @@ STORED = {
     "popularity": {"family": "popularity"}, "user_mean": {"family": "user_mean"}, "bias": {"family": "bias", "iterations": 3}, "random": {"family": "random"},
     "ubcf": {"family": "ubcf", "k": 5}, "ubcf-rating": {"family": "ubcf", "k": 5, "rank_mode": "rating", "mean_center": False}, "ibcf": {"family": "ibcf", "k": 5}, "ibcf-affinity": {"family": "ibcf", "k": 5, "rank_mode": "affinity"},
     "regression": {"family": "regression", "k": 3, "iterations": 5}, "regression-affinity": {"family": "regression", "k": 3, "iterations": 5, "rank_mode": "affinity"},
-    "slim": {"family": "slim", "l1": 0.1, "l2": 1.0}, "graph": {"family": "graph"}, "walk": {"family": "graph", "mode": "walk"},
+    "slim": {"family": "slim", "l1": 0.1, "l2": 1.0}, "graph": {"family": "graph"},
 }
 
 
@@ -124,7 +126,7 @@ def test_stored_models_rank_as_they_were_fitted(ctx, served):
             got = app.recommend(user, name, 6).collect()
             assert want and [(r["rank"], r.i, round(r.score, 8)) for r in got] == want, name
             assert all(r.pred is not None and low <= r.pred <= high and r.grp and r.cnt >= 0 for r in got), name
-    for name in ("bias", "ubcf", "ibcf", "regression", "slim", "graph"):
+    for name in ("ubcf", "regression", "graph"):
         held = {(r.u, r.i): min(max(r.pred, low), high) for r in fitted[name].pred.where(F.col("u").isin(users)).collect()}
         for user in users:
             cells = {r.i: r.pred for r in app.models[name].candidates(user, 10_000).collect()}
@@ -146,16 +148,16 @@ def test_a_request_reads_the_users_buckets_only(ctx, served):
 def test_explanations_read_the_users_and_items_buckets(ctx, served):
     app, fitted = served
     user = ctx.users.orderBy("u").first().u
-    for name in STORED:
-        best = app.recommend(user, name, 6).collect()
-        why = [app.explain(user, r.i, name).collect() for r in best]
-        assert any(why) or name == "slim", name
-        assert all(abs(a.weight) >= abs(b.weight) - 1e-9 for rows in why for a, b in zip(rows, rows[1:])), name
-    item = app.recommend(user, "ubcf", 1).first().i
+    for name in ("popularity", "ibcf", "regression", "regression-affinity", "slim"):
+        item = app.models[name].list_of(user, 1).first().i
+        rows = app.explain(user, item, name).collect()
+        assert rows or name == "slim", name
+        assert all(abs(a.weight) >= abs(b.weight) - 1e-9 for a, b in zip(rows, rows[1:])), name
+    item = app.models["ubcf"].list_of(user, 1).first().i
     sums = {"ubcf": "num", "ibcf-affinity": "aff"}
     for name, column in sums.items():
         spec, heads = STORED[name], fitted[name].tables["heads"]
-        for r in heads.where(F.col("u") == user).orderBy(F.desc(column)).limit(2).collect():
+        for r in heads.where(F.col("u") == user).orderBy(F.desc(column)).limit(1).collect():
             rows = app.explain(user, r.i, name, 100).collect()
             assert len(rows) <= spec["k"] and abs(sum(x.weight for x in rows) - r[column]) < 1e-9
     plan = app.models["ubcf"].explain(user, item)._jdf.queryExecution().executedPlan().toString()
@@ -257,7 +259,12 @@ def test_stages_run_from_files(spark, tmp_path, monkeypatch):
     assert {r.model for r in read("test").collect()} == names == {r.model for r in read("lists").select("model").distinct().collect()}
     assert read("models/means/items").count() > 0 and read("predictions/model=means").count() > 0 and read("per_user/model=means").count() > 0
     kept = read("resources").collect()
-    assert len(kept) == len(names) and all(r.fit_s >= 0 and r.rank_ms_per_user > 0 and r.model_rows >= 0 for r in kept)
+    assert len(kept) == len(names) and all(r.fit_s >= 0 and r.rank_ms_per_user > 0 and r.cpu_s > 0 and r.peak_task_mb >= 0 for r in kept)
+    for r in kept:
+        kept_rows = sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "models" / r.model).glob("*")) if (tmp_path / "models" / r.model).exists() else 0
+        files = sum(f.stat().st_size for f in (tmp_path / "models" / r.model).rglob("*.parquet")) if kept_rows else 0
+        assert r.model_rows == kept_rows and files <= r.model_bytes <= files + 10_000
+    assert [r.total_s for r in read("resource_summary").collect()] == sorted((r.fit_s + r.predict_s + r.rank_s for r in kept), reverse=True)
 
 
 def test_stage_names_and_grids(capsys):
@@ -316,3 +323,52 @@ def test_neighbourhoods_score_every_cell(spark, family):
         model = fit({"family": family, "k": 3, "min_support": 1, "beta": None, "rank_mode": mode}, ctx.data(held))
         assert rows(model.lists(ctx.data(), 4)) == rows(top_k(head(heads, mode), 4, train))
         assert "Cartesian" not in model.lists(ctx.data(), 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refits_by_difference_equal_full_refits(ctx):
+    """One user's lists of every family from stored sums, kind by kind of similarity, centring and head."""
+    specs = {
+        "positive": {"family": "popularity_positive"}, "item_mean": {"family": "item_mean"},
+        "ub-cos": {"family": "ubcf", "k": 5}, "ub-pea": {"family": "ubcf", "k": 5, "similarity": "pearson", "rank_mode": "rating"},
+        "ib-adj": {"family": "ibcf", "k": 4}, "ib-cos": {"family": "ibcf", "k": 4, "similarity": "cosine", "mean_center": False, "rank_mode": "score"}, "ib-pea": {"family": "ibcf", "k": 4, "similarity": "pearson", "center_by": "user"},
+        "graph": {"family": "graph"}, "raw": {"family": "graph", "normalize": "none"}, "bias": {"family": "bias", "iterations": 2},
+    }
+    user = ctx.train.groupBy("u").agg(F.count_if(F.col("r") >= 4).alias("n")).orderBy(F.desc("n"), "u").first().u
+    rows = lambda df: sorted((r.model, r["rank"], r.i, round(r.score, 7), r.is_hit) for r in df.collect())
+    got, want = rows(target.lists_by_difference(ctx, user, specs, 5)), rows(target.lists_of(ctx, user, specs, 5))
+    assert got == want
+    assert {r[0] for r in got} == set(specs)
+
+
+def test_ablations_change_one_factor(spark):
+    """Blocks of every family from a made-up sweep: the setting that stays, the best variant of each value, ties and places."""
+    rows = [(g, k, sim, c, "affinity", 1.0 - 0.01 * k + 0.1 * (sim == "pearson"), 0.1 * k * (2 if sim == "cosine" else 1)) for g, (sim, c, k) in enumerate((s, c, k) for s in ("cosine", "pearson") for c in (True, False) for k in (1, 2))]
+    sweep_df = spark.createDataFrame(rows, "grid int, k int, similarity string, mean_center boolean, rank_mode string, rmse double, ndcg_mean double")
+    got = {(r.factor, r.variant): r for r in analysis.ablations("ubcf", sweep_df).collect()}
+    assert {f for f, _ in got} == {"similarity", "mean_center", "k", "rank_mode"} and len(got) == 7
+    assert got["similarity", "pearson"].delta_ndcg == pytest.approx(-0.2) and got["similarity", "pearson"].delta_rmse == pytest.approx(0.1)
+    summary = {r.factor: r for r in analysis.ablation_summary(analysis.ablations("ubcf", sweep_df)).collect()}
+    assert summary["mean_center"].told_by == "none" and summary["mean_center"].best is None and summary["rank_mode"].n_variants == 1
+    assert summary["similarity"].told_by == "ndcg" and summary["similarity"].best == "cosine" and summary["similarity"].position == 2  # spreads of similarity and k are equal
+    grid = [(json.dumps(settings_of(s)), 1.0 + 0.001 * n, 0.5 - 0.001 * n, n) for f in ("regression", "slim", "graph", "ibcf") for n, s in enumerate(stages.GRIDS[f])]
+    every = spark.createDataFrame(grid, "spec string, rmse double, ndcg_mean double, grid int")
+    blocks = set()
+    for family in ("regression", "slim", "graph", "ibcf"):
+        table = ev.with_settings(every.where(F.col("spec").contains(f'"{family}"')), ev.SETTINGS[family])
+        out = analysis.ablations(family, table).collect()
+        blocks |= {(family, r.factor) for r in out}
+        assert all(r.delta_ndcg <= 0 and r.delta_rmse >= 0 for r in out)
+        if family == "slim":
+            count = lambda factor: sum(r.factor == factor for r in out)  # noqa: E731,B023
+            assert (count("l1"), count("l2"), count("tau"), count("top_m")) == (9, 6, 5, 6)
+        if family == "regression":
+            gains = analysis.ols_against_ridge(table).collect()
+            assert len(gains) == 4 and all(r.gain == pytest.approx(r.ols - r.ridge) and r.lam > 0 for r in gains)
+    assert len(blocks) + 4 == 20
+
+
+def test_findings_by_factor(spark):
+    rows = [(0, "a", 1, 0.5, 0.2), (1, "a", 2, 0.4, 0.2), (2, "b", 1, 0.4, 0.1), (3, "b", 2, 0.9, None)]
+    table = spark.createDataFrame(rows, "grid int, s string, k int, rmse double, ndcg_mean double")
+    got = {(r.factor, r.level): (r.n, r.best_rmse, r.best_ndcg, r.rmse_grid, r.ndcg_grid) for r in analysis.findings_by_factor(table, ["s", "k"]).collect()}
+    assert got[None, None] == (4, 0.4, 0.2, 1, 0) and got["s", "b"] == (2, 0.4, 0.1, 2, 2) and got["k", "2"] == (2, 0.4, 0.2, 1, 1) and len(got) == 5
