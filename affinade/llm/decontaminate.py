@@ -138,7 +138,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
     """The input's rows and columns without the documents that hold a window of the benchmark.
 
     Null, empty and blank texts hold none and stay, as do repeated rows, null ids and all columns, whatever their
-    names; with an empty benchmark every row stays; an empty table gives an empty result.
+    names; texts of any length are searched whole; with an empty benchmark every row stays; an empty table gives an empty result.
     """
     own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
     del own["doc_id"], own["text"]

@@ -207,8 +207,9 @@ def identify(docs: DataFrame, train: Column, per_language: int = 800, most: int
     """``doc_id``, ``lang_pred``, ``score`` for every document, and the columns of ``keep`` as they were.
 
     Learns from rows where ``train`` holds and lang is known: at most ``per_language`` documents a language, ``most`` in
-    all. A null text or one without any letter is ``und`` with score 0, as is all when nothing is labelled. Repeated rows and
-    null ids are predicted like any other.
+    all. A null text or one without any letter is ``und`` with score 0, as is all when nothing is labelled. Texts of any length are
+    read whole, in windows. Repeated rows and null ids are predicted like any other; an empty table gives an empty result. Columns other than
+    doc_id, text, lang and ``keep`` aren't read, so they may have any names; ``keep`` must not name results.
     """
     net = fit(*labelled_windows(docs, train, per_language, most, per_doc))
     shared = docs.sparkSession.sparkContext.broadcast((net, net.tables() if net else []))

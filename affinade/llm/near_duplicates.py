@@ -430,7 +430,7 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The input's rows and columns, of each class only the first.
 
     Null, empty and blank texts are classes of their own and stay, as do all columns, whatever their names; of repeated rows one
-    stays; an empty table gives an empty result.
+    stays; texts of any length are compared whole; an empty table gives an empty result.
     """
     own = {c: c if c in ("doc_id", "text") else f"_own{i}" for i, c in enumerate(docs.columns)}
     rows, found = classes(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), threshold)

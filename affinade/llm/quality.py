@@ -156,7 +156,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label: str
 
     Learns from at most ``per_class`` labelled documents of each class where ``train`` holds. Empty and null texts get
     the score of the bias alone; without any labelled row all scores are 0.5. Texts of any length are scored whole; repeated
-    rows and null ids are scored like any other. Only doc_id and text are read.
+    rows and null ids are scored like any other; an empty table gives an empty result. Only doc_id and text are read, so other columns may have any names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(examples(sample_by_label(docs, labels, label, train, per_class))))
     kind = docs.schema["doc_id"].dataType

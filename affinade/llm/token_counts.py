@@ -95,7 +95,7 @@ def counter(path: str) -> PieceCounter:
 def token_counts(docs: DataFrame, model_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_tokens``, ``over_limit``.
 
-    Null and empty texts count 0 bytes and 0 tokens; repeated rows and null ids are kept; an empty table
+    Null and empty texts count 0 bytes and 0 tokens; texts of any length are counted whole; repeated rows and null ids are kept; an empty table
     gives an empty result; other columns are not read, so clashing names don't matter.
     """
     kind = docs.schema[id_col].dataType

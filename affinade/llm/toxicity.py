@@ -308,7 +308,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, label: st
 
     Learns from at most ``per_class`` labelled documents of each class where ``train`` holds, from all their words. Texts of any
     length are scored whole. Empty and null texts get the score of the bias; without two classes or telling words
-    all scores are 0. Repeated rows and null ids are scored like any other. Reads doc_id and text only.
+    all scores are 0. Repeated rows and null ids are scored like any other; an empty table gives an empty result. Reads doc_id and text only, so other
+    columns may have any names.
     """
     fitted = fit(labelled_words(sample_by_label(docs, labels, label, train, per_class)))
     model = docs.sparkSession.sparkContext.broadcast(fitted)  # one weight a subsequence: 10 MB
