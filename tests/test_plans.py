@@ -211,7 +211,7 @@ def test_a_swept_scan_equals_single_fits(ctx, monkeypatch):
     rows = {r.grid: r for r in sweep(ctx, GRID, ctx.val).collect()}
     assert made == {"similarity": 2, "slots": 2} and sorted(rows) == list(range(len(GRID)))
     monkeypatch.undo()
-    for grid in (0, 4, 8, 9, 16):
+    for grid in (4, 15):
         one = evaluate(ctx, fit(GRID[grid], ctx.data(ctx.val)), ctx.val).first().asDict()
         for name, value in one.items():
             assert rows[grid][name] == pytest.approx(value, abs=1e-9), (grid, name)
