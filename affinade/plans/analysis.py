@@ -150,7 +150,7 @@ def findings_by_factor(sweep: DataFrame, factors: list[str]) -> DataFrame:
     One pass of grouping sets; equal values go to the earlier setting (``grid``).
     """
     sets = ", ".join(f"({f})" for f in factors)
-    best = "min_by({0}, struct({1}, grid))"
+    best = "min_by({0}, struct(isnull({1}), {1}, grid))"
     chosen = [f"{best.format(f'struct(grid, {", ".join(factors)})', order)} AS {name}" for name, order in (("by_rmse", "round(rmse, 9)"), ("by_ndcg", "-round(ndcg_mean, 9)"))]
     names = "CASE " + " ".join(f"WHEN grouping({f}) = 0 THEN '{f}'" for f in factors) + " END"
     values = "CASE " + " ".join(f"WHEN grouping({f}) = 0 THEN CAST({f} AS STRING)" for f in factors) + " END"
@@ -161,7 +161,7 @@ def findings_by_factor(sweep: DataFrame, factors: list[str]) -> DataFrame:
 
 def ablation_summary(rows: DataFrame, tol: float = 1e-9) -> DataFrame:
     """A row for each family and factor: variants, best and worst by NDCG (null where all tie) and by RMSE, spreads, which metric tells them apart, and the place by spread."""
-    pick = lambda metric, sign: F.min_by("variant", F.struct(sign * F.round(metric, 9), "place"))
+    pick = lambda metric, sign: F.min_by("variant", F.struct(F.col(metric).isNull(), sign * F.round(metric, 9), "place"))
     one = rows.groupBy("family", "factor").agg(
         F.count(F.lit(1)).alias("n_variants"), pick("ndcg_mean", -1).alias("best"), pick("ndcg_mean", 1).alias("worst"), (F.max("ndcg_mean") - F.min("ndcg_mean")).alias("ndcg_spread"),
         pick("rmse", 1).alias("best_rmse"), pick("rmse", -1).alias("worst_rmse"), (F.max("rmse") - F.min("rmse")).alias("rmse_spread"),
