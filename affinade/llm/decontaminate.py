@@ -1,15 +1,17 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test windows.
 
 Texts are read as UTF-8 bytes: A-Z become a-z, every other ASCII byte that is no letter or digit becomes a space,
-the rest stays, so each byte keeps its offset. The words joined by single spaces are scanned once. A hit ends
-at a known place of the joined text, which gives its words, and through the words' offsets the passage in the original.
+the rest stays, so each byte keeps its offset. The automaton's symbols are words, numbered as the benchmark's windows have
+them (all other words are one symbol that no window holds), so a window of ten words is ten nodes at most. A text's words are
+scanned once; a hit ends at a known word, and the words' offsets give the passage in the original.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+import uuid
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ from affinade.llm.common import in_small_batches, store
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if WORD.match(bytes([b])) else 32 for b in range(256))
-_built: dict[bytes, object] = {}
+WINDOW_ROWS = 10_000  # of a batch of windows
+_built: dict[str, Matcher] = {}
 
 
 def windows(text: bytes | None, size: int) -> set[bytes]:
@@ -31,19 +34,32 @@ def windows(text: bytes | None, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def automaton(patterns: list[tuple[bytes, list]]):
-    """Built once a process and set of patterns; the last one is kept."""
-    import ahocorasick
+class Matcher:
+    """The automaton of a set of windows and its words' numbers; 0 is any other word."""
 
-    key = hashlib.sha256(repr(patterns).encode()).digest()
-    if key not in _built:
-        _built.clear()
-        a = ahocorasick.Automaton()
+    def __init__(self, patterns: list[tuple[bytes, list]]):
+        import ahocorasick
+
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for pattern, items in patterns:
-            a.add_word(f" {pattern.decode('latin-1')} ", (pattern.count(b" ") + 1, items))
+            words = pattern.split(b" ")
+            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words), (len(words), items))
         if patterns:
-            a.make_automaton()
-        _built[key] = a if patterns else None
+            self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]):
+        """Word span and item ids of every window that occurs."""
+        if self.number and words:
+            for end, (k, items) in self.automaton.iter(tuple(map(self.number.get, words, repeat(0)))):
+                yield end + 1 - k, end + 1, items
+
+
+def matcher(key: str, patterns: list[tuple[bytes, list]]) -> Matcher:
+    """Built once a process and set of patterns; the last one is kept."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Matcher(patterns)
     return _built[key]
 
 
@@ -72,24 +88,20 @@ SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
 def _scan(docs: DataFrame, patterns: list[tuple[bytes, list]], item_type: pa.DataType, item_sql: str, keep_text: bool, kept: tuple[str, ...]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)  # at most block_bytes of benchmark text and its windows
+    shared = docs.sparkSession.sparkContext.broadcast(patterns)  # bounded by block_windows and block_bytes
+    key = uuid.uuid4().hex
 
     def run(batches):
-        a = automaton(shared.value)
+        found_by = matcher(key, shared.value)
         for batch in batches:
             n_words, hits, found, spans = [], [], [], []
             for text, had, items in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 words = (text or b"").translate(NORMAL).split()
                 n_words.append(len(words))
                 got, ids = [(h["start"], h["end"]) for h in had or ()], set(items or ())
-                if a is not None and words:
-                    starts = None
-                    for end, (k, whose) in a.iter(f" {b' '.join(words).decode('latin-1')} "):
-                        if starts is None:
-                            starts = np.cumsum([1, *(len(w) + 1 for w in words)])
-                        last = int(np.searchsorted(starts, end))
-                        got.append((last - k, last))
-                        ids.update(whose)
+                for begin, end, whose in found_by.hits(words):
+                    got.append((begin, end))
+                    ids.update(whose)
                 got = merged(got)
                 hits.append([{"start": x, "end": y} for x, y in got])
                 spans.append([{"start": x, "end": y} for x, y in original(text, got)] if got else [])
@@ -104,28 +116,44 @@ def _scan(docs: DataFrame, patterns: list[tuple[bytes, list]], item_type: pa.Dat
     return in_small_batches(docs).select("doc_id", "text", "hit_words", "items", *kept).mapInArrow(run, f"{more}doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, hit_words {span}, items array<{item_sql}>, n_words long, spans {span}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """Distinct ``item_id``, ``window``, made on the executors."""
+    kind = benchmark.schema[id_col].dataType
+
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = list(windows(text, window))
+                for at in range(0, len(own), WINDOW_ROWS):
+                    part = own[at : at + WINDOW_ROWS]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(part), pa.int64())), pa.array(part, pa.binary())], ["item_id", "window"])
+
+    items = in_small_batches(benchmark).select(F.col(id_col).alias("item_id"), F.col(text_col).cast("binary").alias("text"))
+    return items.mapInArrow(run, f"item_id {kind.simpleString()}, window binary").distinct()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 1_000_000, block_bytes: int = 128_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, hit_words (word spans), items (matched ids), spans (code points of the original).
 
     Null and empty texts have no words and no hits, on either side; items of fewer words than a window match
     as a whole; repeated rows and ids, null ids and empty tables are kept as they are; null item ids count as one item,
-    listed last as null; very long texts are scanned whole. A benchmark of more than ``block_bytes`` is taken in blocks of about that size, one pass
-    over the documents each, so that neither the driver nor an automaton outgrows them. ``keep`` names columns to carry
+    listed last as null; very long texts are scanned whole. Windows are made on the executors. A benchmark of more than ``block_windows``
+    pairs of a window and an item, or whose windows have more than ``block_bytes``, is taken in blocks of about that size, one pass over the documents each, so that an
+    automaton has at most ``window`` x ``block_windows`` nodes and a window that very many items hold is dealt out by item. ``keep`` names columns to carry
     along (none of this function's own names), ``keep_text`` the text, as bytes.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_kind = benchmark.schema[item_col].dataType
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    made = store(item_windows(benchmark, window, item_col, text_col), "decontaminate-windows")
+    n, size = made.agg(F.count("*"), F.sum(F.octet_length("window"))).first()
+    blocks = max(1, math.ceil(n / block_windows), math.ceil((size or 0) / block_bytes))
     span = "array<struct<start:bigint,end:bigint>>"
     state = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.lit(None).cast(span).alias("hit_words"), F.lit(None).cast(f"array<{item_kind.simpleString()}>").alias("items"), *keep)
     for k in range(blocks):
         whose: dict[bytes, set] = {}
-        for item_id, text in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect():
-            for w in windows(bytes(text) if text is not None else None, window):
-                whose.setdefault(w, set()).add(item_id)
+        for item_id, w in made.where(F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == k).toLocalIterator():
+            whose.setdefault(bytes(w), set()).add(item_id)
         patterns = [(w, listed(ids)) for w, ids in sorted(whose.items())]
         last = k == blocks - 1
         state = _scan(state, patterns, to_arrow_type(item_kind), item_kind.simpleString(), keep_text or not last, keep)

@@ -3,7 +3,7 @@ import random
 import re
 
 from affinade.llm import queries
-from affinade.llm.decontaminate import decontaminate, digest
+from affinade.llm.decontaminate import Matcher, decontaminate, digest, windows
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -47,6 +47,7 @@ def test_against_brute_force(spark):
     want = sorted(map(repr, brute(docs, items)))
     assert sorted(repr(tuple(r)) for r in digest(decontaminate(d, b)).collect()) == want
     assert sorted(repr(tuple(r)) for r in digest(decontaminate(d, b, block_bytes=300)).collect()) == want
+    assert sorted(repr(tuple(r)) for r in digest(decontaminate(d, b, block_windows=40)).collect()) == want
 
 
 def test_spans_point_at_the_original(spark):
@@ -64,6 +65,16 @@ def test_empty_tables(spark):
     assert {r.n_hit for r in digest(decontaminate(d, b.limit(0))).collect()} == {0}
 
 
+def test_a_window_is_at_most_ten_nodes():
+    rng = random.Random(4)
+    text = " ".join(f"word{rng.randrange(30_000)}" for _ in range(50_000)).encode()
+    own = windows(text, 10)
+    found = Matcher([(w, [1]) for w in sorted(own)])
+    assert len(own) == 49_991 and found.automaton.get_stats()["nodes_count"] <= 10 * len(own) + 1
+    words = text.split()
+    assert sum(1 for _ in found.hits(words)) == 49_991 and not list(found.hits(words[::-1]))
+
+
 def test_op10_over_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()
