@@ -1,8 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test windows.
 
 Texts are read as UTF-8 bytes: A-Z become a-z, every other ASCII byte that is no letter or digit becomes a space,
-the rest stays, so each byte keeps its offset. The automaton's symbols are words, numbered as the benchmark's windows have
-them (all other words are one symbol that no window holds), so a window of ten words is ten nodes at most. A text's words are
+the rest stays, so each byte keeps its offset. The automaton reads words by their numbers among the benchmark's windows, two
+letters each, so a window of ten words is twenty nodes at most. A text's words are
 scanned once; a hit ends at a known word, and the words' offsets give the passage in the original.
 """
 
@@ -35,24 +35,40 @@ def windows(text: bytes | None, size: int) -> set[bytes]:
 
 
 class Matcher:
-    """The automaton of a set of windows and its words' numbers; 0 is any other word."""
+    """The automaton of a set of windows and its words' numbers.
+
+    A word is two letters, the root of the number of words each, since a node's children are searched one by one. Only runs of words
+    that the windows have are scanned: any other word would take the automaton back to its root.
+    """
 
     def __init__(self, patterns: list[tuple[bytes, list]]):
         import ahocorasick
 
         self.number: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for pattern, items in patterns:
-            words = pattern.split(b" ")
-            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words), (len(words), items))
+        coded = [[self.number.setdefault(w, len(self.number)) for w in pattern.split(b" ")] for pattern, _ in patterns]
+        self.base = 1 + math.isqrt(len(self.number))
+        self.least = min(map(len, coded), default=0)
+        self.automaton = ahocorasick.Automaton()
+        for codes, (_, items) in zip(coded, patterns):
+            self.automaton.add_word(self.letters(np.array(codes)), (len(codes), items))
         if patterns:
             self.automaton.make_automaton()
 
+    def letters(self, codes: np.ndarray) -> str:
+        """First and second letters have different alphabets, so that a match begins at a word."""
+        both = np.stack([codes // self.base, codes % self.base + self.base], 1).astype("<u4") + 1
+        return "".join(map(chr, both.ravel().tolist())) if len(codes) < 32 else both.tobytes().decode("utf-32-le", "surrogatepass")
+
     def hits(self, words: list[bytes]):
         """Word span and item ids of every window that occurs."""
-        if self.number and words:
-            for end, (k, items) in self.automaton.iter(tuple(map(self.number.get, words, repeat(0)))):
-                yield end + 1 - k, end + 1, items
+        if not self.number:
+            return
+        codes = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        edges = np.flatnonzero(np.diff((codes >= 0).astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+        for begin, end in edges[edges[:, 1] - edges[:, 0] >= self.least].tolist():
+            for at, (k, items) in self.automaton.iter(self.letters(codes[begin:end])):
+                last = begin + at // 2 + 1
+                yield last - k, last, items
 
 
 def matcher(key: str, patterns: list[tuple[bytes, list]]) -> Matcher:
@@ -132,14 +148,14 @@ def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str)
     return items.mapInArrow(run, f"item_id {kind.simpleString()}, window binary").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 1_000_000, block_bytes: int = 128_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_windows: int = 500_000, block_bytes: int = 64_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, hit_words (word spans), items (matched ids), spans (code points of the original).
 
     Null and empty texts have no words and no hits, on either side; items of fewer words than a window match
     as a whole; repeated rows and ids, null ids and empty tables are kept as they are; null item ids count as one item,
     listed last as null; very long texts are scanned whole. Windows are made on the executors. A benchmark of more than ``block_windows``
     pairs of a window and an item, or whose windows have more than ``block_bytes``, is taken in blocks of about that size, one pass over the documents each, so that an
-    automaton has at most ``window`` x ``block_windows`` nodes and a window that very many items hold is dealt out by item. ``keep`` names columns to carry
+    automaton has at most 2 x ``window`` x ``block_windows`` nodes and a window that very many items hold is dealt out by item. ``keep`` names columns to carry
     along (none of this function's own names), ``keep_text`` the text, as bytes.
     """
     from pyspark.sql.pandas.types import to_arrow_type
