@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinade.llm.common import in_small_batches
 
+PIECE = 512  # letters of a piece of a long labelled text
+CUT = re.compile(r"^\S+(?=\s)|(?<=\s)\S+$")  # words that a piece's ends may have cut
+
+
+def learnt_part(text: str | None, letters: int) -> str:
+    """What is learned from a labelled text: all of it, or, of one over ``letters``, evenly spaced pieces, ``letters`` in all at most.
+
+    A piece's first and last word may be cut, so they are left out where it has blanks.
+    """
+    if text is None or len(text) <= letters:
+        return text or ""
+    starts = np.linspace(0, len(text) - PIECE, max(1, letters // (PIECE + 1))).astype(int).tolist()
+    return "\n".join(CUT.sub("", text[at : at + PIECE]) for at in starts)
+
 
 def order_hash(column: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(column).cast("string"))

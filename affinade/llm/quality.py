@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinade.llm.common import in_small_batches
-from affinade.llm.labelled import sample_by_label
+from affinade.llm.labelled import learnt_part, sample_by_label
 from affinade.llm.word_codec import slices
 
 BITS, DIM = 18, 16  # hashed table: 2**BITS vectors of DIM numbers
 NGRAMS = (3, 4, 5)
-PAIR = 16  # features that a pair of neighbouring words counts as: about as many as a word with its n-grams has
+PAIR = 16  # features that a pair of neighbouring words counts as (see pair_weights)
+LETTERS = 8_192  # of a labelled text that are learned from at most; scores read whole texts
 CACHE = 400_000  # words kept in a process; when full they start anew
 STEP = np.uint32(0x9E3779B1)  # odd multiplier of the rolling n-gram hash
 
@@ -105,21 +106,21 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(out, -30, 30)))).tolist()
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, pair: int = PAIR) -> tuple[np.ndarray, np.ndarray]:
     """A document's table rows and their weights (sum 1)."""
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    rows, n = np.unique(np.concatenate([buckets(words)[0], np.repeat(pairs(hashes(words)), PAIR)]), return_counts=True)
+    rows, n = np.unique(np.concatenate([buckets(words)[0], np.repeat(pairs(hashes(words)), pair)]), return_counts=True)
     return rows, n / n.sum()
 
 
-def examples(sample: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def examples(sample: DataFrame, letters: int = LETTERS, pair: int = PAIR) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Each sampled document's table rows with their weights, made on the executors."""
 
     def run(batches):
         for batch in batches:
-            made = [features(text) for text in batch.column(1).to_pylist()]
+            made = [features(learnt_part(text, letters), pair) for text in batch.column(1).to_pylist()]
             ids, weights = ([m[k].astype(t).tobytes() for m in made] for k, t in ((0, "<i4"), (1, "<f4")))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], ["doc_id", "label", "ids", "weights"])
 
@@ -151,14 +152,30 @@ def fit(data: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 8, rate: f
     return QualityModel(table @ (top[:, 1] - top[:, 0]), float(bias[1] - bias[0]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", per_class: int = 1500) -> DataFrame:
+def pair_weights(sample: DataFrame, candidates: tuple[int, ...] = (1, 4, 16, 32)) -> dict[int, float]:
+    """By weight of a pair of neighbouring words: area under the curve on each third training row, fitted on the other two thirds.
+
+    ``sample`` is sample_by_label()'s, so only rows that may be learned from take part in choosing PAIR.
+    """
+    out = {}
+    for pair in candidates:
+        data = examples(sample, pair=pair)
+        model = fit([d for i, d in enumerate(data) if i % 3])
+        tried = [(float(w @ value[ids]), y) for value in [model.value] for ids, w, y in data[::3]]
+        good, bad = (np.array([s for s, y in tried if y == k]) for k in (1, 0))
+        out[pair] = float(((good[:, None] > bad) + 0.5 * (good[:, None] == bad)).mean())
+    return out
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", per_class: int = 1500, letters: int = LETTERS) -> DataFrame:
     """``doc_id``, ``score`` (probability of class 1), ``predicted`` for every document.
 
-    Learns from at most ``per_class`` labelled documents of each class where ``train`` holds. Empty and null texts get
+    Learns from at most ``per_class`` labelled documents of each class where ``train`` holds, and from at most ``letters`` letters of each, in evenly spaced
+    pieces, which bounds the driver's memory in bytes. Empty and null texts get
     the score of the bias alone; without any labelled row all scores are 0.5. Texts of any length are scored whole; repeated
     rows and null ids are scored like any other; an empty table gives an empty result. Only doc_id and text are read, so other columns may have any names.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(examples(sample_by_label(docs, labels, label, train, per_class))))
+    model = docs.sparkSession.sparkContext.broadcast(fit(examples(sample_by_label(docs, labels, label, train, per_class), letters)))
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):

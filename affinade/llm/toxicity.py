@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinade.llm.common import in_small_batches
-from affinade.llm.labelled import sample_by_label
+from affinade.llm.labelled import learnt_part, sample_by_label
 from affinade.llm.word_codec import slices
 
 ORDER, SPAN, DECAY = 4, 7, 0.7
@@ -37,6 +37,8 @@ ALPHABET = 27 + OTHERS  # 0: a word's edge; 1 to 26: a to z; from 27: other lett
 CACHE = 400_000  # words kept in a process; when full they start anew
 PART = 10_000  # rows of the learning problem in memory together as doubles
 AT_ONCE = 20_000  # words whose subsequences are in memory together
+LEARNT = 16_384  # letters of a labelled text that are learned from at most; scores read whole texts
+VOCABULARY = 120_000  # distinct words of a fit at most: a kernel row of some 160 numbers each
 TELLING = 8.0  # log-likelihood ratio from which a word tells of toxicity by itself
 TAILS = list(combinations(range(1, SPAN), ORDER - 1))  # places of the characters after the first
 # Both read a text once: a run of signs or blanks is taken whole and never tried in parts.
@@ -215,7 +217,7 @@ def svm(blocks: list[np.ndarray], white: np.ndarray, rows: np.ndarray, y: np.nda
     return v, margin
 
 
-def fit(documents: list[tuple[list[str], int]], landmarks: int = 96, rounds: int = 6, harder: int = 32) -> ToxicModel:
+def fit(documents: list[tuple[list[str], int]], landmarks: int = 96, rounds: int = 6, harder: int = 32, words: int = VOCABULARY) -> ToxicModel:
     """``documents``: the distinct words of each, and its label."""
     flat = ToxicModel(np.zeros(ALPHABET**ORDER), 0.0, np.zeros(TOP), -30.0)
     n = Counter(y for _, y in documents)
@@ -241,6 +243,8 @@ def fit(documents: list[tuple[list[str], int]], landmarks: int = 96, rounds: int
         return flat
 
     vocabulary = sorted(df[0].keys() | df[1].keys())
+    if len(vocabulary) > words:
+        vocabulary = sorted({*telling, *plain, *sorted(vocabulary, key=lambda w: (zlib.crc32(w.encode()), w))[:words]})
     number = {w: i for i, w in enumerate(vocabulary)}
     many = np.array([df[0][w] for w in vocabulary], np.float64)
     bags = [(np.array([number[w] for w in own if w in number], np.int32), y) for own, y in documents]
@@ -288,12 +292,12 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[np.ndarray
     return a[:-1], float(a[-1])
 
 
-def labelled_words(sample: DataFrame) -> list[tuple[list[str], int]]:
+def labelled_words(sample: DataFrame, letters: int = LEARNT) -> list[tuple[list[str], int]]:
     """Each sampled document's distinct words, sentence by sentence, as the executors find them."""
 
     def run(batches):
         for batch in batches:
-            out = [list(dict.fromkeys(w for s in sentences(text or "") for w in words_of(s))) for text in batch.column(1).to_pylist()]
+            out = [list(dict.fromkeys(w for s in sentences(learnt_part(text, letters)) for w in words_of(s))) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(out, pa.list_(pa.string()))], ["doc_id", "label", "words"])
 
     one: dict[str, str] = {}  # a word is in memory once
@@ -303,15 +307,16 @@ def labelled_words(sample: DataFrame) -> list[tuple[list[str], int]]:
     return [(words, y) for _, words, y in found]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", per_class: int = 2500) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", per_class: int = 2500, letters: int = LEARNT, words: int = VOCABULARY) -> DataFrame:
     """``doc_id``, ``score`` (probability of class 1), ``predicted`` for every document.
 
-    Learns from at most ``per_class`` labelled documents of each class where ``train`` holds, from all their words. Texts of any
+    Learns from at most ``per_class`` labelled documents of each class where ``train`` holds, from at most ``letters`` letters of each, in
+    evenly spaced pieces, and ``words`` distinct words in all (those of lowest checksum, and all that become landmarks), which bounds the driver's memory in bytes. Texts of any
     length are scored whole. Empty and null texts get the score of the bias; without two classes or telling words
     all scores are 0. Repeated rows and null ids are scored like any other; an empty table gives an empty result. Reads doc_id and text only, so other
     columns may have any names.
     """
-    fitted = fit(labelled_words(sample_by_label(docs, labels, label, train, per_class)))
+    fitted = fit(labelled_words(sample_by_label(docs, labels, label, train, per_class), letters), words=words)
     model = docs.sparkSession.sparkContext.broadcast(fitted)  # one weight a subsequence: 10 MB
     kind = docs.schema["doc_id"].dataType
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from affinade.llm import language, quality, queries, toxicity
 from affinade.llm.common import crc_mod
+from affinade.llm.labelled import learnt_part, sample_by_label
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, score double"
@@ -64,6 +65,32 @@ def test_edge_rows(spark, which):
         assert kept.columns == docs.columns and not {900, 901, 902} & {r.doc_id for r in kept.collect()}
 
 
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "ab " * 300_000, "w é\n" * 200_000])
+def test_learnt_part_is_bounded(text):
+    part = learnt_part(text, 8_192)
+    assert 7_000 < len(part) <= 8_192 and set(part.split()) <= set(text.split()) | ({"x" * 512} if text[0] == "x" else set())
+    assert learnt_part(text[:8_192], 8_192) == text[:8_192] and learnt_part(None, 8_192) == ""
+
+
+def test_fits_on_very_long_texts(spark):
+    """A hundred labelled texts of 1,000,000 letters, a single word each or all different words."""
+    docs = spark.range(100).selectExpr("id as doc_id", "id % 2 as k", "case when id % 4 < 2 then repeat('x', 1000000) else array_join(transform(sequence(1, 90000), i -> concat('w', hex(xxhash64(id, i) % 1000000000))), ' ') end as text")
+    labels = docs.selectExpr("doc_id", "cast(k as int) as quality", "cast(k as int) as toxic")
+    sample = sample_by_label(docs, labels, "quality", F.lit(True), 1500)
+    data = quality.examples(sample)
+    assert len(data) == 100 and sum(d[0].nbytes + d[1].nbytes for d in data) < 100 * 8_192 * 4 * 8
+    bags = toxicity.labelled_words(sample)
+    assert len(bags) == 100 and max(sum(map(len, words)) for words, _ in bags) <= 16_384
+    model = toxicity.fit(bags, words=1_000)
+    assert len(model.scores(["", "x" * 1_000_000], {})) == 2
+
+
+def test_pair_weight_is_chosen_on_training_rows(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.pair_weights(sample_by_label(docs, labels, "quality", crc_mod("doc_id", 3) != 1, 1500), (1, 16))
+    assert found[16] > 0.8 and set(found) == {1, 16}
+
+
 def naive_spread(word):
     code = [0, *toxicity.LETTERS[[ord(c) for c in word]].tolist(), 0]
     out = {}
