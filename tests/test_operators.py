@@ -284,6 +284,22 @@ def test_every_pair_equals_the_plain_way(spark):
     assert set(every_pair_top_k(users, items, score, 3, train).collect()) == set(slow.collect())
 
 
+def test_hashed_lists_rank_no_product(spark, monkeypatch):
+    """Only pairs over a bound are ranked; users who have seen nearly everything are ranked whole. The same lists as from all pairs."""
+    from affinade.operators import topk
+
+    monkeypatch.setattr(topk, "BLOCK", (50, 70))
+    users, items = spark.range(120).withColumnRenamed("id", "u"), spark.range(95, 295).withColumnRenamed("id", "i")
+    every = users.crossJoin(items).withColumn("score", hashed_uniform(1, F.col("u"), F.col("i")))
+    few = every.where("u >= 3 and i % 9 = u % 9").select("u", "i").withColumn("r", F.lit(1.0)).cache()
+    most = few.union(every.where("u < 3 and score > 0.02").select("u", "i", "score"))  # fewer than five of 200 are left
+    for seen in (few, most):
+        fast = topk.hashed_top_k(users, items, 1, 3, seen)
+        assert set(fast.collect()) == set(top_k(every, 3, seen).collect())
+    plan = topk.hashed_top_k(users, items, 1, 3, few)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_bias_recovers_additive_effects(spark):
     rows = [(u, i, 3.0 + 0.5 * (u % 2) + 0.25 * (i % 3)) for u in range(10) for i in range(9)]
     _, _, trace = baselines.bias_model(frame(spark, rows), 0.0, 0.0, 5)
