@@ -12,6 +12,7 @@ from affinade.functions.columns import hashed_uniform
 from affinade.operators import baselines, graph, groups, metrics, neighbourhood, regression, similarity, slim
 from affinade.operators.split import assign_folds, hide_profile, profile_without
 from affinade.operators.topk import every_pair_top_k, filled_top_k, item_scores_top_k, top_k
+from affinade.sources.ratings import to_matrix
 
 RATINGS = "u long, i long, r double"
 
@@ -404,3 +405,59 @@ def test_flat_objective_stops_a_column():
     w, steps, res = slim.solve_column(a, g, 0.5, 2.0, tol=0.0)  # no certificate asked for: only the objective can stop it
     assert n == 3000 and 50 < steps < 3000 and np.allclose(w, exact, atol=1e-4) and res < 1e-3
     assert slim.solve_column(a, g, 0.5, 2.0, start=exact)[1] == 0
+
+
+def exchanges(df) -> list[str]:
+    """The hash shuffles of a plan, by their columns."""
+    import re
+
+    return [re.sub(r"#\d+L?", "", m) for m in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_ratings_and_folds_take_one_shuffle(spark):
+    rows = to_matrix(frame(spark, [*some_ratings(3), (1, 1, 9.0)]).selectExpr("u as user_id", "i as item_id", "r as rating"))
+    assert exchanges(assign_folds(rows)) == ["u"]
+    assert {(r.u, r.i): r.r for r in rows.collect()} == {(u, i): x for u, i, x in some_ratings(3)} | {(1, 1): 9.0}
+
+
+def test_traced_biases_are_kept_each_sweep(spark, monkeypatch):
+    """An error taken from biases that aren't kept makes the sweeps before it again."""
+    kept = []
+    monkeypatch.setattr(baselines, "settle", lambda df: kept.append(1) or df.localCheckpoint())
+    baselines.bias_model(frame(spark, some_ratings(3)), iterations=4)
+    assert len(kept) == 8
+
+
+def test_path_explanations_from_pair_sums(spark):
+    """Walks over other users, also for items that the user has; users aren't met by the walks."""
+    rows = sorted({(u, i) for u, i, _ in some_ratings(5, share=0.4)})
+    edges, deg = frame(spark, rows, "u long, i long"), lambda n, at: sum(r[at] == n for r in rows)
+    targets = [(u, i) for u in (1, 2, 3) for i in sorted({i for _, i in rows})]
+    want: dict = {}
+    for u, i in targets:
+        for j in {j for x, j in rows if x == u and j != i}:
+            for v in {v for v, x in rows if x == j and v != u and (v, i) in rows}:
+                w, n = want.get((u, i, j), (0.0, 0))
+                want[u, i, j] = w + 1 / (deg(u, 0) * deg(j, 1) * deg(v, 0)), n + 1
+    why = graph.explain_paths(edges, frame(spark, targets, "u long, i long"))
+    got = {(r.u, r.i, r.via): (r.weight, r.paths) for r in why.collect()}
+    assert got.keys() == want.keys() and all(got[c][1] == want[c][1] and math.isclose(got[c][0], want[c][0]) for c in want)
+    assert "LeftSemi" not in why._jdf.queryExecution().toString()
+
+
+def test_item_candidates_stay_with_their_user(spark):
+    train = frame(spark, some_ratings(8))
+    sim = similarity.similarity(similarity.by_item(train), "adjusted_cosine").localCheckpoint()
+    near = neighbourhood.slots(train, sim, 5, False)
+    assert "u, i" not in exchanges(near)
+    assert set(near.collect()) == set(neighbourhood.slotted(*(neighbourhood.evidence(train, sim.where(c), False) for c in ("sim > 0", "sim < 0")), train, 5, False).collect())
+    some = train.where("u % 3 = 0").select("u", (F.col("i") + 1).alias("i"))
+    assert set(neighbourhood.slots(train, sim, 5, False, some).collect()) == set(near.join(some, ["u", "i"], "left_semi").select(*near.columns).collect())
+
+
+def test_walk_states_stay_with_their_user(spark):
+    edges = frame(spark, [(u, i) for u, i, _ in some_ratings(7, share=0.3)], "u long, i long")
+    assert all(c in ("u", "u, i") for c in exchanges(graph.path_scores(edges, 5)))
+    rows = graph.random_walk(edges, edges.select("u").distinct(), iterations=5)
+    mass = rows.groupBy("seed").agg(F.sum("m").alias("m")).collect()
+    assert all(math.isclose(r.m, 1.0) for r in mass) and len(mass) == edges.select("u").distinct().count()
