@@ -461,3 +461,15 @@ def test_walk_states_stay_with_their_user(spark):
     rows = graph.random_walk(edges, edges.select("u").distinct(), iterations=5)
     mass = rows.groupBy("seed").agg(F.sum("m").alias("m")).collect()
     assert all(math.isclose(r.m, 1.0) for r in mass) and len(mass) == edges.select("u").distinct().count()
+
+
+@pytest.mark.parametrize("kind", ["pearson", "cosine"])
+def test_similarities_of_blocks_equal_those_of_pairs(spark, kind, monkeypatch):
+    """Sums of two blocks of rows as products, chunk by chunk; no pair of rows is shuffled."""
+    matrix = similarity.by_user(frame(spark, some_ratings(4, 40, 9, 0.5)))
+    table = lambda: {(r.a, r.b): (round(r.sim, 9), r.n_co) for r in similarity.similarity(matrix, kind, 1, None).collect()}
+    whole = table()
+    for name, value in (("SIDE", 9), ("CHUNK", 4), ("DENSE", 0)):
+        monkeypatch.setattr(similarity, name, value)
+    assert table() == whole
+    assert exchanges(similarity.paired(matrix, similarity.pair_sums())) == ["low, high"]
