@@ -473,3 +473,15 @@ def test_similarities_of_blocks_equal_those_of_pairs(spark, kind, monkeypatch):
         monkeypatch.setattr(similarity, name, value)
     assert table() == whole
     assert exchanges(similarity.paired(matrix, similarity.pair_sums())) == ["low, high"]
+
+
+@pytest.mark.parametrize("kind", ["pearson", "adjusted_cosine"])
+def test_similarities_of_lists_equal_those_of_pairs(spark, kind, monkeypatch):
+    """Lists of a column's rows are shuffled, once by the row that they belong to, and pairs aren't."""
+    matrix = similarity.by_item(frame(spark, some_ratings(4, 9, 40, 0.5)))
+    table = lambda: {(r.a, r.b): (round(r.sim, 9), r.n_co) for r in similarity.similarity(matrix, kind, 1, None).collect()}
+    whole = table()
+    for name, value in (("SIDE", 9), ("DENSE", 1e9)):
+        monkeypatch.setattr(similarity, name, value)
+    assert table() == whole
+    assert "a, b" not in exchanges(similarity.paired(matrix, similarity.pair_sums()))
