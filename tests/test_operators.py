@@ -485,3 +485,35 @@ def test_similarities_of_lists_equal_those_of_pairs(spark, kind, monkeypatch):
         monkeypatch.setattr(similarity, name, value)
     assert table() == whole
     assert "a, b" not in exchanges(similarity.paired(matrix, similarity.pair_sums()))
+
+
+@pytest.mark.parametrize("kind", ["cosine", "pearson"])
+def test_neighbours_in_blocks_are_those_of_the_ranked_scan(spark, monkeypatch, kind):
+    """Blocks and tiles of any size give the slots and sums of the relational scan: ties, items of few raters, users alike, and negative ones whose slots are left."""
+    from affinade.operators import wide
+
+    rng = np.random.default_rng(5)
+    known = rng.random((60, 14)) < np.linspace(0.05, 0.8, 14)
+    known[:, 13] |= True
+    values = rng.integers(1, 6, known.shape).astype(float)
+    values[7:10], known[7:10] = values[6], known[6]
+    rows = [(1000 - 7 * int(u), 3 * int(i) + 1, float(values[u, i])) for u, i in zip(*np.nonzero(known))]
+    train = spark.createDataFrame(rows, "u long, i long, r double").repartition(3).cache()
+    assert wide.shape(train) is None
+    monkeypatch.setattr(wide, "CANDIDATES", 1)
+    shape = wide.shape(train)
+    assert shape == (60, 14)
+    sim = similarity.similarity(similarity.by_user(train), kind, 2, 5.0).cache()
+    for k, tile, state in ((12, 100, 20 * 14 * 12), (3, 10**6, 10**6)):
+        monkeypatch.setattr(wide, "TILE", tile)
+        monkeypatch.setattr(wide, "STATE", state)
+        key = lambda r: (r.u, r.i, r.nbr, r.r, r.slot, round(r.sim, 9))
+        want = sorted(key(r) for r in neighbourhood.slots(train, sim, k, True).collect())
+        assert sorted(key(r) for r in wide.near(train, wide.Kind(kind, 2, 5.0), k, *shape).collect()) == want
+        assert kind == "cosine" or k < 12 or any(r[5] < 0 for r in want)
+        for centre in (True, False):
+            got = {(r.u, r.i): r for r in neighbourhood.predict_users(train, wide.Kind(kind, 2, 5.0), k, centre).collect()}
+            plain = neighbourhood.predict(train, sim, k, True, centre).collect()
+            assert len(got) == len(plain)
+            for r in plain:
+                assert [got[r.u, r.i][c] for c in ("pred", "num", "den", "aff")] == pytest.approx([r.pred, r.num, r.den, r.aff], abs=1e-9)

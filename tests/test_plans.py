@@ -373,3 +373,21 @@ def test_findings_by_factor(spark):
     table = spark.createDataFrame(rows, "grid int, s string, k int, rmse double, ndcg_mean double")
     got = {(r.factor, r.level): (r.n, r.best_rmse, r.best_ndcg, r.rmse_grid, r.ndcg_grid) for r in analysis.findings_by_factor(table, ["s", "k"]).collect()}
     assert got[None, None] == (4, 0.4, 0.2, 1, 0) and got["s", "b"] == (2, 0.4, 0.1, 2, 2) and got["k", "2"] == (2, 0.4, 0.2, 1, 1) and len(got) == 5
+
+
+def test_a_sweep_in_blocks_of_users_equals_the_ranked_scan(spark, ctx, monkeypatch):
+    """With an item that nobody rated in training; no ranked scan of all candidates is made."""
+    from dataclasses import replace
+
+    from affinade.operators import wide
+
+    more = replace(ctx, items=ctx.items.select("i").union(spark.range(1).selectExpr("-5L AS i")))
+    specs = [s | {"similarity": "pearson"} if s["k"] == 5 else s for s in GRID if s["family"] == "ubcf"]
+    want = {r.grid: r.asDict() for r in sweep(more, specs, ctx.val).collect()}
+    monkeypatch.setattr(wide, "CANDIDATES", 1)
+    monkeypatch.setattr(ev.neighbourhood, "slots", None)
+    got = {r.grid: r.asDict() for r in sweep(more, specs, ctx.val).collect()}
+    assert sorted(got) == sorted(want) == list(range(len(specs)))
+    for grid, row in want.items():
+        for name, value in row.items():
+            assert got[grid][name] == (pytest.approx(value, abs=1e-8) if isinstance(value, float) else value), (grid, name)
