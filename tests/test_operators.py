@@ -512,7 +512,7 @@ def test_neighbours_in_blocks_are_those_of_the_ranked_scan(spark, monkeypatch, k
         assert sorted(key(r) for r in wide.near(train, wide.Kind(kind, 2, 5.0), k, *shape).collect()) == want
         assert kind == "cosine" or k < 12 or any(r[5] < 0 for r in want)
         for centre in (True, False):
-            got = {(r.u, r.i): r for r in neighbourhood.predict_users(train, wide.Kind(kind, 2, 5.0), k, centre).collect()}
+            got = {(r.u, r.i): r for r in neighbourhood.predict_users(train, wide.Kind(kind, 2, 5.0), k, centre, 4.0, shape).collect()}
             plain = neighbourhood.predict(train, sim, k, True, centre).collect()
             assert len(got) == len(plain)
             for r in plain:

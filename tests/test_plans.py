@@ -391,3 +391,27 @@ def test_a_sweep_in_blocks_of_users_equals_the_ranked_scan(spark, ctx, monkeypat
     for grid, row in want.items():
         for name, value in row.items():
             assert got[grid][name] == (pytest.approx(value, abs=1e-8) if isinstance(value, float) else value), (grid, name)
+
+
+def test_a_stored_model_made_in_blocks_explains_by_what_it_used(spark, tmp_path, monkeypatch):
+    """Only similarities of neighbours are stored, and lists and reasons, those by negative similarities too, are those of the whole table."""
+    import numpy as np
+
+    from affinade.operators import wide
+
+    rng = np.random.default_rng(3)
+    rows = [(u, i, float(rng.integers(1, 6)), "train") for u in range(40) for i in range(9) if rng.random() < (0.2 if i < 3 else 0.8) or i == 8]
+    ctx = Context.of(spark.createDataFrame(rows, "u long, i long, r double, fold string").cache())
+    spec = {"family": "ubcf", "k": 8, "similarity": "pearson"}
+    whole = fit(spec, ctx.data())
+    monkeypatch.setattr(wide, "CANDIDATES", 1)
+    few = fit(spec, ctx.data())
+    assert few.tables["sim"].where("slot is null").count() < whole.tables["sim"].where("sim > 0").count()
+    apps = [Service.of(ModelStore(spark, str(tmp_path / name), buckets=2), ctx, {"m": spec}, {"m": f}) for name, f in (("whole", whole), ("few", few))]
+    negative = few.tables["sim"].where("slot is not null").limit(1).collect()
+    assert negative
+    want, got = ([(r["rank"], r.i, round(r.score, 8)) for r in app.recommend(5, "m", 4).collect()] for app in apps)
+    assert want and got == want
+    for user, item in ((negative[0].a, negative[0].i), (5, 6)):
+        want, got = ({r.via: round(r.weight, 8) for r in app.explain(user, item, "m", 20).collect()} for app in apps)
+        assert want and got == want
