@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from affinade.config import CONFIG
 from affinade.operators.baselines import bias_model, bias_predict, settle
 from affinade.operators.ordered import running
+from affinade.operators.pairs import few
 from affinade.operators.topk import filled_top_k
 
 
@@ -111,6 +112,25 @@ def regression_weights(train: DataFrame, sim: DataFrame, items: DataFrame, k: in
     return w, parts
 
 
+def slopes(dev: DataFrame, near: DataFrame) -> DataFrame:
+    """i, nbr, s: over the users who rated both, the sum of the deviation at nbr times what i's weights (near: i, nbr, w) miss of the one at i.
+
+    Few weights are sent to the ratings: a user's deviations are one row, and nothing but sums of pairs of neighbours is shuffled after that.
+    """
+    near = settle(near)
+    if not few(near):
+        cells = dev.select("i", "u", F.col("dev").alias("y")).join(near, "i").join(dev.select("u", F.col("i").alias("nbr"), "dev"), ["u", "nbr"])
+        fitted = cells.groupBy("i", "u").agg(F.sum(F.col("dev") * F.col("w")).alias("f"))
+        return cells.join(fitted, ["i", "u"]).groupBy("i", "nbr").agg(F.sum(F.col("dev") * (F.col("f") - F.col("y"))).alias("s"))
+    own = dev.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("i", "dev"))).alias("m"))
+    of = near.groupBy("i").agg(F.collect_list(F.struct("nbr", "w")).alias("z"))
+    rows = own.select("m", F.explode("m").alias("i", "y")).join(F.broadcast(of), "i")
+    known = F.filter(F.transform("z", lambda n: F.struct(n.nbr.alias("nbr"), n.w.alias("w"), F.try_element_at("m", n.nbr).alias("dev"))), lambda n: n.dev.isNotNull())
+    rows = rows.select("i", "y", known.alias("z"))
+    miss = F.aggregate("z", F.lit(0.0), lambda s, n: s + n.dev * n.w) - F.col("y")
+    return rows.select("i", miss.alias("e"), F.explode("z").alias("n")).groupBy("i", F.col("n.nbr").alias("nbr")).agg(F.sum(F.col("n.dev") * F.col("e")).alias("s"))
+
+
 def apply_weights(values: DataFrame, weights: DataFrame, column: str = "x") -> DataFrame:
     """u, i, score: the sum over a user's values of value times weight to i."""
     rows = values.select("u", F.col("i").alias("src"), F.col(column).alias("x")).join(weights.select("src", "dst", "w"), "src")

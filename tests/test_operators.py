@@ -517,3 +517,16 @@ def test_neighbours_in_blocks_are_those_of_the_ranked_scan(spark, monkeypatch, k
             assert len(got) == len(plain)
             for r in plain:
                 assert [got[r.u, r.i][c] for c in ("pred", "num", "den", "aff")] == pytest.approx([r.pred, r.num, r.den, r.aff], abs=1e-9)
+
+
+def test_slopes_without_a_shuffle_of_cells(spark, monkeypatch):
+    """Weights sent to the ratings give the sums of the joins, and the plan joins no ratings with ratings."""
+    rng = np.random.default_rng(2)
+    dev = spark.createDataFrame([(u, i, float(rng.normal())) for u in range(30) for i in range(8) if rng.random() < 0.6], "u long, i long, dev double").cache()
+    near = spark.createDataFrame([(i, j, float(rng.normal())) for i in range(8) for j in range(8) if i != j and rng.random() < 0.5], "i long, nbr long, w double")
+    rows = regression.slopes(dev, near)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 1
+    got = {(r.i, r.nbr): r.s for r in rows.collect()}
+    monkeypatch.setattr(regression, "few", lambda rows: False)
+    assert got == pytest.approx({(r.i, r.nbr): r.s for r in regression.slopes(dev, near).collect()})
