@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 TEXT_ROWS = 1000
 RANGE_ROWS = 200_000  # of a range partition
+BIT_ROWS = 15  # a bitmap of bitmap_construct_agg has 2**15 bits
 ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 _scratch: list[str] = []
 
@@ -64,6 +65,20 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key``, a number of monotonically_increasing_id, is in the same column of ``ids``, a stored table.
+
+    ``df`` may be wide: it isn't shuffled, whatever its size. The ids become bitmaps of up to 2**BIT_ROWS rows each; these are broadcast,
+    a bit for each row of ``df`` at most.
+    """
+    chunk, place = F.shiftright(key, BIT_ROWS), F.col(key).bitwiseAND((1 << BIT_ROWS) - 1)
+    bits = ids.select(chunk.alias("_chunk"), place.alias("_place")).groupBy("_chunk")
+    bits = bits.agg(F.substring(F.bitmap_construct_agg("_place"), F.lit(1), F.max(F.shiftright("_place", 3)).cast("int") + 1).alias("_bits"))
+    of_row = df.withColumn("_chunk", chunk).join(F.broadcast(store(bits, "bits")), "_chunk")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return of_row.where(F.getbit(byte, place.bitwiseAND(7)) == 1).drop("_chunk", "_bits")
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, which carries whole texts, with the session's Arrow batches cut to TEXT_ROWS rows (never widened).
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinade.llm.common import in_small_batches, ranges, store
+from affinade.llm.common import among, in_small_batches, ranges, store
 from affinade.llm.components import components
 from affinade.llm.hashing import WIDE, mix, of_runs
 from affinade.llm.word_codec import slices
@@ -244,7 +244,8 @@ def candidates(nodes: DataFrame, threshold: float, trees: int) -> DataFrame:
         here = store(here, "level")
         open_ = here.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m")).where("a <> b")
         blocks = F.ceil(F.col("m") / MEMBERS).cast("int")
-        members = here.join(open_.select("key", blocks.alias("blocks")), "key").join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        asked = store(here.join(open_.select("key", blocks.alias("blocks")), "key").select("node", "key", "root", "blocks"), "asked")
+        members = asked.join(among(nodes, "node", asked), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         members = members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "sig")
         found = store(ties(members, least_estimate(threshold, trees * DEEPEST)).distinct(), "ties")
@@ -390,7 +391,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, block:
     rows = store(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
     sigs = store(signatures(rows, trees), "signatures")
     nodes = store(sigs.where("n > 0").groupBy("s0", "s1").agg(F.min("_row").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    found = candidates(sigs.where("n > 0").select(F.col("_row").alias("node"), "sig").join(nodes.select("node"), "node", "left_semi"), threshold, trees)
+    found = candidates(among(sigs.where("n > 0").select(F.col("_row").alias("node"), "sig"), "node", nodes), threshold, trees)
     inside = store(found.union(found.select("root", "root").distinct()).join(sigs.select(F.col("_row").alias("node"), "n"), "node"), "members")
 
     sizes = inside.groupBy("root").agg(F.sum("n").alias("total"))
@@ -399,7 +400,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = TREES, block:
     blocks = sizes.select("root", number.cast("int").alias("blocks"))
     dealt = inside.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = rows.select(F.col("_row").alias("node"), "text").join(dealt.select("node"), "node", "left_semi")
+    texts = among(rows.select(F.col("_row").alias("node"), "text"), "node", inside)
     members = pairs.select("root", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     members = members.join(nodes.select("node", "copies"), "node").join(texts, "node")
     parts = store(verify(members, threshold), "links")
@@ -434,5 +435,5 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     own = {c: c if c in ("doc_id", "text") else f"_own{i}" for i, c in enumerate(docs.columns)}
     rows, found = classes(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), threshold)
-    stay = rows.join(firsts(found).select(F.col("first_row").alias("_row")), "_row", "left_semi")
+    stay = among(rows, "_row", firsts(found).select(F.col("first_row").alias("_row")))
     return stay.select(*(F.col(n).alias(c) for c, n in own.items()))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from affinade.llm import near_duplicates as nd
-from affinade.llm import queries
+from affinade.llm import common, queries
 from affinade.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +153,46 @@ def test_op3_over_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.op3_ngram_jaccard_join(spark, SF).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == brute(rows)
+
+
+def test_rows_among_ids(spark):
+    """Rows are found by bitmaps, whatever their partition, place and number."""
+    held = [0, 1, 7, 8, 63, 32767, 32768, 70_001, (5 << 33) + 3, (5 << 33) + 32768, (900 << 33) + 65535]
+    near = [i + d for i in held for d in (-1, 0, 1, 8, -8) if i + d >= 0]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in sorted({*held, *near})], "_row long, `a.b` string")
+    ids = spark.createDataFrame([(i,) for i in [*held, *held, 12_345]], "_row long")
+    got = common.among(rows, "_row", ids)
+    assert got.columns == rows.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"t{i}") for i in held]
+    assert common.among(rows, "_row", ids.limit(0)).count() == 0 and common.among(rows.limit(0), "_row", ids).count() == 0
+
+
+@pytest.fixture
+def never_small(spark):
+    """No table is small enough for Spark to broadcast it of its own accord."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, limit)
+
+
+def shuffles(df):
+    return "Exchange hashpartitioning" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_stays_is_not_shuffled(spark, never_small):
+    """However many documents stay, their texts and other columns are picked without a shuffle."""
+    kept = nd.deduplicate(spark.createDataFrame(corpus(4), "doc_id long, text string"))
+    assert not shuffles(kept)
+    assert kept.count() == sum(r.stays for r in nd.join_classes(spark.createDataFrame(corpus(4), "doc_id long, text string")).collect())
+
+
+def test_whole_texts_and_signatures_are_not_shuffled(spark, never_small, monkeypatch):
+    """What is picked for the levels and the exact comparison is picked from all texts and signatures without a shuffle."""
+    picked, among = [], nd.among
+    monkeypatch.setattr(nd, "among", lambda *args: picked.append(among(*args)) or picked[-1])
+    rows = corpus(5)
+    got = nd.join_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == brute(rows)
+    assert len(picked) == 5 and not any(map(shuffles, picked))
