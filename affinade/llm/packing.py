@@ -11,7 +11,8 @@ come one after the other, longest first. In a band:
   stretch it begins, and stretches are shorter than gaps by what the last piece may stick out.
 * Where sweeps place little, as many sequences as the rest needs are opened, filled the same way, and swept again.
 
-Between rounds the gaps are updated in a table. Only a few numbers per range and round reach the driver.
+A placement is stored as one table of the pieces, the placed ones among them, and of the gaps after it: one shuffle by sequence, no
+join. The driver keeps something of every job, so a round has few of them. Only a few numbers per range and round reach the driver.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ def column(t: pa.Table, name: str) -> np.ndarray:
 
 
 def before(rows: DataFrame, *sums: str) -> list[dict[int, int]]:
-    """For each column, by range: its sum over all ranges before, and under -1 over all."""
-    found = sorted(rows.groupBy("pid").agg(*(F.sum(c).alias(c) for c in sums)).collect(), key=lambda r: r["pid"])
+    """For each column, by range: its sum over all ranges before, and under -1 over all. A range's sums are in its row of id -1."""
+    found = sorted(rows.where("id < 0").select("pid", *sums).collect(), key=lambda r: r["pid"])
     out = []
     for c in sums:
         offsets, total = {}, 0
@@ -100,8 +101,8 @@ def after(offsets: dict[int, int]) -> Column:
     return lookup({k: v for k, v in offsets.items() if k >= 0}, F.col("pid"))
 
 
-def tight(pieces: DataFrame, gaps: DataFrame, n: int) -> DataFrame:
-    """One sweep of ``pieces`` (_row, length) over ``gaps`` (seq, gap): _row, length, seq, gap of those that got one."""
+def tight(pieces: DataFrame, gaps: DataFrame, n: int, others: bool = False) -> DataFrame:
+    """One sweep of ``pieces`` (_row, length) over ``gaps`` (seq, gap): _row, length, seq, gap of those that got one; the ``others`` with null."""
     both = gaps.select(F.lit(1).alias("sign"), F.col("gap").alias("size"), F.col("seq").alias("id")).union(pieces.select(F.lit(-1), "length", "_row"))
 
     def match(pid: int, t: pa.Table) -> pa.Table:
@@ -117,27 +118,28 @@ def tight(pieces: DataFrame, gaps: DataFrame, n: int) -> DataFrame:
         loose = np.flatnonzero(free)
         nothing = np.full(len(loose), -1, np.int64)
         columns = [
-            np.concatenate([np.zeros(len(piece), np.int64), sign[loose]]), np.concatenate([own[piece], own[loose]]), np.concatenate([size[piece], size[loose]]),
-            np.concatenate([own[gap], nothing]), np.concatenate([size[gap], nothing]), np.concatenate([np.zeros(len(piece), np.int64), level[loose]]),
+            np.concatenate([np.zeros(len(piece), np.int64), sign[loose], depth[-1:]]), np.concatenate([own[piece], own[loose], [-1]]), np.concatenate([size[piece], size[loose], [0]]),
+            np.concatenate([own[gap], nothing, [-1]]), np.concatenate([size[gap], nothing, [-1]]), np.concatenate([np.zeros(len(piece), np.int64), level[loose], [0]]),
         ]
         return pa.table([pa.array(np.full(len(columns[0]), pid, np.int32)), *(pa.array(c.astype(np.int64)) for c in columns)], names=["pid", "sign", "id", "size", "seq", "gap", "level"])
 
     keys = [F.desc("size"), F.desc("sign"), F.asc("id")]
     found = swept(both, keys, n, match, "pid int, sign long, id long, size long, seq long, gap long, level long", "tight")
     (net,) = before(found, "sign")  # matched pairs cancel out
-    loose = found.where("sign <> 0").withColumn("level", F.col("level") + after(net))
+    loose = found.where("id >= 0 and sign <> 0").withColumn("level", F.col("level") + after(net))
     line = Window.partitionBy("level").orderBy("pid", "sign")  # at a level a range leaves one piece and then one gap at most
     last = lambda c: F.lag(c).over(line)
-    met = loose.withColumns({"seq": last("id"), "gap": last("size"), "open": last("sign")}).where("sign < 0 and open > 0")
+    met = loose.withColumns({"seq": F.when(last("sign") > 0, last("id")), "gap": F.when(last("sign") > 0, last("size"))}).where("sign < 0")
     take = lambda d: d.select(F.col("id").alias("_row"), F.col("size").alias("length"), "seq", "gap")
-    return take(found.where("sign = 0")).union(take(met))
+    return take(found.where("id >= 0 and sign = 0")).union(take(met if others else met.where("seq is not null")))
 
 
 def measured(pid: int, t: pa.Table) -> pa.Table:
-    """A range's rows with the sums of ``measure`` and ``size`` over those before each."""
-    sums = {c: column(t, c).astype(np.int64) for c in ("measure", "size")}
-    columns = [pa.array(np.full(t.num_rows, pid, np.int32)), t.column("id"), t.column("size"), t.column("measure")]
-    return pa.table([*columns, *(pa.array(np.cumsum(v) - v) for v in sums.values())], names=["pid", "id", "size", "measure", "at", "ahead"])
+    """A range's rows with the sums of ``measure`` and ``size`` over those before each; last a row of id -1 with its own sums."""
+    own, size, measure = (column(t, c).astype(np.int64) for c in ("id", "size", "measure"))
+    sums = [np.cumsum(v) - v for v in (measure, size)]
+    columns = [np.append(v, last) for v, last in zip((own, size, measure, *sums), (-1, size.sum(), measure.sum(), 0, 0))]
+    return pa.table([pa.array(np.full(len(columns[0]), pid, np.int32)), *map(pa.array, columns)], names=["pid", "id", "size", "measure", "at", "ahead"])
 
 
 MEASURED = "pid int, id long, size long, measure long, at long, ahead long"
@@ -148,19 +150,19 @@ def piece_line(pieces: DataFrame, by_number: bool, n: int) -> tuple[DataFrame, C
     one = pieces.select(F.col("_row").alias("id"), F.col("length").alias("size"), (F.lit(1) if by_number else F.col("length")).cast("long").alias("measure"))
     one = swept(one, [F.desc("size"), F.asc("id")], n, measured, MEASURED, "piece-line")
     at, ahead = before(one, "measure", "size")
-    return one, F.col("at") + after(at), F.col("ahead") + after(ahead)
+    return one.where("id >= 0"), F.col("at") + after(at), F.col("ahead") + after(ahead)
 
 
 def fill_new(pieces: DataFrame, first: int, many: int, capacity: int, top: int, by_number: bool, n: int) -> DataFrame:
-    """fill() for ``many`` new sequences from number ``first`` on: their stretches are alike, so a piece's place tells its sequence."""
+    """fill() for ``many`` new sequences from number ``first`` on: their stretches are alike, so a piece's place tells its sequence. Null for the other pieces."""
     one, at, ahead = piece_line(pieces, by_number, n)
     number = F.floor(at / (capacity // top if by_number else capacity - top + 1)).cast("long")
-    rows = one.select(F.col("id").alias("_row"), F.col("size").alias("length"), number.alias("n"), ahead.alias("ahead")).where(F.col("n") < many)
-    return rows.select("_row", "length", (F.col("n") + first).alias("seq"), F.lit(capacity).cast("long").alias("gap"), "ahead")
+    rows = one.select(F.col("id").alias("_row"), F.col("size").alias("length"), number.alias("n"), ahead.alias("ahead"))
+    return rows.select("_row", "length", F.when(F.col("n") < many, F.col("n") + first).alias("seq"), F.lit(capacity).cast("long").alias("gap"), "ahead")
 
 
 def fill(pieces: DataFrame, gaps: DataFrame, top: int, by_number: bool, n: int) -> DataFrame:
-    """Pieces (_row, length) of ``top`` at most into ``gaps`` (seq, gap), several to a gap: _row, length, seq, gap, ahead.
+    """Pieces (_row, length) of ``top`` at most into ``gaps`` (seq, gap), several to a gap: _row, length, seq, gap, ahead; seq and gap null of those for which there is no gap.
 
     Gaps, smallest first, and pieces, longest first, lie on one line; the measure is the number of pieces, or their length.
     """
@@ -169,8 +171,9 @@ def fill(pieces: DataFrame, gaps: DataFrame, top: int, by_number: bool, n: int)
     two = gaps.select(F.col("seq").alias("id"), F.col("gap").alias("size"), room.cast("long").alias("measure"))
     two = swept(two, [F.asc("size"), F.asc("id")], n, measured, MEASURED, "gap-line")
     (at_two,) = before(two, "measure")
-    placed = one.select(F.lit(1).alias("kind"), at.alias("at"), "id", "size", ahead.alias("ahead")).where(F.col("at") < at_two[-1])
-    line = two.select(F.lit(0).alias("kind"), (F.col("at") + after(at_two)).alias("at"), "id", "size", F.lit(0).cast("long").alias("ahead")).union(placed)
+    on_line = one.select(F.lit(1).alias("kind"), at.alias("at"), "id", "size", ahead.alias("ahead"))
+    placed, over = on_line.where(F.col("at") < at_two[-1]), on_line.where(F.col("at") >= at_two[-1])
+    line = two.where("id >= 0").select(F.lit(0).alias("kind"), (F.col("at") + after(at_two)).alias("at"), "id", "size", F.lit(0).cast("long").alias("ahead")).union(placed)
 
     def met(pid: int, t: pa.Table) -> pa.Table:
         kind, own, size, ahead_ = (column(t, c) for c in ("kind", "id", "size", "ahead"))
@@ -191,7 +194,25 @@ def fill(pieces: DataFrame, gaps: DataFrame, top: int, by_number: bool, n: int)
             seqs[pid], sizes[pid] = last["seq"], last["gap"]
         last = tails.get(pid, last)
     own = lambda c, carried: F.when(F.col("seq") >= 0, F.col(c)).otherwise(lookup(carried, F.col("pid"))) if carried else F.col(c)
-    return found.where("_row >= 0").select("_row", "length", own("seq", seqs).alias("seq"), own("gap", sizes).alias("gap"), "ahead")
+    nowhere = F.lit(None).cast("long")
+    rows = found.where("_row >= 0").select("_row", "length", own("seq", seqs).alias("seq"), own("gap", sizes).alias("gap"), "ahead")
+    return rows.union(over.select("id", "size", nowhere, nowhere, "ahead"))
+
+
+def settled(pieces: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """A placement as one stored table: kind 1, ``pieces`` with seq and offset, null if not placed; kind 0, ``gaps`` with what is left of them.
+
+    ``ahead`` is a piece's place on a line on which the first piece of a sequence begins its gap.
+    """
+    none = F.lit(None).cast("long")
+    rows = pieces.select(F.lit(1).alias("kind"), F.col("_row").alias("id"), F.col("length").alias("size"), "seq", "gap", "ahead")
+    rows = rows.union(gaps.select(F.lit(0), "seq", "gap", "seq", none, none))
+    rows = rows.withColumn("key", F.coalesce("seq", -1 - F.col("id")))  # pieces without a sequence are spread
+    whole, piece = Window.partitionBy("key"), F.col("kind") == 1  # at most ``capacity`` pieces
+    used = F.coalesce(F.sum(F.when(piece, F.col("size"))).over(whole), F.lit(0))
+    offset = capacity - F.col("gap") + F.col("ahead") - F.min("ahead").over(whole)
+    rows = rows.select("kind", "id", F.when(piece, F.col("size")).otherwise(F.col("size") - used).alias("size"), F.when(piece, F.col("seq")).alias("seq"), F.when(piece & F.col("seq").isNotNull(), offset).alias("offset"))
+    return store(rows.where("size > 0"), "settled")
 
 
 def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -208,44 +229,38 @@ def pack(pieces: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> Data
     every = checked.select("_row", F.col("length").cast("long").alias("length"))
     gaps = spark.createDataFrame([], "seq long, gap long")
     opened, done = 0, []
-
-    def placed(rows: DataFrame, left: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Note where pieces went; the pieces that are left and the gaps after it."""
-        rows = store(rows.select("_row", "length", "seq", "offset"), "placed")
-        done.append(rows.select("_row", "seq", "offset"))
-        used = rows.groupBy("seq").agg(F.sum("length").alias("used"))
-        gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0")
-        return store(left.join(rows.select("_row"), "_row", "left_anti"), "left"), store(gaps, "gaps")
-
-    def shifted(rows: DataFrame) -> DataFrame:
-        """Places in a sequence from the line: a sequence's first piece there begins its gap."""
-        begin = F.min("ahead").over(Window.partitionBy("seq"))  # at most ``capacity`` pieces
-        return rows.withColumn("offset", capacity - F.col("gap") + F.col("ahead") - begin)
-
-    def size(left: DataFrame) -> tuple[int, int]:
-        return left.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-
-    for low, top in bands(capacity):
-        by_number, left = top >= capacity // EVEN, every.where(F.col("length").between(low, top))
-        n_left, volume = size(left)
+    every_band = bands(capacity)
+    within = [F.col("length").between(low, top) for low, top in every_band]
+    sizes = every.agg(*(f for w in within for f in (F.count_if(w), F.coalesce(F.sum(F.when(w, F.col("length"))), F.lit(0))))).first()
+    used = [(*band, sizes[2 * k], sizes[2 * k + 1]) for k, band in enumerate(every_band) if sizes[2 * k]]
+
+    def placed(rows: DataFrame, gaps: DataFrame, *of: tuple[int, int]) -> tuple[DataFrame, DataFrame, int, int, list[int]]:
+        """Note where pieces went; the pieces and gaps after it, the former's number and volume, and for each band ``of`` how many gaps hold a piece, and two."""
+        state = settled(rows, gaps, capacity)
+        done.append(state.where("kind = 1 and seq is not null").select(F.col("id").alias("_row"), "seq", "offset"))
+        loose, gap = (F.col("kind") == 1) & F.col("seq").isNull(), F.col("kind") == 0
+        fit = [F.count_if(gap & (F.col("size") >= least)) for low, top in of for least in (low, 2 * top)]
+        n_left, volume, *fits = state.agg(F.count_if(loose), F.coalesce(F.sum(F.when(loose, F.col("size"))), F.lit(0)), *fit).first()
+        return state.where(loose).select(F.col("id").alias("_row"), F.col("size").alias("length")), state.where(gap).select(F.col("id").alias("seq"), F.col("size").alias("gap")), n_left, volume, fits
+
+    fits = [0] * 4  # gaps that hold a piece of the band, and two; then the same of the next band
+    for k, (low, top, n_left, volume) in enumerate(used):
+        by_number, left, fits = top >= capacity // EVEN, every.where(F.col("length").between(low, top)), fits[2:]
+        of = [(low, top), used[min(k + 1, len(used) - 1)][:2]]
         while n_left:
-            fits, wide = gaps.agg(F.count_if(F.col("gap") >= low), F.count_if(F.col("gap") >= 2 * top)).first()
-            n, n_before = 1 + (n_left + fits) // range_rows, n_left
-            if wide:
-                left, gaps = placed(shifted(fill(left, gaps.where(F.col("gap") >= 2 * top), top, by_number, n)), left, gaps)
-                n_left, volume = size(left)
-            if n_left and fits:
-                rows = tight(left, gaps.where(F.col("gap") >= low), n).withColumn("offset", capacity - F.col("gap"))
-                left, gaps = placed(rows, left, gaps)
-                n_left, volume = size(left)
+            n, n_before = 1 + (n_left + fits[0]) // range_rows, n_left
+            if fits[1]:
+                left, gaps, n_left, volume, fits = placed(fill(left, gaps.where(F.col("gap") >= 2 * top), top, by_number, n), gaps, *of)
+            if n_left and fits[0]:
+                rows = tight(left, gaps.where(F.col("gap") >= low), n, others=True).withColumn("ahead", F.lit(0).cast("long"))
+                left, gaps, n_left, volume, fits = placed(rows, gaps, *of)
             if not n_left or n_before - n_left > n_before // LITTLE:
                 continue
             need = -(-n_left // (capacity // top)) if by_number else -(-volume // capacity)
             fresh = spark.range(opened, opened + need).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-            rows = shifted(fill_new(left, opened, need, capacity, top, by_number, 1 + n_left // range_rows))
+            rows = fill_new(left, opened, need, capacity, top, by_number, 1 + n_left // range_rows)
             opened += need
-            left, gaps = placed(rows, left, gaps.union(fresh))
-            n_left, volume = (0, 0) if by_number else size(left)  # by number, all have found a place
+            left, gaps, n_left, volume, fits = placed(rows, gaps.union(fresh), *of)
     if not done:
         return pieces.limit(0).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     where = done[0]

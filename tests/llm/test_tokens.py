@@ -185,6 +185,17 @@ def test_tight_sweep_is_best_fit(spark, rows):
     assert len({r.seq for r in got}) == len({r["_row"] for r in got}) == len(got)
 
 
+def test_packing_runs_few_jobs(spark):
+    """Spark's driver keeps something of every job, stage and task, so that their number is part of its memory."""
+    df = spark.createDataFrame([(i, 0, 1 + i % 8) for i in range(400)], "doc_id long, piece int, length long")
+    spark.sparkContext.setJobGroup("few-jobs", "packing")
+    try:
+        assert check_packing(packing.pack(df, 8).collect(), 8) == 225  # 1,800 in sequences of 8
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 55
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_packing_edge_rows(spark):
     df = spark.createDataFrame([(1, None, 7), (None, "", 7), (1, "a", 7), (1, "a", 7)], "doc_id long, text string, length int")
     tok = queries.vocabulary("word_bpe_49k.json")
