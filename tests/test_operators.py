@@ -301,6 +301,23 @@ def test_hashed_lists_rank_no_product(spark, monkeypatch):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_hashed_lists_run_in_the_jvm(spark, monkeypatch):
+    """Pairs are hashed by a compiled loop, once each, for numbers of all lengths; numpy does it where none can be compiled."""
+    from affinade.operators import topk
+
+    users = spark.createDataFrame([(-7,), (0,), (123,), (98765,), (10**18,)], "u long")
+    items = spark.range(-40, 1300).union(spark.createDataFrame([(10**k + 1,) for k in range(5, 19)], "i long")).withColumnRenamed("id", "i")
+    seen = users.crossJoin(items).where("(u + i) % 5 = 0")
+    want = set(top_k(users.crossJoin(items).withColumn("score", hashed_uniform(42, F.col("u"), F.col("i"))), 3, seen).collect())
+    lists = topk.hashed_top_k(users, items, 42, 3, seen)
+    assert set(lists.collect()) == want
+    monkeypatch.setattr(topk, "settle", lambda df: df)
+    plan = topk.hashed_top_k(users, items, 42, 3, seen)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("FirstWords") == 1
+    monkeypatch.setattr(topk, "java_function", lambda *_: None)
+    assert set(topk.hashed_top_k(users, items, 42, 3, seen).collect()) == want
+
+
 def test_bias_recovers_additive_effects(spark):
     rows = [(u, i, 3.0 + 0.5 * (u % 2) + 0.25 * (i % 3)) for u in range(10) for i in range(9)]
     _, _, trace = baselines.bias_model(frame(spark, rows), 0.0, 0.0, 5)
