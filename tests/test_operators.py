@@ -536,6 +536,62 @@ def test_neighbours_in_blocks_are_those_of_the_ranked_scan(spark, monkeypatch, k
                 assert [got[r.u, r.i][c] for c in ("pred", "num", "den", "aff")] == pytest.approx([r.pred, r.num, r.den, r.aff], abs=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["cosine", "pearson"])
+def test_few_keys_are_made_once_lists_are_full(monkeypatch, kind):
+    """Of users met in small tiles only similarities over a bar get a key, most of them none; lists, ties, negative ones and items of few raters are as in one tile."""
+    import pyarrow as pa
+
+    from affinade.operators import wide
+
+    rng = np.random.default_rng(8)
+    known = rng.random((600, 12)) < 0.6
+    known[:, 0], known[:, 11] = True, np.arange(600) % 300 == 0  # one item with two raters: its lists are never full
+    for scale in (1.0, 0.37):  # whole numbers and others
+        values = rng.integers(1, 6, known.shape) * scale
+        values[300:330], known[300:330] = values[:30], known[:30]
+        made = []
+        keys = wide.Block.keys
+        monkeypatch.setattr(wide.Block, "keys", lambda self, sim, met: made.append(sim.size) or keys(self, sim, met))
+
+        def lists(tile):
+            monkeypatch.setattr(wide, "TILE", tile)
+            block = wide.Block(wide.Kind(kind, 2, 5.0), 4, 12)
+            rows = [np.flatnonzero(k) for k in known]
+            at = lambda lo, hi: (np.arange(lo, hi), pa.array(rows[lo:hi], pa.list_(pa.int64())), pa.array([values[u][rows[u]] for u in range(lo, hi)], pa.list_(pa.float64())))
+            block.own(*at(0, 50))
+            for lo in range(0, 600, 100):
+                block.meet(*at(lo, lo + 100))
+            found = {}
+            for item, own, nbr, means, sim, r, slot in block.near():
+                found |= {(item, int(u), int(s)): (int(n), float(x), float(y), float(m)) for u, *row in zip(own, slot, nbr, sim, r, means) for s, n, x, y, m in zip(*row) if s}
+            return found
+
+        want = lists(10**9)
+        made.clear()
+        known[:, 11] = False
+        whole = lists(10**9)
+        made.clear()
+        assert lists(50 * 20) == whole and sum(made) < 600 * 50 / 3
+        known[:, 11] = np.arange(600) % 300 == 0
+        assert lists(50 * 20) == want
+        monkeypatch.setattr(wide.Block, "keys", keys)
+
+
+def test_explained_pairs_come_from_blocks(spark, monkeypatch):
+    """Neighbours of a few pairs (also of a user and an item without training rows) are those of the ranked scan; no similarity is joined with ratings."""
+    from affinade.operators import wide
+
+    train = frame(spark, some_ratings(4, 40, 12)).cache()
+    targets = spark.createDataFrame([(u, i) for u in range(0, 40, 3) for i in (1, 5, 99)] + [(777, 1)], "u long, i long")
+    kind = wide.Kind("pearson", 2, 5.0)
+    want = sorted(map(tuple, neighbourhood.user_slots(train, kind, 4, targets).collect()))
+    monkeypatch.setattr(wide, "CANDIDATES", 1)
+    rows = neighbourhood.user_slots(train, kind, 4, targets)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = sorted(map(tuple, rows.collect()))
+    assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
 def test_slopes_without_a_shuffle_of_cells(spark, monkeypatch):
     """Weights sent to the ratings give the sums of the joins, and the plan joins no ratings with ratings."""
     rng = np.random.default_rng(2)
