@@ -536,6 +536,25 @@ def test_neighbours_in_blocks_are_those_of_the_ranked_scan(spark, monkeypatch, k
                 assert [got[r.u, r.i][c] for c in ("pred", "num", "den", "aff")] == pytest.approx([r.pred, r.num, r.den, r.aff], abs=1e-9)
 
 
+def test_lists_are_shuffled_in_small_types(spark, monkeypatch):
+    """Lists of items go in the types that hold them as they are; a table both ways round reads its pairs once."""
+    monkeypatch.setattr(similarity, "SIDE", 4)
+    monkeypatch.setattr(similarity, "DENSE", 1e9)
+    small = frame(spark, some_ratings(3, 30, 12))
+    cases = [(small, ("int", "byte")), (small.withColumn("i", F.col("i") + 2**40), ("long", "byte")), (small.withColumn("r", F.col("r") / 7), ("int", "double")), (small.withColumn("r", F.col("r") - 300), ("int", "double"))]
+    for ratings, types in cases:
+        matrix = similarity.by_item(ratings)
+        assert similarity.packed(matrix) == types
+        rows = {(r.a, r.b): r for r in similarity.paired(matrix, similarity.pair_sums()).collect()}
+        left, right = matrix, matrix.select(F.col("a").alias("b"), "k", F.col("x").alias("y"))
+        plain = left.join(right, "k").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_co"), *similarity.pair_sums()).collect()
+        assert len(plain) == len(rows) > 0
+        for r in plain:
+            assert list(rows[r.a, r.b]) == pytest.approx(list(r), abs=1e-9)
+    plan = similarity.similarity(similarity.by_item(small), "pearson")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
 @pytest.mark.parametrize("kind", ["cosine", "pearson"])
 def test_few_keys_are_made_once_lists_are_full(monkeypatch, kind):
     """Of users met in small tiles only similarities over a bar get a key, most of them none; lists, ties, negative ones and items of few raters are as in one tile."""
